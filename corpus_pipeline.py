@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefold.llm import pii, simhash
+from tidefold.llm import packing, pii, quality, simhash
 from tidefold.llm.runtime import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of those not held out."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id stays."""
     return simhash.drop_near_duplicates(docs)
@@ -22,9 +29,19 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("pii", redact_pii)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left goes into sequences of at most 1,024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_quality),
+    ("near_dedup", near_dedup),
+    ("pii", redact_pii),
+    ("packing", pack_sequences),
+]
 
-#: The quality stage is a trained model and packing uses a tokenizer: no SQL gives these rows.
+#: The quality stage is a trained model and packing follows a tokenizer: no SQL gives these rows.
 ORACLE_SQL: str | None = None
 
 

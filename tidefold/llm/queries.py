@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, simhash, token_store
+from . import ann, bpe, html_blocks, licenses, packing, pii, quality, simhash, token_store, topk
 from .runtime import table
 
 
@@ -20,5 +20,40 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_pii, op3_token_ids)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_pii, op3_token_ids, op4_best_fit_packing, op5_license_scan, op6_nearest_neighbours, op7_quality,
+        op8_exact_top_k, op9_bpe, op10_html_extraction,
+    )
+}
+#: The others train a model, follow a tokenizer, hash as SQL engines do not, or are approximate.
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.oracle_sql(), "op8_exact_top_k": topk.ORACLE_SQL}
