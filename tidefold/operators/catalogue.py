@@ -1,4 +1,661 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the driver's tables and their DuckDB twins.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Roles: events are a forcing (T = day, F = event type), nations a grid (Y = region, X = rank in the
+region), embeddings cohort and layer arrays, lineitems predictions and observations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import biology, transport
+from ..plans.engine import compile_model, simulate
+from ..plans.models import load_model
+from ..plans.spec import Blueprint, Config
+from ..plans.timegrid import TimeGrid
+from . import align, metrics
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+DAY = 86400.0
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(func: Query) -> Query:
+        QUERIES[func.__name__] = func
+        if sql:
+            ORACLE_SQL[func.__name__] = sql
+        return func
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c, name: str):
+    """Rounded for comparison, without negative zero."""
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+# ---- time and forcings ----
+
+
+def event_grid(spark: SparkSession, sf_dir: str, dt: str = "1d") -> TimeGrid:
+    span = table(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    first = span["a"].replace(hour=0, minute=0, second=0, microsecond=0)
+    last = span["b"].replace(hour=0, minute=0, second=0, microsecond=0)
+    return TimeGrid.of(first, last, dt)
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean event value by day and type."""
+    days = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("T"), "event_type", "value")
+    return days.groupBy("T", "event_type").agg(F.avg("value").alias("value"))
+
+
+SPAN = "span as (select date_trunc('day', min(ts)) as a, date_trunc('day', max(ts)) as b from events)"
+DAILY = "daily as (select date_trunc('day', ts) as T, event_type, avg(value) as value from events group by 1, 2)"
+#: Every event is a source; targets are every six hours, also before the first source of a type.
+SPARSE = "src as (select event_type as k, ts as t, value as v from events)"
+TARGETS = (
+    "tgt as (select k, t from (select distinct event_type as k from events), "
+    "(select unnest(generate_series(a, b - interval 6 hour, interval 6 hour)) as t from span))"
+)
+
+
+@query(f"with {SPAN} select i as t_idx, strftime(a + to_days(i::int), '%Y-%m-%d') as day, i // 7 as chunk from span, lateral (select unnest(generate_series(0, date_diff('day', a, b) - 1)) as i)")
+def timegrid_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = event_grid(spark, sf_dir).frame(spark)
+    return grid.select("t_idx", F.date_format("T", "yyyy-MM-dd").alias("day"), F.floor(F.col("t_idx") / 7).alias("chunk"))
+
+
+@query(f"with {DAILY} select strftime(T, '%Y-%m-%d') as day, event_type, round(value, 6) as mean_value from daily")
+def forcing_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir).select(F.date_format("T", "yyyy-MM-dd").alias("day"), "event_type", r6(F.col("value"), "mean_value"))
+
+
+def _aligned(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    grid = event_grid(spark, sf_dir, "6h")
+    source = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("T"), "value")
+    got = align.as_of(source, grid.frame(spark).select("T"), method, ["event_type"])
+    return got.select("event_type", F.date_format("T", "yyyy-MM-dd HH").alias("hour"), r6(F.col("value"), "value"))
+
+
+_BRACKET = f"""with {SPAN}, {DAILY}, {SPARSE}, {TARGETS},
+b as (select k, t, (select max(s.t) from src s where s.k = tgt.k and s.t <= tgt.t) as lo, (select min(s.t) from src s where s.k = tgt.k and s.t >= tgt.t) as hi from tgt),
+e as (select k, min(t) as e0, max(t) as e3, (list_sort(list(t)))[2] as e1, (list_sort(list(t)))[-2] as e2 from src group by k)"""
+
+
+@query(_BRACKET + " select b.k as event_type, strftime(b.t, '%Y-%m-%d %H') as hour, round(s.v, 6) as value from b left join src s on s.k = b.k and s.t = b.lo")
+def forcing_ffill_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir, "ffill")
+
+
+@query(
+    _BRACKET + """ select b.k as event_type, strftime(b.t, '%Y-%m-%d %H') as hour, round(s.v, 6) as value from b left join src s on s.k = b.k
+    and s.t = case when lo is null then hi when hi is null then lo when b.t - lo < hi - b.t then lo else hi end"""
+)
+def forcing_nearest_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir, "nearest")
+
+
+@query(
+    _BRACKET + """, p as (select b.k, b.t, case when lo is null then e0 when hi is null then e2 else lo end as x0, case when lo is null then e1 when hi is null then e3 else hi end as x1
+    from b join e on e.k = b.k)
+    select p.k as event_type, strftime(p.t, '%Y-%m-%d %H') as hour,
+    round(case when x0 = x1 then s0.v else s0.v + (s1.v - s0.v) * (epoch_us(p.t) - epoch_us(x0))::double / (epoch_us(x1) - epoch_us(x0))::double end, 6) as value
+    from p join src s0 on s0.k = p.k and s0.t = x0 join src s1 on s1.k = p.k and s1.t = x1"""
+)
+def forcing_linear_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir, "linear")
+
+
+@query("select event_type, min(ts) <= timestamp '2024-01-02' and max(ts) >= timestamp '2024-01-29' as covers from events group by event_type")
+def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ends.select("event_type", ((F.col("a") <= F.lit("2024-01-02").cast("timestamp")) & (F.col("b") >= F.lit("2024-01-29").cast("timestamp"))).alias("covers"))
+
+
+@query(
+    """select 'events' as source, count(*) filter (where value is null or isnan(value)) as bad from events
+    union all select 'lineitem', count(*) filter (where l_quantity is null or isnan(l_quantity)) from lineitem
+    union all select 'supplier', count(*) filter (where s_acctbal is null or isnan(s_acctbal)) from supplier"""
+)
+def nan_null_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, c in (("events", "value"), ("lineitem", "l_quantity"), ("supplier", "s_acctbal")):
+        one = table(spark, sf_dir, name).agg(F.sum((F.col(c).isNull() | F.isnan(c)).cast("long")).alias("bad")).select(F.lit(name).alias("source"), "bad")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    """select dim, count(*) = 1 as aligned, max(n) as size from (
+    select 'region' as dim, count(distinct n_regionkey) as n from nation union select 'region', count(distinct r_regionkey) from region
+    union select 'nation', count(distinct n_nationkey) from nation union select 'nation', count(distinct s_nationkey) from supplier) group by dim"""
+)
+def grid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for dim, name, c in (("region", "nation", "n_regionkey"), ("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("nation", "supplier", "s_nationkey")):
+        one = table(spark, sf_dir, name).agg(F.countDistinct(c).alias("n")).select(F.lit(dim).alias("dim"), "n")
+        out = one if out is None else out.union(one)
+    return out.groupBy("dim").agg((F.countDistinct("n") == 1).alias("aligned"), F.max("n").alias("size"))
+
+
+# ---- alignment by dimension names and coordinates ----
+
+
+@query(
+    """select n_nationkey, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n, round(sum(value) * any_value(r_regionkey), 6) as scaled
+    from nation join region on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join events on user_id = c_custkey group by 1, 2"""
+)
+def dim_broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    users = table(spark, sf_dir, "customer").join(F.broadcast(grid), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "r_regionkey")
+    flows = table(spark, sf_dir, "events").join(users, F.col("user_id") == F.col("c_custkey"))
+    return flows.groupBy("n_nationkey", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("n"), r6(F.sum("value") * F.first("r_regionkey"), "scaled")
+    )
+
+
+@query(
+    """with c as (select n_nationkey as idx, n_nationkey * 400.0 - 1000.0 as value from nation)
+    select s_suppkey, (select arg_min(idx, struct_pack(d := abs(s_acctbal - value), v := -value)) from c)::int as idx from supplier"""
+)
+def nearest_coord_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), (F.col("n_nationkey") * 400.0 - 1000.0).alias("value"))
+    return align.nearest_index(table(spark, sf_dir, "supplier"), coords, "s_acctbal").select("s_suppkey", F.col("s_acctbal_idx").alias("idx"))
+
+
+@query(
+    f"""with {SPAN}, {DAILY}, o as (select event_id, ts, event_type, value from events),
+    n as (select o.*, (select arg_min(d.T, struct_pack(x := abs(epoch_us(o.ts) - epoch_us(d.T)), y := -epoch_us(d.T))) from (select distinct T from daily) d) as near from o)
+    select n.event_id, round(n.value, 6) as obs, round(d.value, 6) as pred from n left join daily d on d.T = n.near and d.event_type = n.event_type"""
+)
+def sparse_obs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = event_grid(spark, sf_dir).start
+    model = daily(spark, sf_dir).withColumn("t", F.datediff("T", F.lit(start)))
+    days = model.select(F.col("t").alias("idx"), F.col("T").alias("value")).distinct()
+    obs = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("T"), "event_type", F.col("value").alias("obs"))
+    found = align.nearest_index(obs, days, "T")
+    hits = model.select(F.col("t").alias("T_idx"), "event_type", F.col("value").alias("pred"))
+    return found.join(hits, ["T_idx", "event_type"], "left").select("event_id", r6(F.col("obs"), "obs"), r6(F.col("pred"), "pred"))
+
+
+def grid5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a 5 x 5 grid: Y region, X rank; c customers, flows from the keys, one land cell."""
+    n = table(spark, sf_dir, "nation").withColumn("X", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").cast("double").alias("c"))
+    g = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
+        F.col("n_regionkey").cast("int").alias("Y"), F.col("X").cast("int").alias("X"), F.coalesce("c", F.lit(0.0)).alias("c"),
+        (F.lit(0.1) * F.col("X") - 0.2).alias("u"), (F.lit(0.3) - F.lit(0.1) * F.col("n_regionkey")).alias("v"),
+        (F.lit(1000.0) + F.lit(10.0) * F.col("n_regionkey")).alias("dx"), F.lit(1000.0).alias("dy"), F.lit(1000.0).alias("face_height"),
+        F.lit(1000.0).alias("face_width"), F.lit(1e6).alias("cell_area"),
+        F.when((F.col("n_regionkey") == 2) & (F.col("X") == 2), 0.0).otherwise(1.0).alias("mask"),
+    )
+    return g
+
+
+GRID5 = """n as (select n_regionkey as Y, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as X, n_nationkey as k from nation),
+g as (select Y, X, coalesce(c, 0)::double as c, 0.1::double * X - 0.2::double as u, 0.3::double - 0.1::double * Y as v, 1000::double + 10::double * Y as dx, 1000::double as dy,
+  case when Y = 2 and X = 2 then 0 else 1 end::double as mask from n left join (select c_nationkey, count(*) as c from customer group by 1) on c_nationkey = k)"""
+
+
+@query(f"with {GRID5} select Y as y, X as x, c as pred, (Y * 10 + X)::double as obs from g")
+def gridded_obs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid5(spark, sf_dir)
+    coords = {d: cells.select(F.col(d).alias("idx"), (F.col(d) * 10.0).alias("value")).distinct() for d in ("Y", "X")}
+    obs = cells.select((F.col("Y") * 10.0 + 2).alias("Y"), (F.col("X") * 10.0 - 3).alias("X"), (F.col("Y") * 10.0 + F.col("X")).alias("obs"))
+    got = align.extract_observations(cells.select("Y", "X", "c"), obs, coords, "obs", "c")
+    return got.select(((F.col("Y") - 2) / 10).cast("int").alias("y"), ((F.col("X") + 3) / 10).cast("int").alias("x"), "pred", "obs")
+
+
+# ---- functions ----
+
+
+@query(
+    """with d as (select n_nationkey, n_nationkey * 4.0::double - 48 as lat, doy from nation, (select distinct dayofyear(ts)::double as doy from events)),
+    t as (select *, radians(23.45::double * sin(radians(360::double * (284 + doy) / 365))) as tilt from d)
+    select n_nationkey, doy::int as doy, round(acos(greatest(-1::double, least(1::double, -tan(radians(lat)) * tan(tilt)))) / pi(), 6) as day_length from t"""
+)
+def day_length_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").select(F.dayofyear("ts").cast("double").alias("doy")).distinct()
+    cells = table(spark, sf_dir, "nation").crossJoin(F.broadcast(days))
+    length = biology.day_length(F.col("n_nationkey") * 4.0 - 48, F.col("doy"))
+    return cells.select("n_nationkey", F.col("doy").cast("int").alias("doy"), r6(length, "day_length"))
+
+
+@query(
+    """with w as (select vec_id, 20 * (embedding[label % 3 + 1]::double * 0.4::double + embedding[10]::double * (1 - 0.4::double)) as m from embeddings),
+    t as (select vec_id, greatest(m, 0::double) as th from w), g as (select vec_id, th, th / (1 + th / 273::double) as gi from t)
+    select vec_id, round(th, 6) as threshold, round(gi, 6) as gillooly, round(10.38::double * exp(-0.11::double * (gi - 0)), 6) as rec_days from g"""
+)
+def temperature_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"), (F.col("label") % 3).alias("day"))
+    mean = e.withColumn("m", 20 * biology.layer_weighted_mean(F.col("z"), F.lit(0.4), F.col("day"), F.lit(9)))
+    th = mean.withColumn("th", biology.threshold_temperature(F.col("m"), F.lit(0.0)))
+    g = th.withColumn("gi", biology.gillooly_temperature(F.col("th")))
+    age = biology.recruitment_age(F.col("gi"), F.lit(10.38), F.lit(0.11), F.lit(0.0))
+    return g.select("vec_id", r6(F.col("th"), "threshold"), r6(F.col("gi"), "gillooly"), r6(age, "rec_days"))
+
+
+@query("select s_suppkey, round(-0.01::double * exp(0.15::double * (s_nationkey - 10)) * s_acctbal, 6) as rate from supplier")
+def mortality_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    rate = biology.mortality(F.col("s_acctbal"), F.col("s_nationkey").cast("double"), F.lit(0.01), F.lit(0.15), F.lit(10.0))
+    return s.select("s_suppkey", r6(rate, "rate"))
+
+
+def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five cohorts a row: production from the embedding, ages in uneven steps, recruitment at 1 to 3 days."""
+    ages = F.array(*[F.lit(x * DAY) for x in (0.0, 1.0, 2.0, 4.0, 7.0)])
+    prod = F.transform(F.slice("embedding", 1, 5), lambda x: F.abs(x.cast("double")) * 1e6)
+    return table(spark, sf_dir, "embeddings").select("vec_id", prod.alias("p"), ages.alias("ages"), ((F.col("label") % 3 + 1) * DAY).alias("rec"))
+
+
+COHORTS = """a as (select * from (values (1, 0.0::double, 1.0::double), (2, 1, 1), (3, 2, 2), (4, 4, 3), (5, 7, 3)) as a(i, age, gap)),
+c as (select vec_id, i, abs(embedding[i]::double) * 1e6 as p, age * 86400 as age, gap * 86400 as gap, (label % 3 + 1) * 86400::double as rec from embeddings, a),
+f as (select *, 1 / (1 + exp(-(ln(99::double) / 86400) * (age - rec))) as s from c),
+o as (select *, case when i = 5 then 0 else (1 - s) * p / gap end as leave, s * p / gap as recruit from f)"""
+
+
+def _exploded(rows: DataFrame, column: str, name: str) -> DataFrame:
+    return rows.select("vec_id", F.posexplode(column).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("int").alias("i"), r6(F.col("x"), name))
+
+
+@query(f"with {COHORTS} select vec_id, i, round(gap, 6) as duration from c")
+def cohort_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(cohorts(spark, sf_dir).withColumn("d", biology.cohort_durations(F.col("ages"))), "d", "duration")
+
+
+@query(f"with {COHORTS} select vec_id, i, round(case when i = 1 then rec * 0.1668::double else 0 end, 6) as injected from c")
+def npp_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(cohorts(spark, sf_dir).withColumn("d", biology.npp_injection(F.col("rec"), F.lit(0.1668), F.col("p"))), "d", "injected")
+
+
+@query(f"with {COHORTS} select vec_id, i, round(coalesce(lag(leave) over (partition by vec_id order by i), 0) - leave, 6) + 0.0 as flow from o")
+def aging_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(cohorts(spark, sf_dir).withColumn("d", biology.aging_flow(F.col("p"), F.col("ages"), F.col("rec"))), "d", "flow")
+
+
+@query(f"with {COHORTS} select vec_id, round(sum(recruit), 6) as gain, round(min(-recruit), 6) as most_lost from o group by vec_id")
+def recruitment_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loss, gain = biology.recruitment_flow(F.col("p"), F.col("ages"), F.col("rec"))
+    return cohorts(spark, sf_dir).select("vec_id", r6(gain, "gain"), r6(F.array_min(loss), "most_lost"))
+
+
+# ---- transport ----
+
+_NEAR = {
+    "closed": "coalesce({f}({c}) over (partition by {p} order by {o}), {c})",
+    "periodic": "coalesce({f}({c}) over (partition by {p} order by {o}), {e}({c}) over (partition by {p} order by {o} rows between unbounded preceding and unbounded following))",
+}
+
+
+def _near_sql(column: str, side: str, bc: str) -> str:
+    along, across = ("X", "Y") if side in ("east", "west") else ("Y", "X")
+    ahead = side in ("east", "north")
+    return _NEAR[bc].format(c=column, p=across, o=along, f="lead" if ahead else "lag", e="first_value" if ahead else "last_value")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, bc: int) -> DataFrame:
+    return grid5(spark, sf_dir).select("Y", "X", *[transport.window_neighbour("c", s, bc, []).alias(s) for s in transport.SIDES])
+
+
+@query(f"with {GRID5} select Y, X, {', '.join(f'{_near_sql("c", s, "closed")} as {s}' for s in transport.SIDES)} from g")
+def neighbor_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, transport.Boundary.CLOSED)
+
+
+@query(f"with {GRID5} select Y, X, {', '.join(f'{_near_sql("c", s, "periodic")} as {s}' for s in transport.SIDES)} from g")
+def neighbor_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, transport.Boundary.PERIODIC)
+
+
+#: East and west periodic, north open, south closed.
+BC = {"east": 2, "west": 2, "north": 1, "south": 0}
+
+
+def _step_sql(source: str, name: str, d: float) -> str:
+    """Tendencies of one step on the grid, as common table expressions."""
+    kinds = {0: "closed", 1: "closed", 2: "periodic"}
+    near = ", ".join(
+        f"{_near_sql(f, s, kinds[BC[s]])} as {f}_{s}" for s in transport.SIDES for f in ("c", "mask", *(("u", "dx") if s in ("east", "west") else ("v", "dy")))
+    )
+    adv, dif = [], []
+    for s, (axis, step) in transport.SIDES.items():
+        flow, size = ("u", "dx") if axis == -1 else ("v", "dy")
+        edge = {"south": "case when Y = 0 then 0 else 1 end"}.get(s, "1")
+        speed = f"(0.5::double * ({flow} + {flow}_{s}))"
+        up = f"case when {speed} > 0 then {'c' if step > 0 else f'c_{s}'} else {f'c_{s}' if step > 0 else 'c'} end"
+        adv.append(f"{step} * {speed} * {up} * (1000 * mask * mask_{s} * {edge})")
+        dif.append(f"{step} * {-d}::double * ((c_{s} - c) / (0.5::double * ({size} + {size}_{s})) * {step}) * (1000 * mask * mask_{s} * {edge})")
+    return f"""{name}_w as (select *, {near} from {source}),
+    {name} as (select Y, X, c, u, v, dx, dy, mask, -({' + '.join(adv)}) / 1e6 * mask as adv, -({' + '.join(dif)}) / 1e6 * mask as dif from {name}_w)"""
+
+
+@query(f"with {GRID5}, {_step_sql('g', 's1', 50.0)} select Y, X, round(adv, 6) + 0.0 as advection, round(dif, 6) + 0.0 as diffusion from s1")
+def transport_tendency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = transport.tendency_by_window(grid5(spark, sf_dir), 50.0, BC, 5, 5)
+    return got.select("Y", "X", r6(F.col("advection_rate"), "advection"), r6(F.col("diffusion_rate"), "diffusion"))
+
+
+@query(ORACLE_SQL["transport_tendency"])
+def transport_tendency_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = transport.tendency_by_tiles(grid5(spark, sf_dir), 50.0, BC, 5, 5, tile=2)
+    return got.select("Y", "X", r6(F.col("advection_rate"), "advection"), r6(F.col("diffusion_rate"), "diffusion"))
+
+
+def _update_sql(before: str, name: str) -> str:
+    return f"{name} as (select Y, X, greatest(0::double, c + 600 * (adv + dif)) as c, u, v, dx, dy, mask from {before})"
+
+
+@query(
+    f"with {GRID5}, {_step_sql('g', 's1', 50.0)}, {_update_sql('s1', 'g1')}, {_step_sql('g1', 's2', 50.0)}, {_update_sql('s2', 'g2')}, "
+    f"{_step_sql('g2', 's3', 50.0)}, {_update_sql('s3', 'g3')} select Y, X, round(c, 6) as c from g3"
+)
+def transport_3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid5(spark, sf_dir)
+    for _ in range(3):
+        got = transport.tendency_by_window(cells, 50.0, BC, 5, 5)
+        cells = got.withColumn("c", F.greatest(F.lit(0.0), F.col("c") + 600 * (F.col("advection_rate") + F.col("diffusion_rate")))).drop("advection_rate", "diffusion_rate")
+    return cells.select("Y", "X", r6(F.col("c"), "c"))
+
+
+# ---- runs ----
+
+
+def nation_state(spark: SparkSession, sf_dir: str, value) -> DataFrame:
+    return grid5(spark, sf_dir).select("Y", "X", value.alias("value"))
+
+
+GROWTH = Blueprint.from_dict(
+    {
+        "id": "growth",
+        "declarations": {
+            "state": {"biomass": {"units": "g", "dims": ["Y", "X"], "clamp": [0.0, 400.0]}},
+            "parameters": {"rate": {"units": "1/d"}, "capacity": {"units": "g"}},
+        },
+        "process": [
+            {"func": "growth:logistic", "inputs": {"biomass": "state.biomass", "rate": "parameters.rate", "capacity": "parameters.capacity"}, "outputs": {"return": "derived.growth"}}
+        ],
+        "tendencies": {"biomass": [{"source": "derived.growth"}]},
+    }
+)
+_RUN = {"time_start": "2024-01-01", "time_end": "2024-02-10", "dt": "1d"}
+
+
+def growth_model(spark: SparkSession, sf_dir: str, rate: float = 0.05 / DAY):
+    start = nation_state(spark, sf_dir, F.col("c") + 1.0)
+    return compile_model(spark, GROWTH, Config(parameters={"rate": rate, "capacity": 200.0}, initial_state={"biomass": start}, execution=_RUN))
+
+
+_LOGISTIC = f"""with recursive {GRID5},
+run(Y, X, t, b) as (select Y, X, 0, c + 1.0::double from g union all
+  select Y, X, t + 1, least(400::double, greatest(0::double, b + 86400::double * (0.05::double / 86400 * b * (1 - b / 200)))) from run where t < 40)"""
+
+
+@query(_LOGISTIC + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t > 0")
+def logistic_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate(growth_model(spark, sf_dir)).outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+
+
+@query(ORACLE_SQL["logistic_growth"])
+def logistic_growth_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate(growth_model(spark, sf_dir), strategy="kernel").outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+
+
+@query(ORACLE_SQL["logistic_growth"])
+def chunked_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate(growth_model(spark, sf_dir), chunk_size=16).outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+
+
+@query(_LOGISTIC + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t - 1 in (0, 10, 20, 30)")
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate(growth_model(spark, sf_dir)).outputs.where("t_idx in (0, 10, 20, 30)").select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+
+
+@query(_LOGISTIC + " select (t - 1)::bigint as t_idx, round(avg(b), 6) as mean_biomass from run where t - 1 >= 20 group by 1")
+def spinup_spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simulate(growth_model(spark, sf_dir)).outputs.where(F.col("T") >= F.lit("2024-01-21").cast("timestamp"))
+    return out.groupBy("t_idx").agg(r6(F.avg("biomass"), "mean_biomass"))
+
+
+@query(
+    f"""with recursive {GRID5}, m as (select s_suppkey as E, 0.01::double + s_suppkey * 0.002::double as rate from supplier),
+    run(E, rate, Y, X, t, b) as (select E, rate, Y, X, 0, c + 1.0::double from g, m union all
+      select E, rate, Y, X, t + 1, least(400::double, greatest(0::double, b + 86400::double * (rate / 86400 * b * (1 - b / 200)))) from run where t < 40)
+    select E::int as E, Y, X, round(b, 6) as biomass from run where t = 40"""
+)
+def ensemble_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("E"), ((F.lit(0.01) + F.col("s_suppkey") * F.lit(0.002)) / DAY).alias("value")
+    )
+    model = growth_model(spark, sf_dir).with_parameters({"rate": members}, {"rate": ("E",)})
+    return simulate(model).outputs.where("t_idx = 39").select("E", "Y", "X", r6(F.col("biomass"), "biomass"))
+
+
+def lv_config(spark: SparkSession, sf_dir: str) -> Config:
+    par = {"alpha": 0.04 / DAY, "beta": 0.005 / DAY, "delta": 0.5, "gamma": 0.1 / DAY}
+    start = {"prey": nation_state(spark, sf_dir, 20.0 + F.col("Y") * 4 + F.col("X")), "predator": nation_state(spark, sf_dir, F.lit(7.0))}
+    return Config(parameters=par, initial_state=start, execution=_RUN)
+
+
+_LV = f"""with recursive {GRID5},
+run(Y, X, t, n, p) as (select Y, X, 0, 20::double + Y * 4 + X, 7::double from g union all
+  select Y, X, t + 1, greatest(0::double, n + 86400::double * (0.04::double / 86400 * n + -(0.005::double / 86400) * n * p)),
+    greatest(0::double, p + 86400::double * (0.5::double * (0.005::double / 86400) * n * p + -(0.1::double / 86400) * p)) from run where t < 40)
+select Y, X, (t - 1)::bigint as t_idx, round(n, 6) as prey, round(p, 6) as predator from run where t > 0"""
+
+
+@query(_LV)
+def lotka_volterra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simulate(compile_model(spark, load_model("lotka_volterra"), lv_config(spark, sf_dir))).outputs
+    return out.select("Y", "X", "t_idx", r6(F.col("prey"), "prey"), r6(F.col("predator"), "predator"))
+
+
+@biology.functional("growth:forced", kernel=lambda biomass, rate, forcing: rate * biomass * forcing)
+def forced(biomass, rate, forcing):
+    return rate * biomass * forcing
+
+
+def forced_blueprint(space: str) -> Blueprint:
+    """Growth scaled by a series over time, as a forcing or as a time-indexed parameter."""
+    decl = {
+        "state": {"prey": {"dims": ["Y", "X"], "clamp": [0.0, None]}, "predator": {"dims": ["Y", "X"], "clamp": [0.0, None]}},
+        "parameters": {n: {} for n in ("alpha", "beta", "delta", "gamma")},
+        "forcings": {},
+    }
+    decl[space]["food"] = {"dims": ["T"]}
+    lv = load_model("lotka_volterra")
+    steps = [s.model_dump() for s in lv.process[1:]]
+    grow = {"func": "growth:forced", "inputs": {"biomass": "state.prey", "rate": "parameters.alpha", "forcing": f"{space}.food"}, "outputs": {"return": "derived.prey_growth"}}
+    return Blueprint.from_dict({"id": "forced", "declarations": decl, "process": [grow, *steps], "tendencies": {k: [s.model_dump() for s in v] for k, v in lv.tendencies.items()}})
+
+
+def _forced(spark: SparkSession, sf_dir: str, space: str) -> DataFrame:
+    grid = event_grid(spark, sf_dir)
+    days = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("T")).agg((F.avg("value") / 50.0).alias("value"))
+    base = lv_config(spark, sf_dir)
+    series = days.where(F.col("T") < F.lit(grid.end)) if space == "parameters" else days
+    given = {space: {**getattr(base, space), "food": series}}
+    execution = {"time_start": str(grid.start), "time_end": str(grid.end), "dt": "1d"}
+    config = Config(parameters=given.get("parameters", base.parameters), forcings=given.get("forcings", {}), initial_state=base.initial_state, execution=execution)
+    out = simulate(compile_model(spark, forced_blueprint(space), config)).outputs
+    return out.select("Y", "X", "t_idx", r6(F.col("prey"), "prey"), r6(F.col("predator"), "predator"))
+
+
+_FORCED = f"""with recursive {GRID5}, {SPAN}, w as (select date_diff('day', a, date_trunc('day', ts)) as t, avg(value) / 50::double as food from events, span group by 1),
+run(Y, X, t, n, p) as (select Y, X, 0::bigint, 20::double + Y * 4 + X, 7::double from g union all
+  select Y, X, run.t + 1, greatest(0::double, n + 86400::double * (0.04::double / 86400 * n * food + -(0.005::double / 86400) * n * p)),
+    greatest(0::double, p + 86400::double * (0.5::double * (0.005::double / 86400) * n * p + -(0.1::double / 86400) * p)) from run join w on w.t = run.t, span where run.t < date_diff('day', a, b))
+select Y, X, t - 1 as t_idx, round(n, 6) as prey, round(p, 6) as predator from run where t > 0"""
+
+
+@query(_FORCED)
+def lotka_volterra_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forced(spark, sf_dir, "forcings")
+
+
+@query(_FORCED)
+def time_indexed_param(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forced(spark, sf_dir, "parameters")
+
+
+CART = Blueprint.from_dict(
+    {
+        "id": "cart-pole",
+        "declarations": {
+            "state": {n: {"dims": ["X"]} for n in ("position", "speed", "angle", "spin")},
+            "parameters": {n: {} for n in ("force", "m_cart", "m_pole", "length", "gravity")},
+        },
+        "process": [
+            {"func": "cart:velocity", "inputs": {"rate": "state.speed"}, "outputs": {"return": "derived.d_position"}},
+            {"func": "cart:velocity", "inputs": {"rate": "state.spin"}, "outputs": {"return": "derived.d_angle"}},
+            {
+                "func": "cart:angular_acceleration",
+                "inputs": {"angle": "state.angle", "spin": "state.spin"} | {n: f"parameters.{n}" for n in ("force", "m_cart", "m_pole", "length", "gravity")},
+                "outputs": {"return": "derived.d_spin"},
+            },
+            {
+                "func": "cart:linear_acceleration",
+                "inputs": {"angle": "state.angle", "spin": "state.spin", "spin_rate": "derived.d_spin"} | {n: f"parameters.{n}" for n in ("force", "m_cart", "m_pole", "length")},
+                "outputs": {"return": "derived.d_speed"},
+            },
+        ],
+        "tendencies": {n: [{"source": f"derived.d_{n}"}] for n in ("position", "speed", "angle", "spin")},
+    }
+)
+
+
+@query(
+    """with recursive s as (select n_nationkey as k, 0.01::double * n_nationkey as a0 from nation),
+    run(k, t, px, pv, a, w) as (
+      select k, 0, 0::double, 0::double, a0, 0::double from s union all
+      select k, t + 1, px + 0.01::double * pv, pv + 0.01::double * ((0.05::double * (w * w * sin(a) - dw * cos(a))) / 1.1::double), a + 0.01::double * w, w + 0.01::double * dw from (
+        select *, (9.81::double * sin(a) + cos(a) * ((-0.05::double * w * w * sin(a)) / 1.1::double)) / (0.5::double * (4.0::double / 3 - 0.1::double * cos(a) * cos(a) / 1.1::double)) as dw from run where t < 50))
+    select k as cart, round(px, 6) + 0.0 as position, round(a, 6) + 0.0 as angle from run where t = 50"""
+)
+def cartpole_free_fall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    at = lambda c: n.select(F.col("n_nationkey").cast("int").alias("X"), c.alias("value"))
+    start = {"position": at(F.lit(0.0)), "speed": at(F.lit(0.0)), "angle": at(F.col("n_nationkey") * 0.01), "spin": at(F.lit(0.0))}
+    par = {"force": 0.0, "m_cart": 1.0, "m_pole": 0.1, "length": 0.5, "gravity": 9.81}
+    run = {"time_start": "2024-01-01T00:00:00", "time_end": "2024-01-01T00:00:00.500000", "dt": "0.01s"}
+    out = simulate(compile_model(spark, CART, Config(parameters=par, initial_state=start, execution=run))).outputs
+    return out.where("t_idx = 49").select(F.col("X").alias("cart"), r6(F.col("position"), "position"), r6(F.col("angle"), "angle"))
+
+
+# ---- metrics and populations ----
+
+_LINES = "l as (select l_returnflag as k, l_extendedprice as obs, l_quantity * 1500::double as pred, l_linestatus = 'O' as m from lineitem)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return table(spark, sf_dir, "lineitem").select(
+        c("l_returnflag").alias("k"), c("l_extendedprice").alias("obs"), (c("l_quantity") * 1500.0).alias("pred"), (c("l_linestatus") == "O").alias("m")
+    )
+
+
+@query(
+    f"""with {_LINES} select k, round(avg((pred - obs) ** 2) / 1e6, 6) as mse, round(sqrt(avg((pred - obs) ** 2)) / 1e3, 6) as rmse,
+    round(sqrt(avg((pred - obs) ** 2)) / stddev_pop(obs), 6) as nrmse_std, round(sqrt(avg((pred - obs) ** 2)) / abs(avg(obs)), 6) as nrmse_mean,
+    round(sqrt(avg((pred - obs) ** 2)) / (max(obs) - min(obs)), 6) as nrmse_minmax from l group by k"""
+)
+def loss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, o = F.col("pred"), F.col("obs")
+    m = metrics.METRICS
+    return lines(spark, sf_dir).groupBy("k").agg(
+        r6(m["mse"](p, o) / 1e6, "mse"), r6(m["rmse"](p, o) / 1e3, "rmse"), r6(m["nrmse_std"](p, o), "nrmse_std"),
+        r6(m["nrmse_mean"](p, o), "nrmse_mean"), r6(m["nrmse_minmax"](p, o), "nrmse_minmax"),
+    )
+
+
+@query(
+    f"""with {_LINES} select k, round(avg((pred - obs) ** 2) filter (where m) / 1e6, 6) as mse, round(sqrt(avg((pred - obs) ** 2) filter (where m)) / 1e3, 6) as rmse,
+    round(sqrt(avg((pred - obs) ** 2) filter (where m)) / stddev_pop(obs) filter (where m), 6) as nrmse_std,
+    round(sqrt(avg((pred - obs) ** 2) filter (where m)) / (max(obs) filter (where m) - min(obs) filter (where m)), 6) as nrmse_minmax
+    from l group by k having count(*) filter (where m) > 0"""
+)
+def loss_metrics_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, o, k = F.col("pred"), F.col("obs"), F.col("m")
+    m = metrics.METRICS
+    return lines(spark, sf_dir).groupBy("k").agg(
+        r6(m["mse"](p, o, k) / 1e6, "mse"), r6(m["rmse"](p, o, k) / 1e3, "rmse"), r6(m["nrmse_std"](p, o, k), "nrmse_std"),
+        r6(m["nrmse_minmax"](p, o, k), "nrmse_minmax"), F.max(F.col("m").cast("int")).alias("any"),
+    ).where("any = 1").drop("any")
+
+
+_LOSSES = f"""{_LINES}, e as (select i as E, 1000 + i * 100 as f from (select unnest(generate_series(0, 9)) as i)),
+losses as (select E, round(0.7::double * sqrt(avg((pred / 1500 * f - obs) ** 2)) / 1e3 + 0.3::double * sqrt(avg((pred / 1500 * f - obs) ** 2)) / stddev_pop(obs), 6) as loss from l, e group by E)"""
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    member = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("E")
+    rows = lines(spark, sf_dir).select(member, "obs", "pred").withColumn("pred", F.col("pred") / 1500.0 * (1000.0 + F.col("E") * 100))
+    thousands = lambda p, o: metrics.rmse(p, o) / 1e3
+    return metrics.composite_loss([(rows, thousands, 0.7), (rows, "nrmse_std", 0.3)]).select("E", r6(F.col("loss"), "loss"))
+
+
+@query(f"with {_LOSSES} select E::int as E, loss from losses")
+def composite_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _losses(spark, sf_dir)
+
+
+@query(f"with {_LOSSES} select arg_min(E, struct_pack(loss, E))::int as best, min(loss) as best_loss, round(avg(loss), 6) as mean_loss, count(*) as n_valid from losses")
+def population_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.population_stats(_losses(spark, sf_dir)).select("best", "best_loss", r6(F.col("mean_loss"), "mean_loss"), "n_valid")
+
+
+@query(
+    """with b as (select min(s_acctbal) as a, max(s_acctbal) as z from supplier), n as (select s_suppkey, (s_acctbal - a) / (z - a) as x, s_nationkey / 24.0::double as y from supplier, b),
+    c as (select x as cx, y as cy from n order by s_suppkey limit 1)
+    select s_suppkey, round(x, 6) as x, round(sqrt((x - cx) ** 2 + (y - cy) ** 2), 6) as distance from n, c"""
+)
+def param_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    ends = s.agg(F.min("s_acctbal").alias("a"), F.max("s_acctbal").alias("z"), F.min_by(F.struct("s_acctbal", "s_nationkey"), "s_suppkey").alias("c"))
+    n = s.crossJoin(F.broadcast(ends)).withColumn("x", (F.col("s_acctbal") - F.col("a")) / (F.col("z") - F.col("a"))).withColumn("y", F.col("s_nationkey") / 24.0)
+    cx, cy = (F.col("c.s_acctbal") - F.col("a")) / (F.col("z") - F.col("a")), F.col("c.s_nationkey") / 24.0
+    gap = F.sqrt((F.col("x") - cx) * (F.col("x") - cx) + (F.col("y") - cy) * (F.col("y") - cy))
+    return n.select("s_suppkey", r6(F.col("x"), "x"), r6(gap, "distance"))
+
+
+# ---- calibration and streams: rows only, as SQL has no twin ----
+
+
+@query()
+def calibration_cmaes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth rate and capacity fitted to a noisy run, noise from the events; one Spark job per generation."""
+    from ..optim.objective import Objective, evaluator
+    from ..optim.optimizers import CMAES, as_rows
+
+    model = growth_model(spark, sf_dir)
+    noise = daily(spark, sf_dir).groupBy("T").agg((F.avg("value") / 1000).alias("e")).select((F.dayofyear("T") - 1).cast("long").alias("t_idx"), "e")
+    truth = simulate(model).outputs.join(noise, "t_idx")
+    obs = truth.select(F.col("t_idx").alias("T"), "Y", "X", (F.col("biomass") + F.col("e")).alias("obs"))
+    index = lambda n: spark.range(n).select(F.col("id").cast("int").alias("idx"), F.col("id").cast("double").alias("value"))
+    model.coords.update({"T": index(40), "Y": index(5), "X": index(5)})
+    found = CMAES({"rate": (0.01 / DAY, 0.2 / DAY), "capacity": (50.0, 400.0)}, {"rate": 0.1 / DAY, "capacity": 100.0}, popsize=16, seed=1)
+    result = found.run(evaluator(model, [Objective(obs, target="biomass", metric="rmse")]), max_generations=8)
+    return spark.createDataFrame(as_rows(result), "loss double, n_iterations int, capacity double, rate double")
+
+
+@query("select count(*) as n_events, round(sum(value), 4) as total from events")
+def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stateful stream over the events, state carried between micro-batches, summed at the end."""
+    from ..streaming.stateful import run_stream
+
+    out = run_stream(spark, sf_dir)
+    last = out.groupBy("event_type").agg(F.max(F.struct("n", "total")).alias("s"))
+    return last.agg(F.sum("s.n").alias("n_events"), F.round(F.sum("s.total"), 4).alias("total"))
+
+
+from . import engine_twins  # noqa: E402, F401  (registers further queries)

@@ -1,0 +1,75 @@
+"""Queries of the cohort model and their twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.engine import compile_model, simulate
+from ..plans.models import load_model
+from ..plans.spec import Config
+from . import catalogue as base
+
+DAY = base.DAY
+C = 4
+GROUP = {"lambda_0": 1 / 150 / DAY, "gamma_lambda": 0.15, "tau_r_0": 3 * DAY, "gamma_tau_r": 0.11, "efficiency": 0.1668}
+
+
+def cohort_model(spark: SparkSession, sf_dir: str):
+    """The cohort model without transport on the nation grid: temperature and production follow the daily event means."""
+    grid = base.event_grid(spark, sf_dir)
+    span = (F.lit(0.0), F.lit(1.0))
+    cells = base.grid5(spark, sf_dir)
+    one = spark.range(1)
+    days = base.table(spark, sf_dir, "events").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("T")).agg(F.avg("value").alias("m"))
+    days = days.where(F.col("T") < F.lit(grid.end)).withColumn("t_idx", F.datediff("T", F.lit(grid.start)).cast("long"))
+    spots = cells.select("Y", "X").crossJoin(F.broadcast(days.select("t_idx", "m")))
+    layers = F.explode(F.array(F.lit(0), F.lit(1))).alias("Z")
+    temp = spots.select("*", layers).select("t_idx", "Z", "Y", "X", (10 + F.col("m") / 20 + F.col("Y") - 4 * F.col("Z")).alias("value"))
+    npp = spots.select("t_idx", "Y", "X", ((1 + F.col("X") * 0.1) / DAY).alias("value"))
+    of_f = lambda x: one.select(F.lit(0).alias("F"), F.lit(float(x)).alias("value"))
+    ages = spark.range(C).select(F.col("id").cast("int").alias("C"), (F.col("id") * DAY).alias("value"))
+    parameters = {n: of_f(x) for n, x in GROUP.items()} | {"t_ref": 5.0, "cohort_ages": ages, "day_layer": of_f(1), "night_layer": of_f(0)}
+    lat = cells.select("Y").distinct().select("Y", (F.col("Y") * 15.0 - 30.0).alias("value"))
+    doy = days.select("t_idx", (F.col("t_idx") + 1).cast("double").alias("value"))
+    state = {
+        "biomass": cells.select(F.lit(0).alias("F"), "Y", "X", (1 + F.col("c") / 100).alias("value")),
+        "production": cells.select(F.lit(0).alias("F"), F.explode(F.sequence(F.lit(0), F.lit(C - 1))).alias("C"), "Y", "X", F.lit(0.05).alias("value")),
+    }
+    forcings = {"latitude": lat, "temperature": temp, "primary_production": npp, "day_of_year": doy}
+    run = {"time_start": str(grid.start), "time_end": str(grid.end), "dt": "1d"}
+    del span
+    return compile_model(spark, load_model("lmtl_no_transport"), Config(parameters=parameters, forcings=forcings, initial_state=state, execution=run))
+
+
+def _sql() -> str:
+    """Scalar columns p0.. for the cohorts; the recurrence as a recursive table."""
+    share = [f"1 / (1 + exp(-(ln(99::double) / 86400) * ({i} * 86400::double - rec)))" for i in range(C)]
+    leave = [f"((1 - {share[i]}) * p{i} / 86400::double)" for i in range(C - 1)]
+    gone = [f"({share[i]} * p{i} / 86400::double)" for i in range(C)]
+    new = []
+    for i in range(C):
+        flow = f"{leave[i - 1]} - {leave[i] if i < C - 1 else '0::double'}" if i else f"-{leave[0]}"
+        food = "npp * 0.1668::double + " if not i else ""
+        new.append(f"greatest(0::double, p{i} + 86400::double * ({food}({flow}) - {gone[i]}))")
+    day = "acos(greatest(-1::double, least(1::double, -tan(radians(Y * 15::double - 30)) * tan(radians(23.45::double * sin(radians(360::double * (284 + t + 1) / 365)))))))  / pi()"
+    return f"""with recursive {base.GRID5}, {base.SPAN},
+    w as (select date_diff('day', a, date_trunc('day', ts)) as t, avg(value) as m from events, span group by 1),
+    f0 as (select Y, X, t, (10 + m / 20 + Y - 4) as t1, (10 + m / 20 + Y) as t0, (1 + X * 0.1::double) / 86400 as npp, {day} as dl from g, w),
+    f1 as (select *, greatest(t1 * dl + t0 * (1 - dl), 5::double) as th from f0),
+    f2 as (select *, th / (1 + th / 273::double) as tn, 5::double / (1 + 5::double / 273) as rn from f1),
+    f as (select Y, X, t, npp, tn, rn, 3 * 86400::double * exp(-0.11::double * (tn - rn)) as rec from f2),
+    run(Y, X, t, b, {', '.join(f'p{i}' for i in range(C))}) as (
+      select Y, X, 0::bigint, 1 + c / 100, {', '.join(['0.05::double'] * C)} from g union all
+      select r.Y, r.X, r.t + 1, greatest(0::double, b + 86400::double * (-(1::double / 150 / 86400) * exp(0.15::double * (tn - rn)) * b + ({' + '.join(gone)}))), {', '.join(new)}
+      from run r join f on f.Y = r.Y and f.X = r.X and f.t = r.t, span where r.t < date_diff('day', a, b))
+    select Y, X, t - 1 as t_idx, round(b, 6) as biomass, round(p0, 6) as first_cohort from run where t > 0"""
+
+
+SQL = _sql().replace("date_diff('day', a, b))", "date_diff('day', span.a, span.b))").replace("greatest(0::double, b + ", "greatest(0::double, r.b + ").replace("(tn - rn)) * b +", "(tn - rn)) * r.b +")
+
+
+@base.query(SQL)
+def lmtl_no_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simulate(cohort_model(spark, sf_dir)).outputs
+    return out.select("Y", "X", "t_idx", base.r6(F.col("biomass"), "biomass"), base.r6(F.col("production")[0], "first_cohort"))

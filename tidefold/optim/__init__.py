@@ -1,0 +1 @@
+"""Calibration: parameter vectors, priors, objectives, optimisers."""

@@ -1,0 +1,83 @@
+"""Objectives: what a run is compared with, and the loss of many members by one Spark job."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.align import coords_to_indices
+from ..operators.metrics import composite_loss
+from ..plans.engine import CompiledModel, simulate, unpack
+from ..plans.storage import written
+from .parameters import Params
+
+
+@dataclass
+class Objective:
+    """Observations and how to predict them: a target variable at the observations' coordinates, or a transform.
+
+    ``observations`` has coordinate columns and ``obs``. ``transform`` takes the outputs (with E) to rows
+    that share the observations' other columns and hold ``pred``.
+    """
+
+    observations: DataFrame
+    target: str | None = None
+    transform: Callable[[DataFrame], DataFrame] | None = None
+    metric: str | Callable[..., Any] = "mse"
+    weight: float = 1.0
+
+    def __post_init__(self) -> None:
+        self._spots: DataFrame | None = None
+        if (self.target is None) == (self.transform is None):
+            raise ValueError("exactly one of target and transform")
+        if not isinstance(self.observations, DataFrame):
+            raise TypeError("observations must be a DataFrame")
+
+    def pairs(self, outputs: DataFrame, coords: dict[str, DataFrame]) -> DataFrame:
+        """Rows of E, pred and obs."""
+        if self.transform is not None:
+            pred = self.transform(outputs)
+            shared = [c for c in self.observations.columns if c != "obs"]
+            if missing := [c for c in [*shared, "pred", "E"] if c not in pred.columns]:
+                raise ValueError(f"transform output shape: no column {', '.join(missing)}")
+            return pred.join(self.observations, shared).select("E", "pred", "obs")
+        dims = [c for c in self.observations.columns if c != "obs"]
+        if self._spots is None:
+            # Coordinates do not depend on the members: they are resolved once and kept.
+            spots = coords_to_indices(self.observations, coords, dims)
+            self._spots = written(spots.select("obs", *[F.col(f"{d}_idx").cast("long") for d in dims]), "spots")
+        hits = outputs.select("E", *[F.col("t_idx" if d == "T" else d).alias(f"{d}_idx") for d in dims], F.col(self.target).alias("pred"))
+        return hits.join(self._spots, [f"{d}_idx" for d in dims]).select("E", "pred", "obs")
+
+
+def population_losses(model: CompiledModel, members: list[Params], objectives: list[Objective], strategy: str = "auto", penalty: float = 1e6) -> np.ndarray:
+    """Losses of all members: parameters get the dimension E, every member runs in the same job."""
+    spark = model.spark
+    names = sorted(members[0])
+    tables, dims = {}, {}
+    for n in names:
+        own = tuple(d for d in model.dims[f"parameters.{n}"])
+        rows = [(e, *map(int, i), float(x)) for e, m in enumerate(members) for i, x in np.ndenumerate(np.asarray(m[n], dtype=float))]
+        tables[n] = spark.createDataFrame(rows, ", ".join(f"{d} int" for d in ("E", *own)) + ", value double")
+        dims[n] = ("E", *own)
+    variants = model.with_parameters(tables, dims)
+    wanted = sorted({o.target for o in objectives if o.target} | ({s for s in model.blueprint.declarations.state} if any(o.transform for o in objectives) else set()))
+    result = simulate(variants, export_variables=wanted, strategy=strategy)
+    outputs = result.outputs
+    for v in wanted:
+        path = f"state.{v}" if v in result.plan.states else f"derived.{v}"
+        outputs = unpack(outputs, v, result.plan.axes(path)) if len(wanted) == 1 else outputs
+    losses = composite_loss([(o.pairs(outputs, model.coords), o.metric, o.weight) for o in objectives], penalty=penalty)
+    out = np.full(len(members), penalty)
+    for r in losses.collect():
+        out[r["E"]] = r["loss"]
+    return out
+
+
+def evaluator(model: CompiledModel, objectives: list[Objective], strategy: str = "auto") -> Callable[[list[Params]], np.ndarray]:
+    return lambda members: population_losses(model, members, objectives, strategy)

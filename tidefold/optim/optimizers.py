@@ -1,0 +1,331 @@
+"""Optimisers. The driver holds parameter vectors only; a whole population is evaluated by one call.
+
+``evaluate`` takes a list of parameter sets and returns their losses: for models it is one Spark job
+over the ensemble dimension (see ``objective``). Losses that are not finite count as a penalty.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
+import numpy as np
+
+from .parameters import Bounds, Params, PriorSet, bounds_arrays, denormalize, flatten, normalize, params_distance, unflatten
+
+Evaluate = Callable[[list[Params]], np.ndarray]
+
+
+@dataclass
+class GenerationResult:
+    best_params: Params
+    best_loss: float
+    mean_loss: float
+    n_valid: int
+
+
+@dataclass
+class OptimizeResult:
+    params: Params
+    loss: float
+    loss_history: list[float] = field(default_factory=list)
+    n_iterations: int = 0
+    converged: bool = False
+    message: str = ""
+
+
+@dataclass
+class GradientStepResult:
+    """The loss before the update, the parameters after it."""
+
+    params: Params
+    loss: float
+    gradient_norm: float
+
+
+class _Population:
+    def __init__(self, bounds: Bounds, initial_params: Params, popsize: int, seed: int = 0, nan_penalty: float = 1e6):
+        vector, self.shapes = flatten(initial_params)
+        self.low, self.high = bounds_arrays(self.shapes, bounds)
+        self.start = np.clip(normalize(vector, self.low, self.high), 0.0, 1.0)
+        self.popsize, self.nan_penalty = popsize, nan_penalty
+        self.rng = np.random.default_rng(seed)
+        self.best, self.best_loss = self.start.copy(), np.inf
+
+    def params(self, z: np.ndarray) -> Params:
+        return unflatten(denormalize(z, self.low, self.high), self.shapes)
+
+    def _losses(self, evaluate: Evaluate, population: np.ndarray) -> np.ndarray:
+        losses = np.asarray(evaluate([self.params(z) for z in population]), dtype=float)
+        return np.where(np.isfinite(losses), losses, self.nan_penalty)
+
+    def ask(self) -> np.ndarray:
+        raise NotImplementedError
+
+    def tell(self, population: np.ndarray, losses: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def step(self, evaluate: Evaluate) -> GenerationResult:
+        population = np.clip(self.ask(), 0.0, 1.0)
+        losses = self._losses(evaluate, population)
+        self.tell(population, losses)
+        i = int(losses.argmin())
+        if losses[i] < self.best_loss:
+            self.best, self.best_loss = population[i].copy(), float(losses[i])
+        return GenerationResult(self.params(population[i]), float(losses[i]), float(losses.mean()), int(np.isfinite(losses).sum()))
+
+    def run(self, evaluate: Evaluate, max_generations: int = 200, patience: int = 50, tol_fun: float = 1e-9) -> OptimizeResult:
+        """Until nothing has improved by more than ``tol_fun`` for ``patience`` generations."""
+        history: list[float] = []
+        reached, waited, message = np.inf, 0, "maximum number of generations"
+        for _ in range(max_generations):
+            self.step(evaluate)
+            history.append(self.best_loss)
+            if self.best_loss < reached - tol_fun:
+                reached, waited = self.best_loss, 0
+            else:
+                waited += 1
+            if waited >= patience:
+                message = f"no improvement in {patience} generations"
+                break
+        return OptimizeResult(self.params(self.best), self.best_loss, history, len(history), waited >= patience, message)
+
+
+class CMAES(_Population):
+    """Covariance matrix adaptation with rank-one and rank-mu updates (Hansen, arXiv:1604.00772)."""
+
+    def __init__(self, bounds: Bounds, initial_params: Params, popsize: int = 32, seed: int = 0, nan_penalty: float = 1e6, sigma: float = 0.3):
+        super().__init__(bounds, initial_params, popsize + popsize % 2, seed, nan_penalty)
+        n, mu = len(self.start), self.popsize // 2
+        w = np.log(self.popsize / 2 + 0.5) - np.log(np.arange(1, mu + 1))
+        self.w = w / w.sum()
+        self.mueff = 1 / (self.w**2).sum()
+        self.cc = (4 + self.mueff / n) / (n + 4 + 2 * self.mueff / n)
+        self.cs = (self.mueff + 2) / (n + self.mueff + 5)
+        self.c1 = 2 / ((n + 1.3) ** 2 + self.mueff)
+        self.cmu = min(1 - self.c1, 2 * (self.mueff - 2 + 1 / self.mueff) / ((n + 2) ** 2 + self.mueff))
+        self.damps = 1 + 2 * max(0.0, np.sqrt((self.mueff - 1) / (n + 1)) - 1) + self.cs
+        self.chi = np.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n**2))
+        self.mean, self.sigma, self.C = self.start.copy(), sigma, np.eye(n)
+        self.ps, self.pc, self.age = np.zeros(n), np.zeros(n), 0
+
+    def ask(self) -> np.ndarray:
+        values, vectors = np.linalg.eigh((self.C + self.C.T) / 2)
+        self.root = np.sqrt(np.maximum(values, 1e-20))
+        self.basis = vectors
+        z = self.rng.standard_normal((self.popsize, len(self.mean)))
+        return self.mean + self.sigma * (z * self.root) @ self.basis.T
+
+    def tell(self, population: np.ndarray, losses: np.ndarray) -> None:
+        self.age += 1
+        n = len(self.mean)
+        best = population[np.argsort(losses, kind="stable")[: len(self.w)]]
+        steps = (best - self.mean) / self.sigma
+        move = self.w @ steps
+        self.mean = self.mean + self.sigma * move
+        white = self.basis @ ((self.basis.T @ move) / self.root)
+        self.ps = (1 - self.cs) * self.ps + np.sqrt(self.cs * (2 - self.cs) * self.mueff) * white
+        norm = np.linalg.norm(self.ps)
+        steady = norm / np.sqrt(1 - (1 - self.cs) ** (2 * self.age)) < (1.4 + 2 / (n + 1)) * self.chi
+        self.pc = (1 - self.cc) * self.pc + steady * np.sqrt(self.cc * (2 - self.cc) * self.mueff) * move
+        old = (1 - self.c1 - self.cmu) + (0 if steady else self.c1 * self.cc * (2 - self.cc))
+        self.C = old * self.C + self.c1 * np.outer(self.pc, self.pc) + self.cmu * (steps.T * self.w) @ steps
+        self.sigma = float(np.clip(self.sigma * np.exp(self.cs / self.damps * (norm / self.chi - 1)), 1e-12, 1.0))
+
+
+class GA(_Population):
+    """Truncation selection, uniform crossover, Gaussian mutation; the first population is random."""
+
+    def __init__(
+        self, bounds: Bounds, initial_params: Params, popsize: int = 64, crossover_rate: float = 0.8, mutation_std: float = 0.05,
+        seed: int = 0, nan_penalty: float = 1e6, elite: float = 0.25,
+    ):
+        super().__init__(bounds, initial_params, popsize, seed, nan_penalty)
+        self.crossover_rate, self.mutation_std, self.elite = crossover_rate, mutation_std, elite
+        self.parents: np.ndarray | None = None
+
+    def ask(self) -> np.ndarray:
+        n = len(self.start)
+        if self.parents is None:
+            return self.rng.uniform(0, 1, (self.popsize, n))
+        pick = self.rng.integers(len(self.parents), size=(2, self.popsize))
+        a, b = self.parents[pick[0]], self.parents[pick[1]]
+        swap = (self.rng.random((self.popsize, n)) < 0.5) & (self.rng.random((self.popsize, 1)) < self.crossover_rate)
+        children = np.where(swap, b, a) + self.rng.normal(0, self.mutation_std, (self.popsize, n))
+        children[0] = self.parents[0]
+        return children
+
+    def tell(self, population: np.ndarray, losses: np.ndarray) -> None:
+        keep = max(2, int(self.elite * self.popsize))
+        self.parents = population[np.argsort(losses, kind="stable")[:keep]]
+
+
+@dataclass
+class IPOPResult:
+    modes: list[OptimizeResult]
+    runs: list[OptimizeResult]
+
+    @property
+    def best(self) -> OptimizeResult:
+        return self.modes[0]
+
+
+def is_new_mode(params: Params, modes: list[OptimizeResult], bounds: Bounds, threshold: float) -> bool:
+    return all(params_distance(params, m.params, bounds) >= threshold for m in modes)
+
+
+def ipop_cmaes(
+    evaluate: Evaluate, bounds: Bounds, initial_params: Params, n_restarts: int = 5, initial_popsize: int = 32, n_generations: int = 100,
+    distance_threshold: float = 0.1, tol_fun: float = 1e-9, patience: int = 50, seed: int = 0,
+) -> IPOPResult:
+    """Restarts with doubled populations; the first from the initial parameters, the others at random."""
+    modes: list[OptimizeResult] = []
+    runs: list[OptimizeResult] = []
+    _, shapes = flatten(initial_params)
+    low, high = bounds_arrays(shapes, bounds)
+    for i in range(n_restarts):
+        start = initial_params if i == 0 else unflatten(denormalize(np.random.default_rng(seed + i).uniform(0, 1, len(low)), low, high), shapes)
+        runs.append(CMAES(bounds, start, initial_popsize * 2**i, seed + i).run(evaluate, n_generations, patience, tol_fun))
+        if is_new_mode(runs[-1].params, modes, bounds, distance_threshold):
+            modes.append(runs[-1])
+    return IPOPResult(sorted(modes, key=lambda m: m.loss), runs)
+
+
+class _Update:
+    """First-order update rules on vectors (rows are independent starts)."""
+
+    def __init__(self, algorithm: str, rate: float):
+        if algorithm not in ("adam", "sgd", "rmsprop", "adagrad"):
+            raise ValueError(f"unknown algorithm {algorithm!r}")
+        self.algorithm, self.rate, self.m, self.v, self.t = algorithm, rate, 0.0, 0.0, 0
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        self.t += 1
+        if self.algorithm == "sgd":
+            return -self.rate * g
+        if self.algorithm == "adagrad":
+            self.v = self.v + g * g
+            return -self.rate * g / (np.sqrt(self.v) + 1e-7)
+        if self.algorithm == "rmsprop":
+            self.v = 0.9 * self.v + 0.1 * g * g
+            return -self.rate * g / (np.sqrt(self.v) + 1e-8)
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
+        return -self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+
+
+class Scaling:
+    """none: clipped to the bounds; bounds: to [0, 1] and clipped; log: logarithm, not clipped."""
+
+    def __init__(self, kind: str, shapes: dict, bounds: Bounds | None):
+        if kind not in ("none", "bounds", "log"):
+            raise ValueError(f"unknown scaling {kind!r}")
+        if kind == "bounds" and not bounds:
+            raise ValueError("scaling by bounds needs bounds")
+        self.kind = kind
+        self.limits = bounds_arrays(shapes, bounds) if bounds else None
+
+    def to(self, x: np.ndarray) -> np.ndarray:
+        return normalize(x, *self.limits) if self.kind == "bounds" else np.log(x) if self.kind == "log" else x
+
+    def back(self, z: np.ndarray) -> np.ndarray:
+        return denormalize(z, *self.limits) if self.kind == "bounds" else np.exp(z) if self.kind == "log" else z
+
+    def clip(self, z: np.ndarray) -> np.ndarray:
+        if self.kind == "bounds":
+            return np.clip(z, 0.0, 1.0)
+        return np.clip(z, *self.limits) if self.kind == "none" and self.limits is not None else z
+
+
+def difference_gradients(evaluate: Evaluate, scaling: Scaling, shapes: dict, starts: np.ndarray, step: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Losses and central-difference gradients of many starts by one evaluation of 1 + 2P members each."""
+    n, p = starts.shape
+    moves = np.concatenate([np.zeros((1, p)), np.eye(p) * step, -np.eye(p) * step])
+    members = (starts[:, None, :] + moves[None]).reshape(-1, p)
+    losses = np.asarray(evaluate([unflatten(scaling.back(z), shapes) for z in members]), dtype=float).reshape(n, 1 + 2 * p)
+    return losses[:, 0], (losses[:, 1 : 1 + p] - losses[:, 1 + p :]) / (2 * step)
+
+
+class GradientOptimizer:
+    """One start. ``gradient`` may give (loss, gradient by parameter) exactly; else differences are taken in one job."""
+
+    def __init__(
+        self, initial_params: Params, bounds: Bounds | None = None, algorithm: str = "adam", learning_rate: float = 0.01,
+        scaling: str = "none", gradient: Callable[[Params], tuple[float, Params]] | None = None,
+    ):
+        vector, self.shapes = flatten(initial_params)
+        self.scaling = Scaling(scaling, self.shapes, bounds)
+        self.z, self.update, self.gradient = self.scaling.to(vector), _Update(algorithm, learning_rate), gradient
+
+    @property
+    def params(self) -> Params:
+        return unflatten(self.scaling.back(self.z), self.shapes)
+
+    def step(self, evaluate: Evaluate) -> GradientStepResult:
+        if self.gradient:
+            loss, g = self.gradient(self.params)
+            raw = flatten(g)[0]
+            x = self.scaling.back(self.z)
+            raw = raw * (self.scaling.limits[1] - self.scaling.limits[0] if self.scaling.kind == "bounds" else x if self.scaling.kind == "log" else 1.0)
+        else:
+            losses, grads = difference_gradients(evaluate, self.scaling, self.shapes, self.z[None])
+            loss, raw = float(losses[0]), grads[0]
+        self.z = self.scaling.clip(self.z + self.update(raw))
+        return GradientStepResult(self.params, float(loss), float(np.linalg.norm(raw)))
+
+    def run(self, evaluate: Evaluate, max_steps: int = 100, tolerance: float = 1e-6) -> OptimizeResult:
+        history: list[float] = []
+        converged = False
+        for _ in range(max_steps):
+            history.append(self.step(evaluate).loss)
+            if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
+                converged = True
+                break
+        return OptimizeResult(self.params, float(np.asarray(evaluate([self.params]))[0]), history, len(history), converged)
+
+
+@dataclass
+class MultiStartResult:
+    results: list[OptimizeResult]
+
+    @property
+    def best(self) -> OptimizeResult:
+        return min(self.results, key=lambda r: r.loss)
+
+
+def multistart_gradient(
+    evaluate: Evaluate, bounds: Bounds, param_shapes: dict[str, tuple[int, ...]], n_starts: int = 8, priors: PriorSet | None = None,
+    algorithm: str = "adam", learning_rate: float = 0.01, scaling: str = "bounds", max_steps: int = 100, tolerance: float = 1e-6,
+    patience: int = 50, seed: int = 0,
+) -> MultiStartResult:
+    """All starts move together, one job a step; a start that has converged is marked and keeps moving."""
+    shapes = {n: param_shapes[n] for n in sorted(param_shapes)}
+    scale = Scaling(scaling, shapes, bounds)
+    if priors:
+        begin = np.stack([flatten(priors.sample(seed + i, shapes))[0] for i in range(n_starts)])
+    else:
+        low, high = bounds_arrays(shapes, bounds)
+        begin = np.random.default_rng(seed).uniform(low, high, (n_starts, len(low)))
+    z, update = scale.clip(scale.to(begin)), _Update(algorithm, learning_rate)
+    history: list[np.ndarray] = []
+    converged, best, waited = np.zeros(n_starts, dtype=bool), np.inf, 0
+    for _ in range(max_steps):
+        losses, grads = difference_gradients(evaluate, scale, shapes, z)
+        if history:
+            converged |= np.abs(losses - history[-1]) < tolerance
+        history.append(losses)
+        z = scale.clip(z + update(np.nan_to_num(grads)))
+        best, waited = (losses.min(), 0) if losses.min() < best - tolerance else (best, waited + 1)
+        if converged.all() or waited >= patience:
+            break
+    params = [unflatten(scale.back(row), shapes) for row in z]
+    final = np.asarray(evaluate(params), dtype=float)
+    return MultiStartResult(
+        [OptimizeResult(p, float(f), [float(h[i]) for h in history], len(history), bool(converged[i])) for i, (p, f) in enumerate(zip(params, final, strict=True))]
+    )
+
+
+def as_rows(result: Any) -> list[dict[str, Any]]:
+    """Results as plain rows, for a table."""
+    found = result.results if isinstance(result, MultiStartResult) else result.modes if isinstance(result, IPOPResult) else [result]
+    return [{"loss": r.loss, "n_iterations": r.n_iterations, **{k: float(np.ravel(v)[0]) for k, v in r.params.items()}} for r in found]

@@ -1,0 +1,229 @@
+"""Checks of a blueprint and of the data bound to it; propagation of dimensions and units."""
+
+from __future__ import annotations
+
+import inspect
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..dims import CANONICAL, VALUE, canonical_order, rename_dims
+from ..errors import (
+    BlueprintValidationError,
+    ConfigValidationError,
+    DimensionMismatchError,
+    FunctionNotFoundError,
+    GridAlignmentError,
+    MissingDataError,
+    ModelError,
+    OutputCountMismatchError,
+    SignatureMismatchError,
+    UnitError,
+    ValidationError,
+)
+from ..functions.registry import FunctionMetadata, get_function
+from ..units import has_time, parse_unit, same_unit
+from .spec import Blueprint, Config
+from .timegrid import parse_time
+
+
+@dataclass(frozen=True)
+class DataNode:
+    """A variable in the graph; identity is its name."""
+
+    name: str
+    dims: tuple[str, ...] | None = field(default=None, compare=False)
+    units: str | None = field(default=None, compare=False)
+
+
+@dataclass(frozen=True)
+class ComputeNode:
+    """A step in the graph; identity is its name."""
+
+    name: str
+    func: FunctionMetadata = field(compare=False)
+    inputs: dict[str, str] = field(compare=False, hash=False)
+    outputs: dict[str, str] = field(compare=False, hash=False)
+    core: frozenset[str] = field(default=frozenset(), compare=False)
+
+
+@dataclass
+class ValidationResult:
+    errors: list[ModelError] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+    nodes: list[ComputeNode] = field(default_factory=list)
+    variables: dict[str, DataNode] = field(default_factory=dict)
+
+    @property
+    def valid(self) -> bool:
+        return not self.errors
+
+
+def validate_blueprint(blueprint: Blueprint, time_dim: str = "T") -> ValidationResult:
+    """All problems at once. Functions and signatures come first, as later checks need them."""
+    out = ValidationResult()
+    functions: list[FunctionMetadata] = []
+    for step in blueprint.process:
+        try:
+            functions.append(get_function(step.func))
+        except FunctionNotFoundError as error:
+            out.errors.append(error)
+    if out.errors:
+        return out
+    declared = blueprint.declarations.all_variables()
+    known = set(declared)
+    for step, meta in zip(blueprint.process, functions, strict=True):
+        given, allowed = set(step.inputs), meta.arguments()
+        if missing := [a for a in meta.required_inputs() if a not in given]:
+            out.errors.append(SignatureMismatchError(f"{step.func} lacks {', '.join(missing)}"))
+        open_ended = any(p.kind is inspect.Parameter.VAR_KEYWORD for p in meta.signature().parameters.values())
+        if extra := [a for a in step.inputs if a not in allowed and not open_ended]:
+            out.errors.append(SignatureMismatchError(f"{step.func} does not take {', '.join(extra)}"))
+        for path in step.inputs.values():
+            if path not in known:
+                out.errors.append(MissingDataError(f"{step.func} reads {path}, which is neither declared nor made by an earlier step"))
+        if meta.outputs and len(step.outputs) != len(meta.outputs):
+            out.errors.append(OutputCountMismatchError(f"{step.func} gives {len(meta.outputs)} outputs, not {len(step.outputs)}"))
+        elif meta.outputs and set(step.outputs) != set(meta.outputs):
+            out.errors.append(SignatureMismatchError(f"{step.func} gives {', '.join(meta.outputs)}"))
+        known |= set(step.outputs.values())
+    if out.errors:
+        return out
+    for path, v in declared.items():
+        dims = None if v.dims is None else canonical_order(d for d in v.dims if d != time_dim or path.startswith("state."))
+        out.variables[path] = DataNode(path, dims, v.units)
+    taken = {p.split(".", 1)[1]: p for p in declared if p.startswith("state.")}
+    for step, meta in zip(blueprint.process, functions, strict=True):
+        _propagate(out, step.func, meta, step.inputs, step.outputs)
+        for path in step.outputs.values():
+            if path.split(".", 1)[1] in taken:
+                out.errors.append(ValidationError(f"{path} has the name of {taken[path.split('.', 1)[1]]}"))
+        try:
+            _check_units(out, step.func, meta, step.inputs, step.outputs, declared)
+        except UnitError as error:
+            out.errors.append(error)
+    for state, sources in blueprint.tendencies.items():
+        for s in sources:
+            node = out.variables.get(s.source)
+            if node is None:
+                out.errors.append(MissingDataError(f"tendency of {state} uses {s.source}, which no step makes"))
+                continue
+            own = out.variables[f"state.{state}"].dims
+            if node.dims is not None and own is not None and not set(node.dims) <= set(own):
+                out.errors.append(DimensionMismatchError(f"{s.source} has dimensions {node.dims} that state {state} lacks"))
+            try:
+                if node.units and not has_time(node.units):
+                    out.errors.append(UnitError(f"tendency source {s.source} in {node.units} has no time in it"))
+            except UnitError as error:
+                out.errors.append(error)
+    return out
+
+
+def _propagate(out: ValidationResult, name: str, meta: FunctionMetadata, inputs: dict[str, str], outputs: dict[str, str]) -> None:
+    for arg, core in meta.core_dims.items():
+        node = out.variables.get(inputs.get(arg, ""))
+        if node is None:
+            continue
+        if node.dims is None:
+            out.warnings.append(f"{node.name} has no dimensions; {name} needs {', '.join(core)}")
+        elif lacking := [d for d in core if d not in node.dims]:
+            out.errors.append(DimensionMismatchError(f"{node.name} lacks {', '.join(lacking)}, core to {name}"))
+    every = [out.variables[p].dims or () for p in inputs.values()]
+    core = {d for a in inputs for d in meta.core_dims.get(a, ())}
+    rest = [d for dims in every for d in dims if d not in core]
+    for d in rest:
+        if d not in CANONICAL:
+            out.errors.append(DimensionMismatchError(f"{d} in {name} is not canonical, so it must be a core dimension"))
+    names = {}
+    for output, path in outputs.items():
+        key = output if meta.outputs else "return"
+        names[path] = canonical_order([*rest, *meta.dims_of_output(key)])
+        out.variables[path] = DataNode(path, names[path], meta.units.get(key))
+    out.nodes.append(ComputeNode(f"{name}[{', '.join(outputs.values())}]", meta, dict(inputs), dict(outputs), frozenset(core)))
+
+
+def _check_units(out: ValidationResult, name: str, meta: FunctionMetadata, inputs: dict, outputs: dict, declared: dict) -> None:
+    for arg, path in inputs.items():
+        want, have = meta.units.get(arg), out.variables[path].units
+        parse_unit(have)
+        if want is not None and have is not None and not same_unit(want, have):
+            out.errors.append(UnitError(f"{name} takes {arg} in {want}; {path} is in {have}"))
+    for output, path in outputs.items():
+        want, target = meta.units.get(output if meta.outputs else "return"), declared.get(path)
+        if want is not None and target is not None and target.units is not None and not same_unit(want, target.units):
+            out.errors.append(UnitError(f"{name} gives {output} in {want}; {path} is declared in {target.units}"))
+
+
+def validate_model(blueprint: Blueprint, time_dim: str = "T") -> ValidationResult:
+    """``validate_blueprint``, with all errors raised together."""
+    result = validate_blueprint(blueprint, time_dim)
+    if result.errors:
+        raise BlueprintValidationError(result.errors, result.warnings)
+    return result
+
+
+def validate_units(blueprint: Blueprint) -> list[UnitError]:
+    return [e for e in validate_blueprint(blueprint).errors if isinstance(e, UnitError)]
+
+
+def data_dims(df: DataFrame, time_dim: str = "T") -> set[str]:
+    """Dimensions of a bound table; a column of step numbers stands for the time dimension."""
+    return {time_dim if c == "t_idx" else c for c in df.columns if c != VALUE}
+
+
+def bound_data(blueprint: Blueprint, config: Config) -> dict[str, Any]:
+    """Data by dotted path, key columns renamed."""
+    out = {}
+    for space, given in (("state", config.initial_state), ("parameters", config.parameters), ("forcings", config.forcings)):
+        for name, data in given.items():
+            out[f"{space}.{name}"] = rename_dims(data, config.dimension_mapping) if isinstance(data, DataFrame) else data
+    return out
+
+
+def validate_config(blueprint: Blueprint, config: Config) -> dict[str, int]:
+    """Everything declared is there, with its dimensions, covering the run, without NaN; returns the dimensions' sizes.
+
+    One aggregation per table. Missing data, wrong dimensions and coverage are raised together (E110);
+    NaN or null values raise ValueError; two sizes of one dimension raise E202.
+    """
+    time_dim, data = config.execution.time_dim, bound_data(blueprint, config)
+    declared = blueprint.declarations.all_variables()
+    errors: list[ModelError] = []
+    for path, v in declared.items():
+        if path.startswith("derived."):
+            continue
+        if path not in data:
+            errors.append(MissingDataError(f"no data for {path}"))
+        elif v.dims is not None:
+            have = data_dims(data[path], time_dim) if isinstance(data[path], DataFrame) else set()
+            if have != set(v.dims):
+                errors.append(DimensionMismatchError(f"{path} has dimensions {sorted(have)}, declared are {sorted(v.dims)}"))
+    if errors:
+        raise ConfigValidationError(errors)
+    sizes: dict[str, tuple[int, str]] = {}
+    start, end = parse_time(config.execution.time_start), parse_time(config.execution.time_end)
+    for path, df in data.items():
+        if not isinstance(df, DataFrame):
+            if isinstance(df, float) and df != df:
+                raise ValueError(f"{path} contains NaN")
+            continue
+        dims = [c for c in df.columns if c not in (VALUE, time_dim, "t_idx")]
+        checks = [F.sum((F.isnan(F.col(VALUE).cast("double")) | F.col(VALUE).isNull()).cast("long")).alias("bad")]
+        checks += [(F.max(d) + 1).alias(f"size_{d}") for d in dims]
+        if time_dim in df.columns:
+            checks += [F.min(time_dim).alias("first"), F.max(time_dim).alias("last")]
+        found = df.agg(*checks).first()
+        if found["bad"]:
+            raise ValueError(f"{path} contains NaN")
+        for d in dims:
+            n = found[f"size_{d}"]
+            if d in sizes and sizes[d][0] != n:
+                raise GridAlignmentError(f"{d} has {n} values in {path} and {sizes[d][0]} in {sizes[d][1]}")
+            sizes[d] = (n, path)
+        if time_dim in df.columns and path.startswith("forcings.") and not (found["first"] <= start and found["last"] >= end):
+            errors.append(ValidationError(f"{path} from {found['first']} to {found['last']} does not cover {start} to {end}"))
+    if errors:
+        raise ConfigValidationError(errors)
+    return {d: int(n) for d, (n, _) in sizes.items()}

@@ -1,0 +1,560 @@
+"""Compilation and execution of a model: explicit Euler steps as distributed DataFrame work.
+
+Dimensions that no live step uses as a core dimension never interact, so a row per combination of them
+carries the whole state of its cell, core dimensions packed into arrays, and rows are the unit of
+distribution. Steps that do not depend on the state are computed first, as ordinary projections over
+time (the pre-pass). The recurrence then runs per row, as one higher-order ``aggregate`` over the row's
+array of forcings (fold), or in numpy over batches of rows (kernel). Long runs go chunk by chunk, the
+state written out between chunks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..dims import VALUE, canonical_order
+from ..errors import EngineError
+from ..operators.align import as_of
+from .analyze import ComputeNode, bound_data, validate_config, validate_model
+from .spec import Blueprint, Config
+from .storage import written
+from .timegrid import TimeGrid, chunk_ranges, parse_time, time_of
+
+#: Steps in one fold; the trajectory is copied at each step, so longer runs go to the kernel.
+FOLD_STEPS = 400
+
+
+@dataclass
+class CompiledModel:
+    """A checked model with its data bound."""
+
+    spark: SparkSession
+    blueprint: Blueprint
+    config: Config
+    nodes: list[ComputeNode]
+    dims: dict[str, tuple[str, ...]]
+    grid: TimeGrid
+    sizes: dict[str, int]
+    data: dict[str, Any]
+    coords: dict[str, DataFrame] = field(default_factory=dict)
+
+    @property
+    def time_dim(self) -> str:
+        return self.config.execution.time_dim
+
+    @property
+    def clamps(self) -> dict[str, tuple[float | None, float | None]]:
+        return {n: v.clamp for n, v in self.blueprint.declarations.state.items() if v.clamp}
+
+    def dynamic(self, path: str) -> bool:
+        """Whether a forcing or parameter is declared over time."""
+        v = self.blueprint.variable(path)
+        return bool(v and v.dims and self.time_dim in v.dims and not path.startswith("state."))
+
+    def with_parameters(self, parameters: dict[str, Any], dims: dict[str, tuple[str, ...]] | None = None) -> CompiledModel:
+        """The model with some parameters replaced; new dimensions, as E for an ensemble, can be added."""
+        data = self.data | {f"parameters.{n}": v for n, v in parameters.items()}
+        extra = {f"parameters.{n}": canonical_order(d) for n, d in (dims or {}).items()}
+        return CompiledModel(self.spark, self.blueprint, self.config, self.nodes, self.dims | extra, self.grid, self.sizes, data, self.coords)
+
+
+def compile_model(spark: SparkSession, blueprint: Blueprint, config: Config, coords: dict[str, DataFrame] | None = None) -> CompiledModel:
+    """Check blueprint and data and bind them. ``coords`` are tables (idx, value) by dimension."""
+    found = validate_model(blueprint, config.execution.time_dim)
+    sizes = validate_config(blueprint, config)
+    grid = config.execution.grid()
+    data = bound_data(blueprint, config)
+    dims = {path: node.dims or () for path, node in found.variables.items()}
+    model = CompiledModel(spark, blueprint, config, found.nodes, dims, grid, sizes, data, dict(coords or {}))
+    for path, df in data.items():
+        if path.startswith("parameters.") and model.dynamic(path):
+            steps = df.select("t_idx" if "t_idx" in df.columns else model.time_dim).distinct().count()
+            if steps != grid.n_timesteps:
+                raise EngineError(f"{path} has {steps} steps, the run {grid.n_timesteps}")
+    return model
+
+
+def live_nodes(nodes: list[ComputeNode], wanted: set[str]) -> list[ComputeNode]:
+    """The steps that the wanted paths depend on, in order."""
+    wanted, out = set(wanted), []
+    for node in reversed(nodes):
+        if wanted & set(node.outputs.values()):
+            out.append(node)
+            wanted |= set(node.inputs.values())
+    return out[::-1]
+
+
+def short(path: str) -> str:
+    return path.split(".", 1)[1]
+
+
+def _pack(df: DataFrame, axes: tuple[str, ...], name: str) -> DataFrame:
+    """Long to packed: the axes, last innermost, become nested arrays in the order of their index."""
+    df = df.withColumn(VALUE, F.col(VALUE).cast("double"))
+    for axis in reversed(axes):
+        keys = [c for c in df.columns if c not in (axis, VALUE)]
+        df = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, VALUE))), lambda x: x[VALUE]).alias(VALUE))
+    return df.withColumnRenamed(VALUE, name)
+
+
+def unpack(df: DataFrame, column: str, axes: tuple[str, ...]) -> DataFrame:
+    """Packed to long: index columns for the axes and the number in ``column``."""
+    for axis in axes:
+        keep = [c for c in df.columns if c != column]
+        df = df.select(*keep, F.posexplode(column).alias(axis, column))
+    return df
+
+
+def _join(left: DataFrame | None, right: DataFrame) -> DataFrame:
+    """By the dimensions both have; a table without shared ones is small (one row, or ensemble members) and repeated."""
+    if left is None:
+        return right
+    shared = [c for c in right.columns if c in left.columns]
+    return left.join(right, shared) if shared else left.crossJoin(right)
+
+
+@dataclass
+class Plan:
+    """What of a model is live for some exports, and how it is laid out."""
+
+    model: CompiledModel
+    exports: list[str]
+    nodes: list[ComputeNode]
+    core: frozenset[str]
+    keys: tuple[str, ...]
+    static: list[ComputeNode]
+    prepass: list[ComputeNode]
+    recurrent: list[ComputeNode]
+
+    def axes(self, path: str) -> tuple[str, ...]:
+        return tuple(d for d in self.model.dims[path] if d in self.core and d != self.model.time_dim)
+
+    def key_dims(self, path: str) -> list[str]:
+        return [d for d in self.model.dims[path] if d not in self.core and d != self.model.time_dim]
+
+    @property
+    def states(self) -> list[str]:
+        return list(self.model.blueprint.declarations.state)
+
+
+def plan_model(model: CompiledModel, exports: list[str] | None = None) -> Plan:
+    """Live steps, independent keys, and which steps can run before the recurrence."""
+    states = model.blueprint.declarations.state
+    names = list(states) if exports is None else list(exports)
+    known = {short(p) for p in model.dims}
+    if missing := [n for n in names if n not in known]:
+        raise EngineError(f"nothing to export as {', '.join(missing)}")
+    wanted = {f"derived.{n}" for n in names if n not in states}
+    wanted |= {s.source for sources in model.blueprint.tendencies.values() for s in sources}
+    nodes = live_nodes(model.nodes, wanted)
+    core = frozenset(d for n in nodes for d in n.core | n.func.all_core_dims)
+    used = {p for n in nodes for p in n.inputs.values()} | {f"state.{s}" for s in states}
+    keys = canonical_order(d for p in sorted(used) for d in model.dims[p] if d not in core and d != model.time_dim)
+    moving = {f"state.{s}" for s in states}
+    timed = {p for p in model.data if model.dynamic(p)}
+    static, prepass, recurrent = [], [], []
+    for n in nodes:
+        inputs = set(n.inputs.values())
+        wide = any(d in core and d not in n.func.core_dims.get(a, ()) for a, p in n.inputs.items() for d in model.dims[p])
+        if inputs & moving or wide or n.func.name.startswith("phys:"):
+            recurrent.append(n)
+            moving |= set(n.outputs.values())
+        elif inputs & timed:
+            prepass.append(n)
+            timed |= set(n.outputs.values())
+        else:
+            static.append(n)
+    return Plan(model, names, nodes, core, tuple(keys), static, prepass, recurrent)
+
+
+def _call(node: ComputeNode, value: Callable[[str], Column]) -> dict[str, Column]:
+    """Outputs of a step as columns, arguments and outputs by name."""
+    got = node.func.func(**{a: value(p) for a, p in node.inputs.items()})
+    if not node.func.is_multi_output:
+        return {path: got for path in node.outputs.values()}
+    if not isinstance(got, tuple):
+        raise TypeError(f"{node.func.name} must give {len(node.func.outputs)} outputs")
+    if len(got) != len(node.func.outputs):
+        raise ValueError(f"{node.func.name} gave {len(got)} outputs, not {len(node.func.outputs)}")
+    by_name = dict(zip(node.func.outputs, got, strict=True))
+    return {path: by_name[o] for o, path in node.outputs.items()}
+
+
+def _name(path: str) -> str:
+    return path.replace(".", "__")
+
+
+def _static_frame(plan: Plan, paths: set[str]) -> tuple[DataFrame | None, dict[str, float]]:
+    """Static tables joined by shared dimensions, packed; and plain numbers."""
+    out, numbers = None, {}
+    for path in sorted(paths):
+        data = plan.model.data[path]
+        if not isinstance(data, DataFrame):
+            numbers[path] = float(data)
+            continue
+        out = _join(out, _pack(data, plan.axes(path), _name(path)))
+    return out, numbers
+
+
+def aligned(model: CompiledModel, path: str, start: int, end: int) -> DataFrame:
+    """A dynamic table on the steps start to end: t_idx, keys, value. Missing values after alignment are an error at use.
+
+    Values on the run's steps (t_idx) or one per step are taken by position; others are aligned in time.
+    Only the values around the steps are read.
+    """
+    df, grid, time = model.data[path], model.grid, model.time_dim
+    if "t_idx" in df.columns:
+        return df.where((F.col("t_idx") >= start) & (F.col("t_idx") < end))
+    method = model.config.execution.forcing_interpolation
+    df = df.where((F.col(time) >= F.lit(grid.start)) & (F.col(time) <= F.lit(parse_time(model.config.execution.time_end))))
+    if method == "constant" or path.startswith("parameters."):
+        at = (F.unix_micros(time) - F.unix_micros(F.lit(grid.start))) / F.lit(grid.dt_seconds * 1e6)
+        return df.withColumn("t_idx", F.round(at).cast("long")).where((F.col("t_idx") >= start) & (F.col("t_idx") < end)).drop(time)
+    keys = [c for c in df.columns if c not in (time, VALUE)]
+    got = as_of(df, grid.frame(model.spark, start, end).withColumnRenamed("T", time), method, keys, time).drop(time)
+    return got
+
+
+def _drivers(plan: Plan, start: int, end: int) -> tuple[DataFrame | None, list[str]]:
+    """Dynamic inputs and pre-pass results of the recurrent steps and exports: keys, t_idx, columns."""
+    model = plan.model
+    needed = {p for n in plan.recurrent for p in n.inputs.values()} | {f"derived.{e}" for e in plan.exports if f"derived.{e}" in model.dims}
+    timed = {p for p in model.data if model.dynamic(p)}
+    made = {p: n for n in plan.prepass for p in n.outputs.values()}
+    reads = {p for n in plan.prepass for p in n.inputs.values()}
+    sources = sorted((needed | reads) & timed)
+    if not sources:
+        return None, []
+    out = None
+    for path in sources:
+        out = _join(out, _pack(aligned(model, path, start, end), plan.axes(path), _name(path)))
+    fixed = {p for p in reads if p in model.data and not model.dynamic(p)} | {
+        p for n in plan.static for p in n.inputs.values() if p in model.data and set(n.outputs.values()) & reads
+    }
+    still, numbers = _static_frame(plan, fixed)
+    if still is not None:
+        out = _join(out, still)
+    value = lambda p: F.lit(numbers[p]) if p in numbers else F.col(_name(p))
+    for node in [*(n for n in plan.static if set(n.outputs.values()) & reads), *plan.prepass]:
+        out = out.withColumns({_name(p): c for p, c in _call(node, value).items()})
+    columns = sorted(_name(p) for p in (needed & timed) | (needed & set(made)))
+    return out, columns
+
+
+def _rows(plan: Plan, state: DataFrame, start: int, end: int) -> tuple[DataFrame, list[str], dict[str, float]]:
+    """One row per cell: keys, states, static inputs, and ``steps``, the array of each step's dynamic inputs."""
+    model = plan.model
+    needed = {p for n in plan.recurrent for p in n.inputs.values()}
+    made = {p for n in plan.static for p in n.outputs.values()}
+    fixed = {p for p in needed if p in model.data and not model.dynamic(p) and not p.startswith("state.")}
+    fixed |= {p for n in plan.static for p in n.inputs.values() if p in model.data}
+    rows, numbers = state, {}
+    still, numbers = _static_frame(plan, fixed)
+    if still is not None:
+        rows = _join(rows, still)
+    value = lambda p: F.lit(numbers[p]) if p in numbers else F.col(_name(p))
+    for node in plan.static:
+        rows = rows.withColumns({_name(p): c for p, c in _call(node, value).items()})
+    drivers, columns = _drivers(plan, start, end)
+    if drivers is None:
+        steps = F.transform(F.sequence(F.lit(start).cast("long"), F.lit(end - 1).cast("long")), lambda t: F.struct(t.alias("t_idx")))
+        return rows.withColumn("steps", steps), [], numbers
+    keys = [k for k in plan.keys if k in drivers.columns]
+    gathered = drivers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t_idx", *columns))).alias("steps"))
+    rows = _join(rows, gathered)
+    for k in plan.keys:
+        if k not in rows.columns:
+            raise EngineError(f"no table has dimension {k}")
+    del made
+    return rows, columns, numbers
+
+
+def initial_rows(plan: Plan) -> DataFrame:
+    """The initial state, one row per cell."""
+    out = None
+    for s in plan.states:
+        path = f"state.{s}"
+        data = plan.model.data[path]
+        packed = _pack(data, plan.axes(path), _name(path)) if isinstance(data, DataFrame) else plan.model.spark.range(1).select(F.lit(float(data)).alias(_name(path)))
+        out = _join(out, packed)
+    return out
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate once, use many times: a binding inside an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _clamped(x: Column, bounds: tuple[float | None, float | None] | None) -> Column:
+    """Lower bound first, then upper; NaN stays NaN."""
+    low, high = bounds or (None, None)
+    if low is not None:
+        x = F.greatest(F.lit(float(low)), x)
+    if high is not None:
+        x = F.when(F.isnan(x), x).otherwise(F.least(F.lit(float(high)), x))
+    return x
+
+
+def _euler_column(plan: Plan, name: str, value: Callable[[str], Column]) -> Column:
+    """x + dt times the signed sum of its sources, clamped if declared."""
+    path, dt = f"state.{name}", plan.model.grid.dt_seconds
+    x, axes = value(path), plan.axes(path)
+    bounds = plan.model.clamps.get(name)
+    sources = plan.model.blueprint.tendencies.get(name, [])
+    if not sources:
+        return x
+    if not axes:
+        total = None
+        for s in sources:
+            term = value(s.source) if s.sign == 1.0 else F.lit(float(s.sign)) * value(s.source)
+            total = term if total is None else total + term
+        return _clamped(x + F.lit(dt) * total, bounds)
+    total = None
+    for s in sources:
+        if plan.axes(s.source) != axes:
+            raise EngineError(f"{s.source} does not have the axes of {name}: use the kernel strategy")
+        term = F.transform(value(s.source), lambda v, s=s: v * F.lit(float(s.sign))) if s.sign != 1.0 else value(s.source)
+        total = term if total is None else F.zip_with(total, term, lambda a, b: a + b)
+    return F.zip_with(x, total, lambda a, b: _clamped(a + F.lit(dt) * b, bounds))
+
+
+def _kind(depth: int) -> str:
+    return "array<" * depth + "double" + ">" * depth
+
+
+def _fold(plan: Plan, rows: DataFrame, columns: list[str], numbers: dict[str, float]) -> DataFrame:
+    """The recurrence as one ``aggregate`` per row: keys, final states, ``out`` (steps with the exports)."""
+    states = [f"state.{s}" for s in plan.states]
+    produced = {p for n in plan.recurrent for p in n.outputs.values()}
+    exports = [f"state.{e}" if e in plan.states else f"derived.{e}" for e in plan.exports]
+    out_kind = "array<struct<t_idx:bigint," + ",".join(f"{short(p)}:{_kind(len(plan.axes(p)))}" for p in exports) + ">>"
+    start = F.struct(*[F.col(_name(p)).cast(_kind(len(plan.axes(p)))).alias(_name(p)) for p in states], F.array().cast(out_kind).alias("out"))
+
+    def merge(acc: Column, x: Column) -> Column:
+        def value(bound: dict[str, Column]) -> Callable[[str], Column]:
+            def get(p: str) -> Column:
+                if p in bound:
+                    return bound[p]
+                if p in states:
+                    return acc[_name(p)]
+                if p in numbers:
+                    return F.lit(numbers[p])
+                return x[_name(p)] if _name(p) in columns else F.col(_name(p))
+
+            return get
+
+        def run(i: int, bound: dict[str, Column]) -> Column:
+            if i < len(plan.recurrent):
+                got = _call(plan.recurrent[i], value(bound))
+                made = F.struct(*[c.cast(_kind(len(plan.axes(p)))).alias(_name(p)) for p, c in got.items()])
+                return _let(made, lambda b: run(i + 1, bound | {p: b[_name(p)] for p in got}))
+            new = F.struct(*[_euler_column(plan, short(p), value(bound)).cast(_kind(len(plan.axes(p)))).alias(_name(p)) for p in states])
+
+            def emit(n: Column) -> Column:
+                fields = [(n[_name(p)] if p in states else value(bound)(p)).cast(_kind(len(plan.axes(p)))).alias(short(p)) for p in exports]
+                step = F.struct(x["t_idx"].cast("long").alias("t_idx"), *fields)
+                grown = F.concat(acc["out"], F.array(step)).cast(out_kind)
+                return F.struct(*[n[_name(p)].alias(_name(p)) for p in states], grown.alias("out"))
+
+            return _let(new, emit)
+
+        return run(0, {})
+
+    del produced
+    done = rows.select(*plan.keys, F.aggregate("steps", start, merge).alias("run"))
+    return done.select(*plan.keys, *[F.col(f"run.{_name(p)}").alias(_name(p)) for p in states], F.col("run.out").alias("out"))
+
+
+def _spread(x: np.ndarray, axes: tuple[str, ...], extra: tuple[str, ...], core: tuple[str, ...]) -> np.ndarray:
+    """Bring a packed array (rows, *axes) to (rows, *extra, *core), missing axes with length one."""
+    order = [a for a in extra if a in axes] + [a for a in core if a in axes]
+    x = np.transpose(x, (0, *(1 + axes.index(a) for a in order)))
+    for i, a in enumerate((*extra, *core)):
+        if a not in axes:
+            x = np.expand_dims(x, 1 + i)
+    return x
+
+
+def run_step(node: ComputeNode, axes: Callable[[str], tuple[str, ...]], value: Callable[[str], np.ndarray]) -> dict[str, np.ndarray]:
+    """One step in numpy: arguments aligned by the names of their axes, outputs back to canonical order."""
+    if node.func.kernel is None:
+        raise EngineError(f"{node.func.name} has no kernel")
+    extra = canonical_order(a for arg, p in node.inputs.items() for a in axes(p) if a not in node.func.core_dims.get(arg, ()))
+    args = {}
+    for arg, p in node.inputs.items():
+        core = node.func.core_dims.get(arg, ())
+        args[arg] = _spread(value(p), axes(p), extra, core)
+    got = node.func.kernel(**args) if not isinstance(node.func.kernel, np.ufunc) else node.func.kernel(*args.values())
+    outputs = dict(zip(node.func.output_names, got if node.func.is_multi_output else (got,), strict=True))
+    out = {}
+    for o, path in node.outputs.items():
+        x = outputs[o if node.func.is_multi_output else node.func.output_names[0]]
+        have = (*extra, *node.func.dims_of_output(o if node.func.outputs else "return"))
+        out[path] = np.transpose(x, (0, *(1 + have.index(a) for a in axes(path)))) if have else x
+    return out
+
+
+def integrate(plan: Plan, values: dict[str, np.ndarray], steps: Callable[[int], dict[str, np.ndarray]], n: int) -> Iterator[dict[str, np.ndarray]]:
+    """The recurrence in numpy over a batch of rows; gives each step's states after the update and its derived values."""
+    states = {f"state.{s}": values[f"state.{s}"] for s in plan.states}
+    dt, tendencies = plan.model.grid.dt_seconds, plan.model.blueprint.tendencies
+    for t in range(n):
+        now = {**values, **steps(t), **states}
+        for node in plan.recurrent:
+            now |= run_step(node, plan.axes, now.__getitem__)
+        for s in plan.states:
+            path = f"state.{s}"
+            if sources := tendencies.get(s):
+                total = sum(x.sign * _spread(now[x.source], plan.axes(x.source), plan.axes(path), ()) for x in sources)
+                new = states[path] + dt * total
+                low, high = plan.model.clamps.get(s) or (None, None)
+                new = np.maximum(new, low) if low is not None else new
+                states[path] = np.minimum(new, high) if high is not None else new
+        yield {**{p: v for p, v in now.items() if p.startswith("derived.")}, **states}
+
+
+def _stack(cells: list) -> np.ndarray:
+    """A column of numbers or nested arrays as one array with a leading row axis."""
+    def plain(x: Any) -> Any:
+        return [plain(y) for y in x] if isinstance(x, (list, tuple, np.ndarray)) and not (isinstance(x, np.ndarray) and x.dtype != object) else x
+
+    return np.array([plain(x) for x in cells], dtype=np.float64)
+
+
+def _kernel(plan: Plan, rows: DataFrame, columns: list[str], numbers: dict[str, float], batch: int = 256) -> DataFrame:
+    """The recurrence in numpy, by batches of rows; the same result as the fold."""
+    states = [f"state.{s}" for s in plan.states]
+    exports = [f"state.{e}" if e in plan.states else f"derived.{e}" for e in plan.exports]
+    by_name = {_name(p): p for p in plan.model.dims}
+    out_type = T.StructType([T.StructField("t_idx", T.LongType()), *[T.StructField(short(p), _type(len(plan.axes(p)))) for p in exports]])
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType(
+        [T.StructField(k, kinds[k]) for k in plan.keys]
+        + [T.StructField(_name(p), _type(len(plan.axes(p)))) for p in states]
+        + [T.StructField("out", T.ArrayType(out_type))]
+    )
+    bare = Plan(_Bare(plan.model), plan.exports, plan.nodes, plan.core, plan.keys, plan.static, plan.prepass, plan.recurrent)
+    fixed = [c for c in rows.columns if c not in (*plan.keys, "steps")]
+    keys, names = plan.keys, [f.name for f in schema]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), batch):
+                part = frame.iloc[k : k + batch]
+                values = {by_name[c]: _stack(part[c].tolist()) for c in fixed}
+                values |= {p: np.full(len(part), x) for p, x in numbers.items()}
+                stamps = [[s["t_idx"] for s in row] for row in part["steps"]]
+                moving = {by_name[c]: _stack([[s[c] for s in row] for row in part["steps"]]) for c in columns}
+                n, last, kept = len(stamps[0]), None, []
+                for now in integrate(bare, values, lambda t, moving=moving: {p: x[:, t] for p, x in moving.items()}, n):
+                    every = now | {p: x for p, x in moving.items() if p in exports}
+                    kept.append({p: every[p] for p in exports})
+                    last = now
+                rows_out = []
+                for i in range(len(part)):
+                    steps = [
+                        {"t_idx": int(stamps[i][t]), **{short(p): _plain(kept[t][p][i] if p not in moving else moving[p][i, t]) for p in exports}}
+                        for t in range(n)
+                    ]
+                    rows_out.append((*[part[key].iloc[i] for key in keys], *[_plain(last[p][i]) for p in states], steps))
+                yield pd.DataFrame(rows_out, columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+class _Bare:
+    """A model without its session and tables, to send to tasks."""
+
+    def __init__(self, model: CompiledModel):
+        self.blueprint, self.dims, self.grid, self.clamps, self.time_dim = model.blueprint, model.dims, model.grid, model.clamps, model.time_dim
+
+
+def _plain(x: Any) -> Any:
+    return x.tolist() if isinstance(x, np.ndarray) else float(x)
+
+
+def _type(depth: int) -> T.DataType:
+    kind: T.DataType = T.DoubleType()
+    for _ in range(depth):
+        kind = T.ArrayType(kind)
+    return kind
+
+
+@dataclass
+class Result:
+    """``outputs``: keys, t_idx, T and the exports, a row per cell and step, values after the step under the
+    time at its start; core dimensions are arrays. ``final``: keys and states, a row per cell."""
+
+    plan: Plan
+    outputs: DataFrame
+    final: DataFrame
+
+    def long(self, variable: str) -> DataFrame:
+        """One export with its core dimensions as columns."""
+        path = f"state.{variable}" if variable in self.plan.states else f"derived.{variable}"
+        keep = [*self.plan.keys, "t_idx", "T", variable]
+        return unpack(self.outputs.select(*keep), variable, self.plan.axes(path))
+
+    def state(self) -> dict[str, DataFrame]:
+        """The final state as tables to start another run from."""
+        out = {}
+        for s in self.plan.states:
+            path = f"state.{s}"
+            keep = [k for k in self.plan.keys if k in self.plan.model.dims[path]]
+            out[s] = unpack(self.final.select(*keep, F.col(_name(path)).alias(VALUE)).distinct(), VALUE, self.plan.axes(path))
+        return out
+
+
+def simulate(
+    model: CompiledModel,
+    chunk_size: int | None = None,
+    export_variables: list[str] | None = None,
+    strategy: str = "auto",
+    writer: Any = None,
+) -> Result:
+    """Run a model. ``strategy``: fold, kernel, or auto (fold for short runs whose steps all have column forms).
+
+    Without ``chunk_size`` the result is lazy. With it, each chunk is written to the shared folder (and
+    given to ``writer.append``) and its last state starts the next one; results do not depend on it.
+    """
+    plan = plan_model(model, export_variables)
+    n = model.grid.n_timesteps
+    if strategy == "auto":
+        per = min(n, chunk_size or n)
+        grids = any(len(plan.axes(p)) > 1 for p in model.dims) or any(
+            a not in x.func.core_dims.get(arg, ()) for x in plan.recurrent for arg, p in x.inputs.items() for a in plan.axes(p)
+        )
+        strategy = "kernel" if grids or per > FOLD_STEPS else "fold"
+    if strategy not in ("fold", "kernel"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    run = _fold if strategy == "fold" else _kernel
+    ranges = chunk_ranges(n, chunk_size)
+    state, parts, final = initial_rows(plan), [], None
+    for start, end in ranges:
+        done = run(plan, *_rows(plan, state, start, end))
+        if chunk_size is not None:
+            done = written(done, "chunk")
+        outputs = _outputs(plan, done)
+        if writer is not None:
+            writer.append(outputs)
+        parts.append(outputs)
+        final = done.drop("out")
+        state = final
+    outputs = parts[0]
+    for p in parts[1:]:
+        outputs = outputs.unionByName(p)
+    return Result(plan, outputs, final)
+
+
+def _outputs(plan: Plan, done: DataFrame) -> DataFrame:
+    grid = plan.model.grid
+    rows = done.select(*plan.keys, F.explode("out").alias("o")).select(*plan.keys, "o.*")
+    return rows.select(*plan.keys, "t_idx", time_of("t_idx", grid.start, grid.dt_seconds).alias("T"), *plan.exports)

@@ -1,0 +1,38 @@
+"""Declarations from YAML and JSON files."""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+from typing import Any
+
+import yaml
+
+
+def load_yaml(path: str | Path) -> dict[str, Any]:
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if data is None:
+        return {}
+    if not isinstance(data, dict):
+        raise ValueError(f"{path}: the root must be a mapping")
+    return data
+
+
+def load_json(path: str | Path) -> dict[str, Any]:
+    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(data, dict):
+        raise ValueError(f"{path}: the root must be a mapping")
+    return data
+
+
+def load_file(path: str | Path) -> dict[str, Any]:
+    """By suffix; YAML is tried for any other."""
+    suffix = Path(path).suffix.lower()
+    if suffix == ".json":
+        return load_json(path)
+    if suffix in (".yaml", ".yml"):
+        return load_yaml(path)
+    try:
+        return load_yaml(path)
+    except yaml.YAMLError as error:
+        raise ValueError(f"{path}: neither YAML nor JSON") from error

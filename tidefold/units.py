@@ -1,0 +1,118 @@
+"""Unit algebra: names with exponents, compared by canonical name, never converted."""
+
+from __future__ import annotations
+
+import re
+
+from .errors import UnitError
+
+#: Accepted spellings of each unit and its base dimensions.
+UNITS: dict[str, tuple[tuple[str, ...], dict[str, int]]] = {
+    "meter": (("m", "metre", "meters", "metres"), {"length": 1}),
+    "kilometer": (("km", "kilometre", "kilometers"), {"length": 1}),
+    "centimeter": (("cm",), {"length": 1}),
+    "millimeter": (("mm",), {"length": 1}),
+    "gram": (("g", "grams"), {"mass": 1}),
+    "kilogram": (("kg", "kilograms"), {"mass": 1}),
+    "milligram": (("mg",), {"mass": 1}),
+    "tonne": (("t", "metric_ton"), {"mass": 1}),
+    "second": (("s", "sec", "seconds"), {"time": 1}),
+    "minute": (("min", "minutes"), {"time": 1}),
+    "hour": (("h", "hr", "hours"), {"time": 1}),
+    "day": (("d", "days"), {"time": 1}),
+    "week": (("weeks",), {"time": 1}),
+    "year": (("a", "yr", "years"), {"time": 1}),
+    "degree_Celsius": (("degC", "celsius"), {"temperature": 1}),
+    "delta_degree_Celsius": (("delta_degC",), {"temperature": 1}),
+    "kelvin": (("K",), {"temperature": 1}),
+    "degree": (("degrees", "deg"), {}),
+    "radian": (("rad", "radians"), {}),
+    "newton": (("N", "newtons"), {"mass": 1, "length": 1, "time": -2}),
+    "joule": (("J",), {"mass": 1, "length": 2, "time": -2}),
+    "watt": (("W",), {"mass": 1, "length": 2, "time": -3}),
+    "mole": (("mol",), {"substance": 1}),
+    "dimensionless": (("", "1", "none"), {}),
+    "percent": (("%",), {}),
+}
+SECONDS = {"second": 1.0, "minute": 60.0, "hour": 3600.0, "day": 86400.0, "week": 604800.0, "year": 31557600.0}
+_NAMES = {alias: name for name, (aliases, _) in UNITS.items() for alias in (name, *aliases)}
+_TOKEN = re.compile(r"\s*(?:(\*\*|\^)\s*([+-]?\d+)|([A-Za-z_%][A-Za-z_0-9]*)|(\d+(?:\.\d+)?)|([*/()]))")
+
+Unit = tuple[tuple[str, int], ...]
+
+
+def canonical_name(name: str) -> str:
+    if name not in _NAMES:
+        raise UnitError(f"unknown unit {name!r}")
+    return _NAMES[name]
+
+
+def parse_unit(text: str | None) -> Unit:
+    """A unit as sorted (name, exponent) pairs; nothing is dimensionless."""
+    text = (text or "").strip()
+    tokens, at = [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise UnitError(f"cannot read unit {text!r}")
+        tokens.append(m)
+        at = m.end()
+    place = 0
+
+    def term() -> dict[str, int]:
+        nonlocal place
+        if place >= len(tokens):
+            raise UnitError(f"unit {text!r} ends early")
+        m = tokens[place]
+        place += 1
+        if m[5] == "(":
+            out = expression()
+            if place >= len(tokens) or tokens[place][5] != ")":
+                raise UnitError(f"unit {text!r} has an open bracket")
+            place += 1
+        elif m[3]:
+            name = canonical_name(m[3])
+            out = {} if name == "dimensionless" else {name: 1}
+        elif m[4] and float(m[4]) == 1:
+            out = {}
+        else:
+            raise UnitError(f"cannot read unit {text!r}")
+        if place < len(tokens) and tokens[place][1]:
+            power = int(tokens[place][2])
+            place += 1
+            out = {n: e * power for n, e in out.items()}
+        return out
+
+    def expression() -> dict[str, int]:
+        nonlocal place
+        out = term()
+        while place < len(tokens) and tokens[place][5] != ")":
+            sign = 1
+            if tokens[place][5] in ("*", "/"):
+                sign = -1 if tokens[place][5] == "/" else 1
+                place += 1
+            for n, e in term().items():
+                out[n] = out.get(n, 0) + sign * e
+        return out
+
+    found = expression() if tokens else {}
+    if place < len(tokens):
+        raise UnitError(f"cannot read unit {text!r}")
+    return tuple(sorted((n, e) for n, e in found.items() if e))
+
+
+def same_unit(a: str | None, b: str | None) -> bool:
+    """Identical canonical units; compatible ones such as m/s and km/s differ."""
+    return parse_unit(a) == parse_unit(b)
+
+
+def dimensionality(text: str | None) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for name, power in parse_unit(text):
+        for d, e in UNITS[name][1].items():
+            out[d] = out.get(d, 0) + e * power
+    return {d: e for d, e in out.items() if e}
+
+
+def has_time(text: str | None) -> bool:
+    return "time" in dimensionality(text)
