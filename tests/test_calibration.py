@@ -1,0 +1,63 @@
+"""Parameter vectors, priors, optimisers on functions with known minima."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from tidefold.optim import optimizers as opt
+from tidefold.optim import parameters as par
+
+BOUNDS = {"x": (-5.0, 5.0), "y": (-5.0, 5.0)}
+
+
+def bowl(members):
+    return np.array([(m["x"] - 1) ** 2 + (m["y"] - 2) ** 2 for m in members])
+
+
+def test_flatten():
+    params = {"b": np.array([1.0, 2.0]), "a": 3.0, "c": np.ones((2, 2))}
+    vector, shapes = par.flatten(params)
+    assert vector[0] == 3.0 and list(shapes) == ["a", "b", "c"]
+    back = par.unflatten(vector, shapes)
+    assert back["a"] == 3.0 and np.array_equal(back["c"], params["c"])
+    with pytest.raises(ValueError):
+        par.bounds_arrays({"x": ()}, {"x": (1, 1)})
+
+
+@pytest.mark.parametrize("prior", [par.Uniform(1, 2), par.Normal(0, 1), par.LogNormal(0, 0.5), par.HalfNormal(2), par.TruncatedNormal(0, 1, -1, 2)])
+def test_priors(prior):
+    x = prior.sample(np.random.default_rng(0), (500,))
+    low, high = prior.bounds()
+    assert x.shape == (500,) and ((x >= low) & (x <= high)).mean() > 0.97
+
+
+def test_optimizers():
+    start = {"x": -4.0, "y": -4.0}
+    for found in (
+        opt.CMAES(BOUNDS, start, popsize=15, seed=1).run(bowl, 60),
+        opt.GA(BOUNDS, start, seed=1).run(bowl, 80),
+        opt.GradientOptimizer(start, BOUNDS, learning_rate=0.05, scaling="bounds").run(bowl, 300),
+        opt.ipop_cmaes(bowl, BOUNDS, start, n_restarts=2, initial_popsize=8, n_generations=40).best,
+        opt.multistart_gradient(bowl, BOUNDS, {"x": (), "y": ()}, n_starts=3, learning_rate=0.05, max_steps=200).best,
+    ):
+        assert abs(found.params["x"] - 1) < 0.5 and abs(found.params["y"] - 2) < 0.5
+    assert opt.CMAES(BOUNDS, start, popsize=15).popsize == 16
+    a, b = (opt.CMAES(BOUNDS, start, seed=3).run(bowl, 5).loss for _ in range(2))
+    assert a == b
+
+
+def test_penalty_and_errors():
+    step = opt.GA(BOUNDS, {"x": 0.0, "y": 0.0}).step(lambda m: np.full(len(m), np.nan))
+    assert step.best_loss == 1e6
+    with pytest.raises(ValueError):
+        opt.GradientOptimizer({"x": 0.0}, algorithm="none")
+    with pytest.raises(ValueError):
+        opt.GradientOptimizer({"x": 0.0}, scaling="bounds")
+
+
+def test_hall_of_fame():
+    hall = par.HallOfFame(2, 0.1, BOUNDS)
+    hall.update_population([{"x": 0.0, "y": 0.0}, {"x": 0.01, "y": 0.0}, {"x": 4.0, "y": 4.0}, {"x": -4.0, "y": 0.0}], np.array([1.0, 0.5, 2.0, np.nan]))
+    assert [m[1] for m in hall.members] == [0.5, 2.0]
+    assert not hall.update({"x": 1.0, "y": 1.0}, 3.0)

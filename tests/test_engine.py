@@ -1,0 +1,193 @@
+"""Alignment, runs, transport, writers."""
+
+from __future__ import annotations
+
+import itertools
+from datetime import datetime
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidefold import errors
+from tidefold.functions import biology, transport
+from tidefold.operators import align, sinks
+from tidefold.plans.engine import compile_model, simulate
+from tidefold.plans.models import load_model
+from tidefold.plans.spec import Blueprint, Config
+
+DAY = 86400.0
+
+
+def series(spark, pairs):
+    return spark.createDataFrame([(datetime(2000, 1, d), float(v)) for d, v in pairs], "T timestamp, value double")
+
+
+def at(spark, source, targets, method):
+    t = spark.createDataFrame([(x,) for x in targets], "T timestamp")
+    return [r.value for r in align.as_of(source, t, method).orderBy("T").collect()]
+
+
+def test_alignment(spark):
+    days = [datetime(2000, 1, d) for d in range(1, 5)]
+    assert at(spark, series(spark, [(1, 0), (5, 10)]), days, "linear") == [0, 2.5, 5, 7.5]
+    hours = [datetime(2000, 1, 1, h) for h in (0, 8, 16)] + [datetime(2000, 1, 2)]
+    two = series(spark, [(1, 10), (2, 20)])
+    assert at(spark, two, hours, "nearest") == [10, 10, 20, 20]
+    assert at(spark, two, hours, "ffill") == [10, 10, 10, 20]
+    assert at(spark, two, [datetime(2000, 1, 1, 12)], "nearest") == [20]
+    assert at(spark, two, [datetime(2000, 1, 3), datetime(1999, 12, 31)], "linear") == [0, 30]
+    assert at(spark, two, [datetime(1999, 12, 31)], "ffill") == [None]
+
+
+def test_nearest_index(spark):
+    coords = spark.createDataFrame([(i, 40.0 + i) for i in range(5)], "idx int, value double")
+    points = spark.createDataFrame([(42.3,), (40.0,), (44.9,), (41.5,), (-9.0,)], "Y double")
+    got = {r.Y: r.Y_idx for r in align.nearest_index(points, coords, "Y").collect()}
+    assert got == {42.3: 2, 40.0: 0, 44.9: 4, 41.5: 2, -9.0: 0}
+    with pytest.raises(KeyError):
+        align.coords_to_indices(points, {"Y": coords}, ["Y"], tolerance=0.01)
+    with pytest.raises(ValueError, match="no coordinate"):
+        align.coords_to_indices(points, {"Y": coords}, ["X"])
+
+
+def lotka(spark, **execution):
+    cells = spark.createDataFrame([(y, x, 20.0 + 5 * y + x) for y in range(2) for x in range(2)], "Y int, X int, value double")
+    par = {"alpha": 0.04 / DAY, "beta": 0.005 / DAY, "delta": 0.5, "gamma": 0.1 / DAY}
+    state = {"prey": cells, "predator": cells.withColumn("value", F.lit(7.0))}
+    run = {"time_start": "2000-01-01", "time_end": "2000-02-01", "dt": "1d"} | execution
+    return Config(parameters=par, initial_state=state, execution=run)
+
+
+def table(result, *columns):
+    return result.outputs.orderBy("Y", "X", "t_idx").select(*columns).toPandas().to_numpy()
+
+
+def test_strategies_agree(spark):
+    model = compile_model(spark, load_model("lotka_volterra"), lotka(spark))
+    fold = table(simulate(model, strategy="fold"), "prey", "predator")
+    assert fold.shape == (124, 2)
+    assert np.array_equal(fold, table(simulate(model, strategy="kernel"), "prey", "predator"))
+    assert np.array_equal(fold, table(simulate(model, chunk_size=10), "prey", "predator"))
+    n, p = 20.0, 7.0
+    for step in range(31):
+        n, p = n + 0.04 * n - 0.005 * n * p, p + 0.5 * 0.005 * n * p - 0.1 * p
+        assert fold[step] == pytest.approx([n, p], rel=1e-12)
+    again = simulate(model, chunk_size=31).state()
+    assert again["prey"].count() == 4
+
+
+def test_exports(spark):
+    model = compile_model(spark, load_model("lotka_volterra"), lotka(spark))
+    out = simulate(model, export_variables=["prey_loss"]).outputs
+    assert out.columns == ["Y", "X", "t_idx", "T", "prey_loss"]
+    with pytest.raises(errors.EngineError, match="E300"):
+        simulate(model, export_variables=["none"])
+
+
+def test_bad_data(spark):
+    good = lotka(spark)
+    blueprint = load_model("lotka_volterra")
+    holes = good.initial_state["prey"].withColumn("value", F.when(F.col("X") == 0, float("nan")).otherwise(1.0))
+    with pytest.raises(ValueError, match="NaN"):
+        compile_model(spark, blueprint, good.model_copy(update={"initial_state": good.initial_state | {"prey": holes}}))
+    with pytest.raises(errors.ConfigValidationError, match="E106"):
+        compile_model(spark, blueprint, good.model_copy(update={"parameters": {}}))
+    with pytest.raises(errors.ConfigValidationError, match="E103"):
+        compile_model(spark, blueprint, good.model_copy(update={"initial_state": good.initial_state | {"prey": 1.0}}))
+    wide = good.initial_state["prey"].union(spark.createDataFrame([(5, 0, 1.0)], "Y int, X int, value double"))
+    with pytest.raises(errors.GridAlignmentError, match="E202"):
+        compile_model(spark, blueprint, good.model_copy(update={"initial_state": good.initial_state | {"prey": wide}}))
+
+
+def test_coverage(spark):
+    blueprint = Blueprint.from_dict(
+        {
+            "id": "f",
+            "declarations": {"state": {"b": {"dims": []}}, "forcings": {"food": {"dims": ["T"]}}},
+            "process": [{"func": "cart:velocity", "inputs": {"rate": "forcings.food"}, "outputs": {"return": "derived.g"}}],
+            "tendencies": {"b": [{"source": "derived.g"}]},
+        }
+    )
+    run = {"time_start": "2000-01-01", "time_end": "2000-01-10", "dt": "1d", "forcing_interpolation": "linear"}
+    late = series(spark, [(5, 1), (14, 1)])
+    with pytest.raises(errors.ConfigValidationError, match="does not cover"):
+        compile_model(spark, blueprint, Config(forcings={"food": late}, initial_state={"b": 1.0}, execution=run))
+    model = compile_model(spark, blueprint, Config(forcings={"food": series(spark, [(1, 0), (10, 9)])}, initial_state={"b": 0.0}, execution=run))
+    got = [r.b for r in simulate(model).outputs.orderBy("t_idx").collect()]
+    assert got == pytest.approx([DAY * sum(range(t + 1)) for t in range(9)])
+
+
+def grids(ny=5, nx=5):
+    rng = np.random.default_rng(1)
+    one = np.ones((ny, nx))
+    mask = one.copy()
+    mask[1, 2] = 0
+    return {
+        "c": rng.uniform(0, 10, (ny, nx)) * mask, "u": rng.normal(0, 0.2, (ny, nx)), "v": rng.normal(0, 0.2, (ny, nx)), "dx": 1000 * one, "dy": 1000 * one,
+        "face_height": 1000 * one, "face_width": 1000 * one, "cell_area": 1e6 * one, "mask": mask,
+    }
+
+
+@pytest.mark.parametrize("bc", [{"east": 0, "west": 0, "north": 0, "south": 0}, {"east": 2, "west": 2, "north": 1, "south": 0}])
+def test_transport_forms_agree(spark, bc):
+    g = grids()
+    args = {("state" if k == "c" else k): v[None] for k, v in g.items()}
+    adv, dif = transport.transport_tendency._functional_metadata.kernel(**args, D=50.0, **{f"bc_{s}": b for s, b in bc.items()})
+    rows = [(y, x, *[float(g[f][y, x]) for f in transport.FIELDS]) for y, x in itertools.product(range(5), range(5))]
+    cells = spark.createDataFrame(rows, "Y int, X int, " + ", ".join(f"{f} double" for f in transport.FIELDS))
+    for got in (transport.tendency_by_window(cells, 50.0, bc, 5, 5), transport.tendency_by_tiles(cells, 50.0, bc, 5, 5, tile=2)):
+        got = got.orderBy("Y", "X").toPandas()
+        assert np.allclose(got["advection_rate"].to_numpy().reshape(5, 5), adv[0], atol=1e-12)
+        assert np.allclose(got["diffusion_rate"].to_numpy().reshape(5, 5), dif[0], atol=1e-12)
+    if not any(bc.values()):
+        assert abs((adv + dif).sum()) < 1e-9
+    assert adv[0][1, 2] == 0
+
+
+def test_cohort_laws():
+    rng = np.random.default_rng(0)
+    p, ages = rng.uniform(0, 5, (3, 5)), np.arange(5) * DAY
+    age = np.array([1e9, 2 * DAY, 0.0])
+    flow = biology.aging_flow._functional_metadata.kernel(p, ages, age)
+    loss, gain = biology.recruitment_flow._functional_metadata.kernel(p, ages, age)
+    assert np.allclose(flow.sum(axis=1), 0) and np.allclose(-loss.sum(axis=1), gain)
+
+
+def test_full_model_runs(spark):
+    def grid(dims, shape, f):
+        cells = [(*map(int, i), float(f(*i))) for i in itertools.product(*map(range, shape))]
+        return spark.createDataFrame(cells, ", ".join(f"{d} int" for d in dims) + ", value double")
+
+    size = {"F": 2, "C": 3, "Z": 2, "Y": 3, "X": 3, "t_idx": 4}
+    g = lambda dims, f: grid(dims, [size[d] for d in dims], f)
+    par = {n: g(["F"], lambda i, v=v: v) for n, v in {"lambda_0": 1 / 150 / DAY, "gamma_lambda": 0.15, "tau_r_0": 10 * DAY, "gamma_tau_r": 0.11, "efficiency": 0.2}.items()}
+    par |= {"t_ref": 0.0, "cohort_ages": g(["C"], lambda i: i * DAY), "day_layer": g(["F"], lambda i: i), "night_layer": g(["F"], lambda i: 0)}
+    yx = ["Y", "X"]
+    forcings = {
+        "latitude": g(["Y"], lambda y: 10.0 * y), "temperature": g(["t_idx", "Z", *yx], lambda t, z, y, x: 15 - z), "day_of_year": g(["t_idx"], lambda t: t + 1),
+        "primary_production": g(["t_idx", *yx], lambda t, y, x: 1 / DAY), "u": g(["t_idx", "Z", *yx], lambda t, z, y, x: 0.1), "v": g(["t_idx", "Z", *yx], lambda t, z, y, x: 0.0),
+        "D": 10.0, "cell_area": g(yx, lambda y, x: 1e10), "mask": g(yx, lambda y, x: 1.0), **{n: g(yx, lambda y, x: 1e5) for n in ("dx", "dy", "face_height", "face_width")},
+        **{f"bc_{s}": 0.0 for s in ("north", "south", "east", "west")},
+    }
+    state = {"biomass": g(["F", *yx], lambda f, y, x: 1.0 + x), "production": g(["F", "C", *yx], lambda f, c, y, x: 0.1)}
+    run = {"time_start": "2000-01-01", "time_end": "2000-01-05", "dt": "1d"}
+    model = compile_model(spark, load_model("lmtl"), Config(parameters=par, forcings=forcings, initial_state=state, execution=run))
+    result = simulate(model, chunk_size=2)
+    assert result.plan.keys == ("F",)
+    assert result.long("biomass").count() == 2 * 4 * 9
+    assert result.long("production").where("value is null").count() == 0 if "value" in result.long("production").columns else True
+    assert result.long("biomass").where("biomass < 0 or isnan(biomass)").isEmpty()
+
+
+def test_writers(spark, tmp_path):
+    chunk = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "X int, t_idx int, b double")
+    for writer in (sinks.build_writer(spark, ["b"]), sinks.build_writer(spark, ["b"], str(tmp_path / "out"))):
+        with writer:
+            writer.append(chunk)
+            writer.append(chunk.withColumn("t_idx", F.col("t_idx") + 400))
+            assert writer.finalize().count() == 4
+            with pytest.raises(errors.EngineIOError, match="E304"):
+                writer.append(chunk.drop("b"))
+    with pytest.raises(errors.EngineIOError):
+        sinks.MemoryWriter().append(chunk)

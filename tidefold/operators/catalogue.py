@@ -180,11 +180,11 @@ def nearest_coord_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sparse_obs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = event_grid(spark, sf_dir).start
-    model = daily(spark, sf_dir).withColumn("t", F.datediff("T", F.lit(start)))
-    days = model.select(F.col("t").alias("idx"), F.col("T").alias("value")).distinct()
+    model = daily(spark, sf_dir).withColumn("step", F.datediff("T", F.lit(start)))
+    days = model.select(F.col("step").alias("idx"), F.col("T").alias("value")).distinct()
     obs = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("T"), "event_type", F.col("value").alias("obs"))
     found = align.nearest_index(obs, days, "T")
-    hits = model.select(F.col("t").alias("T_idx"), "event_type", F.col("value").alias("pred"))
+    hits = model.select(F.col("step").alias("T_idx"), "event_type", F.col("value").alias("pred"))
     return found.join(hits, ["T_idx", "event_type"], "left").select("event_id", r6(F.col("obs"), "obs"), r6(F.col("pred"), "pred"))
 
 

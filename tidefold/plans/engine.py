@@ -227,6 +227,7 @@ def _drivers(plan: Plan, start: int, end: int) -> tuple[DataFrame | None, list[s
     """Dynamic inputs and pre-pass results of the recurrent steps and exports: keys, t_idx, columns."""
     model = plan.model
     needed = {p for n in plan.recurrent for p in n.inputs.values()} | {f"derived.{e}" for e in plan.exports if f"derived.{e}" in model.dims}
+    needed |= {s.source for sources in model.blueprint.tendencies.values() for s in sources}
     timed = {p for p in model.data if model.dynamic(p)}
     made = {p: n for n in plan.prepass for p in n.outputs.values()}
     reads = {p for n in plan.prepass for p in n.inputs.values()}
