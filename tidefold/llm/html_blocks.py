@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 300
 PATH, WORDS, PLAIN = 64, 16, 6
 HIDDEN = 16
+ENRICHED = 400
 EPOCHS = 20
 
 _TOKEN = re.compile(
@@ -145,10 +146,11 @@ def _path_vector(path: str) -> np.ndarray:
         above = ""
         for step in path.split("/"):
             tag, *names = step.split()[:9] or [""]
-            kinds = ["!main"] * (tag in MAIN) + ["!apart"] * (tag in APART) + ["!noise"] * any(NOISE.search(n) for n in names)
-            for mark in (tag, f"{above}>{tag}", *(f".{n}" for n in names), *kinds):
+            # What HTML or a name says outright has places of its own, free of collisions.
+            v[:3] += (tag in MAIN, tag in APART, any(NOISE.search(n) for n in names))
+            for mark in (tag, f"{above}>{tag}", *(f".{n}" for n in names)):
                 h = zlib.crc32(mark.encode())
-                v[h % PATH] += 1.0 if h & 0x10000 else -1.0
+                v[3 + h % (PATH - 3)] += 1.0 if h & 0x10000 else -1.0
             above = tag
         _paths[path] = v
     return v
@@ -240,12 +242,16 @@ class BiLSTM:
         return g
 
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.02) -> BiLSTM:
-        """Adam on batches of pages of similar length."""
+        """Adam on batches of pages of similar length, until three epochs began without an error."""
         first = {n: np.zeros_like(v) for n, v in self.p.items()}
         second = {n: np.zeros_like(v) for n, v in self.p.items()}
         batches = [(_padded([pages[i] for i in b]), _padded([labels[i][:, None] for i in b])[0][:, :, 0]) for b in batched([len(p) for p in pages], 32, 1 << 13)]
-        step = 0
+        step = sure = 0
         for _ in range(epochs):
+            if step and all(((self.score(x, there) >= 0.5) == y)[there].all() for (x, there), y in batches):
+                sure += 1
+                if sure == 3:
+                    break
             for (x, there), y in batches:
                 step += 1
                 for n, g in self.gradient(x, there, y).items():
@@ -278,20 +284,22 @@ def _padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Boilerplate that training pages get besides their own, so that the network meets kinds they lack.
 EXTRA = tuple(
-    [f"{t}/p" for t in ("nav", "header", "footer", "aside", "form", "menu", "dialog")]
+    [f"{t}{e}" for t in ("nav", "header", "footer", "aside", "form", "menu", "dialog") for e in ("", "/p", "/ul/li", "/div")]
     + [f"div {n}/{t}" for n in ("ad", "advert", "sponsored", "cookie-notice", "notice", "banner", "popup", "sidebar", "menu", "comments",
-                                "comment-list", "replies", "share", "related", "newsletter", "breadcrumb", "login", "promo") for t in ("p", "ul/li", "div")]
+                                "comment-list", "replies", "share", "related", "newsletter", "breadcrumb", "login", "promo") for t in ("p", "ul/li", "div", "h3")]
     + ["section comments/article comment/p", "ul menu/li", "form search/div", "div cookie"]
 )
 
 
 def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[list[tuple[str, str, int]]]:
-    """Each page again with boilerplate put in at random places, under the body or inside the main text."""
+    """Pages again, each at least once and ``ENRICHED`` in all, with boilerplate put in under the body or inside the main text."""
     rng = np.random.default_rng(seed)
     texts = [b[1] for p in pages for b in p]
     out = list(pages)
-    for page in pages:
-        page = list(page)
+    for i in range(max(len(pages), ENRICHED if pages else 0)):
+        page = list(pages[i % len(pages)])
+        if rng.random() < 0.3:
+            page = [(re.sub(r"\barticle\b", "main", path), text, linked) for path, text, linked in page]
         for _ in range(int(rng.integers(1, 6))):
             at = int(rng.integers(0, len(page) + 1))
             near = page[min(at, len(page) - 1)][0].rpartition("/")[0]
@@ -299,6 +307,7 @@ def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[lis
             path = f"{near}/{path}" if near and rng.random() < 0.6 else f"html/body/{path}"
             for _ in range(int(rng.integers(1, 4))):
                 text = texts[int(rng.integers(len(texts)))]
+                text = " ".join(text.split(" ")[: int(rng.integers(1, 5))]) if rng.random() < 0.4 else text
                 page.insert(at, (path, text, int(rng.choice([0, len(text)]))))
         out.append(page)
     return out
