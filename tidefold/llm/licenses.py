@@ -138,13 +138,13 @@ split as (
       lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') as sentences
   from documents),
 each as (
-  select u.r, u.at, coalesce(k.id, '<.>') as id
-  from (select r, unnest(sentences) as s, generate_subscripts(sentences, 1) as at from split) u
+  select u.r, u.pos, coalesce(k.id, '<.>') as id
+  from (select r, unnest(sentences) as s, generate_subscripts(sentences, 1) as pos from split) u
   left join known k on k.s = u.s),
 s0 as (
   select split.r, any_value(doc_id) as doc_id, any_value(len(sentences))::bigint as n_sentences,
     count(*) filter (where id <> '<.>')::bigint as n_known,
-    coalesce(string_agg(id, '' order by at), '') as seq, '' as licences
+    coalesce(string_agg(id, '' order by pos), '') as seq, '' as licences
   from split left join each on each.r = split.r group by split.r)"""
     for n, (name, ids) in enumerate(RULES):
         p = _pattern(ids)
