@@ -61,3 +61,12 @@ def test_hall_of_fame():
     hall.update_population([{"x": 0.0, "y": 0.0}, {"x": 0.01, "y": 0.0}, {"x": 4.0, "y": 4.0}, {"x": -4.0, "y": 0.0}], np.array([1.0, 0.5, 2.0, np.nan]))
     assert [m[1] for m in hall.members] == [0.5, 2.0]
     assert not hall.update({"x": 1.0, "y": 1.0}, 3.0)
+
+
+def test_sites(spark, sf):
+    from tidefold.operators import catalogue
+
+    got = catalogue.calibration_sites(spark, sf).toPandas()
+    assert len(got) == 25
+    rates = got["rate"] * 86400
+    assert (abs(rates - 0.05) < 0.01).mean() > 0.8 and (got["loss"] < 0.01).all()

@@ -648,6 +648,17 @@ def calibration_cmaes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(as_rows(result), "loss double, n_iterations int, capacity double, rate double")
 
 
+@query()
+def calibration_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and capacity fitted at every nation apart, to a run disturbed by the events; one job for all sites and generations."""
+    from ..optim.sites import calibrate_sites
+
+    model = growth_model(spark, sf_dir)
+    noise = daily(spark, sf_dir).groupBy("T").agg((F.avg("value") / 1000).alias("e")).select((F.dayofyear("T") - 1).cast("long").alias("t_idx"), "e")
+    obs = simulate(model).outputs.join(noise, "t_idx").select("Y", "X", "t_idx", (F.col("biomass") + F.col("e")).alias("obs"))
+    return calibrate_sites(model, obs, "biomass", {"rate": (0.01 / DAY, 0.2 / DAY), "capacity": (50.0, 400.0)}, {"rate": 0.1 / DAY, "capacity": 100.0})
+
+
 @query("select count(*) as n_events, round(sum(value), 4) as total from events")
 def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stateful stream over the events, state carried between micro-batches, summed at the end."""

@@ -1,0 +1,75 @@
+"""Calibration of many independent sites: each row of a model is fitted inside a task.
+
+A site is one combination of the model's independent keys. Its forcings, state and observations travel
+together in one row; the whole optimisation, a population at a time in numpy, runs where the row is.
+One Spark job fits all sites, however many generations they take.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..errors import EngineError
+from ..plans.engine import CompiledModel, Plan, _Bare, _name, _rows, _stack, initial_rows, integrate, plan_model
+from .optimizers import CMAES, GA
+from .parameters import Bounds, Params
+
+OPTIMIZERS = {"cmaes": CMAES, "ga": GA}
+
+
+def calibrate_sites(
+    model: CompiledModel, observations: DataFrame, target: str, bounds: Bounds, initial: Params, optimizer: str = "cmaes",
+    popsize: int = 32, max_generations: int = 60, patience: int = 20, seed: int = 0,
+) -> DataFrame:
+    """Fit scalar parameters at every site to its ``observations`` (keys, t_idx, obs) of a scalar state, by mean square error.
+
+    Returns keys, the parameters, loss and n_iterations. Sites without observations are left out;
+    missing observations are ignored. Each site is seeded alike, so results do not depend on the layout.
+    """
+    vary = frozenset(f"parameters.{n}" for n in bounds)
+    plan = plan_model(model, [target], vary)
+    path = f"state.{target}"
+    if plan.axes(path):
+        raise EngineError(f"{target} has core dimensions at a site")
+    rows, columns, numbers = _rows(plan, initial_rows(plan), 0, model.grid.n_timesteps)
+    seen = observations.where("obs is not null and not isnan(obs)").groupBy(*plan.keys).agg(F.array_sort(F.collect_list(F.struct("t_idx", "obs"))).alias("seen"))
+    rows = rows.join(seen, list(plan.keys))
+    names = sorted(bounds)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType(
+        [T.StructField(k, kinds[k]) for k in plan.keys] + [T.StructField(n, T.DoubleType()) for n in [*names, "loss"]] + [T.StructField("n_iterations", T.IntegerType())]
+    )
+    bare = Plan(_Bare(model), plan.exports, plan.nodes, plan.core, plan.keys, plan.static, plan.prepass, plan.recurrent, vary)
+    by_name = {_name(p): p for p in model.dims}
+    fixed = [c for c in rows.columns if c not in (*plan.keys, "steps", "seen")]
+    keys, steps_n = plan.keys, model.grid.n_timesteps
+
+    def fit(row: tuple) -> tuple:
+        values = {by_name[c]: _stack([getattr(row, c)]) for c in fixed} | {p: np.full(1, x) for p, x in numbers.items()}
+        moving = {by_name[c]: _stack([s[c] for s in row.steps]) for c in columns}
+        when = np.array([s["t_idx"] for s in row.seen])
+        obs = np.array([s["obs"] for s in row.seen])
+
+        def evaluate(members: list[Params]) -> np.ndarray:
+            n = len(members)
+            wide = {p: np.repeat(x, n, axis=0) for p, x in values.items()} | {f"parameters.{m}": np.array([p[m] for p in members]) for m in names}
+            steps = lambda t: {p: np.repeat(x[t : t + 1], n, axis=0) for p, x in moving.items()}
+            with np.errstate(all="ignore"):
+                track = np.stack([now[path] for now in integrate(bare, wide, steps, steps_n)])
+                return ((track[when] - obs[:, None]) ** 2).mean(axis=0)
+
+        found = OPTIMIZERS[optimizer](bounds, initial, popsize=popsize, seed=seed).run(evaluate, max_generations, patience)
+        return (*[getattr(row, k) for k in keys], *[float(found.params[n]) for n in names], found.loss, found.n_iterations)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame([fit(r) for r in frame.itertuples(index=False)], columns=[f.name for f in schema])
+
+    return rows.mapInPandas(run, schema)

@@ -133,6 +133,8 @@ class Plan:
     static: list[ComputeNode]
     prepass: list[ComputeNode]
     recurrent: list[ComputeNode]
+    #: Parameters that are given at run time: nothing that depends on them runs before the recurrence.
+    vary: frozenset[str] = frozenset()
 
     def axes(self, path: str) -> tuple[str, ...]:
         return tuple(d for d in self.model.dims[path] if d in self.core and d != self.model.time_dim)
@@ -145,7 +147,7 @@ class Plan:
         return list(self.model.blueprint.declarations.state)
 
 
-def plan_model(model: CompiledModel, exports: list[str] | None = None) -> Plan:
+def plan_model(model: CompiledModel, exports: list[str] | None = None, vary: frozenset[str] = frozenset()) -> Plan:
     """Live steps, independent keys, and which steps can run before the recurrence."""
     states = model.blueprint.declarations.state
     names = list(states) if exports is None else list(exports)
@@ -158,7 +160,7 @@ def plan_model(model: CompiledModel, exports: list[str] | None = None) -> Plan:
     core = frozenset(d for n in nodes for d in n.core | n.func.all_core_dims)
     used = {p for n in nodes for p in n.inputs.values()} | {f"state.{s}" for s in states}
     keys = canonical_order(d for p in sorted(used) for d in model.dims[p] if d not in core and d != model.time_dim)
-    moving = {f"state.{s}" for s in states}
+    moving = {f"state.{s}" for s in states} | vary
     timed = {p for p in model.data if model.dynamic(p)}
     static, prepass, recurrent = [], [], []
     for n in nodes:
@@ -172,7 +174,7 @@ def plan_model(model: CompiledModel, exports: list[str] | None = None) -> Plan:
             timed |= set(n.outputs.values())
         else:
             static.append(n)
-    return Plan(model, names, nodes, core, tuple(keys), static, prepass, recurrent)
+    return Plan(model, names, nodes, core, tuple(keys), static, prepass, recurrent, vary)
 
 
 def _call(node: ComputeNode, value: Callable[[str], Column]) -> dict[str, Column]:
@@ -254,8 +256,7 @@ def _rows(plan: Plan, state: DataFrame, start: int, end: int) -> tuple[DataFrame
     """One row per cell: keys, states, static inputs, and ``steps``, the array of each step's dynamic inputs."""
     model = plan.model
     needed = {p for n in plan.recurrent for p in n.inputs.values()}
-    made = {p for n in plan.static for p in n.outputs.values()}
-    fixed = {p for p in needed if p in model.data and not model.dynamic(p) and not p.startswith("state.")}
+    fixed = {p for p in needed if p in model.data and not model.dynamic(p) and not p.startswith("state.") and p not in plan.vary}
     fixed |= {p for n in plan.static for p in n.inputs.values() if p in model.data}
     rows, numbers = state, {}
     still, numbers = _static_frame(plan, fixed)
@@ -274,7 +275,6 @@ def _rows(plan: Plan, state: DataFrame, start: int, end: int) -> tuple[DataFrame
     for k in plan.keys:
         if k not in rows.columns:
             raise EngineError(f"no table has dimension {k}")
-    del made
     return rows, columns, numbers
 
 
@@ -334,7 +334,6 @@ def _kind(depth: int) -> str:
 def _fold(plan: Plan, rows: DataFrame, columns: list[str], numbers: dict[str, float]) -> DataFrame:
     """The recurrence as one ``aggregate`` per row: keys, final states, ``out`` (steps with the exports)."""
     states = [f"state.{s}" for s in plan.states]
-    produced = {p for n in plan.recurrent for p in n.outputs.values()}
     exports = [f"state.{e}" if e in plan.states else f"derived.{e}" for e in plan.exports]
     out_kind = "array<struct<t_idx:bigint," + ",".join(f"{short(p)}:{_kind(len(plan.axes(p)))}" for p in exports) + ">>"
     start = F.struct(*[F.col(_name(p)).cast(_kind(len(plan.axes(p)))).alias(_name(p)) for p in states], F.array().cast(out_kind).alias("out"))
@@ -369,7 +368,6 @@ def _fold(plan: Plan, rows: DataFrame, columns: list[str], numbers: dict[str, fl
 
         return run(0, {})
 
-    del produced
     done = rows.select(*plan.keys, F.aggregate("steps", start, merge).alias("run"))
     return done.select(*plan.keys, *[F.col(f"run.{_name(p)}").alias(_name(p)) for p in states], F.col("run.out").alias("out"))
 
@@ -442,7 +440,7 @@ def _kernel(plan: Plan, rows: DataFrame, columns: list[str], numbers: dict[str,
         + [T.StructField(_name(p), _type(len(plan.axes(p)))) for p in states]
         + [T.StructField("out", T.ArrayType(out_type))]
     )
-    bare = Plan(_Bare(plan.model), plan.exports, plan.nodes, plan.core, plan.keys, plan.static, plan.prepass, plan.recurrent)
+    bare = Plan(_Bare(plan.model), plan.exports, plan.nodes, plan.core, plan.keys, plan.static, plan.prepass, plan.recurrent, plan.vary)
     fixed = [c for c in rows.columns if c not in (*plan.keys, "steps")]
     keys, names = plan.keys, [f.name for f in schema]
 
