@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidefold.llm import packing, pii, quality, simhash
 from tidefold.llm.runtime import materialise, table
@@ -15,8 +16,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of those not held out."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model)
-    return scored.where("predicted = 1").select(*docs.columns)
+    # Rows are carried whole, so that columns of theirs may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return quality.score_quality(rows, model).where("predicted = 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

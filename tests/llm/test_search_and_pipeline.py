@@ -85,3 +85,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in steps[3].collect()} == {r.doc_id for r in steps[2].collect()} == {r.doc_id for r in steps[4].collect()}
     assert corpus_pipeline.run(spark, sf).count() == steps[4].count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empties, repeats and clashing names: no stage fails, and all but the last keep the columns."""
+    sf = "/root/testdata/sf0.001"
+    rows = [(None, "no id", "en", "s", None, 1.0, 2), (1, None, None, None, None, None, None), (2, "", "en", "s", 0, 1.0, 1), (2, "", "en", "s", 0, 1.0, 1)]
+    rows += [(3, "a@b.cc " * 3000, "en", "s", 1, 0.0, 0), (4, "one\n\ntwo", "de", "t", 8, 0.5, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, predicted int")
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, sf)
+            assert out.count() >= 0
+            assert name == "packing" or out.columns == docs.columns
+    kept = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.score or 0.0) for r in kept) == sorted([(0, 1.0), (1, 0.0), (3, 0.0), (4, 0.5)])
