@@ -27,6 +27,7 @@ SEED = 42
 TILE_ROWS = 4096
 MAX_TILES = 4096
 CHUNK = 1 << 16
+STRIP = 128
 QUARTERS = 4
 
 
@@ -111,24 +112,28 @@ def _compare(pairs: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
             fb, ib = np.asarray(row.fps_b, dtype=np.int64).view(np.uint64), np.asarray(row.ids_b, dtype=np.int64)
             oa, ob = np.argsort(pa := np.bitwise_count(fa), kind="stable"), np.argsort(pb := np.bitwise_count(fb), kind="stable")
             fa, ia, pa, fb, ib, pb = fa[oa], ia[oa], pa[oa].astype(int), fb[ob], ib[ob], pb[ob].astype(int)
-            found_a, found_b = [], []
-            for s in range(0, len(fa), 256):
-                e = min(s + 256, len(fa))
+            # Pairs of one strip are reduced to stars at once, so a tile of near copies never holds all its pairs.
+            ends: list[np.ndarray] = []
+            for s in range(0, len(fa), STRIP):
+                e = min(s + STRIP, len(fa))
                 lo, hi = np.searchsorted(pb, pa[s] - radius), np.searchsorted(pb, pa[e - 1] + radius, side="right")
                 x, y = np.nonzero(np.bitwise_count(fa[s:e, None] ^ fb[None, lo:hi]) <= radius)
-                found_a.append(x + s)
-                found_b.append(y + lo)
-            x, y = np.concatenate(found_a), np.concatenate(found_b)
-            if same:
-                keep = x < y
-                x, y = x[keep], y[keep]
-            if not len(x):
+                if len(x):
+                    ends.append(_stars(x + s, y + lo + (0 if same else len(ia))))
+            if not ends:
                 continue
             ids = ia if same else np.concatenate([ia, ib])
-            nodes, back = np.unique(np.concatenate([x, y if same else y + len(ia)]), return_inverse=True)
-            top = _forest(len(nodes), back[: len(x)], back[len(x) :])
-            star = top != np.arange(len(nodes))
-            yield pd.DataFrame({"src": ids[nodes[star]], "dst": ids[nodes[top[star]]]})
+            star = _stars(*np.concatenate(ends, axis=1))
+            if star.shape[1]:
+                yield pd.DataFrame({"src": ids[star[0]], "dst": ids[star[1]]})
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links that connect the same nodes as a-b, from each node to the smallest of its component."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    top = _forest(len(nodes), back[: len(a)], back[len(a) :])
+    star = top != np.arange(len(nodes))
+    return np.stack([nodes[star], nodes[top[star]]])
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
