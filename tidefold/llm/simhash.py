@@ -211,7 +211,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     found = materialise(simhash_components(docs, radius), "components")
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
+    # Both sides grow with the corpus: the join is by shuffle at every size.
+    kept = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi")
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
