@@ -391,9 +391,9 @@ GROWTH = Blueprint.from_dict(
 _RUN = {"time_start": "2024-01-01", "time_end": "2024-02-10", "dt": "1d"}
 
 
-def growth_model(spark: SparkSession, sf_dir: str, rate: float = 0.05 / DAY):
+def growth_model(spark: SparkSession, sf_dir: str, rate: float = 0.05 / DAY, capacity: float = 200.0):
     start = nation_state(spark, sf_dir, F.col("c") + 1.0)
-    return compile_model(spark, GROWTH, Config(parameters={"rate": rate, "capacity": 200.0}, initial_state={"biomass": start}, execution=_RUN))
+    return compile_model(spark, GROWTH, Config(parameters={"rate": rate, "capacity": capacity}, initial_state={"biomass": start}, execution=_RUN))
 
 
 _LOGISTIC = f"""with recursive {GRID5},
@@ -421,6 +421,26 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate(growth_model(spark, sf_dir)).outputs.where("t_idx in (0, 10, 20, 30)").select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
 
 
+@query(_LOGISTIC.replace("0.05::double", "0.3::double").replace("b / 200", "b / 1000") + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t > 0")
+def euler_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth that would pass the declared upper bound."""
+    return simulate(growth_model(spark, sf_dir, 0.3 / DAY, 1000.0)).outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+
+
+@query(_LOGISTIC + " select Y, X, t::bigint as t_idx, round(0.05::double * b * (1 - b / 200), 6) as growth_per_day from run where t < 40")
+def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived flux alone: the state is carried but not put out."""
+    out = simulate(growth_model(spark, sf_dir), export_variables=["growth"]).outputs
+    return out.select("Y", "X", "t_idx", r6(F.col("growth") * DAY, "growth_per_day"))
+
+
+@query(_LOGISTIC + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t - 1 between 4 and 9")
+def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times from first to last, both included."""
+    out = simulate(growth_model(spark, sf_dir)).outputs
+    return out.where("T between timestamp '2024-01-05' and timestamp '2024-01-10'").select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+
+
 @query(_LOGISTIC + " select (t - 1)::bigint as t_idx, round(avg(b), 6) as mean_biomass from run where t - 1 >= 20 group by 1")
 def spinup_spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simulate(growth_model(spark, sf_dir)).outputs.where(F.col("T") >= F.lit("2024-01-21").cast("timestamp"))
