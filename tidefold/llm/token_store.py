@@ -9,6 +9,7 @@ of each document, from which decoding can begin.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from .runtime import materialise, scratch, width
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
+SAMPLED = 100
 #: Ids below this bound; the driver and each task hold one number for each.
 VOCABULARY = 1 << 16
 
@@ -72,6 +74,21 @@ def _counts(raw: DataFrame) -> np.ndarray:
     return out
 
 
+def _key(doc_id, tie) -> tuple:
+    """Order of documents: null doc_ids first."""
+    return (False, 0, tie) if doc_id is None or doc_id != doc_id else (True, doc_id, tie)
+
+
+def _bounds(raw: DataFrame, parts: int) -> list[tuple]:
+    """Borders of ranges of about equal size, from a sample of about ``SAMPLED`` keys for each range.
+
+    Only the keys are read for it; a range partitioner would run the coding twice to draw its sample.
+    """
+    share = min(1.0, SAMPLED * parts / max(1, raw.count()))
+    keys = sorted(_key(*r) for r in raw.select("doc_id", "tie").sample(share, seed=1).collect())
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, limit: int = huffman.LIMIT) -> None:
     """Tokenise whole texts, append ``end_id`` to each and write them in ascending order of doc_id.
 
@@ -91,6 +108,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     code = spark.sparkContext.broadcast((codes, lengths))
     kind = dict(docs.dtypes)["doc_id"]
 
+    parts = width(spark)
+    bounds = _bounds(raw, parts)
+
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book, size = code.value
         for frame in frames:
@@ -102,6 +122,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                 last = np.cumsum(-(-n // huffman.SEGMENT))
                 yield pd.DataFrame(
                     {
+                        "part": [bisect_right(bounds, k) for k in map(_key, part["doc_id"], part["tie"])],
                         "doc_id": part["doc_id"], "tie": part["tie"], "n": n,
                         "bits": [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
                         "marks": [m - 8 * o for m, o in zip(np.split(marks, last[:-1]), offsets[:-1], strict=True)],
@@ -125,6 +146,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 
         for frame in frames:
             for row in frame.itertuples(index=False):
+                if held and held[0].part != row.part:
+                    yield flush()
+                    block, held, tokens = 0, [], 0
                 held.append(row)
                 tokens += row.n
                 if tokens >= BLOCK_TOKENS:
@@ -134,10 +158,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
             yield flush()
 
     placed = (
-        raw.mapInPandas(coded, f"doc_id {kind}, tie bigint, n bigint, bits binary, marks array<bigint>")
-        .repartitionByRange(width(spark), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie", "n")
-        .withColumn("part", F.spark_partition_id())
+        raw.mapInPandas(coded, f"part int, doc_id {kind}, tie bigint, n bigint, bits binary, marks array<bigint>")
+        .repartitionById(parts, "part")
+        .sortWithinPartitions("part", "doc_id", "tie", "n")
     )
     out = placed.mapInPandas(
         blocks,
