@@ -198,6 +198,40 @@ def test_licences(spark, docs, awkward):
     assert sorted(map(tuple, licenses.scan_licences(mixed).collect()), key=str) == sorted(want, key=str)
 
 
+def test_licences_over_lines(spark):
+    import textwrap
+
+    def cut(text, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(text, 78 - len(mark)))
+
+    def gnu(name, version, what="program", sep=";"):
+        return (
+            f"This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by"
+            f" the Free Software Foundation{sep.replace(':', ',')} either version {version} of the License, or (at your option) any later version."
+        )
+
+    s = licenses.SENTENCES
+    bsd = "\n\n".join(cut(t) for t in (s["bsd-grant"], "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + ".", "3. " + licenses.PUBLISHED["bsd-neither"] + "."))
+    mit = cut(s["mit-grant"], " * ") + "\n *\n" + cut(s["mit-keep"] + ".", " * ")
+    texts = {
+        "mit:1": "/*\n * Copyright (c) 2020 A. Person\n" + mit + "\n */\nint main;",
+        "mit:1 ": "Copyright (c) 2020 A. Person\r\n" + (cut(s["mit-grant"]) + "\n\n" + cut(s["mit-keep"] + ".")).replace("\n", "\r\n"),
+        "bsd:1": "Copyright B\n\n" + bsd + "\n\nTHIS SOFTWARE IS",
+        "isc:1": cut(s["isc-grant"] + ".", "# "),
+        "gpl-3.0:1": cut(gnu("General", "3", sep=":"), "// "),
+        "gpl-2.0:1": cut(gnu("General", "2")),
+        "lgpl-2.1:1": cut(gnu("Lesser General", "2.1", "library")),
+        "agpl-3.0:1": cut(gnu("Affero General", "3", sep=":")),
+        "mpl-2.0:1": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not */",
+        "cc-by-sa-4.0:1": cut("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        "mit:2": "Some words\nReleased under the MIT License\nReleased under the MIT License\nmore words",
+        "": "Permission is hereby granted, free\n\nof charge. Released under\n\nthe MIT License. Not released under the MIT License",
+    }
+    made = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    got = {r.doc_id: r.licences for r in licenses.scan_licences(made).collect()}
+    assert [got[i] for i in range(len(texts))] == [name.strip() for name in texts]
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     unary, move = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))

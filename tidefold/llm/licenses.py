@@ -1,12 +1,15 @@
 """Licence recognition by sentence rules, in DataFrame expressions only.
 
-Sentences are normalised and mapped to identifiers of known licence sentences; what is unknown becomes
-a gap. Rules, ordered from the most specific, are sequences of identifiers; each rule takes its
-places out of the sequence, so that a shorter rule cannot count them again.
+Known licence sentences are looked for between borders (sentence marks, line ends) of the normalised
+text and mapped to identifiers; inside a sentence a line may end anywhere, with comment marks. What is
+unknown becomes a gap. Rules, ordered from the most specific, are sequences of identifiers; each rule
+takes its places out of the sequence, so that a shorter rule cannot count them again.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,14 +68,86 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 BORDER = "[.!?;]+[ \t\r]+|[.!?;]*\n+"
 
+#: Further sentences of the published texts: headers, titles and notices. The SQL has only ``SENTENCES`` and ``RULES``.
+PUBLISHED: dict[str, str] = {
+    "bsd-neither": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission",
+    "isc-old": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted,"
+    " provided that the above copyright notice and this permission notice appear in all copies",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "mpl-title": "Mozilla Public License Version 2.0",
+}
+_GNU = {
+    "gpl-2.0": ("General", "2", "June 1991"), "gpl-3.0": ("General", "3", "29 June 2007"), "lgpl-2.0": ("Library General", "2", "June 1991"),
+    "lgpl-2.0b": ("Lesser General", "2", ""), "lgpl-2.1": ("Lesser General", "2.1", "February 1999"),
+    "lgpl-3.0": ("Lesser General", "3", "29 June 2007"), "agpl-3.0": ("Affero General", "3", "19 November 2007"),
+}
+for _id, (_name, _v, _date) in _GNU.items():
+    if _date:
+        PUBLISHED[f"{_id}-title"] = f"GNU {_name} Public License Version {_v}, {_date}"
+    for _what in ("program", "library", "software", "file"):
+        _terms = f"This {_what} is free software; you can redistribute it and/or modify it under the terms of the GNU {_name} Public License"
+        for _n, _tail in enumerate((
+            f"as published by the Free Software Foundation; either version {_v} of the License, or (at your option) any later version",
+            f"as published by the Free Software Foundation; either version {_v} of the License",
+            f"as published by the Free Software Foundation; version {_v} of the License",
+            f"as published by the Free Software Foundation; version {_v}",
+            f"version {_v} as published by the Free Software Foundation",
+            f"version {_v} only, as published by the Free Software Foundation",
+        )):
+            PUBLISHED[f"{_id}-{_what}-{_n}"] = f"{_terms} {_tail}"
+_KINDS = {"SA": "ShareAlike", "NC": "NonCommercial", "NC-SA": "NonCommercial-ShareAlike"}
+for _v, _where, _nd in (("3.0", "Unported", "NoDerivs"), ("4.0", "International", "NoDerivatives")):
+    for _kind, _name in {"": "", **_KINDS, "ND": _nd, "NC-ND": f"NonCommercial-{_nd}"}.items():
+        _title = f"Creative Commons Attribution{_name and '-' + _name} {_v} {_where}"
+        for _n, _text in enumerate((_title, f"This work is licensed under a {_title} License", f"This work is licensed under the {_title} License")):
+            PUBLISHED[f"cc-by{_kind and '-' + _kind.lower()}-{_v}/{_n}"] = _text
+
+#: The rules that are used: those of the published sentences beside ``RULES``.
+ALL_RULES: list[tuple[str, list[str]]] = [
+    ("bsd", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-neither"]),
+    *RULES[:-1],
+    ("isc", ["isc-old"]),
+    ("apache-2.0", ["apache-title"]),
+    ("mpl-2.0", ["mpl-title"]),
+    *[(i[:-1] if i.endswith("b") else i, [s]) for i in _GNU for s in PUBLISHED if s.startswith(f"{i}-")],
+    *[(s.split("/")[0], [s]) for s in PUBLISHED if s.startswith("cc-")],
+    RULES[-1],
+]
+#: In lower case text B stands for a border that no sentence crosses, N for the end of a line within one.
+HARD = r"(?<![.!?;])[.!?;]++(?:[ \t\r]+|\n)|\n(?:[^\p{L}\p{N}\n]*+\n)+"
+LIST_MARK = "(?:[0-9]{1,2}|[a-d]|i{1,3}|iv)"
+
 
 def _normal(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
 KNOWN = {_normal(s): i for i, s in SENTENCES.items()}
+ALL_KNOWN = KNOWN | {_normal(s): i for i, s in PUBLISHED.items()}
 #: Identifiers stand in a sequence as numbers in angle brackets, gaps as <.>.
-NUMBER = {i: n for n, i in enumerate(SENTENCES)}
+NUMBER = {i: n for n, i in enumerate([*SENTENCES, *PUBLISHED])}
+
+
+def _across_lines(sentence: str) -> str:
+    """Pattern of a normalised sentence that may be cut into lines; where it has a mark of its own, a border may stand."""
+    out = ""
+    for word in sentence.split():
+        names = _normal(word).split()
+        out += " (?:N )?".join(names)
+        if names:
+            out += " (?:[BN] ){0,2}" if word[-1] in ".!?;:," else " (?:N )?"
+    return re.sub(r" \(\?:(?:N \)\?|\[BN\] \)\{0,2\})$", "", out)
+
+
+def _known_pattern() -> str:
+    """Any known sentence between borders, the longest first, grouped by first words."""
+    groups: dict[str, list[str]] = {}
+    for s in sorted([*SENTENCES.values(), *PUBLISHED.values()], key=lambda s: -len(_normal(s))):
+        first, rest = _across_lines(s).split(" ", 1)
+        groups.setdefault(first, []).append(rest)
+    each = "|".join(f"{first} (?:{'|'.join(rests)})" for first, rests in groups.items())
+    return f"(?<=[BN] )(?:{LIST_MARK} )?(?:{each})(?= [BN])"
 
 
 def _pattern(ids: list[str]) -> str:
@@ -82,30 +157,28 @@ def _pattern(ids: list[str]) -> str:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> per row: doc_id, n_sentences, n_known, licences (``name:count`` in the order of the rules).
 
-    A licence that several rules name is listed once for each rule that matched. Null and empty texts
-    have no sentences; repeated rows give a row each; other columns are ignored.
+    ``n_sentences`` counts the pieces between sentence marks and line ends, ``n_known`` the known sentences, however
+    many lines each takes. A licence that several rules name is listed once for each rule that matched. Null and
+    empty texts have no sentences; repeated rows give a row each; other columns are ignored.
     """
-    known = F.create_map(*[F.lit(x) for s, i in KNOWN.items() for x in (s, f"<{NUMBER[i]}>")])
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("ids")) for name, ids in RULES])
-    sentences = F.filter(
-        F.transform(
-            F.split(F.lower(as_empty("text")), BORDER),
-            lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")),
-        ),
-        lambda s: s != "",
-    )
-    split = docs.select("doc_id", sentences.alias("sentences"))
-    # Only sentences that begin like a known one are looked up; the rest are gaps.
-    starts = sorted({s.split()[0] for s in KNOWN})
-    named = F.transform(
-        "sentences",
-        lambda s: F.when(F.substring_index(s, " ", 1).isin(starts), F.coalesce(F.element_at(known, s), F.lit("<.>"))).otherwise(F.lit("<.>")),
-    )
-    seq = split.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), named.alias("named"))
-    seq = seq.select(
-        "doc_id", "n_sentences",
-        F.size(F.filter("named", lambda n: n != "<.>")).cast("long").alias("n_known"),
-        F.concat_ws("", "named").alias("seq"),
+    known = F.create_map(*[F.lit(x) for s, i in ALL_KNOWN.items() for x in (s, f"<{NUMBER[i]}>")])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("ids")) for name, ids in ALL_RULES])
+    pattern = _known_pattern()
+    text = F.lower(as_empty("text"))
+    pieces = F.filter(F.split(text, BORDER), lambda s: s.rlike("[a-z0-9]"))
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, HARD, " B "), "\n", " N "), "[^a-z0-9BN]+", " ")
+    split = docs.select("doc_id", F.size(pieces).cast("long").alias("n_sentences"), F.concat(F.lit("B "), F.trim(marked), F.lit(" B")).alias("marked"))
+    split = split.select("doc_id", "n_sentences", "marked", F.regexp_extract_all("marked", F.lit(pattern), F.lit(0)).alias("hits"))
+    # A list number alone between two sentences is no gap.
+    gap = lambda s: F.when(s.rlike(f"^[BN ]*(?:{LIST_MARK} )?[BN ]*$"), F.lit("")).otherwise(F.lit("<.>"))
+    plain = lambda s: F.regexp_replace(F.regexp_replace(s, " [BN](?= )", ""), f"^{LIST_MARK} ", "")
+    named = F.zip_with(
+        F.split("marked", pattern, -1), "hits",
+        lambda g, s: F.concat(gap(g), F.when(s.isNull(), F.lit("")).otherwise(F.element_at(known, plain(s)))),
+    )
+    seq = split.select(
+        "doc_id", "n_sentences", F.size("hits").cast("long").alias("n_known"),
+        F.when(F.size("hits") == 0, F.lit("")).otherwise(F.concat_ws("", named)).alias("seq"),
     )
     found = F.aggregate(
         rules,
