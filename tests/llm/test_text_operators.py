@@ -89,6 +89,19 @@ def test_pii(spark, docs, awkward):
     assert pii.find_pii(awkward.limit(0)).count() == 0
 
 
+def test_cards_side_by_side(spark, docs):
+    pair = ["4465758382889437 4465758382889437", "7536784127813050 4845168114407329", "4111 1111 1111 1111 5500 0000 0000 0004", "41111111111111115500000000000004", "99 4111-1111-1111-1111 78"]
+    texts = {10**7 + i: f"eñ, {t} end" for i, t in enumerate(pair)}
+    texts[10**7 + 9] = "values 3.14159265358979 and 12345678901234567890 stay"
+    mixed = docs.select("doc_id", "text").union(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    clean = {r.doc_id: r.text for r in pii.redact(mixed).where("doc_id >= 10000000").collect()}
+    digits = {i: re.sub("[^0-9]", "", t) for i, t in clean.items()}
+    assert [digits[10**7 + i] for i in range(5)] == ["", "", "", "", "9978"], clean
+    assert clean[10**7 + 9] == texts[10**7 + 9]
+    spans = {r.doc_id: r.spans.split(",") for r in pii.find_pii(mixed).where("doc_id >= 10000000").collect()}
+    assert {"card:4:20", "card:21:37"} <= set(spans[10**7]) and {"card:4:20", "card:20:36"} <= set(spans[10**7 + 3])
+
+
 def test_boosted_trees_learn():
     rows = [
         {"kind": 0, "fold": fold, "n": 50, "good": 50 if tld and not plus else 0} | {f: 0 for f in pii.FEATURES} | {"tld": tld, "plus": plus}

@@ -1,8 +1,9 @@
 """Personal data by candidate gradient boosting, in DataFrame expressions only.
 
 Exact base patterns give spans that always stay. High-recall generators propose further, overlapping
-candidates; each gets format and context features with few values. One aggregation over all
-documents counts candidates by feature vector, base spans being the positives; boosted depth-two
+candidates: several patterns a kind and, for cards, the sub-runs of 13 to 19 digits of every run of
+digits; each gets format and context features with few values. One aggregation over all documents
+counts candidates by feature vector, those of valid format being the positives; boosted depth-two
 trees are fitted on the driver to that table (its size is bounded by the number of feature vectors),
 a threshold per kind is calibrated on the other half of the documents, and the trees go back into the
 plan as CASE expressions.
@@ -30,12 +31,27 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WIDE = {
-    "email": r"(?<![^\s@])[^\s@]++@[^\s@]++|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++"
-    r"(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Za-z.:])(?:(?:[0-9]{1,3}\.){3}[0-9]{1,3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7})(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9](?:[ .-]?[0-9]){11,18}+(?![ .-]?[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[ .()/-]{1,2}[0-9]{2,5}){2,5}(?![0-9A-Za-z])",
+    "email": (
+        r"(?<![^\s@])[^\s@]++@[^\s@]++",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]++)++",
+        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    ),
+    "ip": (
+        r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z:])",
+        r"(?<![0-9A-Za-z.:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])",
+    ),
+    "phone": (
+        r"(?<![0-9A-Za-z])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[ .()/-]{1,2}[0-9]{2,5}){2,5}(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
+    ),
 }
+#: Runs of digits that may hold cards, side by side too; above ``CARD_DIGITS`` a card may begin at any digit.
+DIGIT_RUN = r"(?<![0-9])[0-9](?:[ .-]?[0-9]){12,}+"
+CARD_DIGITS = range(13, 20)
+#: Inside a group of digits, only forms with an issuer's number and length are proposed.
+ISSUED = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$"
+#: Dots part decimal numbers too: dotted digits are a card only in a card's groups.
+DOTTED = r"^[0-9]{4}(?:\.[0-9]{4}){3}$|^[0-9]{4}\.[0-9]{6}\.[0-9]{5}$|^[^.]*$"
 NEEDS = {
     "email": lambda t: t.contains("@") | t.rlike(r"[\[(] ?at ?[\])]"),
     "ip": lambda t: t.rlike(r"[0-9A-Fa-f]?[.:]+[0-9A-Fa-f]*[.:]"),
@@ -108,6 +124,45 @@ def _valid(kind: str, c: Column) -> Column:
     return F.lit(True)
 
 
+def _well_formed(kind: str, c: Column) -> Column:
+    """Whether a candidate has a valid format of its kind; these are the positives."""
+    hit = c["hit"]
+    if kind == "card":
+        return _valid(kind, c) & hit.rlike(DOTTED)
+    if kind == "ip":
+        full = hit.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")
+        short = hit.rlike(r"^[0-9A-Fa-f:]*[0-9A-Fa-f][0-9A-Fa-f:]*$") & hit.rlike("^[^:].*|^::") & hit.rlike(".*[^:]$|::$") & (F.size(F.split(hit, "::", -1)) == 2) & ~hit.contains(":::")
+        return hit.rlike(OCTETS) | full | short
+    if kind == "phone":
+        return _valid(kind, c) & hit.rlike(r"^(?:\+|00|\()")
+    return hit.rlike(r"^[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}$") | hit.rlike(r" ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+.*[.\])] ?[A-Za-z]{2,24}$")
+
+
+def _cards(text: Column) -> Column:
+    """Card candidates, overlapping: of every run of digits, each sub-run of ``CARD_DIGITS`` digits between borders of groups;
+    of runs with more digits than a card, also those inside a group that look issued."""
+    last = CARD_DIGITS[-1]
+
+    def at(r: Column, i: Column) -> Column:
+        # One character more than the longest candidate shows whether a group ends.
+        rest = F.substring(r["hit"], i + 1, 2 * last)
+        long = F.length(_digits(r["hit"])) > last
+        opens = (i == 0) | ~F.substring(r["hit"], i, 1).rlike("[0-9]")
+        each = []
+        for n in CARD_DIGITS:
+            hit = F.regexp_extract(rest, rf"^[0-9](?:[ .-]?[0-9]){{{n - 1}}}", 0)
+            whole = opens & ~F.substring(rest, F.length(hit) + 1, F.lit(1)).rlike("[0-9]")
+            taken = (hit != "") & (whole | (long & _digits(hit).rlike(ISSUED)))
+            each.append(F.when(taken, F.struct((r["s"] + i).alias("s"), (r["s"] + i + F.length(hit)).alias("e"), hit.alias("hit"))))
+        return F.filter(F.array(*each), lambda c: c.isNotNull())
+
+    def within(r: Column) -> Column:
+        digits = F.filter(F.sequence(F.lit(0), F.length(r["hit"]) - CARD_DIGITS[0]), lambda i: F.substring(r["hit"], i + 1, F.lit(1)).rlike("[0-9]"))
+        return F.flatten(F.transform(digits, lambda i: at(r, i)))
+
+    return F.flatten(F.transform(_spans(text, DIGIT_RUN), within))
+
+
 def _empty() -> Column:
     return F.array().cast(SPAN)
 
@@ -117,14 +172,6 @@ def _features(text: Column, kind: str, c: Column) -> Column:
     digits = F.length(_digits(hit))
     breaks = F.length(F.regexp_replace(hit, r"[^ ./:-]", ""))
     before = F.substring(text, F.greatest(c["s"] + 1 - BEFORE, F.lit(1)), F.least(c["s"], F.lit(BEFORE)))
-    if kind == "card":
-        check = _luhn(hit)
-    elif kind == "ip":
-        check = hit.rlike(OCTETS)
-    elif kind == "phone":
-        check = digits.between(9, 15)
-    else:
-        check = hit.rlike(r"^[A-Za-z0-9._%+-]+@")
     flag = lambda x: F.when(x, 1).otherwise(0)
     return F.struct(
         c["s"].alias("s"), c["e"].alias("e"),
@@ -134,7 +181,7 @@ def _features(text: Column, kind: str, c: Column) -> Column:
         flag(hit.contains("(")).alias("parens"),
         flag(before.rlike(CONTEXT)).alias("context"),
         flag(hit.rlike(r"\.[A-Za-z]{2,24}$")).alias("tld"),
-        flag(check).alias("check"),
+        flag(_well_formed(kind, c)).alias("check"),
         F.when(c["e"] - c["s"] < 8, 0).when(c["e"] - c["s"] < 20, 1).otherwise(2).alias("wide"),
     )
 
@@ -145,7 +192,8 @@ def _candidates(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     raw = {}
     for k in KINDS:
         raw[f"b_{k}"] = F.when(NEEDS[k](t), _spans(t, BASE[k])).otherwise(_empty())
-        raw[f"w_{k}"] = F.when(NEEDS[k](t), _spans(t, WIDE[k])).otherwise(_empty())
+        wide = _cards(t) if k == "card" else F.array_sort(F.array_distinct(F.concat(*[_spans(t, p) for p in WIDE[k]])))
+        raw[f"w_{k}"] = F.when(NEEDS[k](t), wide).otherwise(_empty())
     found = docs.select(*keep, *[v.alias(k) for k, v in raw.items()])
     return found.withColumns(
         {f"b_{k}": F.filter(f"b_{k}", partial(_valid, k)) for k in KINDS}
@@ -154,15 +202,14 @@ def _candidates(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
 
 
 def _histogram(found: DataFrame, fold: Column) -> list:
-    """Candidates by kind, feature vector and fold: all, and how many are base spans. Bounded by the feature vectors."""
-    def labelled(i: int, k: str, c: Column) -> Column:
-        base = F.exists(f"b_{k}", lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
-        return F.struct(F.lit(i).alias("kind"), *[c[f].alias(f) for f in FEATURES], base.alias("base"))
+    """Candidates by kind, feature vector and fold: all, and how many are of valid format. Bounded by the feature vectors."""
+    def labelled(i: int, c: Column) -> Column:
+        return F.struct(F.lit(i).alias("kind"), *[c[f].alias(f) for f in FEATURES], (c["check"] == 1).alias("good"))
 
-    each = [F.transform(f"c_{k}", partial(labelled, i, k)) for i, k in enumerate(KINDS)]
+    each = [F.transform(f"c_{k}", partial(labelled, i)) for i, k in enumerate(KINDS)]
     rows = found.select(fold.alias("fold"), F.explode(F.concat(*each)).alias("c")).select("fold", "c.*")
     return rows.groupBy("kind", *FEATURES, "fold").agg(
-        F.count("*").alias("n"), F.sum(F.col("base").cast("long")).alias("good")
+        F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good")
     ).orderBy("kind", *FEATURES, "fold").collect()
 
 
@@ -170,7 +217,7 @@ def fit_trees(rows: list, kind: int) -> tuple[float, list, float]:
     """Boost depth-two trees on one kind's table: (start, trees, threshold); logistic loss, Newton leaves.
 
     A tree is (feature, cut, (feature, cut, low, high), (feature, cut, low, high)): at most ``cut`` goes low.
-    The threshold is the lowest score at which, in the held-out fold, the share of base spans reaches
+    The threshold is the lowest score at which, in the held-out fold, the share of valid candidates reaches
     ``PRECISION``; infinite if none does, so that nothing is added.
     """
     own = [r for r in rows if r["kind"] == kind]
