@@ -72,6 +72,16 @@ def test_tree_visits_every_leaf_once():
     assert set(tree.file(rows).tolist()) <= set(range(tree.leaves))
 
 
+def test_visits_go_on_until_enough_rows(spark):
+    assert ann.TARGET == 0.97
+    rng = np.random.default_rng(4)
+    tree = ann.KMeansTree(rng.normal(size=(200, 8)), branches=4, leaf=10)
+    held = dict.fromkeys(range(tree.leaves), 1)
+    query = rng.normal(size=8)
+    assert len(tree.visit(query, 1, held, 6)) == 6 and tree.visit(query, 1, held, 6)[:1] == tree.visit(query, 1)
+    assert sorted(tree.visit(query, 1, held, 10**6)) == list(range(tree.leaves))
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

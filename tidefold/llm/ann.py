@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample and every row is filed under a leaf. A query visits leaves
 best bin first: a priority queue holds the branches passed by, nearest first. How many leaves are
 visited is widened, by a quarter at a time, until the recall on a bounded set of calibration queries, against
-brute force over all rows, reaches its target.
+brute force over all rows, reaches its target. A query whose leaves hold too few rows visits more.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ K = 5
 SAMPLE = 20_000
 #: Calibration queries, at most, and the recall they must reach.
 CALIBRATION = 256
-TARGET = 0.95
+TARGET = 0.97
 BRANCHES = 8
 #: Sampled rows in a leaf, at least, and leaves, roughly.
 LEAF_SAMPLE = 40
@@ -98,11 +98,11 @@ class KMeansTree:
             stack += [(child, own[near == i]) for i, child in enumerate(self.children[at]) if (near == i).any()]
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves for a query, best bin first."""
+    def visit(self, query: np.ndarray, leaves: int, held: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """The first leaves for a query, best bin first; with ``held``, rows by leaf, further ones until they hold ``rows``."""
         out: list[int] = []
         queue = [(0.0, 0)]
-        while queue and len(out) < leaves:
+        while queue and (len(out) < leaves or (held is not None and sum(held.get(i, 0) for i in out) < rows)):
             _, at = heapq.heappop(queue)
             while self.leaf_of[at] < 0:
                 near = self.centres[at] @ query
@@ -245,11 +245,13 @@ def nearest(vectors: DataFrame, k: int = K, chunk_rows: int = CHUNK_ROWS, sample
 
     filed = materialise(clean.mapInPandas(file, "vec_id bigint, v binary, leaf int"), "filed")
     visits = _calibrate(clean, tree, filed, k)
+    # One table row a leaf. A query's own row is in a leaf too, so k + 1 rows hold k others.
+    held = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                leaves = [shared.value.visit(u, visits) for u in _unit(unpacked(frame["v"]))]
+                leaves = [shared.value.visit(u, visits, held, k + 1) for u in _unit(unpacked(frame["v"]))]
                 yield frame.assign(leaf=leaves).explode("leaf").astype({"leaf": "int32"})
 
     # Rows of the size table are bounded by the leaves of the tree, hence by the sample.
