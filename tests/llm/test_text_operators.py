@@ -289,6 +289,21 @@ def test_html(spark, sf):
     assert html_blocks.extract_text(pages.limit(0), model).count() == 0
 
 
+def test_html_keeps_figures_formulas_and_short_blocks(spark, sf):
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><figure><pre>code</pre><figcaption>A caption</figcaption></figure></article>"
+    blocks = html_blocks.leaves(page)
+    assert [t for _, t, _ in blocks] == ["So x=2 holds.", "code", "A caption"] and html_blocks.teacher(blocks).all()
+    model = html_blocks.fit_labeller(spark.read.parquet(f"{sf}/pages.parquet"))
+    assert html_blocks.extract(model, [page]) == ["So x=2 holds.\ncode\nA caption"]
+    plain = (
+        "<body><ul><li><a>Home</a><li><a>About</a></ul><h1>Title</h1><p>Yes.</p><p>A paragraph that is longer than the rest.</p>"
+        "<ul><li>salt<li>pepper</ul><div class=footer>imprint and so on and so forth</div></body>"
+    )
+    blocks = html_blocks.leaves(plain)
+    want = ["Title", "Yes.", "A paragraph that is longer than the rest.", "salt", "pepper"]
+    assert [b[1] for b, y in zip(blocks, html_blocks.teacher(blocks), strict=True) if y] == want
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     net = html_blocks.BiLSTM(3, 2)

@@ -8,6 +8,7 @@ menus, notices and the like); the network is trained by numpy back-propagation.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -35,13 +36,14 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements by what HTML does with them.
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong"
-    " sub sup time tt u var wbr".split()
+    " sub sup time tt u var wbr math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded"
+    " mphantom menclose merror mmultiscripts mprescripts mtable mtr mtd semantics".split()
 )
-APART = frozenset("nav header footer aside form button select menu dialog figure option input fieldset legend".split())
+APART = frozenset("nav header footer aside form button select menu dialog option input fieldset legend".split())
 NOISE = re.compile(
     r"\b(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|menu|nav\w*|sidebar|side|footer|header"
     r"|comment\w*|repl(?:y|ies)|disqus|share|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|pagination|toolbar|widget|login|search)\b",
@@ -97,7 +99,7 @@ def leaves(page: str | None) -> list[tuple[str, str, int]]:
             if not closing and not (m["rest"] or m["rest2"] or "").endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
-                if tag not in ("script", "style"):
+                if tag not in ("script", "style", "annotation", "annotation-xml"):
                     flush()
             continue
         flush()
@@ -119,17 +121,40 @@ def leaves(page: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
+#: Characters up to which a run of blocks follows its neighbours on pages without article or main.
+SHORT = 25
+
+
 def teacher(blocks: list[tuple[str, str, int]]) -> np.ndarray:
-    """Main text by the markup: inside article or main, if the page has one, and inside nothing set apart or named as noise."""
+    """Main text by the markup: inside article or main, if the page has one, and inside nothing set apart or named as noise.
+
+    Without either, blocks are judged in runs of one path by their share of links; a short run also by the nearest longer ones.
+    """
     steps = [path.split("/") for path, _, _ in blocks]
     tags = [[s.split(" ", 1)[0] for s in p] for p in steps]
     inside = [any(t in MAIN for t in p) for p in tags]
-    whole = not any(inside)
-    out = np.zeros(len(blocks))
-    for i, (path, text, linked) in enumerate(blocks):
-        noise = any(t in APART for t in tags[i]) or any(NOISE.search(s.split(" ", 1)[1]) for s in steps[i] if " " in s)
-        good = inside[i] or (whole and tags[i][-1:] != ["li"] and linked < 0.5 * len(text) and len(text) > 25)
-        out[i] = good and not noise
+    noise = [any(t in APART for t in p) or any(NOISE.search(s.split(" ", 1)[1]) for s in q if " " in s) for p, q in zip(tags, steps, strict=True)]
+    good = inside if any(inside) else _by_context(blocks, noise)
+    return np.array([float(g and not n) for g, n in zip(good, noise, strict=True)])
+
+
+def _by_context(blocks: list[tuple[str, str, int]], noise: list[bool]) -> list[bool]:
+    runs: list[list[int]] = []
+    for i, (path, _, _) in enumerate(blocks):
+        if runs and blocks[runs[-1][0]][0] == path:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    chars = [sum(len(blocks[i][1]) for i in r) for r in runs]
+    good = [not noise[r[0]] and sum(blocks[i][2] for i in r) < 0.5 * n for r, n in zip(runs, chars, strict=True)]
+    longer = [j for j, n in enumerate(chars) if n > SHORT]
+    out = [False] * len(blocks)
+    for j, run in enumerate(runs):
+        at = bisect.bisect_left(longer, j)
+        near = longer[max(0, at - 1) : at + 1]
+        fine = good[j] and (chars[j] > SHORT or not near or any(good[k] for k in near))
+        for i in run:
+            out[i] = fine
     return out
 
 
@@ -291,6 +316,10 @@ EXTRA = tuple(
 )
 
 
+#: Main text that training pages get inside their article, of kinds that they may lack.
+WITHIN = ("figure/figcaption", "figure/pre", "figure/table/tr/td", "figure/blockquote/p", "figure/p", "figure", "pre", "table/tr/td", "blockquote/p", "ul/li", "h2", "h3", "dl/dd")
+
+
 def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[list[tuple[str, str, int]]]:
     """Pages again, each at least once and ``ENRICHED`` in all, with boilerplate put in under the body or inside the main text."""
     rng = np.random.default_rng(seed)
@@ -309,6 +338,11 @@ def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[lis
                 text = texts[int(rng.integers(len(texts)))]
                 text = " ".join(text.split(" ")[: int(rng.integers(1, 5))]) if rng.random() < 0.4 else text
                 page.insert(at, (path, text, int(rng.choice([0, len(text)]))))
+        main = [j for j, b in enumerate(page) if b[0].rpartition("/")[0].rpartition("/")[2].split(" ")[0] in MAIN]
+        for j in sorted(rng.choice(main, size=min(len(main), int(rng.integers(0, 4))), replace=False).tolist() if main else [], reverse=True):
+            text = texts[int(rng.integers(len(texts)))]
+            text = " ".join(text.split(" ")[: int(rng.integers(1, 5))]) if rng.random() < 0.4 else text
+            page.insert(j + int(rng.integers(2)), (f"{page[j][0].rpartition('/')[0]}/{WITHIN[int(rng.integers(len(WITHIN)))]}", text, 0))
         out.append(page)
     return out
 
