@@ -304,6 +304,11 @@ def test_html_keeps_figures_formulas_and_short_blocks(spark, sf):
     assert [b[1] for b, y in zip(blocks, html_blocks.teacher(blocks), strict=True) if y] == want
 
 
+def test_every_name_of_an_element_counts():
+    many = "div " + " ".join(f"p-{i}" for i in range(12))
+    assert html_blocks._path_vector(many)[2] == 0 and html_blocks._path_vector(f"{many} cookie-banner")[2] == 1
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     net = html_blocks.BiLSTM(3, 2)

@@ -170,7 +170,7 @@ def _path_vector(path: str) -> np.ndarray:
         v = np.zeros(PATH, dtype=np.float32)
         above = ""
         for step in path.split("/"):
-            tag, *names = step.split()[:9] or [""]
+            tag, *names = step.split() or [""]
             # What HTML or a name says outright has places of its own, free of collisions.
             v[:3] += (tag in MAIN, tag in APART, any(NOISE.search(n) for n in names))
             for mark in (tag, f"{above}>{tag}", *(f".{n}" for n in names)):
