@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -133,13 +134,18 @@ def test_token_store(docs, awkward):
     assert token_store.token_digests(awkward.limit(0)).count() == 0
 
 
-def test_cached_encoding_is_the_librarys():
+def test_cached_encoding_is_the_librarys(monkeypatch):
     rng = random.Random(3)
-    texts = [t for _, t in AWKWARD] + ["".join(rng.choice("abcdeéßΣıİ’'sdtlre 12 \n\t.,!?<|>́ \x1f世") for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts = [t for _, t in AWKWARD] + ["".join(rng.choice("abcdeéßΣıİ’'sdtlre 12 \n\t.,!?<|>́ \x1f世Āſ…€™½\xa0\x00ŉÅ") for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += ["".join(rng.choice("abcAB’ …Ā'éŉÅſ½ \n.x") for _ in range(rng.randint(0, 30))) for _ in range(400)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         encoder = lexers.ChunkEncoder.of(name)
-        for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
-            assert np.frombuffer(ids, dtype="<u4").tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids
+        monkeypatch.setattr(lexers, "GROUP_CHARS", 300)
+        monkeypatch.setattr(lexers, "CACHE", 150)
+        ids, sizes = encoder.encode_all(texts)
+        ends = np.cumsum(sizes).tolist()
+        for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+            assert ids[a:b].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids
     codec = bpe.Codec.of("word_bpe_49k.json")
     library = lexers.ChunkEncoder.of("word_bpe_49k.json").library
     for text in texts:
@@ -155,35 +161,61 @@ def test_bpe_query(awkward):
     assert bpe.bpe_digests(awkward.limit(0)).count() == 0
 
 
-def test_cut():
-    assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(3, 4) == [(0, 3)]
+def test_cuts():
+    doc, start, size = packing.cuts(np.array([5, 8, 3, 1]), 4)
+    assert doc.tolist() == [0, 0, 1, 1, 2, 3] and start.tolist() == [0, 1, 0, 4, 0, 0] and size.tolist() == [1, 4, 4, 4, 3, 1]
 
 
 def best_fit(sizes, length):
     """Plain best fit, longest first: number of sequences."""
     gaps = []
     for s in sorted(sizes, reverse=True):
-        fits = [g for g in gaps if g >= s]
-        if fits:
-            gaps.remove(min(fits))
-            gaps.append(min(fits) - s)
-        else:
-            gaps.append(length - s)
+        at = bisect.bisect_left(gaps, s)
+        gap = gaps.pop(at) if at < len(gaps) else length
+        bisect.insort(gaps, gap - s)
     return len(gaps)
 
 
-def test_best_fit_on_runs():
+def swept(pieces, gaps):
+    """One sweep by brute force: each piece, longest first, takes the smallest gap that holds it; gaps by size and then number."""
+    left, out = sorted((g, -i) for i, g in gaps), {}
+    for s, i in sorted(((s, i) for i, s in pieces), key=lambda x: (-x[0], x[1])):
+        at = bisect.bisect_left(left, (s, -(1 << 60)))
+        if at < len(left):
+            out[i] = -left.pop(at)[1]
+    return out
+
+
+def test_first_round_is_a_whole_sweep(spark):
+    rng = np.random.default_rng(1)
+    for most in (64, 3):
+        pieces = [(2 * i, int(s)) for i, s in enumerate(rng.integers(1, most, 150))]
+        gaps = [(2 * i, int(s)) for i, s in enumerate(rng.integers(1, most, 120))]
+        made = packing.assign(spark.createDataFrame(pieces, "id bigint, size bigint"), spark.createDataFrame(gaps, "id bigint, size bigint"), 64, range_rows=30)
+        want = swept(pieces, gaps)
+        first = {r.id: r.bin for t in made[:2] for r in t.collect()}
+        assert {k: first.get(k) for k in want} == want
+
+
+@pytest.mark.parametrize("sizes", ["even", "small", "equal"])
+def test_rounds_need_no_more_sequences_than_best_fit(spark, sizes):
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        sizes = rng.integers(1, 65, 400).tolist()
-        counts = {s: sizes.count(s) for s in set(sizes)}
-        placed, opened = packing.plan_sequences(counts, 64)
-        assert opened == best_fit(sizes, 64) and sum(p[2] for p in placed) == 400
+    made = {"even": rng.integers(1, 129, 600), "small": rng.integers(1, 6, 900), "equal": np.full(301, 39)}[sizes].tolist()
+    text = spark.createDataFrame([(i, s) for i, s in enumerate(made)], "id bigint, size bigint")
+    large = [(2 * i, 128 - s) for i, s in enumerate(made) if s > 64]
+    gaps = spark.createDataFrame(large, "id bigint, size bigint") if large else text.limit(0)
+    got = [tuple(r) for t in packing.assign(text.where("size <= 64"), gaps, 128, range_rows=100) for r in t.collect()]
+    held = {i: 128 - g for i, g in large}
+    for i, place in got:
+        held[place] = held.get(place, 0) + made[i]
+    assert sorted(i for i, _ in got) == [i for i, s in enumerate(made) if s <= 64] and max(held.values()) <= 128
+    assert len(held) <= 1.01 * best_fit(made, 128) + 1
 
 
 def test_packing(docs, awkward):
-    for table in (docs, awkward):
-        got = packing.pack(table).toPandas()
+    for table in (docs, awkward, awkward.union(awkward)):
+        got = packing.pack(table, range_rows=50).toPandas()
+        assert got["sequence_id"].nunique() <= best_fit(got["length"], 1024) + 1
         for _, own in got.sort_values("offset").groupby("sequence_id"):
             assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 1024
     library = lexers.ChunkEncoder.of("byte_bpe_50k.json").library

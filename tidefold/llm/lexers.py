@@ -1,25 +1,35 @@
 """Whole-text encoding with public tokenizers, cached by white-space-delimited chunk.
 
 Both vocabularies split texts into pre-tokens before merging, and no pre-token crosses the chunk
-borders used here, so a chunk's ids are the same in any text. The library encodes each chunk that is
-not cached yet; texts with anything out of the ordinary (special-token strings, characters beyond
-Latin, control characters, runs of white space where they count) go to it whole.
+borders used here, so a chunk's ids are the same in any text. Arrow splits the texts of a batch and
+finds its distinct chunks; the library encodes those that are not cached yet, all in one call; numpy
+gathers every text's ids. Texts with anything out of the ordinary (special-token strings, characters
+beyond those of ``_LETTER_RANGES``, control characters, runs of white space where they count) go to
+the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+#: Distinct chunks and pre-tokens that a process keeps, and the characters of texts that are split together.
 CACHE = 1_500_000
-GROUP = 64
-
-_CONTROL = re.compile("[\x1c-\x1f\x85]")
-_BLANK = re.compile("[\t\r\x0b\x0c\xa0]")
+GROUP_CHARS = 12_000_000
+
+#: Stands between chunks or pieces; texts that hold it go to the library whole.
+_CUT = "\x00"
+#: Bytes of a Latin-1 text whose splitting is certain: no controls but tab, line feeds and the like.
+_CERTAIN = bytes(b for b in range(256) if b not in {*range(9), *range(14, 32), 0x7F, *range(0x80, 0xA0)})
+_SINGLE = bytes(b for b in _CERTAIN if b not in b"\t\r\x0b\x0c\xa0")
+#: Precomposed letters and punctuation that normal forms leave alone and that lower one by one.
+_LETTER_RANGES = "Ā-įı-ſ‐-―‘-‟•…€™"
+_BEYOND = re.compile(f"[{_LETTER_RANGES}]+")
 #: How the two vocabularies split a text into pre-tokens.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -49,8 +59,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of them, one range after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not total or int(starts.max()) < 1 << 30) else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 class ChunkEncoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes; the cache holds ``CACHE`` chunks at most."""
+    """ids of whole texts; about ``CACHE`` chunks and pre-tokens are kept, with their ids one after another in an array."""
 
     _open: dict[str, ChunkEncoder] = {}
 
@@ -67,7 +87,13 @@ class ChunkEncoder:
         #: The same merges without normaliser and splitter, for pieces that are ready.
         self.merges = Tokenizer(self.library.model)
         self.merges.pre_tokenizer = WhitespaceSplit()
-        self.cache: dict[str, bytes] = {}
+        suffix = len(self.library.model.end_of_word_suffix or "")
+        #: How many letters each id stands for.
+        vocabulary = self.library.get_vocab()
+        self.letters = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for string, i in vocabulary.items():
+            self.letters[i] = len(string) - (suffix if suffix and string.endswith(self.library.model.end_of_word_suffix) else 0)
+        self._clear()
 
     @classmethod
     def of(cls, name: str) -> ChunkEncoder:
@@ -76,66 +102,137 @@ class ChunkEncoder:
             cls._open[name] = cls(name)
         return cls._open[name]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _each(self, chunks: list[str]) -> Iterable[bytes]:
-        """The ids of each chunk, by one call."""
-        split = BYTE_LEVEL if self.spaces else WORD_LEVEL
-        pieces, counts = [], []
-        for chunk in chunks:
-            own = split.findall((chunk if chunk[:1] == "\n" else f" {chunk}") if self.spaces else chunk)
-            pieces += own
-            counts.append(len(own))
-        found = self.merges.encode(" ".join(map(lettered, pieces)), add_special_tokens=False)
-        data = np.array(found.ids, dtype="<u4").tobytes()
-        ends = 4 * np.searchsorted(np.array(found.word_ids), np.cumsum(counts))
-        at = 0
-        for end in ends.tolist():
-            yield data[at:end]
-            at = end
-
-    def _plain(self, text: str) -> bool:
-        """Whether chunk borders are certain: Latin-1, no controls or special tokens; byte-level: single blanks inside."""
+    def _clear(self) -> None:
+        self.cache: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.ends = np.zeros(1 << 14, dtype=np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of one text by the library alone."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The places of distinct chunks in the cache; those that are missing are encoded and kept."""
+        found = list(map(self.cache.get, chunks))
+        if None not in found:
+            return np.array(found, dtype=np.int64)
+        if len(self.cache) > CACHE:
+            self._clear()
+            found = [None] * len(chunks)
+        gaps = [i for i, f in enumerate(found) if f is None]
+        split = (BYTE_LEVEL if self.spaces else WORD_LEVEL).findall
+        pieces, ends, several = [], [], []
+        for i in gaps:
+            chunk = chunks[i]
+            if chunk.isalpha() or (self.spaces and chunk[:1] == " " and chunk[1:].isalpha()):
+                pieces.append(chunk)
+            else:
+                many = split(chunk)
+                pieces += many
+                if len(many) != 1:
+                    several.append(i)
+            ends.append(len(pieces))
+        at = list(map(self.cache.get, pieces))
+        if None in at:
+            self._learn(list({p: None for p, a in zip(pieces, at, strict=True) if a is None}))
+            at = [self.cache[p] if a is None else a for p, a in zip(pieces, at, strict=True)]
+        place = np.array(at, dtype=np.int64)
+        ends = np.array(ends, dtype=np.int64)
+        number = np.array([-1 if f is None else f for f in found], dtype=np.int64)
+        # A chunk of one piece is that piece; chunks of several, or of none, get an entry of their own.
+        single = number < 0
+        single[several] = False
+        number[single] = place[ends[single[gaps]] - 1]
+        if several:
+            own = ~single[gaps]
+            counts = np.diff(ends, prepend=0)[own]
+            ids, sizes = self._gather(place[ranges(ends[own] - counts, counts)])
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+            number[several] = len(self.cache) + np.arange(len(several))
+            self._keep([chunks[i] for i in several], ids, np.diff(cuts, prepend=0))
+        return number
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = self.ends[at]
+        sizes = self.ends[at + 1] - first
+        return self.ids[ranges(first, sizes)], sizes
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode distinct pre-tokens by one call of the library and keep them."""
+        letters = lettered(_CUT.join(pieces)).replace(_LETTERS[0], " ")
+        ids = np.array(self.merges.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+        size = np.array([len(p) if p.isascii() else len(p.encode()) for p in pieces], dtype=np.int64)
+        ends = np.searchsorted(np.cumsum(self.letters[ids]), np.cumsum(size), side="right")
+        if ends[-1] != len(ids):
+            raise ValueError("the vocabulary lacks a byte")
+        self._keep(pieces, ids, np.diff(ends, prepend=0))
+
+    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known, held = len(self.cache), int(self.ends[len(self.cache)])
+        self.ids = _room(self.ids, held + len(ids))
+        self.ends = _room(self.ends, known + len(keys) + 1)
+        self.ids[held : held + len(ids)] = ids
+        self.ends[known + 1 : known + 1 + len(keys)] = held + np.cumsum(sizes)
+        self.cache.update(zip(keys, range(known, known + len(keys)), strict=True))
+
+    def plain(self, text: str) -> bool:
+        """Whether chunk borders are certain; at byte level also single blanks inside only."""
         try:
-            text.encode("latin-1")
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        if "<|" in text or _CONTROL.search(text):
+            try:
+                raw = _BEYOND.sub("", text).encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        if raw.translate(None, _SINGLE if self.spaces else _CERTAIN) or "<|" in text:
             return False
         if not self.spaces:
             return True
-        rough = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _BLANK.search(text)
+        rough = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
         return not (rough or text[0] in " \n" or text[-1] in " \n")
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null is the empty text."""
-        out: list[bytes] = []
-        for k in range(0, len(texts), GROUP):
-            heads, sizes, flat = [], [], []
-            for text in texts[k : k + GROUP]:
-                if not text:
-                    head, chunks = b"", []
-                elif not self._plain(text):
-                    head, chunks = self._whole(text), []
-                elif self.spaces:
-                    first, *chunks = text.replace("\n", " \n").split(" ")
-                    head = self._whole(first)
-                else:
-                    head, chunks = b"", text.lower().split()
-                heads.append(head)
-                sizes.append(len(chunks))
-                flat += chunks
-            found = list(map(self.cache.get, flat))
-            if None in found:
-                missing = list({c for c, f in zip(flat, found, strict=True) if f is None})
-                new = dict(zip(missing, self._each(missing), strict=True))
-                found = [new[c] if f is None else f for c, f in zip(flat, found, strict=True)]
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                self.cache.update(new)
-            at = 0
-            for head, n in zip(heads, sizes, strict=True):
-                out.append(head + b"".join(found[at : at + n]))
-                at += n
-        return out
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; null is the empty text."""
+        ids, sizes, group, held = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)], [], 0
+        for text in texts:
+            if group and held + len(text or "") > GROUP_CHARS:
+                self._group(group, ids, sizes)
+                group, held = [], 0
+            group.append(text)
+            held += len(text or "")
+        if group:
+            self._group(group, ids, sizes)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _group(self, texts: list[str | None], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        odd, ready = {}, []
+        for i, text in enumerate(texts):
+            if not text:
+                ready.append(None)
+            elif not self.plain(text):
+                odd[i] = self.whole(text)
+                ready.append(None)
+            elif self.spaces:
+                ready.append(text.replace("\n", f"{_CUT}\n").replace(" ", f"{_CUT} "))
+            else:
+                ready.append(text.lower().replace("\xa0", " "))
+        column = pa.array(ready, pa.large_string())
+        lists = pc.split_pattern(column, _CUT) if self.spaces else pc.ascii_split_whitespace(column)
+        counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        distinct = pc.dictionary_encode(lists.flatten())
+        number = self._numbers(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, size_of = self._gather(number[distinct.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(size_of)])[np.cumsum(counts)]
+        own = np.diff(ends, prepend=0)
+        if odd:
+            parts = np.split(flat, ends[:-1])
+            for i, whole in odd.items():
+                parts[i], own[i] = whole, len(whole)
+            flat = np.concatenate(parts)
+        ids.append(flat)
+        sizes.append(own)
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a larger copy, with room for n items."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), dtype=array.dtype)])

@@ -1,12 +1,12 @@
-"""Best-fit packing of documents into sequences of bounded length.
-
-Pieces are range-sorted by length and ranked within equal lengths by Spark; equal lengths form runs,
-and so do sequences with equal gaps. The bulk supersteps go from the longest length to the shortest:
-a run of pieces sweeps the runs of gaps upward from its successor, the smallest gap that holds it;
-conflicts are settled by rank, the surplus moving on to the next run; gaps are updated; what is left
-opens sequences. Runs, not rows, take part in the sweeps (at most one per length and gap), so they
-are bounded by the sequence length however large the corpus is. Spark then places every piece by
-its length and rank.
+"""Best-fit packing of documents into sequences of bounded length, in bulk-synchronous rounds.
+
+Pieces longer than half a sequence open one each. Then, round by round, the pieces that are left and
+the gaps of all open sequences are range-sorted together, longest first, gaps before pieces of their
+length. A sweep through that order gives each piece its successor, the smallest gap that holds it and
+is not taken by a longer piece: every task sweeps its own range, and pieces and gaps that find no
+partner there are matched across ranges by their rank. Gaps are updated and the next round begins.
+When nothing fits any more, as many sequences open as the pieces left would fill. Rounds are written
+to the shared folder, so a lost executor costs a part of one round.
 """
 
 from __future__ import annotations
@@ -19,136 +19,198 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexers import ChunkEncoder
-from .runtime import materialise, width
+from .lexers import ChunkEncoder, ranges
+from .runtime import materialise
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 1024
+#: Documents that a task tokenises together, and the rows of a range of a sweep.
+BATCH, RANGE_ROWS = 4096, 1 << 15
+#: Pieces of at most this share of a sequence open sequences together, so that rounds stay few.
+SMALL = 8
 
+GAP, PIECE, PLACED = 0, 1, 2
 
-def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Start and length of the pieces of a document of n tokens: only the first may be shorter than ``length``."""
-    first = n % length or min(n, length)
-    ends = [first, *range(first + length, n + 1, length)] if n else []
-    return [(a, b - a) for a, b in zip([0, *ends], ends, strict=False)]
+
+def cuts(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and length of every piece: documents are cut into pieces of ``length``, the first may be shorter."""
+    many = -(-sizes // length)
+    first = sizes - (many - 1) * length
+    doc = np.repeat(np.arange(len(sizes)), many)
+    nth = ranges(np.zeros(len(sizes), dtype=np.int64), many).astype(np.int64)
+    return doc, np.where(nth == 0, 0, first[doc] + (nth - 1) * length), np.where(nth == 0, first[doc], length)
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32 for every piece; null texts are empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = ChunkEncoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder = ChunkEncoder.of(tokenizer)
         for frame in frames:
-            for k in range(0, len(frame), 512):
-                part = frame.iloc[k : k + 512]
-                rows = [
-                    (doc_id, i, a, n, zlib.crc32(memoryview(ids)[4 * a : 4 * (a + n)]))
-                    for doc_id, ids in zip(part["doc_id"], (x + end for x in encoder.encode_all(part["text"].tolist())), strict=True)
-                    for i, (a, n) in enumerate(cut(len(ids) // 4, length))
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for k in range(0, len(frame), BATCH):
+                part = frame.iloc[k : k + BATCH]
+                ids, sizes = encoder.encode_all(part["text"].tolist())
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4"), sizes + 1
+                doc, start, size = cuts(sizes, length)
+                # Pieces follow each other without a break, over documents too.
+                data, ends = memoryview(ids).cast("B"), (4 * np.cumsum(size)).tolist()
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"].to_numpy()[doc], "piece": (ranges(np.zeros(len(sizes), dtype=np.int64), np.bincount(doc))),
+                        "start": start, "length": size, "ids_crc32": [zlib.crc32(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)],
+                    }
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def plan_sequences(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Best fit, longest first, on runs: placements (length, first rank, pieces, first sequence, offset) and the number of sequences.
+def _sweep(state: DataFrame, parts: int, length: int, first_bundle: int | None) -> DataFrame:
+    """One sweep within ranges: (kind, id, size) -> part, kind, id, size, bin, rank.
+
+    PLACED rows have the piece, its sequence and the gap that stays; PIECE and GAP rows found no partner
+    in their range and are ranked in the order in which a sweep over all ranges would take them. With
+    ``first_bundle``, pieces without a partner open sequences together, numbered from there.
+    """
 
-    Pieces of one placement go to consecutive sequences, at the same offset.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["part", "kind", "id", "size", "bin", "rank"]
+        open_gaps: list[tuple[int, int]] = []
+        bundle: list[tuple[int, int]] = []
+        part = alone = held = bundles = 0
+        for frame in frames:
+            if not len(frame):
+                continue
+            out, part = [], int(frame["part"].iloc[0])
+            for kind, key, size in zip(frame["kind"].tolist(), frame["id"].tolist(), frame["size"].tolist(), strict=True):
+                if kind == GAP:
+                    open_gaps.append((key, size))
+                elif open_gaps:
+                    place, gap = open_gaps.pop()
+                    out.append((part, PLACED, key, gap - size, place, 0))
+                elif first_bundle is None:
+                    out.append((part, PIECE, key, size, 0, alone))
+                    alone += 1
+                else:
+                    if held + size > length:
+                        out += _bundled(part, bundle, first_bundle + 2 * ((part << 32) + bundles), length - held)
+                        bundle, held, bundles = [], 0, bundles + 1
+                    bundle.append((key, size))
+                    held += size
+            yield pd.DataFrame(out, columns=names)
+        rest = [(part, GAP, key, size, 0, i) for i, (key, size) in enumerate(reversed(open_gaps))]
+        if bundle and bundles:
+            # What does not fill a sequence waits for the next round, with fewer ranges.
+            rest += [(part, PIECE, key, size, 0, i) for i, (key, size) in enumerate(bundle)]
+        elif bundle:
+            rest += _bundled(part, bundle, first_bundle + 2 * ((part << 32) + bundles), length - held)
+        yield pd.DataFrame(rest, columns=names)
+
+    order = [F.col("size").desc(), F.col("kind"), F.col("id")]
+    ranged = state.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    return ranged.mapInPandas(run, "part int, kind int, id bigint, size bigint, bin bigint, rank bigint")
+
+
+def _bundled(part: int, held: list[tuple[int, int]], place: int, gap: int) -> list[tuple]:
+    """Placements of pieces that open a sequence together; the last one has the gap."""
+    return [(part, PLACED, key, gap if i + 1 == len(held) else 0, place, 0) for i, (key, _) in enumerate(held)]
+
+
+def _across(counts: list) -> list[tuple[int, int, int, int, int]]:
+    """Matches across ranges, as (kind, part, first rank, end, ticket less rank): equal tickets are partners.
+
+    ``counts`` has, for each range, how many pieces and gaps found no partner. The pieces of a range come
+    before its gaps and take the gaps nearest before them.
+    """
+    alone: dict[tuple[int, int], int] = {(r["part"], r["kind"]): r["n"] for r in counts}
+    above: list[list[int]] = []
+    out, ticket = [], 0
+    for part in sorted({p for p, _ in alone}):
+        rank, left = 0, alone.get((part, PIECE), 0)
+        while left and above:
+            source, used, free = above[-1]
+            n = min(left, free)
+            out += [(PIECE, part, rank, rank + n, ticket - rank), (GAP, source, used, used + n, ticket - used)]
+            rank, left, ticket = rank + n, left - n, ticket + n
+            above[-1] = [source, used + n, free - n]
+            if n == free:
+                above.pop()
+        if alone.get((part, GAP)):
+            above.append([part, 0, alone[part, GAP]])
+    return out
+
+
+def assign(pieces_left: DataFrame, gaps: DataFrame, length: int = LENGTH, range_rows: int = RANGE_ROWS) -> list[DataFrame]:
+    """Rounds of best fit: pieces (id, size) of at most half a sequence, gaps (id, size) -> tables of (id, bin), one or two a round.
+
+    Sequences opened here have odd numbers; gaps are to have even ones. The driver sees counts by range only.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    placed: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    for size in sorted((s for s, n in counts.items() if n), reverse=True):
-        left, rank = counts[size], 0
-
-        def fill(gap: int, first: int, many: int) -> None:
-            """Put pieces into ``many`` sequences with the same gap, as many into each as it holds."""
-            nonlocal left, rank
-            each = gap // size
-            full = min(many, left // each)
-            for level in range(each if full else 0):
-                placed.append((size, rank + level * full, full, first, length - gap + level * size))
-            rank, left = rank + each * full, left - each * full
-            if full:
-                gaps.setdefault(gap - each * size, []).append((first, full))
-            if full < many and left:
-                for level in range(left):
-                    placed.append((size, rank + level, 1, first + full, length - gap + level * size))
-                gaps.setdefault(gap - left * size, []).append((first + full, 1))
-                rank, left, full = rank + left, 0, full + 1
-            if full < many:
-                gaps.setdefault(gap, []).append((first + full, many - full))
-
-        for gap in sorted(g for g in gaps if g >= size):
-            runs = gaps.pop(gap)
-            while runs and left:
-                fill(gap, *runs.pop())
-            if runs:
-                gaps.setdefault(gap, []).extend(runs)
-            if not left:
-                break
-        if left:
-            need = -(-left // (length // size))
-            first, opened = opened, opened + need
-            fill(length, first, need)
-    return placed, opened
-
-
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
+    spark = pieces_left.sparkSession
+    state = gaps.selectExpr(f"{GAP} kind", "id", "size").union(pieces_left.selectExpr(f"{PIECE} kind", "id", "size"))
+    seen = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least")).collect()}
+    if PIECE not in seen:
+        return []
+    left, free, least = seen[PIECE]["n"], seen[GAP]["n"] if GAP in seen else 0, seen[PIECE]["least"]
+    placed: list[DataFrame] = []
+    opened, bundle = 0, None
+    while left:
+        live = state.where((F.col("kind") == PIECE) | (F.col("size") >= least))
+        swept = materialise(_sweep(live, -(-(left + free) // range_rows), length, bundle), "sweep")
+        counts = swept.groupBy("part", "kind").agg(F.count("*").alias("n")).collect()
+        total = {k: sum(r["n"] for r in counts if r["kind"] == k) for k in (GAP, PIECE, PLACED)}
+        placed.append(swept.where(F.col("kind") == PLACED).select("id", "bin"))
+        alone = swept.where(F.col("kind") != PLACED).select("part", "kind", "id", "size", "rank")
+        updated = swept.where(F.col("kind") == PLACED).selectExpr(f"{GAP} kind", "bin id", "size")
+        links = _across([r for r in counts if r["kind"] != PLACED])
+        crossed = sum(end - first for kind, _, first, end, _ in links if kind == PIECE)
+        if links:
+            rule = spark.createDataFrame(links, "kind int, part int, first bigint, end bigint, base bigint").alias("l")
+            a = alone.alias("a")
+            where = F.expr("a.kind = l.kind and a.part = l.part and a.rank >= l.first and a.rank < l.end")
+            # A few rows for each range: the smaller side of this join is bounded by the number of ranges.
+            alone = a.join(F.broadcast(rule), where, "left").selectExpr("a.kind", "a.id", "a.size", "a.rank + l.base as ticket")
+            p = alone.where(F.col("kind") == PIECE).selectExpr("ticket", "id", "size")
+            g = alone.where(F.col("kind") == GAP).selectExpr("ticket", "id as bin", "size as gap")
+            pairs = materialise(p.join(g, "ticket").selectExpr("id", "bin", "gap - size as size"), "across")
+            placed.append(pairs.select("id", "bin"))
+            updated = updated.union(pairs.selectExpr(f"{GAP} kind", "bin id", "size"))
+            alone = alone.where("ticket is null")
+        state = alone.select("kind", "id", "size").union(updated)
+        left, free = total[PIECE] - crossed, total[GAP] + total[PLACED]
+        bundle = None
+        if left and not total[PLACED] + crossed:
+            large = alone.where((F.col("kind") == PIECE) & (F.col("size") > length // SMALL)).agg(F.sum("size")).head()[0]
+            if large:
+                new = -(-large // length)
+                state = state.union(spark.range(new).selectExpr(f"{GAP} kind", f"2 * (id + {opened}) + 1 id", f"{length}L size"))
+                opened, free = opened + new, free + new
+            else:
+                bundle = (len(placed) << 52) + 1
+    return placed
+
+
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, length: int = LENGTH, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``docs`` is packed, repeated doc_ids and null doc_ids too; a null or empty text is one
-    piece with the end id alone. Other columns are ignored. An empty table gives no rows. Two small
-    tables come to the driver: pieces by partition and length (partitions plus ``length`` rows, as the
-    pieces are range-sorted), and from it the placements, which every task gets.
+    piece with the end id alone. Other columns are ignored. An empty table gives no rows. A document of
+    any length is cut into pieces of ``length``, of which the first may be shorter.
     """
-    spark = docs.sparkSession
-    cut_up = materialise(pieces(docs, tokenizer, end_id, length), "pieces")
-
-    def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(length + 1, dtype=np.int64)
-        for frame in frames:
-            n = frame["length"].to_numpy()
-            frame["rank"] = frame.groupby("length").cumcount().to_numpy() + seen[n]
-            seen += np.bincount(n, minlength=length + 1)
-            yield frame
-
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
-    ordered = (
-        cut_up.repartitionByRange(width(spark), F.col("length"), F.xxhash64("doc_id", "piece", "ids_crc32"))
-        .withColumn("part", F.spark_partition_id())
-        .mapInPandas(ranked, f"{schema}, rank bigint")
-    )
-    ordered = materialise(ordered, "ranked")
-    parts = ordered.groupBy("part", "length").agg(F.count("*").alias("n")).orderBy("part", "length").collect()
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for r in parts:
-        before[r["part"], r["length"]] = counts.get(r["length"], 0)
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    placements, _ = plan_sequences(counts, length)
-    by_size: dict[int, np.ndarray] = {}
-    for row in placements:
-        by_size.setdefault(row[0], []).append(row[1:])  # type: ignore[arg-type]
-    plan = spark.sparkContext.broadcast((before, {s: np.array(sorted(rows), dtype=np.int64) for s, rows in by_size.items()}))
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, where = plan.value
-        for frame in frames:
-            frame["sequence_id"] = np.int64(0)
-            frame["offset"] = np.int64(0)
-            for (part, size), own in frame.groupby(["part", "length"]).indices.items():
-                rank = frame["rank"].to_numpy()[own] + base[part, size]
-                runs = where[size]
-                at = np.searchsorted(runs[:, 0], rank, side="right") - 1
-                frame.iloc[own, frame.columns.get_loc("sequence_id")] = runs[at, 2] + rank - runs[at, 0]
-                frame.iloc[own, frame.columns.get_loc("offset")] = runs[at, 3]
-            yield frame.drop(columns=["part", "rank"])
-
-    return ordered.mapInPandas(
-        place, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    )
+    cut_up = pieces(docs, tokenizer, end_id, length).withColumn("row", F.monotonically_increasing_id())
+    cut_up = materialise(cut_up, "pieces")
+    alone = cut_up.where(F.col("length") > length // 2).withColumn("sequence_id", 2 * F.col("row"))
+    small = cut_up.where(F.col("length") <= length // 2)
+    gaps = alone.where(F.col("length") < length).select(F.col("sequence_id").alias("id"), (length - F.col("length")).alias("size"))
+    found = assign(small.select(F.col("row").alias("id"), F.col("length").alias("size")), gaps, length, range_rows)
+    if not found:
+        return alone.drop("row").withColumn("offset", F.lit(0).cast("long"))
+    placed = found[0].withColumn("round", F.lit(1))
+    for i, more in enumerate(found[1:]):
+        placed = placed.union(more.withColumn("round", F.lit(i + 2)))
+    joined = small.join(placed.selectExpr("id as row", "bin as sequence_id", "round"), "row").select(*alone.columns, "round")
+    # At most ``length`` pieces share a sequence; whole sequences of one piece take no part in the shuffle.
+    shared = alone.where(F.col("length") < length).withColumn("round", F.lit(0)).union(joined)
+    before = F.expr("sum(length) over (partition by sequence_id order by round, row rows between unbounded preceding and 1 preceding)")
+    shared = shared.withColumn("offset", F.coalesce(before, F.lit(0).cast("long"))).drop("round", "row")
+    return shared.union(alone.where(F.col("length") == length).drop("row").withColumn("offset", F.lit(0).cast("long")))

@@ -24,59 +24,66 @@ from .runtime import materialise, scratch, width
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
+#: Documents that a task tokenises together.
+BATCH = 4096
 SAMPLED = 100
 #: Ids below this bound; the driver and each task hold one number for each.
 VOCABULARY = 1 << 16
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """16-bit ids, low bytes before high bytes."""
-    return ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-
-
 def _unplanes(data: bytes) -> np.ndarray:
+    """16-bit ids from their low bytes and then their high bytes."""
     return np.frombuffer(data, dtype=np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
 
 
 def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text) -> doc_id, tie (a hash of the text, to order repeated doc_ids), n, ids (16-bit planes)."""
+    """(doc_id, text) -> doc_id, tie (a hash of the text), nth (a number of the row), n, ids (16-bit planes), counts.
+
+    Ties and row numbers order repeated doc_ids. Each task ends with one row that has nothing but ``counts``:
+    the ids that the task met and how often, so that counting takes no pass of its own.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = ChunkEncoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, total = ChunkEncoder.of(tokenizer), np.zeros(VOCABULARY, dtype=np.int64)
         for frame in frames:
-            for k in range(0, len(frame), 512):
-                part = frame.iloc[k : k + 512]
-                ids = [np.frombuffer(x + end, dtype="<u4") for x in encoder.encode_all(part["text"].tolist())]
-                if max(map(len, ids)) and max(int(x.max()) for x in ids) >= VOCABULARY:
+            for k in range(0, len(frame), BATCH):
+                part = frame.iloc[k : k + BATCH]
+                ids, sizes = encoder.encode_all(part["text"].tolist())
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                if int(ids.max()) >= VOCABULARY:
                     raise ValueError("an id is outside the vocabulary bound")
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"], "tie": part["tie"], "n": [len(x) for x in ids], "ids": [_planes(x) for x in ids]}
-                )
+                total += np.bincount(ids, minlength=VOCABULARY)
+                low, high = (ids.astype("<u2").view(np.uint8)[b::2].tobytes() for b in (0, 1))
+                ends = np.cumsum(sizes).tolist()
+                planes = [low[a:b] + high[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                yield part[["doc_id", "tie", "nth"]].assign(n=sizes, ids=planes, counts=None)
+        used = np.flatnonzero(total)
+        data = used.astype("<i4").tobytes() + total[used].astype("<i8").tobytes()
+        yield pd.DataFrame({"doc_id": [None], "tie": [None], "nth": [None], "n": [None], "ids": [None], "counts": [data]})
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tie bigint, n bigint, ids binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("nth"), "text")
+    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tie bigint, nth bigint, n bigint, ids binary, counts binary")
 
 
 def _counts(raw: DataFrame) -> np.ndarray:
-    """How often each id occurs, over all documents."""
+    """How often each id occurs, over all documents, from the tasks' counts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(VOCABULARY, dtype=np.int64)
         for frame in frames:
-            for data in frame["ids"]:
-                total += np.bincount(_unplanes(data), minlength=VOCABULARY)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used.astype(np.int32), "n": total[used]})
+            for data in frame["counts"]:
+                used = len(data) // 12
+                yield pd.DataFrame({"id": np.frombuffer(data, "<i4", used), "n": np.frombuffer(data, "<i8", used, 4 * used)})
 
     out = np.zeros(VOCABULARY, dtype=np.int64)
-    for r in raw.select("ids").mapInPandas(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    each = raw.where("counts is not null").select("counts").mapInPandas(run, "id int, n bigint")
+    for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
 
-def _key(doc_id, tie) -> tuple:
+def _key(doc_id, tie, nth) -> tuple:
     """Order of documents: null doc_ids first."""
-    return (False, 0, tie) if doc_id is None or doc_id != doc_id else (True, doc_id, tie)
+    return (False, 0, tie, nth) if doc_id is None or doc_id != doc_id else (True, doc_id, tie, nth)
 
 
 def _bounds(raw: DataFrame, parts: int) -> list[tuple]:
@@ -85,7 +92,7 @@ def _bounds(raw: DataFrame, parts: int) -> list[tuple]:
     Only the keys are read for it; a range partitioner would run the coding twice to draw its sample.
     """
     share = min(1.0, SAMPLED * parts / max(1, raw.count()))
-    keys = sorted(_key(*r) for r in raw.select("doc_id", "tie").sample(share, seed=1).collect())
+    keys = sorted(_key(*r) for r in raw.select("doc_id", "tie", "nth").sample(share, seed=1).collect())
     return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
 
 
@@ -93,13 +100,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Tokenise whole texts, append ``end_id`` to each and write them in ascending order of doc_id.
 
     Null texts are empty (the end id alone); null doc_ids come first; repeated doc_ids follow each
-    other. Ids are coded before they are sorted, so the one shuffle moves compressed documents; it is
-    by range of doc_id and a hash of the text. A document is never cut, so a block holds
-    ``BLOCK_TOKENS`` tokens or one document more.
+    other, ordered by a hash of the text and the row's number, so that rows repeated many times are
+    still spread over tasks. Ids are coded before they are sorted, so the one shuffle moves compressed
+    documents. A document is never cut, so a block holds ``BLOCK_TOKENS`` tokens or one document more.
     """
     spark = docs.sparkSession
     raw = materialise(token_ids(docs, tokenizer, end_id), "ids")
     lengths = huffman.code_lengths(_counts(raw), limit)
+    raw = raw.where("counts is null").drop("counts")
     codes = huffman.canonical_codes(lengths)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(
@@ -122,8 +130,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
                 last = np.cumsum(-(-n // huffman.SEGMENT))
                 yield pd.DataFrame(
                     {
-                        "part": [bisect_right(bounds, k) for k in map(_key, part["doc_id"], part["tie"])],
-                        "doc_id": part["doc_id"], "tie": part["tie"], "n": n,
+                        "part": [bisect_right(bounds, k) for k in map(_key, part["doc_id"], part["tie"], part["nth"])],
+                        "doc_id": part["doc_id"], "tie": part["tie"], "nth": part["nth"], "n": n,
                         "bits": [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)],
                         "marks": [m - 8 * o for m, o in zip(np.split(marks, last[:-1]), offsets[:-1], strict=True)],
                     }
@@ -158,9 +166,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
             yield flush()
 
     placed = (
-        raw.mapInPandas(coded, f"part int, doc_id {kind}, tie bigint, n bigint, bits binary, marks array<bigint>")
+        raw.mapInPandas(coded, f"part int, doc_id {kind}, tie bigint, nth bigint, n bigint, bits binary, marks array<bigint>")
         .repartitionById(parts, "part")
-        .sortWithinPartitions("part", "doc_id", "tie", "n")
+        .sortWithinPartitions("part", "doc_id", "tie", "nth")
     )
     out = placed.mapInPandas(
         blocks,
