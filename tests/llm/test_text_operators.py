@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidefold.llm import bpe, html_blocks, huffman, lexers, licenses, packing, pii, quality, simhash, token_store
 from tidefold.llm.components import connected_components
@@ -103,14 +106,67 @@ def test_cards_side_by_side(spark, docs):
     assert {"card:4:20", "card:21:37"} <= set(spans[10**7]) and {"card:4:20", "card:20:36"} <= set(spans[10**7 + 3])
 
 
+FORMS = {
+    "email": ["ana (at) example (dot) org", "j.smith [at] uni.edu", "lee AT acme DOT co DOT uk", "josé@correo.españa"],
+    "ip": ["2001:db8:0:0:8:800:200c:417a", "2001:db8::ff00:42:8329", "fe80::1ff:fe23:4567"],
+    "card": ["4111.1111.1111.1111", "3782.822463.10005"],
+    "phone": ["(212) 555-0187", "415-555-2671", "0049 30 9018 2055"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "ssn": ["219-09-9999", "078-05-1120"],
+}
+ALIKE = [
+    "at 12:34:56 on 2024-01-15 10:20", "00:1a:2b:3c:4d:5e is a device", "std::vec::add(a)", "version 10.2.33 of 3.14159265358979", "order 4111111111111112 of 4", "@ana looks at it (at) noon",
+    "isbn 978-3-161-48410-0", "000-12-3456 and 123-00-4567", "NL00 ABNA 0417 1643 00", "1 000 000 000 people", "meet at the gate", "from 10 20 30 to 11/12/2020",
+]
+
+
+def test_planted_forms_are_found(spark):
+    rows, want = [], {}
+    for k, forms in FORMS.items():
+        for form in forms:
+            for lead in ("we wrote to é, ", f"{k}: "):
+                want[len(rows)] = f"{k}:{len(lead)}:{len(lead) + len(form)}"
+                rows.append((len(rows), f"{lead}{form}, and went home"))
+    alike = range(len(rows), len(rows) + len(ALIKE))
+    rows += list(zip(alike, ALIKE, strict=True))
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(made).collect()}
+    missed = [(rows[i][1], got[i]) for i, w in want.items() if w not in got[i].split(",")]
+    assert not missed
+    assert not [(rows[i][1], got[i]) for i in alike if got[i]]
+    clean = {r.doc_id: r.text for r in pii.redact(made).collect()}
+    assert all(f"{rows[i][1].split(', and')[0]}" not in clean[i] for i in want) and all(clean[i] == rows[i][1] for i in alike)
+
+
+def test_running_results(spark):
+    rng = random.Random(5)
+    made = [(i, [rng.randint(-9, 9) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 3, 8, 9, 10, 101])]
+    rows = spark.createDataFrame(made, "i int, v array<int>").select("i", F.expr(pii._sums("v")).alias("sums"), F.expr(pii._tops("v")).alias("tops")).collect()
+    for r in rows:
+        assert r.sums == list(itertools.accumulate(made[r.i][1])) and r.tops == list(itertools.accumulate(made[r.i][1], max))
+
+
+def test_many_matches_in_one_text(spark):
+    many = 100_000
+    began = time.time()
+    made = spark.createDataFrame([(1, "a@b.cc " * many), (2, "x (at) y (dot) org " * 20_000), (3, "4" * 50_000), (4, "1.2.3.4 é" * 20_000)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.find_pii(made).collect()}
+    assert got[1].n_email == many and got[1].spans.endswith(f"email:{7 * many - 7}:{7 * many - 1}")
+    assert got[1].base_sha256 == hashlib.sha256(",".join(base_spans("a@b.cc " * many)).encode()).hexdigest()
+    assert got[2].n_email == 0 and len(got[2].spans.split(",")) == 20_000 and got[4].n_ip == 20_000
+    clean = {r.doc_id: r.text for r in pii.redact(made).collect()}
+    assert clean[1] == "[EMAIL] " * many and clean[2] == "[EMAIL] " * 20_000
+    assert time.time() - began < 120
+
+
 def test_boosted_trees_learn():
     rows = [
-        {"kind": 0, "fold": fold, "n": 50, "good": 50 if tld and not plus else 0} | {f: 0 for f in pii.FEATURES} | {"tld": tld, "plus": plus}
-        for tld in (0, 1) for plus in (0, 1) for fold in (0, 1)
+        {"kind": 0, "fold": fold, "n": 50, "good": 50 if check and not edge else 0} | {f: 0 for f in pii.FEATURES} | {"check": check, "edge": edge}
+        for check in (0, 1) for edge in (0, 1) for fold in (0, 1)
     ]
     start, trees, threshold = pii.fit_trees(rows, 0)
     score = lambda **v: start + sum(pii._leaf(t, tuple({**{f: 0 for f in pii.FEATURES}, **v}[f] for f in pii.FEATURES)) for t in trees)
-    assert score(tld=1) >= threshold > max(score(), score(plus=1), score(tld=1, plus=1))
+    assert score(check=1) >= threshold > max(score(), score(edge=1), score(check=1, edge=1))
 
 
 def test_huffman_round_trip():
