@@ -101,7 +101,7 @@ def test_bad_data(spark):
 
 
 def test_coverage(spark):
-    blueprint = Blueprint.from_dict(
+    blueprint = Blueprint.model_validate(
         {
             "id": "f",
             "declarations": {"state": {"b": {"dims": []}}, "forcings": {"food": {"dims": ["T"]}}},

@@ -35,9 +35,14 @@ def _layers_kernel(forcing, day_length, day_layer, night_layer):
 
 @functional("lmtl:layer_weighted_mean", core_dims={"forcing": ["Z"]}, kernel=_layers_kernel)
 def layer_weighted_mean(forcing: Column, day_length: Column, day_layer: Column, night_layer: Column) -> Column:
-    """The day layer's value by day and the night layer's by night; layers count from 0."""
-    day = F.element_at(forcing, (day_layer + 1).cast("int"))
-    night = F.element_at(forcing, (night_layer + 1).cast("int"))
+    """The day layer's value by day and the night layer's by night; layers count from 0, one that is not there is an error."""
+
+    def at(layer: Column) -> Column:
+        there = (layer >= 0) & (layer < F.size(forcing))
+        wrong = F.raise_error(F.concat(F.lit("no layer "), layer.cast("string"))).cast("double")
+        return F.when(there, F.get(forcing, layer.cast("int"))).when(layer.isNull() | forcing.isNull(), F.lit(None).cast("double")).otherwise(wrong)
+
+    day, night = at(day_layer), at(night_layer)
     return day * day_length + night * (F.lit(1.0) - day_length)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ def as_of(source: DataFrame, targets: DataFrame, method: str, keys: list[str] |
     """Values of ``source`` (keys, time, value) at the times of ``targets`` (time, and perhaps keys and others).
 
     ffill takes the last value not later (null before the first), nearest the closest (ties: the later;
-    beyond the ends: the end), linear interpolates, and extrapolates from the two values at an end.
-    Sources and targets are sorted together in stretches of time and looked at with running windows.
+    beyond the ends: the end), linear interpolates, and extrapolates from the two values at an end. Of
+    values at one time the largest counts as the last, the smallest as the first. Sources and targets are
+    sorted together in stretches of about equally many rows and looked at with running windows.
     """
     if method not in ("nearest", "linear", "ffill"):
         raise ValueError(f"unknown method {method!r}")
@@ -26,11 +28,9 @@ def as_of(source: DataFrame, targets: DataFrame, method: str, keys: list[str] |
     at = F.unix_micros(F.col(time).cast("timestamp")).alias("at")
     s = source.select(*keys, F.col(time), at, F.col(value).cast("double").alias("v"), F.lit(0).alias("kind"), *[F.lit(None).cast(dict(targets.dtypes)[c]).alias(c) for c in carried])
     t = targets.select(*keys, F.col(time), at, F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), *carried)
-    span = s.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
-    if span["a"] is None:
+    if s.isEmpty():
         return t.select(*keys, time, *carried, F.lit(None).cast("double").alias(value))
-    both = s.unionByName(t).withColumn("cell", _cell(F.col("at"), span["a"], span["b"]))
-    both, _ = _bracketed(both, keys, F.struct("at", "v"))
+    both, _ = _bracketed(_in_cells(s.unionByName(t), "at"), keys, F.struct("at", "v"))
     rows = both.where("kind = 1")
     lo, hi, now = F.col("lo"), F.col("hi"), F.col("at")
     if method == "ffill":
@@ -56,27 +56,34 @@ def as_of(source: DataFrame, targets: DataFrame, method: str, keys: list[str] |
     return rows.select(*keys, time, *carried, got.alias(value))
 
 
-#: Stretches of the sorted axis that are worked on apart, so that one key's long series is spread over tasks.
-CELLS = 256
+#: Rows of a stretch of the sorted axis; stretches are worked on apart, so that one key's long series is spread over tasks.
+CELL_ROWS = 50_000
 
 
-def _cell(x: Column, first: float, last: float) -> Column:
-    step = max((last - first) / CELLS, 1e-300)
-    return F.least(F.greatest(F.floor((x - F.lit(first)) / F.lit(float(step))), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+def _in_cells(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``cell``: the stretch between two quantiles of ``column``, as many as keep stretches near ``CELL_ROWS`` rows."""
+    parts = -(-rows.count() // CELL_ROWS)
+    inner = rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    borders = [float("-inf"), *sorted({float(x) for x in inner}), float("inf")]
+    if len(borders) == 2:
+        return rows.withColumn("cell", F.lit(0))
+    split = Bucketizer(splits=borders, inputCol="_at", outputCol="_cell", handleInvalid="keep")
+    dealt = split.transform(rows.withColumn("_at", F.col(column).cast("double")))
+    return dealt.withColumn("cell", F.col("_cell").cast("int")).drop("_at", "_cell")
 
 
 def _bracketed(both: DataFrame, keys: list[str], point: Column, order: str = "at") -> tuple[DataFrame, DataFrame]:
     """Rows of sources (kind 0) and targets (kind 1) with ``lo`` and ``hi``, the sources at or before and at or after.
 
     Windows run inside (keys, cell); what lies beyond a cell comes from a table of the cells' first and
-    last sources, at most ``CELLS`` rows per key.
+    last sources, one row for each cell of a key.
     """
     source = F.when(F.col("kind") == 0, point)
     part = Window.partitionBy(*keys, "cell")
     both = both.withColumns(
         {
-            "lo": F.last(source, ignorenulls=True).over(part.orderBy(order, "kind").rowsBetween(Window.unboundedPreceding, 0)),
-            "hi": F.first(source, ignorenulls=True).over(part.orderBy(order, F.desc("kind")).rowsBetween(0, Window.unboundedFollowing)),
+            "lo": F.last(source, ignorenulls=True).over(part.orderBy(order, "kind", source).rowsBetween(Window.unboundedPreceding, 0)),
+            "hi": F.first(source, ignorenulls=True).over(part.orderBy(order, F.desc("kind"), source).rowsBetween(0, Window.unboundedFollowing)),
         }
     )
     cells = both.groupBy(*keys, "cell").agg(F.min(source).alias("first"), F.max(source).alias("last"))
@@ -104,10 +111,9 @@ def nearest_index(points: DataFrame, coords: DataFrame, column: str, tolerance:
     p = points.select(F.struct(*names).alias("point"), number(F.col(column), kinds[column]).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("idx"))
     c = coords.select(F.lit(None).cast(p.schema["point"].dataType).alias("point"), number(F.col("value"), dict(coords.dtypes)["value"]).alias("x"), F.lit(0).alias("kind"), F.col("idx").cast("int"))
     both = p.unionByName(c)
-    span = c.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
-    if span["a"] is None:
+    if c.isEmpty():
         return points.withColumn(f"{column}_idx", F.lit(None).cast("int"))
-    both, _ = _bracketed(both.withColumn("cell", _cell(F.col("x"), span["a"], span["b"])), [], F.struct("x", "idx"), "x")
+    both, _ = _bracketed(_in_cells(both, "x"), [], F.struct("x", "idx"), "x")
     rows = both.where("kind = 1")
     left, right = F.col("x") - F.col("lo.x"), F.col("hi.x") - F.col("x")
     low = F.col("hi").isNull() | (F.col("lo").isNotNull() & (left < right))

@@ -6,6 +6,7 @@ region), embeddings cohort and layer arrays, lineitems predictions and observati
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,8 @@ from ..plans.engine import compile_model, simulate
 from ..plans.models import load_model
 from ..plans.spec import Blueprint, Config
 from ..plans.timegrid import TimeGrid
-from . import align, metrics
+from ..plans.storage import shared_dir
+from . import align, metrics, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,6 +175,35 @@ def nearest_coord_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.nearest_index(table(spark, sf_dir, "supplier"), coords, "s_acctbal").select("s_suppkey", F.col("s_acctbal_idx").alias("idx"))
 
 
+_COORDS = "c as (select n_nationkey as idx, n_nationkey * 400.0::double - 1000.0::double as value from nation)"
+
+
+def _coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), (F.col("n_nationkey") * 400.0 - 1000.0).alias("value"))
+
+
+@query(
+    f"""with {_COORDS} select s_suppkey, coalesce((select arg_min(idx, struct_pack(d := abs(s_acctbal - value), v := -value)) from c where abs(s_acctbal - value) <= 100), -1)::int as idx
+    from supplier"""
+)
+def nearest_coord_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates within a tolerance; suppliers further from any get -1."""
+    got = align.nearest_index(table(spark, sf_dir, "supplier"), _coords(spark, sf_dir), "s_acctbal", tolerance=100.0)
+    return got.select("s_suppkey", F.coalesce("s_acctbal_idx", F.lit(-1)).alias("idx"))
+
+
+@query(
+    f"""with {_COORDS} select count(*) filter (where idx is not null) as found, count(*) filter (where idx is null) as missing
+    from (select o_orderkey, (select min(idx) from c where value = round(o_totalprice / 400) * 400 - 1000 - case when o_orderkey % 3 = 0 then 1 else 0 end) as idx from orders)"""
+)
+def exact_coord_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact coordinates: order totals on the grid, a third of them moved off it; what is not on it has none."""
+    off = F.when(F.col("o_orderkey") % 3 == 0, 1.0).otherwise(0.0)
+    points = table(spark, sf_dir, "orders").select(F.round(F.col("o_totalprice") / 400).alias("r"), off.alias("off")).select((F.col("r") * 400 - 1000 - F.col("off")).alias("x"))
+    got = align.nearest_index(points, _coords(spark, sf_dir), "x", method="exact")
+    return got.agg(F.count("x_idx").alias("found"), F.count(F.when(F.col("x_idx").isNull(), 1)).alias("missing"))
+
+
 @query(
     f"""with {SPAN}, {DAILY}, o as (select event_id, ts, event_type, value from events),
     n as (select o.*, (select arg_min(d.T, struct_pack(x := abs(epoch_us(o.ts) - epoch_us(d.T)), y := -epoch_us(d.T))) from (select distinct T from daily) d) as near from o)
@@ -375,7 +406,7 @@ def nation_state(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     return grid5(spark, sf_dir).select("Y", "X", value.alias("value"))
 
 
-GROWTH = Blueprint.from_dict(
+GROWTH = Blueprint.model_validate(
     {
         "id": "growth",
         "declarations": {
@@ -496,7 +527,7 @@ def forced_blueprint(space: str) -> Blueprint:
     lv = load_model("lotka_volterra")
     steps = [s.model_dump() for s in lv.process[1:]]
     grow = {"func": "growth:forced", "inputs": {"biomass": "state.prey", "rate": "parameters.alpha", "forcing": f"{space}.food"}, "outputs": {"return": "derived.prey_growth"}}
-    return Blueprint.from_dict({"id": "forced", "declarations": decl, "process": [grow, *steps], "tendencies": {k: [s.model_dump() for s in v] for k, v in lv.tendencies.items()}})
+    return Blueprint.model_validate({"id": "forced", "declarations": decl, "process": [grow, *steps], "tendencies": {k: [s.model_dump() for s in v] for k, v in lv.tendencies.items()}})
 
 
 def _forced(spark: SparkSession, sf_dir: str, space: str) -> DataFrame:
@@ -528,7 +559,7 @@ def time_indexed_param(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forced(spark, sf_dir, "parameters")
 
 
-CART = Blueprint.from_dict(
+CART = Blueprint.model_validate(
     {
         "id": "cart-pole",
         "declarations": {
@@ -613,6 +644,57 @@ def loss_metrics_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("any = 1").drop("any")
 
 
+@query(
+    f"""with {_LINES} select k, round(sqrt(avg((pred - obs) ** 2) filter (where m)) / greatest(abs(avg(obs) filter (where m)), 1e-10), 6) as nrmse_mean
+    from l group by k having count(*) filter (where m) > 0"""
+)
+def loss_nrmse_mean_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nrmse = metrics.METRICS["nrmse_mean"](F.col("pred"), F.col("obs"), F.col("m"))
+    return lines(spark, sf_dir).groupBy("k").agg(r6(nrmse, "nrmse_mean"), F.max(F.col("m").cast("int")).alias("any")).where("any = 1").drop("any")
+
+
+@query(
+    f"""with {_LINES}, e as (select unnest(generate_series(0, 3)) as i) select i::int as E, case when i % 2 = 1 then 1e6
+    else round(sqrt(avg((pred * (1 + i) - obs) ** 2)), 4) end as loss from l, e group by i"""
+)
+def loss_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose predictions are not finite get the penalty as their loss."""
+    member = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("E")
+    pred = F.when(F.col("E") == 1, float("nan")).when(F.col("E") == 3, float("inf")).otherwise(F.col("pred") * (1 + F.col("E")))
+    rows = lines(spark, sf_dir).select(member, "obs", "pred").withColumn("pred", pred)
+    return metrics.composite_loss([(rows, "rmse", 1.0)]).select("E", F.round("loss", 4).alias("loss"))
+
+
+@query(
+    """with p as (select l_orderkey as k, sum(l_extendedprice * case when l_linestatus = 'O' then 1.0::double else 0.5::double end) as pred from lineitem group by 1)
+    select o_orderpriority as priority, count(*) as n, round(sqrt(avg((pred - o_totalprice) ** 2)) / 1e3, 4) as loss from orders join p on k = o_orderkey group by 1"""
+)
+def combined_group_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's total observes all its lines together, open ones with weight 1, others with one half."""
+    weight = F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.5)
+    pred = metrics.combined_groups(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", weight)
+    pairs = table(spark, sf_dir, "orders").join(pred, F.col("o_orderkey") == F.col("l_orderkey"))
+    loss = metrics.rmse(F.col("pred"), F.col("o_totalprice"))
+    return pairs.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(loss / 1e3, 4).alias("loss"))
+
+
+@query(
+    f"""with {SPAN}, {DAILY}, d as (select date_diff('day', (select min(T) from daily), T) as t, value from daily)
+    select (t // 10)::int as t_bucket, count(*) as n, round(sum(value), 4) as total from d group by 1"""
+)
+def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily values written in three chunks to a folder partitioned by stretches of ten steps, and read back."""
+    rows = daily(spark, sf_dir)
+    first = rows.agg(F.min("T").alias("first"))
+    steps = rows.crossJoin(F.broadcast(first)).select(F.datediff("T", "first").cast("long").alias("t_idx"), "value")
+    with sinks.DiskWriter(spark, f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}", bucket_steps=10) as writer:
+        writer.initialize(["value"])
+        for low, high in ((0, 10), (10, 20), (20, 1 << 30)):
+            writer.append(steps.where(F.col("t_idx").between(low, high - 1)))
+        back = writer.finalize()
+    return back.groupBy("t_bucket").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 _LOSSES = f"""{_LINES}, e as (select i as E, 1000 + i * 100 as f from (select unnest(generate_series(0, 9)) as i)),
 losses as (select E, round(0.7::double * sqrt(avg((pred / 1500 * f - obs) ** 2)) / 1e3 + 0.3::double * sqrt(avg((pred / 1500 * f - obs) ** 2)) / stddev_pop(obs), 6) as loss from l, e group by E)"""
 
@@ -648,45 +730,15 @@ def param_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("s_suppkey", r6(F.col("x"), "x"), r6(gap, "distance"))
 
 
-# ---- calibration and streams: rows only, as SQL has no twin ----
-
-
-@query()
-def calibration_cmaes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth rate and capacity fitted to a noisy run, noise from the events; one Spark job per generation."""
-    from ..optim.objective import Objective, evaluator
-    from ..optim.optimizers import CMAES, as_rows
-
-    model = growth_model(spark, sf_dir)
-    noise = daily(spark, sf_dir).groupBy("T").agg((F.avg("value") / 1000).alias("e")).select((F.dayofyear("T") - 1).cast("long").alias("t_idx"), "e")
-    truth = simulate(model).outputs.join(noise, "t_idx")
-    obs = truth.select(F.col("t_idx").alias("T"), "Y", "X", (F.col("biomass") + F.col("e")).alias("obs"))
-    index = lambda n: spark.range(n).select(F.col("id").cast("int").alias("idx"), F.col("id").cast("double").alias("value"))
-    model.coords.update({"T": index(40), "Y": index(5), "X": index(5)})
-    found = CMAES({"rate": (0.01 / DAY, 0.2 / DAY), "capacity": (50.0, 400.0)}, {"rate": 0.1 / DAY, "capacity": 100.0}, popsize=16, seed=1)
-    result = found.run(evaluator(model, [Objective(obs, target="biomass", metric="rmse")]), max_generations=8)
-    return spark.createDataFrame(as_rows(result), "loss double, n_iterations int, capacity double, rate double")
-
-
-@query()
-def calibration_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate and capacity fitted at every nation apart, to a run disturbed by the events; one job for all sites and generations."""
-    from ..optim.sites import calibrate_sites
-
-    model = growth_model(spark, sf_dir)
-    noise = daily(spark, sf_dir).groupBy("T").agg((F.avg("value") / 1000).alias("e")).select((F.dayofyear("T") - 1).cast("long").alias("t_idx"), "e")
-    obs = simulate(model).outputs.join(noise, "t_idx").select("Y", "X", "t_idx", (F.col("biomass") + F.col("e")).alias("obs"))
-    return calibrate_sites(model, obs, "biomass", {"rate": (0.01 / DAY, 0.2 / DAY), "capacity": (50.0, 400.0)}, {"rate": 0.1 / DAY, "capacity": 100.0})
+# ---- streams ----
 
 
 @query("select count(*) as n_events, round(sum(value), 4) as total from events")
 def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stateful stream over the events, state carried between micro-batches, summed at the end."""
+    """Totals by type from a stream of several batches, summed at the end."""
     from ..streaming.stateful import run_stream
 
-    out = run_stream(spark, sf_dir)
-    last = out.groupBy("event_type").agg(F.max(F.struct("n", "total")).alias("s"))
-    return last.agg(F.sum("s.n").alias("n_events"), F.round(F.sum("s.total"), 4).alias("total"))
+    return run_stream(spark, sf_dir).agg(F.sum("n").alias("n_events"), F.round(F.sum("total"), 4).alias("total"))
 
 
 from . import engine_twins  # noqa: E402, F401  (registers further queries)

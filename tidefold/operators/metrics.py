@@ -80,6 +80,12 @@ def composite_loss(parts: list[tuple[DataFrame, str | Callable[..., Column], flo
     )
 
 
+def combined_groups(rows: DataFrame, keys: list[str], value: str = "pred", weight: Column | float = 1.0) -> DataFrame:
+    """Weighted sum of ``value`` over the groups that one observation of ``keys`` covers, as ``pred``; nulls count as nothing."""
+    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    return rows.groupBy(*keys).agg(F.sum(F.col(value) * w).alias("pred"))
+
+
 def population_stats(losses: DataFrame, key: str = "E") -> DataFrame:
     """Best member (the first of equals), best loss, mean of the finite losses and their number."""
     finite = F.when(~F.isnan("loss") & (F.abs("loss") < float("inf")), F.col("loss"))

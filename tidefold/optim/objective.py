@@ -14,7 +14,8 @@ from ..operators.align import coords_to_indices
 from ..operators.metrics import composite_loss
 from ..plans.engine import CompiledModel, simulate, unpack
 from ..plans.storage import written
-from .parameters import Params
+
+Params = dict[str, Any]
 
 
 @dataclass

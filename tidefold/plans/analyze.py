@@ -72,7 +72,7 @@ def validate_blueprint(blueprint: Blueprint, time_dim: str = "T") -> ValidationR
             out.errors.append(error)
     if out.errors:
         return out
-    declared = blueprint.declarations.all_variables()
+    declared = blueprint.declarations.by_path()
     known = set(declared)
     for step, meta in zip(blueprint.process, functions, strict=True):
         given, allowed = set(step.inputs), meta.arguments()
@@ -189,7 +189,7 @@ def validate_config(blueprint: Blueprint, config: Config) -> dict[str, int]:
     NaN or null values raise ValueError; two sizes of one dimension raise E202.
     """
     time_dim, data = config.execution.time_dim, bound_data(blueprint, config)
-    declared = blueprint.declarations.all_variables()
+    declared = blueprint.declarations.by_path()
     errors: list[ModelError] = []
     for path, v in declared.items():
         if path.startswith("derived."):
