@@ -26,7 +26,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 1024
 #: Documents that a task tokenises together, and the rows of a range of a sweep.
-BATCH, RANGE_ROWS = 4096, 1 << 15
+BATCH, RANGE_ROWS = 2048, 1 << 15
 #: Pieces of at most this share of a sequence open sequences together, so that rounds stay few.
 SMALL = 8
 
@@ -108,7 +108,9 @@ def _sweep(state: DataFrame, parts: int, length: int, first_bundle: int | None)
         yield pd.DataFrame(rest, columns=names)
 
     order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-    ranged = state.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # One range is at most ``range_rows`` rows; more are dealt by sampled borders.
+    ranged = state.coalesce(1) if parts == 1 else state.repartitionByRange(parts, *order)
+    ranged = ranged.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     return ranged.mapInPandas(run, "part int, kind int, id bigint, size bigint, bin bigint, rank bigint")
 
 
