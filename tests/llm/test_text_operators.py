@@ -394,7 +394,51 @@ def test_html_keeps_figures_formulas_and_short_blocks(spark, sf):
 
 def test_every_name_of_an_element_counts():
     many = "div " + " ".join(f"p-{i}" for i in range(12))
-    assert html_blocks._path_vector(many)[2] == 0 and html_blocks._path_vector(f"{many} cookie-banner")[2] == 1
+    assert (html_blocks._path_vector(many) != html_blocks._path_vector(f"{many} cookie-banner")).any()
+    block = lambda path: (path, "Some text of a block that is long enough.", 0)
+    blocks = [block(f"html/body/article/{many} cookie-banner"), block("html/body/article/div article-header"), block("html/body/article/p"), block("html/body/article/div comment-list")]
+    assert html_blocks.teacher(blocks).tolist() == [0, 1, 1, 0]
+
+
+def test_inserted_adverts_and_deep_pages():
+    page = '<article><p>Good <span class="ad">Buy <b>now</b></span>text <a class="nav-link" href="#">here</a>.</p></article>'
+    assert [t for _, t, _ in html_blocks.leaves(page)] == ["Good text here."]
+    began = time.time()
+    deep = "<div>" * 50_000 + "<p>inside</p>" + "</div>" * 50_000 + "<p>after</p>"
+    blocks = html_blocks.leaves(deep)
+    assert [t for _, t, _ in blocks] == ["inside", "after"] and blocks[1][0] == "p" and time.time() - began < 20
+    assert len(html_blocks.leaves("<b>" * 20_000 + "x" + "</b>" * 20_000)) == 1 and time.time() - began < 40
+
+
+def test_html_pages_of_other_shapes(spark, sf):
+    given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    real = given.limit(20)
+    nulls = spark.range(3000).selectExpr("id + 1000000 as page_id", "'u' as url", "cast(null as string) as html")
+    mixed = real.union(nulls).union(real.limit(1)).selectExpr("*", "1 as text", "2 as h", "'x' as n_chars")
+    model = html_blocks.fit_labeller(mixed)
+    rows = html_blocks.extract_text(mixed, model).collect()
+    assert len(rows) == 3021 and all(r.text == "" and r.n_chars == 0 for r in rows if r.page_id >= 1000000)
+    raw = {r.page_id: r.html for r in real.collect()}
+    for r in rows:
+        if r.page_id < 1000000:
+            inside = html_blocks._SPACE.sub("", re.sub("<[^>]*>", "", re.search("(?s)<article>(.*?)(?:</article>|$)", raw[r.page_id])[1]))
+            assert html_blocks._SPACE.sub("", __import__("html").unescape(inside)) == html_blocks._SPACE.sub("", r.text)
+    model = html_blocks.fit_labeller(given)
+    long = "A paragraph that goes on and on about the matter at hand and says more than the rest of the page does. " * 3
+    pages = [
+        f"<body><h1>T</h1><p>{long}</p><p>Short.</p></body>",
+        f'<article><div class="article-header"><h2>Sub</h2></div><p>{long}</p></article>',
+        "<article>" + "".join(f"<p>Line {i} of a page with very many blocks.</p>" for i in range(9000)) + "</article><footer>end</footer>",
+    ]
+    got = html_blocks.extract(model, pages)
+    assert got[0] == f"T\n{long.strip()}\nShort." and got[1] == f"Sub\n{long.strip()}" and got[2].count("\n") == 8999
+
+
+def test_long_pages_are_scored_as_short_ones():
+    net = html_blocks.BiLSTM(html_blocks.PATH + html_blocks.WORDS + html_blocks.PLAIN)
+    blocks = [(f"html/body/div x{i % 5}/p", f"text {i}", 0) for i in range(50)]
+    x, there = html_blocks._padded([html_blocks.vectors(blocks)])
+    assert np.allclose(net.score(x, there)[0], net.score_long(blocks, 7))
 
 
 def test_lstm_gradient():

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 #: Pages the network is trained on, at most.
 TRAIN_PAGES = 300
-PATH, WORDS, PLAIN = 64, 16, 6
+#: Places of a vector: one for each tag of ``TAGS``, hashed names and tag pairs, hashed words, plain measures.
+NAMES, WORDS, PLAIN = 64, 16, 6
 HIDDEN = 16
 ENRICHED = 400
 EPOCHS = 20
@@ -44,28 +45,47 @@ INLINE = frozenset(
     " mphantom menclose merror mmultiscripts mprescripts mtable mtr mtd semantics".split()
 )
 APART = frozenset("nav header footer aside form button select menu dialog option input fieldset legend".split())
-NOISE = re.compile(
-    r"\b(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|popup|modal|menu|nav\w*|sidebar|side|footer|header"
-    r"|comment\w*|repl(?:y|ies)|disqus|share|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|pagination|toolbar|widget|login|search)\b",
-    re.I,
+#: What a name of an element says when it is noise, alone or with what it is part of before it and details after it.
+_WORD = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alerts?|popup|modal|menu|nav\w*|sidebar|side|footer|header"
+    r"|comments?|commenter|repl(?:y|ies)|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|pagination|toolbar|widgets?|login|search"
 )
+NOISE = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|post|user|google|mobile)[-_])*(?:{_WORD})(?:[-_]\w+)*", re.I)
+#: Of text inside a paragraph only this is noise.
+INSERTED = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|share|sharing|newsletter)(?:[-_]\w+)*", re.I)
 MAIN = frozenset(("article", "main"))
+TAGS = tuple(sorted(APART | MAIN | frozenset("html body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table tbody thead tr td th blockquote pre figure figcaption address center details summary".split())))
+_PLACE = {t: i for i, t in enumerate(TAGS)}
+PATH = len(TAGS) + NAMES
+#: Elements nested deeper than this count as part of the one around them.
+DEPTH = 512
+
+
+def _names(rest: str) -> str:
+    return " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).lower()
 
 
 def leaves(page: str | None) -> list[tuple[str, str, int]]:
-    """The text blocks of a page in order: path of block elements with their names, text, characters inside links."""
+    """The text blocks of a page in order: path of block elements with their names, text, characters inside links.
+
+    Inserted adverts and the like inside a block's text are left out. The time is linear in the page: a path
+    is written only for blocks with text, and elements deeper than ``DEPTH`` do not lengthen it.
+    """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked = links = 0
-    path = ""
+    inline: list[tuple[str, bool]] = []
+    linked = hidden = links = deeper = 0
+    path: str | None = ""
     page = page or ""
     at = 0
 
     def flush() -> None:
-        nonlocal linked
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        nonlocal linked, path
+        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
         if text:
+            if path is None:
+                path = "/".join(f"{t} {n}" if n else t for t, n in stack)
             out.append((path, text, linked))
         parts.clear()
         linked = 0
@@ -79,44 +99,59 @@ def leaves(page: str | None) -> list[tuple[str, str, int]]:
         at = m.end()
         text = m["text"]
         if text is not None:
-            parts.append(text)
-            if links:
-                linked += len(text)
+            if not hidden:
+                parts.append(text)
+                linked += len(text) if links else 0
             continue
         tag = m["tag"] or m["tag2"]
         if not tag:
             continue
+        rest = m["rest"] or m["rest2"] or ""
         tag, closing = tag.lower(), m["close"] or m["close2"]
         if tag in INLINE:
-            if tag == "a":
-                links = max(0, links - 1) if closing else links + 1
-            elif tag == "br":
+            if tag == "br":
                 parts.append(" ")
-            elif tag == "img" or not NOISE.search(m["rest"] or m["rest2"] or ""):
+            elif tag in VOID or rest.endswith("/"):
                 pass
+            elif not closing:
+                inline.append((tag, any(map(INSERTED.fullmatch, _names(rest).split())) if "=" in rest else False))
+            else:
+                for i in range(len(inline) - 1, max(-1, len(inline) - 1 - DEPTH), -1):
+                    if inline[i][0] == tag:
+                        del inline[i:]
+                        break
+            if tag not in VOID:
+                links, hidden = sum(t == "a" for t, _ in inline[-DEPTH:]), any(n for _, n in inline[-DEPTH:])
             continue
         if tag in RAW:
-            if not closing and not (m["rest"] or m["rest2"] or "").endswith("/"):
+            if not closing and not rest.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 if tag not in ("script", "style", "annotation", "annotation-xml"):
                     flush()
             continue
         flush()
-        links = 0
+        links = hidden = 0
+        inline.clear()
         if closing:
+            if deeper and tag not in VOID:
+                deeper -= 1
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
+                    path = None
                     break
         elif tag not in VOID:
             if stack and stack[-1][0] == "p":
                 stack.pop()
             if tag in ("li", "option", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m["rest"] or m["rest2"] or ""))
-            stack.append((tag, names.lower()))
-        path = "/".join(f"{t} {n}" if n else t for t, n in stack)
+            if len(stack) < DEPTH:
+                stack.append((tag, _names(rest)))
+            else:
+                deeper += 1
+            path = None
     flush()
     return out
 
@@ -133,7 +168,7 @@ def teacher(blocks: list[tuple[str, str, int]]) -> np.ndarray:
     steps = [path.split("/") for path, _, _ in blocks]
     tags = [[s.split(" ", 1)[0] for s in p] for p in steps]
     inside = [any(t in MAIN for t in p) for p in tags]
-    noise = [any(t in APART for t in p) or any(NOISE.search(s.split(" ", 1)[1]) for s in q if " " in s) for p, q in zip(tags, steps, strict=True)]
+    noise = [any(t in APART for t in p) or any(NOISE.fullmatch(n) for s in q for n in s.split(" ")[1:]) for p, q in zip(tags, steps, strict=True)]
     good = inside if any(inside) else _by_context(blocks, noise)
     return np.array([float(g and not n) for g, n in zip(good, noise, strict=True)])
 
@@ -163,26 +198,30 @@ _words: dict[str, int] = {}
 
 
 def _path_vector(path: str) -> np.ndarray:
-    """Hashed tags, names and tag pairs of a path, with signs."""
+    """How often each tag is on a path, and its hashed names, their parts and tag pairs, with signs."""
     if (v := _paths.get(path)) is None:
-        if len(_paths) > 100_000:
+        if len(_paths) > 20_000:
             _paths.clear()
         v = np.zeros(PATH, dtype=np.float32)
         above = ""
         for step in path.split("/"):
             tag, *names = step.split() or [""]
-            # What HTML or a name says outright has places of its own, free of collisions.
-            v[:3] += (tag in MAIN, tag in APART, any(NOISE.search(n) for n in names))
-            for mark in (tag, f"{above}>{tag}", *(f".{n}" for n in names)):
-                h = zlib.crc32(mark.encode())
-                v[3 + h % (PATH - 3)] += 1.0 if h & 0x10000 else -1.0
+            if tag in _PLACE:
+                v[_PLACE[tag]] += 1.0
+            parts = {f".{p}" for n in names for p in (n, *re.split("[-_]", n))}
+            for mark in (f"{above}>{tag}", *sorted(parts)):
+                h = zlib.crc32(mark.encode("utf-8", "surrogatepass"))
+                v[len(TAGS) + h % NAMES] += 1.0 if h & 0x10000 else -1.0
             above = tag
+        # Many nested elements of a kind say no more than a few.
+        v = np.clip(v, -4, 4)
         _paths[path] = v
     return v
 
 
-def vectors(blocks: list[tuple[str, str, int]]) -> np.ndarray:
-    """Path, hashed words and plain measures of every block."""
+def vectors(blocks: list[tuple[str, str, int]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """Path, hashed words and plain measures of blocks that stand from ``first`` on in a page of ``total``."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), PATH + WORDS + PLAIN), dtype=np.float32)
     for i, (path, text, linked) in enumerate(blocks):
         words = text.split(" ")
@@ -195,7 +234,7 @@ def vectors(blocks: list[tuple[str, str, int]]) -> np.ndarray:
         out[i, PATH : PATH + WORDS] = np.bincount(bins, minlength=WORDS) / len(words)
         out[i, PATH + WORDS :] = (
             np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, min(linked / len(text), 1.0), text[-1] in ".!?…",
-            (i + 1) / len(blocks), path.count("/") / 8,
+            (first + i + 1) / total, path.count("/") / 8,
         )
     return out
 
@@ -216,11 +255,13 @@ class BiLSTM:
             self.p[f"b{d}"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
         self.hidden = hidden
 
-    def _run(self, x: np.ndarray, there: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States at every step; padding leaves the state as it is. Gates: in, forget, out, new."""
+    def _run(self, x: np.ndarray, there: np.ndarray, d: str, keep: bool = True, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+        """States at every step, a tape if it is to be kept, and the last state; padding leaves the state as it is.
+
+        Gates: in, forget, out, new."""
         n, steps, _ = x.shape
         k, tape = self.hidden, []
-        h = c = np.zeros((n, k))
+        h, c = state or (np.zeros((n, k)), np.zeros((n, k)))
         out = np.zeros((n, steps, k))
         given = x @ self.p[f"x{d}"] + self.p[f"b{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -231,15 +272,29 @@ class BiLSTM:
             c2 = f * c + i * new
             th = np.tanh(c2)
             h2 = np.where(m, o * th, h)
-            tape.append((t, h, c, i, f, o, new, th, m))
+            if keep:
+                tape.append((t, h, c, i, f, o, new, th, m))
             c, h = np.where(m, c2, c), h2
             out[:, t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def score(self, x: np.ndarray, there: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self._run(x, there, "f")[0], self._run(x, there, "b")[0]], axis=2)
+        states = np.concatenate([self._run(x, there, "f", False)[0], self._run(x, there, "b", False)[0]], axis=2)
         return _sigmoid(states @ self.p["out"] + self.p["bias"])
 
+    def score_long(self, blocks: list[tuple[str, str, int]], part: int) -> np.ndarray:
+        """The scores of one page, ``part`` blocks at a time: the state is carried on, so they are those of one run."""
+        k, n = self.hidden, len(blocks)
+        total = np.full(n, self.p["bias"][0])
+        for d, weight in (("f", self.p["out"][:k]), ("b", self.p["out"][k:])):
+            state = None
+            starts = range(0, n, part)
+            for a in starts if d == "f" else reversed(starts):
+                x = vectors(blocks[a : a + part], a, n)[None].astype(float)
+                out, _, state = self._run(x, np.ones(x.shape[:2], dtype=bool), d, False, state)
+                total[a : a + part] += out[0] @ weight
+        return _sigmoid(total)
+
     def gradient(self, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         k = self.hidden
         runs = {d: self._run(x, there, d) for d in "fb"}
@@ -327,8 +382,10 @@ def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[lis
     out = list(pages)
     for i in range(max(len(pages), ENRICHED if pages else 0)):
         page = list(pages[i % len(pages)])
-        if rng.random() < 0.3:
-            page = [(re.sub(r"\barticle\b", "main", path), text, linked) for path, text, linked in page]
+        kind = rng.random()
+        if kind < 0.45:
+            # Main elements, and pages without either, whose teacher goes by context.
+            page = [(re.sub(r"\barticle\b", "main" if kind < 0.25 else "div", path), text, linked) for path, text, linked in page]
         for _ in range(int(rng.integers(1, 6))):
             at = int(rng.integers(0, len(page) + 1))
             near = page[min(at, len(page) - 1)][0].rpartition("/")[0]
@@ -347,35 +404,71 @@ def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[lis
     return out
 
 
+def skeletons(many: int = 120, seed: int = 9) -> list[list[tuple[str, str, int]]]:
+    """Plain pages made by rule, with which the network is trained beside the sampled ones, however few these are."""
+    rng = np.random.default_rng(seed)
+    words = "the of and in to a is that for on with as by at from this it was are be or an which were their has more".split()
+
+    def text(n: int) -> str:
+        return " ".join(rng.choice(words, size=n)).capitalize() + "."
+
+    out = []
+    for _ in range(many):
+        around = ("html/body/article", "html/body/main", "article", "div/article", "html/body/div/article", "html/body/div", "html/body/div content", "html/body")[int(rng.integers(8))]
+        page = [("html/body/nav/ul/li", w, len(w)) for w in rng.choice(words, size=int(rng.integers(0, 6)))]
+        page += [("html/body/header/h1", text(3), 0)] if rng.random() < 0.5 else []
+        page.append((f"{around}/h1", text(int(rng.integers(1, 9))), 0))
+        for _ in range(int(rng.integers(1, 9))):
+            inner = f"{around}/{('p', 'p', 'p', 'div article-header/h2', 'ul/li', 'blockquote/p', 'h2')[int(rng.integers(7))]}"
+            page.append((inner, text(int(rng.choice([1, 2, 5, 30, 120]))), 0))
+            if rng.random() < 0.25:
+                noise = text(int(rng.choice([1, 2, 12])))
+                page.append((f"{around}/{EXTRA[int(rng.integers(len(EXTRA)))]}", noise, int(rng.choice([0, len(noise)]))))
+        page += [("html/body/footer/p", text(4), 0)] if rng.random() < 0.7 else []
+        out.append(page)
+    return out
+
+
 def fit_labeller(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> BiLSTM:
-    """Train on at most ``train_pages`` pages, chosen by a hash.
+    """Train on at most ``train_pages`` pages that are not null or empty, chosen by a hash, and on ``skeletons``.
 
     A cut in the hash leaves a few times as many before the sort, so that tasks send few pages to the driver.
     """
+    some = pages.where("html is not null and html <> ''")
     pick = F.xxhash64("page_id", "html")
-    share = min(1.0, 4 * train_pages / max(1, pages.count()))
-    some = pages.where("html is not null and html <> ''").where(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = min(1.0, 4 * train_pages / max(1, some.count()))
+    some = some.where(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = some.select("html", pick.alias("h")).orderBy("h").limit(train_pages).toPandas()
-    made = enriched([b for b in map(leaves, rows["html"]) if b])
+    # Pages of very many blocks are extracted, but not learnt from: they would be most of the training.
+    made = enriched([b for b in map(leaves, rows["html"]) if 0 < len(b) <= LONG] + skeletons())
     return BiLSTM(PATH + WORDS + PLAIN).fit([vectors(b) for b in made], [teacher(b) for b in made])
 
 
+#: Blocks of a page that are scored together; longer pages are scored part by part.
+LONG = 4096
+
+
 def extract(model: BiLSTM, texts: list[str | None]) -> list[str]:
     """The main text of each page: its blocks labelled main, joined by line feeds."""
     made = [leaves(t) for t in texts]
     out = [""] * len(made)
-    for group in batched([len(b) for b in made], 256, 1 << 15):
+    sizes = [len(b) if len(b) <= LONG else 0 for b in made]
+    for group in batched(sizes, 256, 1 << 14):
         x, there = _padded([vectors(made[i]) for i in group])
         main = model.score(x, there) >= 0.5
         for row, i in enumerate(group):
             out[i] = "\n".join(b[1] for b, good in zip(made[i], main[row], strict=False) if good)
+    for i, blocks in enumerate(made):
+        if len(blocks) > LONG:
+            out[i] = "\n".join(b[1] for b, p in zip(blocks, model.score_long(blocks, LONG), strict=True) if p >= 0.5)
     return out
 
 
 def extract_text(pages: DataFrame, model: BiLSTM | None = None) -> DataFrame:
     """(page_id, url, html) -> per row: page_id, url, text, n_chars; null html is empty and gives an empty text.
 
-    Repeated rows give a row each; other columns are ignored; an empty table gives no rows.
+    Repeated rows give a row each; other columns are ignored; an empty table gives no rows. Elements nested
+    deeper than ``DEPTH`` count as part of the one around them; a page of any number of blocks is read whole.
     """
     model = model or fit_labeller(pages)
     shared = pages.sparkSession.sparkContext.broadcast(model)
