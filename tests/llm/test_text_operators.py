@@ -54,8 +54,12 @@ def test_simhash(spark, docs, awkward):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_components(mixed, tile_rows=64).collect() if r.doc_id is not None}
     assert got == want
     kept = simhash.drop_near_duplicates(awkward)
-    assert kept.columns == awkward.columns and kept.count() == kept.dropDuplicates(["doc_id"]).count()
+    assert kept.columns == awkward.columns and kept.count() == kept.dropDuplicates(["doc_id", "text"]).count()
     assert simhash.simhash_components(awkward.limit(0)).count() == 0
+    copies = [(1, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text that is alone here"), (9, "quite another text that is alone here")]
+    for rows in (copies, copies[::-1]):
+        kept = simhash.drop_near_duplicates(spark.createDataFrame([*rows, rows[0], (None, "one two three four five six")], "doc_id bigint, text string")).collect()
+        assert sorted((r.doc_id or 0, r.text[:3]) for r in kept) == [(0, "one"), (1, "one"), (5, "qui")]
 
 
 def base_spans(text):

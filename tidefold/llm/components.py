@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import hot_keys, join_unique, materialise
 
 MAX_ROUNDS = 64
 
@@ -16,11 +16,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's neighbours (a partial minimum before the
     shuffle, so hubs stay cheap), then replaces each label by the label of the node it names, which
     doubles the reach. Rounds grow with the logarithm of the diameter. Labels are written out each
-    round; only one number per round comes to the driver. Null ends and self links are ignored;
+    round; only counts come to the driver. Hubs and large components are joined apart, by broadcast. Null ends and self links are ignored;
     nodes that occur in no link are not returned; no links give an empty table.
     """
     links = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
     both = materialise(links.union(links.select(F.col("dst"), F.col("src"))).distinct(), "links")
+    hubs = materialise(hot_keys(both, "dst", both.count()), "hubs")
     labels = materialise(
         both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
         .select("node", F.least("node", "m").alias("component")),
@@ -28,7 +29,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     for _ in range(MAX_ROUNDS):
         seen = (
-            both.join(labels.withColumnRenamed("node", "dst"), "dst")
+            join_unique(both, labels.withColumnRenamed("node", "dst"), "dst", hubs)
             .groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         )
         near = labels.join(seen, "node").select(
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         near = materialise(near, "labels")
         up = near.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        jumped = near.join(up, "component").select(
+        jumped = join_unique(near, up, "component", hot_keys(near, "component", near.count())).select(
             "node", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("moved")
         )
         jumped = materialise(jumped, "labels")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .runtime import materialise, width
+from .runtime import as_empty, hot_keys, join_unique, materialise, width
 
 SHINGLE = 4
 RADIUS = 4
@@ -103,15 +103,19 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(pairs: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Compare pairs of tiles; emit a star for each group of linked fingerprints, not all its pairs."""
-    for frame in pairs:
+def _compare(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Compare each tile, which comes first (b = -1), with those that follow; emit a star for each group of linked fingerprints."""
+    held: tuple | None = None
+    for frame in frames:
         for row in frame.itertuples(index=False):
+            fps, ids = np.asarray(row.fps, dtype=np.int64).view(np.uint64), np.asarray(row.ids, dtype=np.int64)
+            order = np.argsort(ones := np.bitwise_count(fps), kind="stable")
+            tile = fps[order], ids[order], ones[order].astype(int)
+            if row.b < 0:
+                held = tile
+                continue
             same = row.a == row.b
-            fa, ia = np.asarray(row.fps_a, dtype=np.int64).view(np.uint64), np.asarray(row.ids_a, dtype=np.int64)
-            fb, ib = np.asarray(row.fps_b, dtype=np.int64).view(np.uint64), np.asarray(row.ids_b, dtype=np.int64)
-            oa, ob = np.argsort(pa := np.bitwise_count(fa), kind="stable"), np.argsort(pb := np.bitwise_count(fb), kind="stable")
-            fa, ia, pa, fb, ib, pb = fa[oa], ia[oa], pa[oa].astype(int), fb[ob], ib[ob], pb[ob].astype(int)
+            (fa, ia, pa), (fb, ib, pb) = held, tile
             # Pairs of one strip are reduced to stars at once, so a tile of near copies never holds all its pairs.
             ends: list[np.ndarray] = []
             for s in range(0, len(fa), STRIP):
@@ -122,10 +126,10 @@ def _compare(pairs: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFram
                     ends.append(_stars(x + s, y + lo + (0 if same else len(ia))))
             if not ends:
                 continue
-            ids = ia if same else np.concatenate([ia, ib])
+            names = ia if same else np.concatenate([ia, ib])
             star = _stars(*np.concatenate(ends, axis=1))
             if star.shape[1]:
-                yield pd.DataFrame({"src": ids[star[0]], "dst": ids[star[1]]})
+                yield pd.DataFrame({"src": names[star[0]], "dst": names[star[1]]})
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,12 +174,29 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int =
                 yield pd.DataFrame({"a": np.full(len(j), i, dtype=np.int32), "b": j.astype(np.int32)})
 
     pairs = spark.range(len(low)).mapInPandas(near, "a int, b int")
-    left = tiles.select(F.col("tile").alias("a"), F.col("fps").alias("fps_a"), F.col("ids").alias("ids_a"))
-    right = tiles.select(F.col("tile").alias("b"), F.col("fps").alias("fps_b"), F.col("ids").alias("ids_b"))
-    work = pairs.join(left, "a").join(right, "b").repartition(width(spark), "a", "b")
+    # A tile is moved once for itself and once for each pair it is the second of.
+    second = pairs.join(tiles.withColumnRenamed("tile", "b"), "b").select("a", "b", "fps", "ids")
+    work = second.union(tiles.select(F.col("tile").alias("a"), F.lit(-1).alias("b"), "fps", "ids"))
+    work = work.repartition(width(spark), "a").sortWithinPartitions("a", "b")
     return work.mapInPandas(lambda frames: _compare(frames, radius), links)
 
 
+def _grouped(docs: DataFrame, radius: int, tile_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, fp, tie), fingerprints (fp, group, component_id), and the fingerprints of very many rows."""
+    rows = docs.select("doc_id", fingerprint_udf(F.col("text")).alias("fp"), F.xxhash64(as_empty("text")).alias("tie"))
+    prints = materialise(rows, "prints")
+    heads = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "heads")
+    # One id may head several fingerprints when doc_ids repeat: nodes are the fingerprints themselves.
+    links = materialise(fingerprint_links(heads.select("fp", F.col("fp").alias("id")), radius, tile_rows), "links")
+    groups = connected_components(links)
+    joined = heads.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("group"))
+    joined = materialise(joined, "groups")
+    smallest = joined.groupBy("group").agg(F.min("id").alias("component_id"))
+    wide = hot_keys(joined, "group", joined.count())
+    named = materialise(join_unique(joined, materialise(smallest, "smallest"), "group", wide).select("fp", "group", "component_id"), "named")
+    return prints, named, materialise(hot_keys(prints, "fp", prints.count()), "common")
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, text) -> one row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -184,38 +205,39 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, tile_rows: int = T
     documents that share it or null; it names no component. Other columns are ignored, whatever
     their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prints = materialise(docs.select("doc_id", fingerprint_udf(F.col("text")).alias("fp")), "prints")
-    heads = materialise(
-        prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "heads"
-    )
-    # One id may head several fingerprints when doc_ids repeat: nodes are the fingerprints themselves.
-    nodes = heads.select("fp", F.col("fp").alias("id"))
-    links = materialise(fingerprint_links(nodes, radius, tile_rows), "links")
-    groups = connected_components(links)
-    joined = heads.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "id", F.coalesce("component", "fp").alias("group")
-    )
-    joined = materialise(joined, "groups")
-    smallest = materialise(joined.groupBy("group").agg(F.min("id").alias("component_id")), "smallest")
-    named = materialise(joined.join(smallest, "group").select("fp", "component_id"), "named")
-    return prints.join(named, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    prints, named, common = _grouped(docs, radius, tile_rows)
+    known = join_unique(prints, named, "fp", common)
+    # Fingerprints that only rows without doc_id have are in no group.
+    alone = prints.where("doc_id is null").join(named.select("fp"), "fp", "left_anti").withColumn("component_id", F.lit(None).cast(dict(docs.dtypes)["doc_id"]))
+    shown = ["doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"]
+    return known.select(*shown).union(alone.select(*shown))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Keep, of each group of near duplicates, the documents whose doc_id is the smallest of it.
+    """Keep one document of each group of near duplicates: the smallest doc_id, then the smallest hash of its text.
 
-    All columns stay. Rows that repeat the kept doc_id are cut to one, rows without doc_id stay.
+    Groups are of texts, so where doc_ids repeat, a text of its own stays whatever else has its doc_id. Of
+    rows that repeat both the kept doc_id and its text one stays, whichever comes first. Rows without doc_id
+    stay and stand for no one. All columns stay; an empty table gives no rows.
     """
-    found = materialise(simhash_components(docs, radius), "components")
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    prints, named, common = _grouped(docs, radius, TILE_ROWS)
+    known = join_unique(prints.where("doc_id is not null"), named.select("fp", "group"), "fp", common)
+    best = known.groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("best")).select("best.*")
+    best = materialise(best, "best")
     # Both sides grow with the corpus: the join is by shuffle at every size.
-    kept = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    tied = docs.withColumns({TIE: F.xxhash64(as_empty("text"))})
+    again = prints.groupBy("doc_id", "tie").count().where("count > 1 and doc_id is not null").select("doc_id", "tie")
+    again = materialise(best.join(again, ["doc_id", "tie"], "left_semi").withColumnRenamed("tie", TIE), "again")
+    best = best.withColumnRenamed("tie", TIE)
+    kept = tied.join(best.hint("shuffle_hash"), ["doc_id", TIE], "left_semi")
+    if not again.isEmpty():
+        several = tied.join(again, ["doc_id", TIE], "left_semi").dropDuplicates(["doc_id", TIE])
+        kept = tied.join(best.join(again, ["doc_id", TIE], "left_anti").hint("shuffle_hash"), ["doc_id", TIE], "left_semi").unionByName(several)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+#: A column beside those of the documents while they are joined.
+TIE = "__tie_of_text__"
 
 
 def brute_force(rows: list[tuple], radius: int = RADIUS) -> dict[int, tuple[str, int]]:
