@@ -65,6 +65,27 @@ def test_nearest(vectors):
     assert ann.nearest(vectors.limit(0)).count() == 0
 
 
+def test_large_integers_are_exact_or_refused(spark):
+    rows = [(0, [4e6, 1.0]), (1, [4e6, 2.0]), (2, [4e6, 3.0]), (3, [1.0]), (4, [-4e6, 0.0])]
+    got = [(r.vec_id, r.score) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()]
+    big = int(256 * 4e6) ** 2
+    assert big > 2**53 and got == [(2, big + 256 * 768), (1, big + 256 * 512), (4, -big)]
+    over = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_top_k(over).collect()
+
+
+def test_nearest_at_any_size_and_length(spark):
+    rows = [(0, [1.0, 2.0, 0.5]), (1, [1e200, 2e200, 0.5e200]), (2, [1e-200, 2e-200, 4e-200]), (3, [1.0, 2.0]), (4, [-1.0, 0.0, 0.0])]
+    rows += [(100 + 7 * i, [2.0**i, 2.0 ** (i + 1), 2.0 ** (i - 1)]) for i in range(40)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    others = [r.vec_id for r in got if r.vec_id != 1]
+    assert len(got) == 5 and others == [100 + 7 * i for i in range(len(others))]
+    assert all(abs(r.score - 1) < 1e-12 for r in got)
+    few = ann.nearest(spark.createDataFrame(rows[:5], "vec_id bigint, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in few] == [1, 2, 4]
+
+
 def test_tree_visits_every_leaf_once():
     rows = np.random.default_rng(0).normal(size=(500, 8))
     tree = ann.KMeansTree(rows / np.linalg.norm(rows, axis=1, keepdims=True))

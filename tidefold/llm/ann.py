@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise
-from .vectors import blocks, is_query, keep_best, usable
+from .vectors import blocks, is_query, keep_best, of_one_length, usable
 
 K = 5
 #: Rows the tree is fitted on, at most.
@@ -26,7 +26,7 @@ SAMPLE = 20_000
 CALIBRATION = 256
 TARGET = 0.97
 BRANCHES = 8
-#: Sampled rows in a leaf, at least, and leaves, roughly.
+#: Sampled rows in a leaf, at least, and leaves, roughly: as many as give leaves of a chunk, but not fewer than this.
 LEAF_SAMPLE = 40
 LEAVES = 48
 CHUNK_ROWS = 4096
@@ -115,9 +115,14 @@ class KMeansTree:
         return out
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near one: exact, and no square overflows or vanishes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, safely for very large and very small components."""
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    rows = _scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -135,16 +140,26 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.
     nth = np.arange(len(ids)) - start[group[within]]
     names = np.full((len(first), k + 1), NONE)
     names[group[within][nth <= k], nth[nth <= k]] = ids[within][nth <= k]
-    distinct = rows[first]
+    distinct, queries = _scaled(rows[first]), _scaled(queries)
     norms = np.sqrt(np.einsum("ij,ij->i", distinct, distinct))
+    own = np.sqrt(np.einsum("ij,ij->i", queries, queries))
     rough = queries @ (distinct / norms[:, None]).T
     many = min(k + 8, len(first))
     near = np.argpartition(-rough, many - 1, axis=1)[:, :many]
-    own = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-    exact = np.einsum("qmd,qd->qm", distinct[near], queries) / (own[:, None] * norms[near])
-    found, scores = names[near].reshape(len(queries), -1), np.repeat(exact, k + 1, axis=1)
-    scores = np.where((found == NONE) | (found == query_ids[:, None]), -np.inf, scores)
-    return keep_best(scores, found, np.zeros((len(queries), 0)), np.zeros((len(queries), 0), dtype=np.int64), k)
+
+    def ranked(q: slice, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exact = np.einsum("qmd,qd->qm", distinct[near], queries[q]) / (own[q, None] * norms[near])
+        found, scores = names[near].reshape(len(near), -1), np.repeat(exact, k + 1, axis=1)
+        scores = np.where((found == NONE) | (found == query_ids[q, None]), -np.inf, scores)
+        return keep_best(scores, found, np.zeros((len(near), 0)), np.zeros((len(near), 0), dtype=np.int64), k)
+
+    scores, found = ranked(slice(None), near)
+    # Where more rows than those are as near as the last of them, all of these are measured.
+    last = np.take_along_axis(rough, near, axis=1).min(axis=1) + 1e-9 * own
+    reach = np.partition(rough, -min(k + 1, len(first)), axis=1)[:, -min(k + 1, len(first))] - 1e-9 * own
+    for q in np.flatnonzero(reach <= last) if many < len(first) else ():
+        scores[q : q + 1], found[q : q + 1] = ranked(slice(q, q + 1), np.flatnonzero(rough[q] >= reach[q])[None])
+    return scores, found
 
 
 #: Result rows that a task holds before it reduces them to the best of each query.
@@ -218,15 +233,17 @@ def nearest(vectors: DataFrame, k: int = K, chunk_rows: int = CHUNK_ROWS, sample
     Queries are the rows whose vec_id is divisible by 50, candidates all rows but the query's own
     vec_id. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do rows without vec_id. Ties go to the smaller vec_id. A repeated vec_id counts once: its
-    first vector by components. Leaves that hold many rows (one vector may be very common) are cut
-    into chunks by a hash of vec_id, as are the queries that visit them. Other columns are ignored; an
-    empty table gives no rows.
+    first vector by components. Vectors of another length than most have take no part (of equally common
+    lengths the shorter counts). Components of any finite size count. Leaves that hold many rows (one
+    vector may be very common) are cut into chunks by a hash of vec_id, as are the queries that visit
+    them, and each pair of a chunk and a share of queries is work of its own. Other columns are ignored;
+    an empty table gives no rows.
     """
     spark = vectors.sparkSession
     clean = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")
     )
-    clean = clean.where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    clean = of_one_length(clean.where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v")))
     clean = materialise(clean.mapInPandas(_packed, "vec_id bigint, v binary"), "vectors")
     if clean.where(is_query()).isEmpty():
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -235,7 +252,7 @@ def nearest(vectors: DataFrame, k: int = K, chunk_rows: int = CHUNK_ROWS, sample
     part = clean.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 20)) < int(min(1.0, 2 * sample / total) * (1 << 20)))
     fitted = unpacked(part.orderBy(F.xxhash64("vec_id")).limit(sample).toPandas()["v"])
     fitted = _unit(np.unique(fitted, axis=0)) if len(fitted) else np.zeros((0, 1))
-    tree = KMeansTree(fitted, leaf=max(LEAF_SAMPLE, len(fitted) // LEAVES))
+    tree = KMeansTree(fitted, leaf=max(LEAF_SAMPLE, len(fitted) // max(LEAVES, total // chunk_rows)))
     shared = spark.sparkContext.broadcast(tree)
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,13 +275,15 @@ def nearest(vectors: DataFrame, k: int = K, chunk_rows: int = CHUNK_ROWS, sample
     sizes = filed.groupBy("leaf").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     sizes = F.broadcast(materialise(sizes, "sizes"))
     deal = F.xxhash64("vec_id")
-    members = blocks(filed.join(sizes, "leaf").withColumn("chunk", F.pmod(deal, F.col("chunks")).cast("int")), ["leaf", "chunk", "chunks"], "members")
+    members = blocks(filed.join(sizes, "leaf").withColumn("chunk", F.pmod(deal, F.col("chunks")).cast("int")), ["leaf", "chunk"], "members")
     visited = clean.where(is_query()).mapInPandas(spread, "vec_id bigint, v binary, leaf int")
     visited = materialise(visited, "visits")
     crowd = F.broadcast(materialise(visited.groupBy("leaf").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("shares")), "crowds"))
     asked = blocks(visited.join(crowd, "leaf").withColumn("share", F.pmod(deal, F.col("shares")).cast("int")), ["leaf", "share"], "asked")
-    asked = asked.select("leaf", F.col("vec_id").alias("query_ids"), F.col("v").alias("queries"))
-    work = members.select("leaf", F.col("vec_id").alias("ids"), F.col("v").alias("rows")).join(asked, "leaf")
+    asked = asked.join(sizes, "leaf").select(
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("vec_id").alias("query_ids"), F.col("v").alias("queries")
+    )
+    work = members.select("leaf", "chunk", F.col("vec_id").alias("ids"), F.col("v").alias("rows")).join(asked, ["leaf", "chunk"])
     near = work.select("query_ids", "queries", "ids", "rows").mapInPandas(lambda f: _scan(f, k), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

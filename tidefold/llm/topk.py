@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise
-from .vectors import blocks, is_query, keep_best, matrix, usable
+from .vectors import blocks, is_query, keep_best, matrix, of_one_length, usable
 
 K = 5
 SCALE = 256
@@ -26,6 +26,8 @@ SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
 LEAF = 256
 NONE = np.iinfo(np.int64).max
+#: Stands for no score; its negative is a number too.
+LEAST = np.iinfo(np.int64).min + 1
 
 
 class BallTree:
@@ -50,10 +52,21 @@ class BallTree:
             self.nodes[at] = (centre, radius, None, left, right)
         return at
 
+    def _fits(self, queries: np.ndarray) -> bool:
+        """Whether no partial sum of a product can leave 64 bits, with a margin for rounding."""
+        reach = np.abs(queries.astype(np.float64)) @ np.abs(self.rows.astype(np.float64)).T
+        return bool(reach.max(initial=0) < 2**62)
+
     def search(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Improve each query's best scores and ids, sorted by score then id; unused places hold -inf."""
+        """Improve each query's best scores and ids, sorted by score then id; unused places hold ``LEAST``.
+
+        Products of floats are exact below 2^53, of integers below 2^63; larger scores are refused.
+        """
         k = scores.shape[1]
-        exact = np.abs(queries).max(initial=0) * float(np.abs(self.rows).max(initial=0)) * queries.shape[1] < 2**53
+        most = int(np.abs(queries).max(initial=0)) * int(np.abs(self.rows).max(initial=0)) * queries.shape[1]
+        if most >= 2**63 - 1 and not self._fits(queries):
+            raise ValueError("inner products beyond 64 bits")
+        exact = most < 2**53
         asked = queries.astype(np.float64)
         norms = np.sqrt((asked**2).sum(axis=1))
 
@@ -77,7 +90,7 @@ class BallTree:
                     if there.any():
                         heapq.heappush(queue, (-float(reach.max()), child, active[there], reach[there]))
                 continue
-            found = asked[active] @ self.rows[own].T.astype(np.float64) if exact else (queries[active] @ self.rows[own].T).astype(np.float64)
+            found = (asked[active] @ self.rows[own].T.astype(np.float64)).astype(np.int64) if exact else queries[active] @ self.rows[own].T
             best = np.argsort(-found, axis=1, kind="stable")[:, :k]
             scores[active], ids[active] = keep_best(
                 scores[active], ids[active], np.take_along_axis(found, best, axis=1), self.ids[own][best], k
@@ -100,7 +113,7 @@ def _search(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(
                 {
                     "block": np.full(len(which), row.block, dtype=np.int32), "query_id": queries[which],
-                    "vec_id": ids[which, place], "score": scores[which, place].astype(np.int64),
+                    "vec_id": ids[which, place], "score": scores[which, place],
                 }
             )
 
@@ -111,15 +124,17 @@ def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows:
     Components become floor(scale * x). Queries are the rows whose vec_id is divisible by 50,
     candidates all rows but the query's own vec_id; fewer than k candidates give fewer rows. Vectors
     that are null, empty, or hold null or non-finite components take no part, nor do rows without
-    vec_id. Vectors must have one length. A repeated vec_id is one candidate and one query: the first
-    by its components. Other columns are ignored; an empty table gives no rows.
+    vec_id, nor vectors of another length than most have (of equally common lengths the shorter counts).
+    A repeated vec_id is one candidate and one query: the first by its components. Scores are exact 64-bit
+    integers; where a sum of products may leave them, an error says so. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     clean = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"),
     )
-    clean = materialise(clean.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    clean = of_one_length(materialise(clean.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors"))
     total, asked = clean.count(), clean.where(is_query()).count()
     schema = "block int, query_id bigint, vec_id bigint, score bigint"
     if not asked:
@@ -131,7 +146,7 @@ def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows:
     stored = stored.select("shard", F.col("vec_id").alias("ids"), F.col("v").alias("rows"))
     queries = queries.select("block", F.col("vec_id").alias("query_ids"), F.col("v").alias("queries"))
 
-    open_floor = F.transform("query_ids", lambda q: F.lit(float("-inf")))
+    open_floor = F.transform("query_ids", lambda q: F.lit(LEAST))
     queries = queries.withColumn("own", F.col("block") % shards)
 
     def run(work: DataFrame) -> DataFrame:
@@ -142,11 +157,11 @@ def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows:
     first = queries.withColumn("shard", F.col("own")).withColumn("floors", open_floor)
     seeds = materialise(run(first), "seeds")
     floor = seeds.groupBy("block", "query_id").agg(
-        F.when(F.count("*") > k, F.min("score")).otherwise(None).cast("double").alias("floor")
+        F.when(F.count("*") > k, F.min("score")).otherwise(None).alias("floor")
     ).where("floor is not null")
     floors = floor.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
     carried = queries.join(floors, "block", "left").withColumn(
-        "floors", F.coalesce(F.transform("query_ids", lambda q: F.coalesce(F.element_at("known", q), F.lit(float("-inf")))), open_floor)
+        "floors", F.coalesce(F.transform("query_ids", lambda q: F.coalesce(F.element_at("known", q), F.lit(LEAST))), open_floor)
     )
     rest = carried.drop("known").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> own")
     found = seeds.union(run(rest))

@@ -18,6 +18,13 @@ def usable(column: str) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & ~bad, F.lit(False))
 
 
+def of_one_length(rows: DataFrame, column: str = "v") -> DataFrame:
+    """Rows whose vector has the table's length: the one most vectors have, the shorter of equally common ones."""
+    size = F.size(column)
+    first = rows.groupBy(size.alias("size")).count().orderBy(F.desc("count"), "size").head()
+    return rows if first is None else rows.where(size == first["size"])
+
+
 def is_query(key: str = "vec_id", every: int = EVERY) -> Column:
     return F.col(key) % every == 0
 
