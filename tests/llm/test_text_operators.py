@@ -351,6 +351,38 @@ def test_forward_backward_is_exact():
     assert pairs.sum() == pytest.approx(3)
 
 
+def plain_score(model, text):
+    """A whole text's score by one plain chain in logarithms."""
+    (features, _), *rest = quality.segments(text)
+    assert not rest
+    lines = (text or "").split("\n")
+    unary = [np.array([0.0, f @ model.weights]) for f in features]
+    alpha, beta = [unary[0]], [np.zeros(2)]
+    for u in unary[1:]:
+        alpha.append(np.array([np.logaddexp(alpha[-1][0] + model.move[0, y], alpha[-1][1] + model.move[1, y]) + u[y] for y in (0, 1)]))
+    for u in reversed(unary[1:]):
+        beta.append(np.array([np.logaddexp(model.move[y, 0] + u[0] + beta[-1][0], model.move[y, 1] + u[1] + beta[-1][1]) for y in (0, 1)]))
+    good = [np.exp(a[1] + b[1] - np.logaddexp(*(a + b))) for a, b in zip(alpha, reversed(beta), strict=True)]
+    size = [max(len(x), 1) for x in lines]
+    mean = min(max(sum(g * n for g, n in zip(good, size, strict=True)) / sum(size), 1e-4), 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.slope * np.log(mean / (1 - mean)) + model.shift)))
+
+
+def test_whole_scores_are_those_of_a_plain_chain(docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    model = quality.LineField(rng.normal(size=quality.WIDE), np.clip(rng.normal(size=(2, 2)) * 2, -2, 2), 1.3, -0.2)
+    texts = [r.text for r in docs.limit(40).collect()] + [t for _, t in AWKWARD[:-1]] + ["\n" * 50, "A b.\n" * 3000 + "!!! @@@\n" * 3000]
+    want = [plain_score(model, t) for t in texts]
+    assert np.allclose(model.score(texts), want, atol=1e-9)
+    monkeypatch.setattr(quality, "SEGMENT", 2000)
+    assert np.allclose(model.score(texts), want, atol=1e-9)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    assert np.allclose(model.score(texts[:30]), want[:30], atol=1e-9)
+    began = time.time()
+    monkeypatch.undo()
+    assert 0 <= model.score(["\n" * 1_000_000])[0] <= 1 and time.time() - began < 120
+
+
 def test_quality(spark, awkward):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -8,6 +8,7 @@ logistic curve turns into a probability.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -38,41 +39,83 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x WIDE) and length of every line; a text without lines has one empty line."""
-    text = text or ""
-    lines = text.split("\n")
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    sizes = np.array([len(x) for x in lines])
-    kinds = _CLASS[np.minimum(codes, (1 << 16) - 1)]
-    starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)])
-    count = np.zeros((len(lines), 7))
-    for kind in (1, 2, 3, 5, 6):
-        total = np.concatenate([[0], np.cumsum(kinds == kind)])
-        count[:, kind] = total[np.minimum(starts + sizes, len(codes))] - total[np.minimum(starts, len(codes))]
-    words = [x.split() for x in lines]
-    n = np.array([len(w) for w in words])
-    some, letters = np.maximum(n, 1), np.maximum(count[:, 1] + count[:, 2], 1)
+#: Lines of a segment of a text, and of its neighbourhood on either side. Transitions are clipped to +-2, so what lies
+#: further off than that neighbourhood moves a marginal by less than rounding does, and segments give the whole chain's.
+SEGMENT, AROUND = 8192, 1024
+BLOCK = 1 << 20
+
+
+def _counts(lines: list[str]) -> np.ndarray:
+    """Characters of each class in every line, worked out in blocks of bounded size."""
+    count = np.zeros(7 * len(lines), dtype=np.int64)
+    held, at, size = [], 0, 0
+
+    def flush(upto: int) -> None:
+        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        kinds = _CLASS[np.minimum(codes, (1 << 16) - 1)].astype(np.int64)
+        line = np.repeat(np.arange(at, upto), [len(h) for h in held])
+        count[: 7 * upto] += np.bincount(7 * line + kinds, minlength=7 * upto)
+
+    for i, line in enumerate(lines):
+        if len(line) > BLOCK:
+            if held:
+                flush(i)
+            for k in range(0, len(line), BLOCK):
+                held, at = [line[k : k + BLOCK]], i
+                flush(i + 1)
+            held, at, size = [], i + 1, 0
+            continue
+        held.append(line)
+        size += len(line)
+        if size > BLOCK:
+            flush(i + 1)
+            held, at, size = [], i + 1, 0
+    if held:
+        flush(len(lines))
+    return count.reshape(-1, 7).astype(float)
+
+
+def _features(lines: list[str], again: dict[str, int]) -> np.ndarray:
+    """Own and neighbouring features (lines x WIDE); ``again`` has how often the text has each line."""
+    sizes, count = np.array([len(x) for x in lines]), _counts(lines)
     own = np.zeros((len(lines), OWN))
+    n, twice, same = np.zeros(len(lines)), np.zeros(len(lines)), np.zeros(len(lines))
+    for i, line in enumerate(lines):
+        words = line.split()
+        n[i], twice[i], same[i] = len(words), sum(map(eq, words, words[1:])), len(set(words))
+    some, letters = np.maximum(n, 1), np.maximum(count[:, 1] + count[:, 2], 1)
     own[:, 0] = count[:, 2] / letters
     own[:, 1] = np.minimum(count[:, 6] / some, 3) / 3
     own[:, 2] = count[:, 6] > 0
-    own[:, 3] = np.array([sum(map(eq, w, w[1:])) for w in words]) / some
-    own[:, 4] = 1 - np.array([len(set(w)) for w in words]) / some
+    own[:, 3] = twice / some
+    own[:, 4] = 1 - same / some
     own[:, 5] = np.log1p(n) / 6
     own[:, 6] = np.minimum(sizes / some / 10, 3)
     own[:, 7] = count[:, 3] / np.maximum(sizes, 1)
     own[:, 8] = np.minimum(count[:, 5] / some, 1)
-    again: dict[str, int] = {}
-    for x in lines:
-        again[x] = again.get(x, 0) + 1
     own[:, 9] = [bool(x) and again[x] > 1 for x in lines]
     out = np.zeros((len(lines), WIDE))
     out[:, 0] = 1
     out[:, 1 : 1 + OWN] = own
     out[1:, 1 + OWN : 1 + 2 * OWN] = own[:-1]
     out[:-1, 1 + 2 * OWN :] = own[1:]
-    return out, np.maximum(sizes, 1)
+    return out
+
+
+def segments(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and weights of a text's lines, by segments with their neighbourhoods, whose lines weigh nothing.
+
+    A line weighs as many characters as it has, one at least; a text without lines has one empty line.
+    """
+    lines = (text or "").split("\n")
+    again = Counter(lines)
+    for a in range(0, len(lines), SEGMENT):
+        low, high = max(0, a - AROUND), min(len(lines), a + SEGMENT + AROUND)
+        # One line more on either side gives the outermost ones their neighbours.
+        left, right = int(low > 0), int(high < len(lines))
+        features = _features(lines[low - left : high + right], again)[left : left + high - low]
+        weights = np.array([max(len(x), 1) if a <= low + i < a + SEGMENT else 0 for i, x in enumerate(lines[low:high])])
+        yield features, weights
 
 
 def _padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +167,14 @@ class LineField:
         """Maximum likelihood with every line labelled as its document, by Adam with fixed steps; then the curve."""
         if len(texts) < 8 or len(set(labels.tolist())) < 2:
             return cls(np.zeros(WIDE), np.zeros((2, 2)), 0.0, 4.0 if not len(labels) or labels.mean() >= 0.5 else -4.0)
-        made = [line_features(t) for t in texts]
-        fold = np.arange(len(texts)) % 4 == 3
-        train = np.flatnonzero(~fold)
+        # Segments learn as texts of their own; the curve is fitted to whole texts.
+        held_texts = [t for i, t in enumerate(texts) if i % 4 == 3]
+        held = labels[np.arange(len(texts)) % 4 == 3]
+        each = [(f, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if i % 4 != 3 for f, _ in segments(t)]
         groups = []
-        for own in cls._groups([len(made[i][0]) for i in train]):
-            x, there = _padded([made[train[i]][0] for i in own])
-            groups.append((x, there, labels[train[own]].astype(int)))
+        for own in cls._groups([len(f) for f, _ in each]):
+            x, there = _padded([each[i][0] for i in own])
+            groups.append((x, there, np.array([int(each[i][1]) for i in own])))
         w, move, step = np.zeros(WIDE), np.zeros((2, 2)), 0
         first, second = np.zeros(WIDE + 4), np.zeros(WIDE + 4)
         lines = sum(g[1].sum() for g in groups)
@@ -149,32 +193,47 @@ class LineField:
             delta = 0.15 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
             w, move = w + delta[:WIDE], np.clip(move + delta[WIDE:].reshape(2, 2), -2, 2)
         model = cls(w, move, 1.0, 0.0)
-        held = np.flatnonzero(fold)
-        raw = model.raw([made[i] for i in held])
+        raw = model.raw(held_texts)
         slope, shift = 1.0, 0.0
         for _ in range(400):
             p = 1 / (1 + np.exp(-(slope * raw + shift)))
-            slope += 0.2 * (((labels[held] - p) * raw).mean() - 1e-3 * slope)
-            shift += 0.2 * (labels[held] - p).mean()
+            slope += 0.2 * (((held - p) * raw).mean() - 1e-3 * slope)
+            shift += 0.2 * (held - p).mean()
         model.slope, model.shift = max(slope, 0.05), shift
         return model
 
-    def raw(self, made: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Log odds of the length-weighted mean of the lines' marginals."""
-        out = np.zeros(len(made))
-        for own in self._groups([len(m[0]) for m in made]):
-            x, there = _padded([made[i][0] for i in own])
-            size, _ = _padded([made[i][1][:, None].astype(float) for i in own])
-            unary = np.zeros((*x.shape[:2], 2))
-            unary[:, :, 1] = x @ self.weights
-            good = forward_backward(unary, there, self.move)[0][:, :, 1]
-            mean = (good * size[:, :, 0]).sum(axis=1) / size[:, :, 0].sum(axis=1)
-            mean = np.clip(mean, 1e-4, 1 - 1e-4)
-            out[own] = np.log(mean / (1 - mean))
-        return out
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        """Log odds of the length-weighted mean of the lines' marginals, for a bounded number of lines at a time."""
+        good, total = np.zeros(len(texts)), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def run() -> None:
+            for own in self._groups([len(h[1]) for h in held]):
+                x, there = _padded([held[i][1] for i in own])
+                size, _ = _padded([held[i][2][:, None].astype(float) for i in own])
+                unary = np.zeros((*x.shape[:2], 2))
+                unary[:, :, 1] = x @ self.weights
+                marginal = forward_backward(unary, there, self.move)[0][:, :, 1]
+                which = [held[i][0] for i in own]
+                np.add.at(good, which, (marginal * size[:, :, 0]).sum(axis=1))
+                np.add.at(total, which, size[:, :, 0].sum(axis=1))
+            held.clear()
+
+        lines = 0
+        for i, text in enumerate(texts):
+            for features, weights in segments(text):
+                held.append((i, features, weights))
+                lines += len(features)
+                if lines > 1 << 16:
+                    run()
+                    lines = 0
+        if held:
+            run()
+        mean = np.clip(good / np.maximum(total, 1), 1e-4, 1 - 1e-4)
+        return np.log(mean / (1 - mean))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.raw([line_features(t) for t in texts]) + self.shift)))
+        return 1 / (1 + np.exp(-(self.slope * self.raw(texts) + self.shift)))
 
 
 def held_out():
@@ -183,11 +242,14 @@ def held_out():
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> LineField:
-    """Fit on at most ``train_docs`` labelled documents that are not held out, chosen by a hash of doc_id."""
+    """Fit on at most ``train_docs`` labelled documents that are not held out, chosen by a hash of doc_id.
+
+    Of a repeated doc_id the first text in order is learnt from; doc_ids with both labels count as good.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = rows.limit(train_docs).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).toPandas()
     return LineField.fit(rows["text"].tolist(), rows["quality"].to_numpy())
 
 
