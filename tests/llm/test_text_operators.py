@@ -329,6 +329,14 @@ def test_licences_over_lines(spark):
         "agpl-3.0:1": cut(gnu("Affero General", "3", sep=":")),
         "mpl-2.0:1": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not */",
         "cc-by-sa-4.0:1": cut("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        "zlib:1": cut("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable. Permission is granted"
+                      " to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the"
+                      " following restrictions:"),
+        "bsl-1.0:1": "//  Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file)",
+        "0bsd:1": cut("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.") + "\n\nTHE SOFTWARE",
+        "cc0-1.0:1": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS",
+        "epl-2.0:1": cut("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"
+                         " https://www.eclipse.org/legal/epl-2.0/", " * "),
         "mit:2": "Some words\nReleased under the MIT License\nReleased under the MIT License\nmore words",
         "": "Permission is hereby granted, free\n\nof charge. Released under\n\nthe MIT License. Not released under the MIT License",
     }

@@ -76,6 +76,24 @@ PUBLISHED: dict[str, str] = {
     " provided that the above copyright notice and this permission notice appear in all copies",
     "apache-title": "Apache License Version 2.0, January 2004",
     "mpl-title": "Mozilla Public License Version 2.0",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it"
+    " and redistribute it freely, subject to the following restrictions:",
+    "boost-note": "Distributed under the Boost Software License, Version 1.0",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-note": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this"
+    " software to the public domain worldwide",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available"
+    " at https://www.eclipse.org/legal/epl-2.0/",
+    "epl-2-title": "Eclipse Public License - v 2.0",
+    "epl-1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies"
+    " this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl-1-title": "Eclipse Public License - v 1.0",
+    "artistic-title": "The Artistic License 2.0",
+    "cddl-head": "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")",
+    "cddl-title": "Common Development and Distribution License (CDDL) Version 1.0",
 }
 _GNU = {
     "gpl-2.0": ("General", "2", "June 1991"), "gpl-3.0": ("General", "3", "29 June 2007"), "lgpl-2.0": ("Library General", "2", "June 1991"),
@@ -110,6 +128,17 @@ ALL_RULES: list[tuple[str, list[str]]] = [
     ("isc", ["isc-old"]),
     ("apache-2.0", ["apache-title"]),
     ("mpl-2.0", ["mpl-title"]),
+    ("zlib", ["zlib-warranty", "zlib-grant"]),
+    ("zlib", ["zlib-grant"]),
+    ("bsl-1.0", ["boost-note"]),
+    ("bsl-1.0", ["boost-title"]),
+    ("0bsd", ["0bsd-grant"]),
+    ("cc0-1.0", ["cc0-title"]),
+    ("cc0-1.0", ["cc0-note"]),
+    *[(f"epl-{v}.0", [i]) for v in "21" for i in (f"epl-{v}", f"epl-{v}-title")],
+    ("artistic-2.0", ["artistic-title"]),
+    ("cddl-1.0", ["cddl-head"]),
+    ("cddl-1.0", ["cddl-title"]),
     *[(i[:-1] if i.endswith("b") else i, [s]) for i in _GNU for s in PUBLISHED if s.startswith(f"{i}-")],
     *[(s.split("/")[0], [s]) for s in PUBLISHED if s.startswith("cc-")],
     RULES[-1],
