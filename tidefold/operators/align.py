@@ -154,3 +154,30 @@ def extract_observations(outputs: DataFrame, observations: DataFrame, coords: di
     keys = {d: "t_idx" if d == "T" else d for d in dims}
     hits = outputs.select(*[F.col(k).alias(f"{d}_idx") for d, k in keys.items()], F.col(variable).alias("pred"))
     return found.join(hits, [f"{d}_idx" for d in dims], "left").select(*dims, target, "pred")
+
+
+def completeness(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "T") -> DataFrame:
+    """How complete a series is: for each of ``keys``, the times of ``targets`` without a row (n_missing) and rows beyond the first at a time (n_repeated).
+
+    Keys are those that occur in ``source``; times that are no target are not counted as missing, but count as repeated.
+    """
+    steps = targets.select(time).distinct()
+    at = source.groupBy(*keys, time).agg(F.count("*").alias("n"))
+    there = at.join(steps, time, "left_semi").groupBy(*keys).agg(F.count("*").alias("there"))
+    repeated = at.groupBy(*keys).agg(F.sum(F.col("n") - 1).alias("n_repeated"))
+    missing = (F.lit(steps.count()) - F.coalesce("there", F.lit(0))).cast("long")
+    return repeated.join(there, keys, "left").select(*keys, missing.alias("n_missing"), "n_repeated")
+
+
+#: Multiplier and range of the generator of ``sample_observations``.
+SPREAD, SPAN = 2654435761, 1 << 32
+
+
+def sample_observations(rows: DataFrame, key: str, value: str, share: float, noise: float) -> DataFrame:
+    """A sparse, noisy sample of ``rows`` (integer ``key``, ``value``): about ``share`` of them, each value moved by up to ``noise`` of itself.
+
+    Which rows and how far follows from the key alone, so a repeated run gives the same sample on any cluster.
+    """
+    draw = lambda k: F.pmod((k % SPAN) * SPREAD % SPAN, F.lit(SPAN)) / float(SPAN)
+    picked = rows.where(draw(F.col(key)) < share)
+    return picked.withColumn(value, F.col(value) * (1 + noise * (2 * draw(F.col(key) + 1) - 1)))

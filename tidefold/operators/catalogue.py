@@ -124,6 +124,20 @@ def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("event_type", ((F.col("a") <= F.lit("2024-01-02").cast("timestamp")) & (F.col("b") >= F.lit("2024-01-29").cast("timestamp"))).alias("covers"))
 
 
+@query(
+    """with h as (select event_type, date_trunc('hour', ts) as t, count(*) as n from events group by 1, 2),
+    s as (select unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), interval 1 hour)) as t from events),
+    m as (select k.event_type, count(*) as n from (select distinct event_type from h) k, s where not exists (select 1 from h where h.event_type = k.event_type and h.t = s.t) group by 1)
+    select h.event_type, coalesce(any_value(m.n), 0)::bigint as n_missing, sum(h.n - 1)::bigint as n_repeated from h left join m on m.event_type = h.event_type group by 1"""
+)
+def forcing_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours without an event and events beyond the first of their hour, by type."""
+    hours = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("T"), "event_type")
+    ends = table(spark, sf_dir, "events").agg(F.date_trunc("day", F.min("ts")).alias("a"), F.date_trunc("day", F.max("ts")).alias("b"))
+    steps = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("T"))
+    return align.completeness(hours, steps, ["event_type"])
+
+
 @query(
     """select 'events' as source, count(*) filter (where value is null or isnan(value)) as bad from events
     union all select 'lineitem', count(*) filter (where l_quantity is null or isnan(l_quantity)) from lineitem
@@ -219,6 +233,16 @@ def sparse_obs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(hits, ["T_idx", "event_type"], "left").select("event_id", r6(F.col("obs"), "obs"), r6(F.col("pred"), "pred"))
 
 
+@query(
+    """select event_id, round(value * (1 + 0.1::double * (2 * ((((event_id + 1) % 4294967296) * 2654435761) % 4294967296) / 4294967296.0::double - 1)), 6) as obs from events
+    where (((event_id % 4294967296) * 2654435761) % 4294967296) / 4294967296.0::double < 0.05"""
+)
+def sampled_noisy_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event in twenty as an observation, disturbed by up to a tenth."""
+    got = align.sample_observations(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", 0.05, 0.1)
+    return got.select("event_id", r6(F.col("value"), "obs"))
+
+
 def grid5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as a 5 x 5 grid: Y region, X rank; c customers, flows from the keys, one land cell."""
     n = table(spark, sf_dir, "nation").withColumn("X", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
