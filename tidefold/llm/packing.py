@@ -26,7 +26,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 LENGTH = 1024
 #: Documents that a task tokenises together, and the rows of a range of a sweep.
-BATCH, RANGE_ROWS = 2048, 1 << 15
+BATCH, RANGE_ROWS = 1024, 1 << 15
 #: Pieces of at most this share of a sequence open sequences together, so that rounds stay few.
 SMALL = 8
 

@@ -382,7 +382,7 @@ def fit_trees(rows: list, kind: int) -> tuple[float, list, float]:
     """Boost depth-two trees on one kind's table: (start, trees, threshold); logistic loss, Newton leaves.
 
     A tree is (feature, cut, (feature, cut, low, high), (feature, cut, low, high)): at most ``cut`` goes low.
-    The threshold is the lowest score at which, in the held-out fold, the share of valid candidates reaches
+    The threshold is the lowest score at which, in the held-out fold, the share of true spans reaches
     ``PRECISION``; infinite if none does, so that nothing is added.
     """
     own = [r for r in rows if r["kind"] == kind]

@@ -59,6 +59,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) ->
 
     ``hot`` comes from ``hot_keys``, which bounds what is broadcast, so that no task gets all rows of a hot key.
     """
+    if hot.isEmpty():
+        return left.join(right, key)
     few = F.broadcast(hot)
     near = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key)
     return near.unionByName(left.join(few, key, "left_anti").join(right, key))
