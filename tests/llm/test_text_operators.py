@@ -214,10 +214,15 @@ def test_cached_encoding_is_the_librarys(monkeypatch):
         assert codec.digest(text)[2] == codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_bpe_query(awkward):
-    rows = bpe.bpe_digests(awkward).collect()
-    empty = hashlib.sha256(b"").hexdigest()
-    assert len(rows) == len(AWKWARD) and {r.doc_id: r.ids_sha256 for r in rows}[1] == empty
+def test_bpe_query(docs, awkward):
+    library = lexers.ChunkEncoder.of("word_bpe_49k.json").library
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for table in (docs, awkward):
+        want = []
+        for r in table.collect():
+            ids = library.encode(r.text or "", add_special_tokens=False).ids
+            want.append((r.doc_id or 0, len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False))))
+        assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_digests(table).collect()) == sorted(want)
     assert bpe.bpe_digests(awkward.limit(0)).count() == 0
 
 
@@ -485,6 +490,25 @@ def test_long_pages_are_scored_as_short_ones():
     assert np.allclose(net.score(x, there)[0], net.score_long(blocks, 7))
 
 
+def test_scores_are_those_of_plain_lstms():
+    rng = np.random.default_rng(1)
+    net = html_blocks.BiLSTM(5, 3)
+    pages = [rng.normal(size=(n, 5)) for n in (4, 1, 7)]
+    x, there = html_blocks._padded(pages)
+    got = net.score(x, there)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for page, row in zip(pages, got, strict=True):
+        logit = np.full(len(page), net.p["bias"][0])
+        for d, weight in (("f", net.p["out"][:3]), ("b", net.p["out"][3:])):
+            h, c = np.zeros(3), np.zeros(3)
+            for t in range(len(page)) if d == "f" else range(len(page) - 1, -1, -1):
+                z = page[t] @ net.p[f"x{d}"] + h @ net.p[f"h{d}"] + net.p[f"b{d}"]
+                c = sigmoid(z[3:6]) * c + sigmoid(z[:3]) * np.tanh(z[9:])
+                h = sigmoid(z[6:9]) * np.tanh(c)
+                logit[t] += h @ weight
+        assert np.allclose(row[: len(page)], sigmoid(logit))
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     net = html_blocks.BiLSTM(3, 2)
