@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct chunks and pre-tokens that a process keeps, and the characters of texts that are split together.
-CACHE = 1_500_000
-GROUP_CHARS = 12_000_000
+CACHE = 1_200_000
+GROUP_CHARS = 4_000_000
 
 #: Stands between chunks or pieces; texts that hold it go to the library whole.
 _CUT = "\x00"
@@ -106,6 +106,17 @@ class ChunkEncoder:
         self.cache: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
         self.ends = np.zeros(1 << 14, dtype=np.int64)
+        #: In how many groups of texts an entry was met.
+        self.uses = np.zeros(1 << 14, dtype=np.int32)
+
+    def _forget(self) -> None:
+        """Keep the entries met in several groups, at most half of the cache; single ones are most of a corpus's words."""
+        keys, uses = list(self.cache), self.uses[: len(self.cache)].copy()
+        kept = np.sort(np.argsort(-uses, kind="stable")[: min(CACHE // 2, int((uses > 1).sum()))])
+        ids, sizes = self._gather(kept)
+        self._clear()
+        self._keep([keys[i] for i in kept], ids, sizes)
+        self.uses[: len(kept)] = uses[kept] // 2
 
     def whole(self, text: str) -> np.ndarray:
         """The ids of one text by the library alone."""
@@ -113,12 +124,13 @@ class ChunkEncoder:
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """The places of distinct chunks in the cache; those that are missing are encoded and kept."""
+        if len(self.cache) > CACHE:
+            self._forget()
         found = list(map(self.cache.get, chunks))
         if None not in found:
-            return np.array(found, dtype=np.int64)
-        if len(self.cache) > CACHE:
-            self._clear()
-            found = [None] * len(chunks)
+            number = np.array(found, dtype=np.int64)
+            self.uses[number] += 1
+            return number
         gaps = [i for i, f in enumerate(found) if f is None]
         split = (BYTE_LEVEL if self.spaces else WORD_LEVEL).findall
         pieces, ends, several = [], [], []
@@ -150,6 +162,8 @@ class ChunkEncoder:
             cuts = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
             number[several] = len(self.cache) + np.arange(len(several))
             self._keep([chunks[i] for i in several], ids, np.diff(cuts, prepend=0))
+        self.uses[number] += 1
+        np.add.at(self.uses, place, 1)
         return number
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +185,7 @@ class ChunkEncoder:
         known, held = len(self.cache), int(self.ends[len(self.cache)])
         self.ids = _room(self.ids, held + len(ids))
         self.ends = _room(self.ends, known + len(keys) + 1)
+        self.uses = _room(self.uses, known + len(keys))
         self.ids[held : held + len(ids)] = ids
         self.ends[known + 1 : known + 1 + len(keys)] = held + np.cumsum(sizes)
         self.cache.update(zip(keys, range(known, known + len(keys)), strict=True))
@@ -231,6 +246,9 @@ class ChunkEncoder:
             flat = np.concatenate(parts)
         ids.append(flat)
         sizes.append(own)
+        # Executors are sized tightly: what Arrow keeps for later goes back.
+        del column, lists, distinct
+        pa.default_memory_pool().release_unused()
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:

@@ -25,7 +25,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
 #: Documents that a task tokenises together.
-BATCH = 4096
+BATCH = 1024
 SAMPLED = 100
 #: Ids below this bound; the driver and each task hold one number for each.
 VOCABULARY = 1 << 16
