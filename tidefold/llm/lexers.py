@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct chunks and pre-tokens that a process keeps, and the characters of texts that are split together.
-CACHE = 1_200_000
+CACHE = 500_000
 GROUP_CHARS = 4_000_000
 
 #: Stands between chunks or pieces; texts that hold it go to the library whole.
