@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_blocks, licenses, packing, pii, quality, simhash, token_store, topk
+from . import ann, bpe, html_blocks, licenses, line_rules, negatives, packing, pii, quality, simhash, token_store, topk, whitening
 from .runtime import table
 
 
@@ -48,12 +48,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_pii, op3_token_ids, op4_best_fit_packing, op5_license_scan, op6_nearest_neighbours, op7_quality,
-        op8_exact_top_k, op9_bpe, op10_html_extraction,
+        op8_exact_top_k, op9_bpe, op10_html_extraction, op11_whitening, op12_hard_negatives, op13_quality_rules,
     )
 }
 #: The others train a model, follow a tokenizer, hash as SQL engines do not, or are approximate.
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.oracle_sql(), "op8_exact_top_k": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.oracle_sql(), "op8_exact_top_k": topk.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL, "op13_quality_rules": line_rules.ORACLE_SQL}
