@@ -3,125 +3,132 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import VALUE
+from ..functions.random_streams import uniform
+from . import sweep
 
 METHODS = ("constant", "nearest", "linear", "ffill")
 
 
-def as_of(source: DataFrame, targets: DataFrame, method: str, keys: list[str] | None = None, time: str = "T", value: str = VALUE) -> DataFrame:
+def _with_keys(source: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """``targets`` with all of ``keys``: those that it lacks take every combination that ``source`` has with its others."""
+    if all(k in targets.columns for k in keys):
+        return targets
+    there = source.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    lacking = [k for k in keys if k not in targets.columns]
+    same = [targets[k].eqNullSafe(there[f"_{k}"]) for k in keys if k not in lacking]
+    rows = targets.join(there, same) if same else targets.crossJoin(there)
+    return rows.select(*targets.columns, *[F.col(f"_{k}").alias(k) for k in lacking])
+
+
+def as_of(source: DataFrame, targets: DataFrame, method: str, keys: list[str] | None = None, time: str = "T", value: str = VALUE, range_rows: int = sweep.RANGE_ROWS) -> DataFrame:
     """Values of ``source`` (keys, time, value) at the times of ``targets`` (time, and perhaps keys and others).
 
     ffill takes the last value not later (null before the first), nearest the closest (ties: the later;
-    beyond the ends: the end), linear interpolates, and extrapolates from the two values at an end. Of
-    values at one time the largest counts as the last, the smallest as the first. Sources and targets are
-    sorted together in stretches of about equally many rows and looked at with running windows.
+    beyond the ends: the end), linear interpolates, and extrapolates from the two values at an end; a
+    series of one value is constant. Of values at one time the largest counts as the last, the smallest as the
+    first. Source rows without time or value are none. Every target row comes back: with null where its
+    time is null or its key has no source. Null keys are a key of their own. The other columns of
+    ``targets`` are kept; those of ``source`` are not. ``range_rows`` sets how many rows are swept together,
+    not what comes out.
     """
     if method not in ("nearest", "linear", "ffill"):
         raise ValueError(f"unknown method {method!r}")
     keys = list(keys or [])
-    if lacking := [k for k in keys if k not in targets.columns]:
-        targets = targets.join(source.select(*keys).distinct(), [k for k in keys if k not in lacking] or None, "inner")
+    targets = _with_keys(source, targets, keys)
     carried = [c for c in targets.columns if c not in keys and c != time]
-    at = F.unix_micros(F.col(time).cast("timestamp")).alias("at")
-    s = source.select(*keys, F.col(time), at, F.col(value).cast("double").alias("v"), F.lit(0).alias("kind"), *[F.lit(None).cast(dict(targets.dtypes)[c]).alias(c) for c in carried])
-    t = targets.select(*keys, F.col(time), at, F.lit(None).cast("double").alias("v"), F.lit(1).alias("kind"), *carried)
-    if s.isEmpty():
-        return t.select(*keys, time, *carried, F.lit(None).cast("double").alias(value))
-    both, _ = _bracketed(_in_cells(s.unionByName(t), "at"), keys, F.struct("at", "v"))
-    rows = both.where("kind = 1")
-    lo, hi, now = F.col("lo"), F.col("hi"), F.col("at")
+    kinds = dict(source.dtypes)
+    place = F.unix_micros(F.col(time).cast("timestamp")).alias("at")
+    key = sweep.key_of([F.col(k).cast(kinds[k]).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k")
+    s = source.select(key, place, F.col(value).cast("double").alias("v"))
+    t = targets.select(F.struct(*targets.columns).alias("row"), key, place)
+    found = sweep.bracketed(s, t.select("k", "at"), range_rows)
+    lo, hi = F.col("lo"), F.col("hi")
     if method == "ffill":
-        got: Column = F.col("lo.v")
+        got: Column = lo["a"]["v"]
     elif method == "nearest":
-        left, right = now - F.col("lo.at"), F.col("hi.at") - now
-        got = F.when(lo.isNull(), F.col("hi.v")).when(hi.isNull(), F.col("lo.v")).when(left < right, F.col("lo.v")).otherwise(F.col("hi.v"))
+        left, right = F.col("at") - lo["a"]["at"], hi["a"]["at"] - F.col("at")
+        got = F.when(lo.isNull(), hi["a"]["v"]).when(hi.isNull() | (left < right), lo["a"]["v"]).otherwise(hi["a"]["v"])
     else:
-        # The two values at either end of each key, for extrapolation.
-        ends = s.groupBy(*keys).agg(F.min(F.struct("at", "v")).alias("e0"), F.max(F.struct("at", "v")).alias("e3"))
-        inner = s.join(ends, keys) if keys else s.crossJoin(F.broadcast(ends))
-        ends = inner.groupBy(*keys, "e0", "e3").agg(
-            F.min(F.when(now > F.col("e0.at"), F.struct("at", "v"))).alias("e1"), F.max(F.when(now < F.col("e3.at"), F.struct("at", "v"))).alias("e2")
-        )
-        rows = rows.join(ends, keys) if keys else rows.crossJoin(F.broadcast(ends))
-        before = F.when(lo.isNull(), F.col("e0")).when(hi.isNull(), F.col("e2")).otherwise(lo)
-        after = F.when(lo.isNull(), F.col("e1")).when(hi.isNull(), F.col("e3")).otherwise(hi)
-        rows = rows.withColumns({"a": before, "b": after})
-        share = (now - F.col("a.at")).cast("double") / F.nullif((F.col("b.at") - F.col("a.at")).cast("double"), F.lit(0.0))
-        got = F.when(F.col("b").isNull() | F.col("a").isNull(), F.coalesce("a.v", "b.v")).when(F.col("a.at") == F.col("b.at"), F.col("a.v")).otherwise(
-            F.col("a.v") + (F.col("b.v") - F.col("a.v")) * share
-        )
-    return rows.select(*keys, time, *carried, got.alias(value))
-
-
-#: Rows of a stretch of the sorted axis; stretches are worked on apart, so that one key's long series is spread over tasks.
-CELL_ROWS = 50_000
-
-
-def _in_cells(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``cell``: the stretch between two quantiles of ``column``, as many as keep stretches near ``CELL_ROWS`` rows."""
-    parts = -(-rows.count() // CELL_ROWS)
-    inner = rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    borders = [float("-inf"), *sorted({float(x) for x in inner}), float("inf")]
-    if len(borders) == 2:
-        return rows.withColumn("cell", F.lit(0))
-    split = Bucketizer(splits=borders, inputCol="_at", outputCol="_cell", handleInvalid="keep")
-    dealt = split.transform(rows.withColumn("_at", F.col(column).cast("double")))
-    return dealt.withColumn("cell", F.col("_cell").cast("int")).drop("_at", "_cell")
-
-
-def _bracketed(both: DataFrame, keys: list[str], point: Column, order: str = "at") -> tuple[DataFrame, DataFrame]:
-    """Rows of sources (kind 0) and targets (kind 1) with ``lo`` and ``hi``, the sources at or before and at or after.
-
-    Windows run inside (keys, cell); what lies beyond a cell comes from a table of the cells' first and
-    last sources, one row for each cell of a key.
+        a = F.when(lo.isNull(), hi["a"]).when(hi.isNull(), lo["b"]).otherwise(lo["a"])
+        b = F.when(lo.isNull(), hi["b"]).when(hi.isNull(), lo["a"]).otherwise(hi["a"])
+        found = found.withColumns({"p": a, "q": b})
+        p, q = F.col("p"), F.col("q")
+        share = (F.col("at") - p["at"]).cast("double") / F.nullif((q["at"] - p["at"]).cast("double"), F.lit(0.0))
+        got = F.when(p.isNull() | q.isNull(), F.coalesce(p["v"], q["v"])).when(p["at"] == q["at"], p["v"]).otherwise(p["v"] + (q["v"] - p["v"]) * share)
+    rows = t.join(found.select("k", "at", got.alias("got")), ["k", "at"], "left")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in (*keys, time, *carried)], F.col("got").alias(value))
+
+
+#: Coordinates that are searched in every task; more are swept together with the points.
+SEARCHED = 8192
+
+
+def _number(column: Column, kind: str) -> Column:
+    """A place on the axis: times as microseconds, numbers as doubles; NaN counts as missing, negative zero as zero."""
+    x = F.unix_micros(column.cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else column.cast("double")
+    return F.when(~F.isnan(x), x + F.lit(0.0))
+
+
+def _searched(rows: DataFrame, coords: list[tuple[float, int]]) -> DataFrame:
+    """``rows`` (x) with lo and hi by binary search: (x, idx) of the coordinates at or next to x."""
+    if not coords:
+        nothing = F.lit(None).cast("struct<x: double, idx: int>")
+        return rows.withColumns({"lo": nothing, "hi": nothing})
+    ends = [(None, None), *coords, (None, None)]
+    cells = [(float(i), *ends[i], *ends[i + 1]) for i in range(len(ends) - 1)]
+    table = rows.sparkSession.createDataFrame(cells, "cell double, lx double, li int, hx double, hi int")
+    table = table.select("cell", *[F.when(F.col(i).isNotNull(), F.struct(F.col(x).alias("x"), F.col(i).alias("idx"))).alias(n) for n, x, i in (("lo", "lx", "li"), ("hi", "hx", "hi"))])
+    split = Bucketizer(splits=[float("-inf"), *[x for x, _ in coords], float("inf")], inputCol="place", outputCol="cell")
+    dealt = split.transform(rows.withColumn("place", F.coalesce("x", F.lit(0.0))))
+    # At most SEARCHED + 1 cells.
+    return dealt.join(F.broadcast(table), "cell", "left").drop("cell", "place")
+
+
+def _swept(rows: DataFrame, coords: DataFrame, range_rows: int) -> DataFrame:
+    """The same by sorting points and coordinates together."""
+    k = sweep.key_of([]).alias("k")
+    found = sweep.bracketed(coords.select(k, F.col("x").alias("at"), F.col("idx").alias("v")), rows.select(k, F.col("x").alias("at")), range_rows)
+    pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["a"]["at"].alias("x"), F.col(c)["a"]["v"].cast("int").alias("idx"))).alias(c)
+    return rows.join(found.select(F.col("at").alias("x"), pair("lo"), pair("hi")), "x", "left")
+
+
+def nearest_index(
+    points: DataFrame, coords: DataFrame, column: str, tolerance: float | None = None, method: str = "nearest", searched: int = SEARCHED, range_rows: int = sweep.RANGE_ROWS
+) -> DataFrame:
+    """``points`` with <column>_idx: the index of the coordinate that belongs to ``column``.
+
+    ``coords`` is (idx, value), value a number or a time, compared as doubles; a value that repeats counts once, with its
+    smallest idx, and one that is null or not finite is none. ``nearest`` takes the closest coordinate
+    (ties: the larger), ``ffill`` the last not larger, ``bfill`` the first not smaller, ``exact`` an equal
+    one. A point further than ``tolerance`` (microseconds for times), without such a coordinate, null or NaN gets null;
+    ``require_found`` turns nulls into an error. Every row comes back with its columns. Up to ``searched``
+    coordinates are searched in every task, more are swept together with the points, with the same result.
     """
-    source = F.when(F.col("kind") == 0, point)
-    part = Window.partitionBy(*keys, "cell")
-    both = both.withColumns(
-        {
-            "lo": F.last(source, ignorenulls=True).over(part.orderBy(order, "kind", source).rowsBetween(Window.unboundedPreceding, 0)),
-            "hi": F.first(source, ignorenulls=True).over(part.orderBy(order, F.desc("kind"), source).rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
-    cells = both.groupBy(*keys, "cell").agg(F.min(source).alias("first"), F.max(source).alias("last"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("cell")
-    cells = cells.select(
-        *keys, "cell", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
-        F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("above"),
-    )
-    rows = both.join(cells, [*keys, "cell"])
-    return rows.withColumns({"lo": F.coalesce("lo", "below"), "hi": F.coalesce("hi", "above")}), cells
-
-
-def nearest_index(points: DataFrame, coords: DataFrame, column: str, tolerance: float | None = None, method: str = "nearest") -> DataFrame:
-    """``points`` with <column>_idx: the index of the coordinate nearest to ``column`` (ties: the larger).
-
-    ``coords`` is (idx, value), value a number or a time. Points and coordinates are sorted together, so
-    neither side is broadcast or crossed. A point beyond ``tolerance`` (or not equal, method ``exact``)
-    gets null; ``require_found`` turns nulls into an error.
-    """
-    def number(c: Column, kind: str) -> Column:
-        return F.unix_micros(c.cast("timestamp")).cast("double") if kind.startswith("timestamp") else c.cast("double")
-
+    if method not in ("nearest", "ffill", "bfill", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     kinds = dict(points.dtypes)
-    names = points.columns
-    p = points.select(F.struct(*names).alias("point"), number(F.col(column), kinds[column]).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("idx"))
-    c = coords.select(F.lit(None).cast(p.schema["point"].dataType).alias("point"), number(F.col("value"), dict(coords.dtypes)["value"]).alias("x"), F.lit(0).alias("kind"), F.col("idx").cast("int"))
-    both = p.unionByName(c)
-    if c.isEmpty():
-        return points.withColumn(f"{column}_idx", F.lit(None).cast("int"))
-    both, _ = _bracketed(_in_cells(both, "x"), [], F.struct("x", "idx"), "x")
-    rows = both.where("kind = 1")
-    left, right = F.col("x") - F.col("lo.x"), F.col("hi.x") - F.col("x")
-    low = F.col("hi").isNull() | (F.col("lo").isNotNull() & (left < right))
-    got, gap = F.when(low, F.col("lo.idx")).otherwise(F.col("hi.idx")), F.when(low, left).otherwise(right)
-    limit = 0.0 if method == "exact" else tolerance
-    if limit is not None:
-        got = F.when(gap <= limit, got)
-    return rows.select("point.*", got.alias(f"{column}_idx"))
+    rows = points.select(F.struct(*points.columns).alias("point"), _number(F.col(column), kinds[column]).alias("x"))
+    places = coords.select(_number(F.col("value"), dict(coords.dtypes)["value"]).alias("x"), F.col("idx").cast("int").alias("idx"))
+    places = places.where((F.abs("x") < float("inf")) & F.col("idx").isNotNull()).groupBy("x").agg(F.min("idx").alias("idx"))
+    few = places.limit(searched + 1).collect()
+    both = _searched(rows, sorted((r.x, r.idx) for r in few)) if len(few) <= searched else _swept(rows, places, range_rows)
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    left, right = x - lo["x"], hi["x"] - x
+    chosen = {
+        # Both gaps are endless for an infinite point: the end it has is its coordinate.
+        "nearest": F.when(hi.isNull() | (lo.isNotNull() & (left < right)), lo).otherwise(hi),
+        "ffill": lo,
+        "bfill": F.when(left == 0, lo).otherwise(hi),
+        "exact": F.when(left == 0, lo),
+    }[method]
+    got = chosen["idx"]
+    if tolerance is not None:
+        got = F.when(F.abs(x - chosen["x"]) <= tolerance, got)
+    return both.select("point.*", F.when(x.isNotNull(), got).alias(f"{column}_idx"))
 
 
 def require_found(points: DataFrame, column: str) -> DataFrame:
@@ -142,18 +149,25 @@ def coords_to_indices(points: DataFrame, coords: dict[str, DataFrame], dims: lis
     return points
 
 
-def extract_observations(outputs: DataFrame, observations: DataFrame, coords: dict[str, DataFrame], target: str, variable: str) -> DataFrame:
+def extract_observations(outputs: DataFrame, observations: DataFrame, coords: dict[str, DataFrame], target: str, variable: str, carried: tuple[str, ...] = ()) -> DataFrame:
     """Each observation row with ``pred``, the output variable at its nearest coordinates, joined by name.
 
-    Every column of ``observations`` but ``target`` is a coordinate; gridded observations are rows too.
+    Every column of ``observations`` but ``target`` and those ``carried`` along is a coordinate; gridded
+    observations are rows too. A dimension with ``coords`` is found by the nearest coordinate and joined with the index
+    column of ``outputs`` (t_idx for T, else its own name); one without is a label, joined by equality. A
+    row whose coordinates are null or not among the outputs has a null pred. ``outputs`` has one row for
+    each of its keys; of several the largest value counts.
     """
     if target not in observations.columns:
         raise ValueError(f"observations have no column {target!r}")
-    dims = [c for c in observations.columns if c != target]
-    found = coords_to_indices(observations, coords, dims)
-    keys = {d: "t_idx" if d == "T" else d for d in dims}
-    hits = outputs.select(*[F.col(k).alias(f"{d}_idx") for d, k in keys.items()], F.col(variable).alias("pred"))
-    return found.join(hits, [f"{d}_idx" for d in dims], "left").select(*dims, target, "pred")
+    dims = [c for c in observations.columns if c != target and c not in carried]
+    keys = {d: "t_idx" if d == "T" and d in coords else d for d in dims}
+    if unknown := [d for d in dims if keys[d] not in outputs.columns]:
+        raise ValueError(f"no coordinate {', '.join(unknown)}; there are {', '.join(sorted(coords))}")
+    found = coords_to_indices(observations, coords, [d for d in dims if d in coords])
+    hits = outputs.groupBy(*[F.col(keys[d]).alias(f"_{d}") for d in dims]).agg(F.max(variable).alias("pred"))
+    same = [F.col(f"{d}_idx" if d in coords else d) == F.col(f"_{d}") for d in dims]
+    return found.join(hits, same, "left").select(*dims, *carried, target, "pred")
 
 
 def completeness(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "T") -> DataFrame:
@@ -169,15 +183,13 @@ def completeness(source: DataFrame, targets: DataFrame, keys: list[str], time: s
     return repeated.join(there, keys, "left").select(*keys, missing.alias("n_missing"), "n_repeated")
 
 
-#: Multiplier and range of the generator of ``sample_observations``.
-SPREAD, SPAN = 2654435761, 1 << 32
-
-
-def sample_observations(rows: DataFrame, key: str, value: str, share: float, noise: float) -> DataFrame:
-    """A sparse, noisy sample of ``rows`` (integer ``key``, ``value``): about ``share`` of them, each value moved by up to ``noise`` of itself.
+def sample_observations(rows: DataFrame, key: str, value: str, share: float, noise: float, seed: int = 0) -> DataFrame:
+    """A sparse, noisy sample of ``rows``: about ``share`` of them, each value moved by up to ``noise`` of itself, evenly.
 
-    Which rows and how far follows from the key alone, so a repeated run gives the same sample on any cluster.
+    Which rows and how far are two independent draws of the random stream (``functions.random_streams``)
+    that belong to the row's ``key``, so a repeated run gives the same sample on any cluster. Rows with
+    equal keys are chosen and moved alike; a null key is a key like others, a null value stays null. Other
+    columns are kept.
     """
-    draw = lambda k: F.pmod((k % SPAN) * SPREAD % SPAN, F.lit(SPAN)) / float(SPAN)
-    picked = rows.where(draw(F.col(key)) < share)
-    return picked.withColumn(value, F.col(value) * (1 + noise * (2 * draw(F.col(key) + 1) - 1)))
+    picked = rows.where(uniform(seed, "observed", F.col(key)) < share)
+    return picked.withColumn(value, F.col(value) * (1 + noise * (2 * uniform(seed, "noise", F.col(key)) - 1)))

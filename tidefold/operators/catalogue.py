@@ -6,13 +6,14 @@ region), embeddings cohort and layer arrays, lineitems predictions and observati
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import biology, transport
+from ..functions import biology, random_streams, transport
 from ..plans.engine import compile_model, simulate
 from ..plans.models import load_model
 from ..plans.spec import Blueprint, Config
@@ -225,17 +226,16 @@ def exact_coord_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sparse_obs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = event_grid(spark, sf_dir).start
-    model = daily(spark, sf_dir).withColumn("step", F.datediff("T", F.lit(start)))
-    days = model.select(F.col("step").alias("idx"), F.col("T").alias("value")).distinct()
+    model = daily(spark, sf_dir).withColumn("t_idx", F.datediff("T", F.lit(start)))
+    days = model.select(F.col("t_idx").alias("idx"), F.col("T").alias("value"))
     obs = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("T"), "event_type", F.col("value").alias("obs"))
-    found = align.nearest_index(obs, days, "T")
-    hits = model.select(F.col("step").alias("T_idx"), "event_type", F.col("value").alias("pred"))
-    return found.join(hits, ["T_idx", "event_type"], "left").select("event_id", r6(F.col("obs"), "obs"), r6(F.col("pred"), "pred"))
+    got = align.extract_observations(model.drop("T"), obs, {"T": days}, "obs", "value", carried=("event_id",))
+    return got.select("event_id", r6(F.col("obs"), "obs"), r6(F.col("pred"), "pred"))
 
 
 @query(
-    """select event_id, round(value * (1 + 0.1::double * (2 * ((((event_id + 1) % 4294967296) * 2654435761) % 4294967296) / 4294967296.0::double - 1)), 6) as obs from events
-    where (((event_id % 4294967296) * 2654435761) % 4294967296) / 4294967296.0::double < 0.05"""
+    f"""select event_id, round(value * (1 + 0.1::double * (2 * {random_streams.uniform_sql(0, 'noise', 'event_id')} - 1)), 6) as obs from events
+    where {random_streams.uniform_sql(0, 'observed', 'event_id')} < 0.05"""
 )
 def sampled_noisy_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event in twenty as an observation, disturbed by up to a tenth."""
@@ -243,6 +243,41 @@ def sampled_noisy_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_id", r6(F.col("value"), "obs"))
 
 
+PRIORS = {
+    "efficiency": random_streams.even(0.1, 0.4),
+    "offset": random_streams.normal(-2.0, 3.0),
+    "rate": random_streams.log_normal(-1.0, 0.5),
+    "spread": random_streams.half_normal(2.0),
+    "threshold": random_streams.truncated_normal(0.2, 0.1, 0.5, 1.0),
+}
+_U = {n: random_streams.uniform_sql(7, n, "s_suppkey") for n in PRIORS}
+_Z = random_streams.normal_quantile_sql
+#: Probabilities of a standard normal below -8 and below -3, the bounds of the truncated prior reflected.
+_TAILS = [0.5 * math.erfc(z / math.sqrt(2)) for z in (8.0, 3.0)]
+_DRAWS = f"""draws as (select s_suppkey, 0.1::double + 0.3::double * {_U['efficiency']} as efficiency, -2::double + 3::double * {_Z(_U['offset'])} as offset_, exp(-1::double + 0.5::double * {_Z(_U['rate'])}) as rate,
+  2::double * {_Z(f"(0.5::double + 0.5::double * {_U['spread']})")} as spread, 0.2::double - 0.1::double * {_Z(f"({_TAILS[0]!r}::double + ({_TAILS[1]!r}::double - {_TAILS[0]!r}::double) * (1 - {_U['threshold']}))")} as threshold from supplier)"""
+
+
+@query(f"with {_DRAWS} select s_suppkey, round(efficiency, 6) as efficiency, round(offset_, 6) as \"offset\", round(rate, 6) as rate, round(spread, 6) as spread, round(threshold, 6) as threshold from draws")
+def prior_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A start for each supplier: one draw of each of five priors."""
+    got = random_streams.sample(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", PRIORS, seed=7)
+    return got.select("s_suppkey", *[r6(F.col(n), n) for n in PRIORS])
+
+
+@query(
+    f"""with {_DRAWS}, l as (select *, ln(2 * pi()) / 2 as c from draws)
+    select s_suppkey, round(-ln(0.3::double) - ((offset_ + 2) / 3) ** 2 / 2 - ln(3::double) - c - ((ln(rate) + 1) / 0.5::double) ** 2 / 2 - ln(0.5::double) - c - ln(rate)
+      + ln(2::double) - (spread / 2) ** 2 / 2 - ln(2::double) - c - ((threshold - 0.2::double) / 0.1::double) ** 2 / 2 - ln(0.1::double) - c - ln({_TAILS[1]!r}::double - {_TAILS[0]!r}::double), 6) as log_density,
+      case when s_suppkey % 2 = 0 then '-Infinity'::double else 0 end as moved from l"""
+)
+def prior_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint log density of the starts, and that of every second threshold moved below its bound."""
+    got = random_streams.sample(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", PRIORS, seed=7)
+    moved = PRIORS["threshold"].log_density(F.when(F.col("s_suppkey") % 2 == 0, 0.4).otherwise(F.col("threshold")))
+    return got.select("s_suppkey", r6(random_streams.log_density(PRIORS), "log_density"), F.when(moved > float("-inf"), 0.0).otherwise(moved).alias("moved"))
+
+
 def grid5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as a 5 x 5 grid: Y region, X rank; c customers, flows from the keys, one land cell."""
     n = table(spark, sf_dir, "nation").withColumn("X", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
