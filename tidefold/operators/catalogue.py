@@ -19,7 +19,7 @@ from ..plans.models import load_model
 from ..plans.spec import Blueprint, Config
 from ..plans.timegrid import TimeGrid
 from ..plans.storage import shared_dir
-from . import align, metrics, sinks
+from . import align, buckets, coordinates, distinct_set, keysets, metrics, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,17 +152,63 @@ def nan_null_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: (dimension, source, table, column); the customers of orders and events are some of all customers.
+KEYS = (
+    ("region", "nation", "nation", "n_regionkey"), ("region", "region", "region", "r_regionkey"), ("nation", "nation", "nation", "n_nationkey"), ("nation", "supplier", "supplier", "s_nationkey"),
+    ("customer", "customer", "customer", "c_custkey"), ("customer", "orders", "orders", "o_custkey"), ("customer", "events", "events", "user_id"),
+    ("supplier", "supplier", "supplier", "s_suppkey"), ("supplier", "lineitem", "lineitem", "l_suppkey"),
+)
+_KEYS = "keys as (" + " union ".join(f"select '{d}' as dim, '{s}' as source, {c}::varchar as key from {t}" for d, s, t, c in KEYS) + ")"
+
+
+def _key_sources(spark: SparkSession, sf_dir: str) -> list[keysets.Source]:
+    return [(dim, source, table(spark, sf_dir, name), c) for dim, source, name, c in KEYS]
+
+
 @query(
-    """select dim, count(*) = 1 as aligned, max(n) as size from (
-    select 'region' as dim, count(distinct n_regionkey) as n from nation union select 'region', count(distinct r_regionkey) from region
-    union select 'nation', count(distinct n_nationkey) from nation union select 'nation', count(distinct s_nationkey) from supplier) group by dim"""
+    f"""with {_KEYS}, n as (select dim, source, count(*) as n from keys group by 1, 2), k as (select dim, key, count(*) as held from keys group by 1, 2), s as (select dim, count(distinct source) as many from keys group by 1)
+    select dim, not exists (select 1 from k join s on s.dim = k.dim where k.dim = n.dim and k.held < s.many) as aligned, max(n) as size from n group by dim"""
 )
 def grid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for dim, name, c in (("region", "nation", "n_regionkey"), ("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("nation", "supplier", "s_nationkey")):
-        one = table(spark, sf_dir, name).agg(F.countDistinct(c).alias("n")).select(F.lit(dim).alias("dim"), "n")
-        out = one if out is None else out.union(one)
-    return out.groupBy("dim").agg((F.countDistinct("n") == 1).alias("aligned"), F.max("n").alias("size"))
+    """Whether the sources of a dimension have the same keys, not just as many."""
+    return keysets.alignment(_key_sources(spark, sf_dir))
+
+
+@query(
+    f"""with {_KEYS}, p as (select distinct a.dim, a.source, b.key from keys a join keys b on a.dim = b.dim)
+    select dim, source, count(*) as n_lacking, min(key) as first_lacking from p where not exists (select 1 from keys where keys.dim = p.dim and keys.source = p.source and keys.key is not distinct from p.key)
+    group by 1, 2"""
+)
+def key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys each source lacks that another one of its dimension has, and the first by text."""
+    found = keysets.conflicts(_key_sources(spark, sf_dir))
+    return found.groupBy("dim", "source").agg(F.count("*").alias("n_lacking"), F.min("key").alias("first_lacking"))
+
+
+def _day_sources(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
+    day = lambda name, c: (table(spark, sf_dir, name).select(F.to_date(c).alias("day")), "day")
+    return {"events": day("events", "ts"), "orders": day("orders", "o_orderdate"), "lineitem": day("lineitem", "l_shipdate")}
+
+
+_DAYS = """days as (select ts::date as day, 'events' as source from events union select o_orderdate::date, 'orders' from orders union select l_shipdate::date, 'lineitem' from lineitem)"""
+
+
+@query(f"with {_DAYS} select strftime(day, '%Y-%m-%d') as day, dense_rank() over (order by day) - 1 as idx, count(*) as n_sources from days group by day")
+def coordinates_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One index over the days of three tables."""
+    found = coordinates.coordinates(_day_sources(spark, sf_dir))
+    return found.select(F.date_format("value", "yyyy-MM-dd").alias("day"), "idx", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(
+    f"""with {_DAYS}, lack as (select s.source, d.day from (select distinct source from days) s, (select distinct day from days) d where not exists (select 1 from days where days.source = s.source and days.day = d.day))
+    select source, count(*) as n_missing, strftime(min(day), '%Y-%m-%d') as first_missing, strftime(max(day), '%Y-%m-%d') as last_missing from lack group by 1"""
+)
+def coordinate_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that each of three tables lacks; a table that lacks none is left out."""
+    sources = _day_sources(spark, sf_dir)
+    found = coordinates.disagreements(coordinates.coordinates(sources), list(sources)).where("n_missing > 0")
+    return found.select("source", "n_missing", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_missing", "last_missing")])
 
 
 # ---- alignment by dimension names and coordinates ----
@@ -789,6 +835,44 @@ def param_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("s_suppkey", r6(F.col("x"), "x"), r6(gap, "distance"))
 
 
+_GREEDY = """with recursive p as (select p_partkey as id, abs(p_retailprice - {target}) as loss, (p_retailprice - 900) / 1200::double as x, p_size / 50::double as y from part),
+n as (select *, row_number() over (order by loss, id) as r from p),
+run(r, taken) as (select 0::bigint, []::struct(id bigint, x double, y double)[] union all
+  select run.r + 1, case when len(taken) < {most} and len(list_filter(taken, lambda t: sqrt((t.x - n.x) ** 2 + (t.y - n.y) ** 2) < {distance})) = 0 then list_append(taken, {{id: n.id, x: n.x, y: n.y}}) else taken end
+  from run join n on n.r = run.r + 1)
+select unnest(list_transform(taken, lambda t: t.id)) as p_partkey, unnest(range(1, len(taken) + 1)) as place from (select taken from run order by r desc limit 1)"""
+PART_BOUNDS = {"p_retailprice": (900.0, 2100.0), "p_size": (0.0, 50.0)}
+
+
+@query(_GREEDY.format(target=1400, most=1 << 30, distance=0.1))
+def distinct_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts nearest to a price, each at least a tenth of the space from all before it."""
+    parts = table(spark, sf_dir, "part").withColumn("loss", F.abs(F.col("p_retailprice") - 1400))
+    return distinct_set.distinct_ranked(parts, ["loss", "p_partkey"], PART_BOUNDS, 0.1).select("p_partkey", "place")
+
+
+@query(_GREEDY.format(target=1000, most=10, distance=0.05))
+def hall_of_fame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of a diverse set."""
+    parts = table(spark, sf_dir, "part").withColumn("loss", F.abs(F.col("p_retailprice") - 1000))
+    return distinct_set.distinct_ranked(parts, ["loss", "p_partkey"], PART_BOUNDS, 0.05, most=10).select("p_partkey", "place")
+
+
+@query(
+    """with h as (select date_trunc('hour', ts) as hour, event_type, avg(value) as mean from events group by 1, 2)
+    select e.event_type, count(*) as n, round(sum((e.value - h.mean) ** 2), 4) as spread from events e join h on h.hour = date_trunc('hour', e.ts) and h.event_type = e.event_type group by 1"""
+)
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against the means of their hours, both stored in buckets of hour and type."""
+    events = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour"), "event_type", "value")
+    means = events.groupBy("hour", "event_type").agg(F.avg("value").alias("mean"))
+    many = buckets.bucket_count(events.count())
+    keys = ["hour", "event_type"]
+    both = buckets.joined(spark, buckets.store(events, "events", keys, many), buckets.store(means, "means", keys, many), keys)
+    off = F.col("value") - F.col("mean")
+    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(off * off), 4).alias("spread"))
+
+
 # ---- streams ----
 
 
