@@ -241,25 +241,68 @@ def best_fit(sizes, length):
     return len(gaps)
 
 
-def swept(pieces, gaps):
-    """One sweep by brute force: each piece, longest first, takes the smallest gap that holds it; gaps by size and then number."""
-    left, out = sorted((g, -i) for i, g in gaps), {}
+def best_fit_into(pieces, gaps):
+    """Plain best fit, longest first, into given gaps alone: the pieces placed, and the sizes of what is left of the gaps."""
+    left, placed = sorted(s for _, s in gaps), []
     for s, i in sorted(((s, i) for i, s in pieces), key=lambda x: (-x[0], x[1])):
-        at = bisect.bisect_left(left, (s, -(1 << 60)))
+        at = bisect.bisect_left(left, s)
         if at < len(left):
-            out[i] = -left.pop(at)[1]
-    return out
+            bisect.insort(left, left.pop(at) - s)
+            placed.append(i)
+    return sorted(placed), [g for g in left if g]
 
 
-def test_first_round_is_a_whole_sweep(spark):
+def test_one_range_is_best_fit(spark):
+    """A sweep of one range places the pieces that plain best fit places, and leaves the same gaps."""
     rng = np.random.default_rng(1)
-    for most in (64, 3):
-        pieces = [(2 * i, int(s)) for i, s in enumerate(rng.integers(1, most, 150))]
-        gaps = [(2 * i, int(s)) for i, s in enumerate(rng.integers(1, most, 120))]
-        made = packing.assign(spark.createDataFrame(pieces, "id bigint, size bigint"), spark.createDataFrame(gaps, "id bigint, size bigint"), 64, range_rows=30)
-        want = swept(pieces, gaps)
-        first = {r.id: r.bin for t in made[:2] for r in t.collect()}
-        assert {k: first.get(k) for k in want} == want
+    for most in (64, 9):
+        pieces = [(2 * i, int(s)) for i, s in enumerate(rng.integers(1, most, 300))]
+        gaps = [(2 * i, int(s)) for i, s in enumerate(rng.integers(1, 64, 120))]
+        state = spark.createDataFrame([(packing.PIECE, *p) for p in pieces] + [(packing.GAP, *g) for g in gaps], "kind int, id bigint, size bigint")
+        rows = packing._sweep(state, 1, 64, None, 0).collect()
+        placed, left = best_fit_into(pieces, gaps)
+        assert sorted(r.id for r in rows if r.kind == packing.PLACED) == placed
+        assert sorted(r.size for r in rows if r.kind in (packing.GAP, packing.CHANGED)) == left
+
+
+@pytest.mark.parametrize("fan", [1024, 3])
+def test_partners_across_ranges(spark, monkeypatch, fan):
+    """Pieces close what the nearest gaps before them open, however many groups of groups of ranges there are."""
+    monkeypatch.setattr(packing, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    rows, open_gaps, want, key = [], [], set(), 0
+    for part in range(40):
+        if part % 7 == 3:
+            continue
+        p, g = (int(x) for x in rng.integers(0, 6, 2))
+        for rank in range(p):
+            rows.append((part, packing.PIECE, key, 1, rank))
+            if open_gaps:
+                want.add((key, open_gaps.pop()))
+            key += 1
+        # Rank 0 is the gap nearest to what follows.
+        rows += [(part, packing.GAP, key + rank, 2, rank) for rank in range(g)]
+        open_gaps += [key + rank for rank in reversed(range(g))]
+        key += g
+    got = packing.across(spark.createDataFrame(rows, "part int, kind int, id bigint, size bigint, rank bigint"), 40)
+    assert {(r.piece, r.bin) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_small_pieces_in_few_rounds(spark, monkeypatch):
+    """Many short pieces over several ranges: within a hundredth of plain best fit, in 25 rounds at most."""
+    rounds = []
+    sweep = packing._sweep
+    monkeypatch.setattr(packing, "_sweep", lambda *a: rounds.append(a[1]) or sweep(*a))
+    for low, high in ((20, 120), (1, 40)):
+        rounds.clear()
+        sizes = np.random.default_rng(7).integers(low, high, 20_000).tolist()
+        text = spark.createDataFrame(list(enumerate(sizes)), "id bigint, size bigint")
+        got = [tuple(r) for t in packing.assign(text, text.limit(0), range_rows=4096) for r in t.collect()]
+        held = {}
+        for i, place in got:
+            held[place] = held.get(place, 0) + sizes[i]
+        assert sorted(i for i, _ in got) == list(range(20_000)) and max(held.values()) <= 1024
+        assert len(held) <= 1.01 * best_fit(sizes, 1024) and rounds[0] > 1 and len(rounds) <= 25, (len(held), len(rounds))
 
 
 @pytest.mark.parametrize("sizes", ["even", "small", "equal"])

@@ -3,20 +3,22 @@
 Pieces longer than half a sequence open one each. Then, round by round, the pieces that are left and
 the gaps of all open sequences are range-sorted together, longest first, gaps before pieces of their
 length. A sweep through that order gives each piece its successor, the smallest gap that holds it and
-is not taken by a longer piece: every task sweeps its own range, and pieces and gaps that find no
-partner there are matched across ranges by their rank. Gaps are updated and the next round begins.
-When nothing fits any more, as many sequences open as the pieces left would fill. Rounds are written
-to the shared folder, so a lost executor costs a part of one round.
+is not taken by a longer piece; what is left of a gap takes further pieces as the sweep comes to its size. Every
+task sweeps its own range, and pieces and gaps that find no partner there are matched across ranges
+by their rank. Gaps are updated and the next round begins. When few pieces find gaps any more, those of
+the larger sizes open sequences. Rounds are written to the shared folder, so a lost executor costs a part
+of one round.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexers import ChunkEncoder, ranges
@@ -27,10 +29,10 @@ END_ID = 2
 LENGTH = 1024
 #: Documents that a task tokenises together, and the rows of a range of a sweep.
 BATCH, RANGE_ROWS = 1024, 1 << 15
-#: Pieces of at most this share of a sequence open sequences together, so that rounds stay few.
-SMALL = 8
+#: Sequences open when fewer than one in so many pieces found a gap. Ranges whose counts are added up together.
+FEW, FAN = 32, 1024
 
-GAP, PIECE, PLACED = 0, 1, 2
+GAP, PIECE, PLACED, CHANGED = 0, 1, 2, 3
 
 
 def cuts(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,45 +68,50 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, le
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _sweep(state: DataFrame, parts: int, length: int, first_bundle: int | None) -> DataFrame:
+def _sweep(state: DataFrame, parts: int, length: int, opening: int | None, number: int) -> DataFrame:
     """One sweep within ranges: (kind, id, size) -> part, kind, id, size, bin, rank.
 
-    PLACED rows have the piece, its sequence and the gap that stays; PIECE and GAP rows found no partner
-    in their range and are ranked in the order in which a sweep over all ranges would take them. With
-    ``first_bundle``, pieces without a partner open sequences together, numbered from there.
+    PLACED rows have the piece and its sequence, CHANGED rows what is left of a gap that took pieces. A
+    gap goes on taking pieces where the sweep reaches the size that is left of it. PIECE and GAP rows
+    found no partner in their range and are ranked in the order in which a sweep over all ranges would
+    take them. Pieces of ``opening`` tokens or more that find no gap open a sequence; ``number`` keeps the
+    sequences of one sweep apart from those of others.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["part", "kind", "id", "size", "bin", "rank"]
-        open_gaps: list[tuple[int, int]] = []
-        bundle: list[tuple[int, int]] = []
-        part = alone = held = bundles = 0
+        # Gaps at least as large as the row at hand, the smallest on top, and smaller ones that took a piece.
+        gaps: list[tuple[int, int, bool]] = []
+        later: list[tuple[int, int]] = []
+        part = alone = opened = 0
         for frame in frames:
             if not len(frame):
                 continue
             out, part = [], int(frame["part"].iloc[0])
             for kind, key, size in zip(frame["kind"].tolist(), frame["id"].tolist(), frame["size"].tolist(), strict=True):
+                while later and -later[0][0] >= size:
+                    free, place = heapq.heappop(later)
+                    gaps.append((place, -free, True))
                 if kind == GAP:
-                    open_gaps.append((key, size))
-                elif open_gaps:
-                    place, gap = open_gaps.pop()
-                    out.append((part, PLACED, key, gap - size, place, 0))
-                elif first_bundle is None:
+                    gaps.append((key, size, False))
+                    continue
+                if gaps:
+                    place, gap, _ = gaps.pop()
+                elif opening is not None and size >= opening:
+                    place, gap, opened = 2 * ((number << 54) + (part << 22) + opened) + 1, length, opened + 1
+                else:
                     out.append((part, PIECE, key, size, 0, alone))
                     alone += 1
-                else:
-                    if held + size > length:
-                        out += _bundled(part, bundle, first_bundle + 2 * ((part << 32) + bundles), length - held)
-                        bundle, held, bundles = [], 0, bundles + 1
-                    bundle.append((key, size))
-                    held += size
+                    continue
+                out.append((part, PLACED, key, size, place, 0))
+                if gap - size >= size:
+                    gaps.append((place, gap - size, True))
+                elif gap > size:
+                    heapq.heappush(later, (size - gap, place))
             yield pd.DataFrame(out, columns=names)
-        rest = [(part, GAP, key, size, 0, i) for i, (key, size) in enumerate(reversed(open_gaps))]
-        if bundle and bundles:
-            # What does not fill a sequence waits for the next round, with fewer ranges.
-            rest += [(part, PIECE, key, size, 0, i) for i, (key, size) in enumerate(bundle)]
-        elif bundle:
-            rest += _bundled(part, bundle, first_bundle + 2 * ((part << 32) + bundles), length - held)
+        changed = [(place, gap) for place, gap, used in gaps if used] + [(place, -free) for free, place in later]
+        rest = [(part, CHANGED, place, gap, 0, 0) for place, gap in changed]
+        rest += [(part, GAP, key, size, 0, i) for i, (key, size, _) in enumerate(g for g in reversed(gaps) if not g[2])]
         yield pd.DataFrame(rest, columns=names)
 
     order = [F.col("size").desc(), F.col("kind"), F.col("id")]
@@ -114,81 +121,82 @@ def _sweep(state: DataFrame, parts: int, length: int, first_bundle: int | None)
     return ranged.mapInPandas(run, "part int, kind int, id bigint, size bigint, bin bigint, rank bigint")
 
 
-def _bundled(part: int, held: list[tuple[int, int]], place: int, gap: int) -> list[tuple]:
-    """Placements of pieces that open a sequence together; the last one has the gap."""
-    return [(part, PLACED, key, gap if i + 1 == len(held) else 0, place, 0) for i, (key, _) in enumerate(held)]
-
+def _heights(counts: DataFrame, many: int) -> DataFrame:
+    """(part, p, g) pieces and gaps without a partner -> with ``before`` and ``held``: gaps open before a range, and after its pieces.
 
-def _across(counts: list) -> list[tuple[int, int, int, int, int]]:
-    """Matches across ranges, as (kind, part, first rank, end, ticket less rank): equal tickets are partners.
-
-    ``counts`` has, for each range, how many pieces and gaps found no partner. The pieces of a range come
-    before its gaps and take the gaps nearest before them.
+    With t the sum of g - p so far, the lowest t - g so far is where no gap was open. Both are added up over
+    groups of ``FAN`` ranges and then groups of groups.
+    """
+    group = F.floor(F.col("part") / FAN)
+    so_far = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumn("group", group).withColumn("t", F.sum(F.col("g") - F.col("p")).over(so_far))
+    rows = rows.withColumn("low", F.min(F.col("t") - F.col("g")).over(so_far))
+    if many > FAN:
+        # A group is a range that first closes, then opens gaps.
+        last = F.max(F.struct("part", "t", "low"))
+        groups = rows.groupBy("group").agg(last.alias("l")).select(F.col("group").alias("part"), (-F.col("l.low")).alias("p"), (F.col("l.t") - F.col("l.low")).alias("g"))
+        far = _heights(groups, -(-many // FAN)).select(F.col("part").alias("group"), F.col("before").alias("start"))
+        rows = rows.join(far, "group")
+    else:
+        rows = rows.withColumn("start", F.lit(0))
+    floor = F.least(F.lit(0), F.col("start") + F.col("low"))
+    held = F.col("start") + F.col("t") - F.col("g") - floor
+    # What was open before the pieces of a range: the floor reached before them counts.
+    earlier = F.lag("low").over(Window.partitionBy("group").orderBy("part"))
+    past = F.col("start") + F.col("t") - F.col("g") + F.col("p")
+    before = past - F.least(F.lit(0), F.col("start") + F.coalesce(earlier, F.lit(0)))
+    return rows.select("part", "p", "g", before.alias("before"), held.alias("held"))
+
+
+def across(alone: DataFrame, parts: int) -> DataFrame:
+    """(piece, size, bin, gap) of the pieces and gaps (part, kind, id, size, rank) that are partners across ranges.
+
+    The pieces of a range come before its gaps and take the nearest gaps before them, as closing
+    brackets take opening ones: a gap opens a level, a piece closes one, and on every level gaps and pieces
+    take turns, so the n-th piece of a level has its n-th gap.
     """
-    alone: dict[tuple[int, int], int] = {(r["part"], r["kind"]): r["n"] for r in counts}
-    above: list[list[int]] = []
-    out, ticket = [], 0
-    for part in sorted({p for p, _ in alone}):
-        rank, left = 0, alone.get((part, PIECE), 0)
-        while left and above:
-            source, used, free = above[-1]
-            n = min(left, free)
-            out += [(PIECE, part, rank, rank + n, ticket - rank), (GAP, source, used, used + n, ticket - used)]
-            rank, left, ticket = rank + n, left - n, ticket + n
-            above[-1] = [source, used + n, free - n]
-            if n == free:
-                above.pop()
-        if alone.get((part, GAP)):
-            above.append([part, 0, alone[part, GAP]])
-    return out
+    counts = alone.groupBy("part").agg(*[F.sum((F.col("kind") == k).cast("long")).alias(n) for k, n in ((PIECE, "p"), (GAP, "g"))])
+    rows = alone.join(_heights(counts, parts), "part")
+    level = F.when(F.col("kind") == GAP, F.col("held") + F.col("g") - F.col("rank")).otherwise(F.col("before") - F.col("rank"))
+    rows = rows.withColumn("level", level).where("level > 0")
+    # A range has one gap and one piece on a level at most.
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("kind", "level").orderBy("part")))
+    p = rows.where(F.col("kind") == PIECE).selectExpr("level", "turn", "id as piece", "size")
+    return p.join(rows.where(F.col("kind") == GAP).selectExpr("level", "turn", "id as bin", "size as gap"), ["level", "turn"]).drop("level", "turn")
 
 
 def assign(pieces_left: DataFrame, gaps: DataFrame, length: int = LENGTH, range_rows: int = RANGE_ROWS) -> list[DataFrame]:
     """Rounds of best fit: pieces (id, size) of at most half a sequence, gaps (id, size) -> tables of (id, bin), one or two a round.
 
-    Sequences opened here have odd numbers; gaps are to have even ones. The driver sees counts by range only.
+    Sequences opened here have odd numbers; gaps are to have even ones. While many pieces find gaps, none opens; then
+    the larger half of the sizes left may open sequences, which smaller pieces fill in the next rounds.
+    What fits one range is packed by one sweep. The driver sees totals only.
     """
-    spark = pieces_left.sparkSession
     state = gaps.selectExpr(f"{GAP} kind", "id", "size").union(pieces_left.selectExpr(f"{PIECE} kind", "id", "size"))
-    seen = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least")).collect()}
-    if PIECE not in seen:
-        return []
-    left, free, least = seen[PIECE]["n"], seen[GAP]["n"] if GAP in seen else 0, seen[PIECE]["least"]
+    seen = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).collect()}
     placed: list[DataFrame] = []
-    opened, bundle = 0, None
-    while left:
+    opening = None
+    while PIECE in seen:
+        left, least, most = (seen[PIECE][k] for k in ("n", "least", "most"))
         live = state.where((F.col("kind") == PIECE) | (F.col("size") >= least))
-        swept = materialise(_sweep(live, -(-(left + free) // range_rows), length, bundle), "sweep")
-        counts = swept.groupBy("part", "kind").agg(F.count("*").alias("n")).collect()
-        total = {k: sum(r["n"] for r in counts if r["kind"] == k) for k in (GAP, PIECE, PLACED)}
-        placed.append(swept.where(F.col("kind") == PLACED).select("id", "bin"))
-        alone = swept.where(F.col("kind") != PLACED).select("part", "kind", "id", "size", "rank")
-        updated = swept.where(F.col("kind") == PLACED).selectExpr(f"{GAP} kind", "bin id", "size")
-        links = _across([r for r in counts if r["kind"] != PLACED])
-        crossed = sum(end - first for kind, _, first, end, _ in links if kind == PIECE)
-        if links:
-            rule = spark.createDataFrame(links, "kind int, part int, first bigint, end bigint, base bigint").alias("l")
-            a = alone.alias("a")
-            where = F.expr("a.kind = l.kind and a.part = l.part and a.rank >= l.first and a.rank < l.end")
-            # A few rows for each range: the smaller side of this join is bounded by the number of ranges.
-            alone = a.join(F.broadcast(rule), where, "left").selectExpr("a.kind", "a.id", "a.size", "a.rank + l.base as ticket")
-            p = alone.where(F.col("kind") == PIECE).selectExpr("ticket", "id", "size")
-            g = alone.where(F.col("kind") == GAP).selectExpr("ticket", "id as bin", "size as gap")
-            pairs = materialise(p.join(g, "ticket").selectExpr("id", "bin", "gap - size as size"), "across")
-            placed.append(pairs.select("id", "bin"))
-            updated = updated.union(pairs.selectExpr(f"{GAP} kind", "bin id", "size"))
-            alone = alone.where("ticket is null")
-        state = alone.select("kind", "id", "size").union(updated)
-        left, free = total[PIECE] - crossed, total[GAP] + total[PLACED]
-        bundle = None
-        if left and not total[PLACED] + crossed:
-            large = alone.where((F.col("kind") == PIECE) & (F.col("size") > length // SMALL)).agg(F.sum("size")).head()[0]
-            if large:
-                new = -(-large // length)
-                state = state.union(spark.range(new).selectExpr(f"{GAP} kind", f"2 * (id + {opened}) + 1 id", f"{length}L size"))
-                opened, free = opened + new, free + new
-            else:
-                bundle = (len(placed) << 52) + 1
+        parts = -(-(left + (seen[GAP]["n"] if GAP in seen else 0)) // range_rows)
+        if parts == 1:
+            opening = 0
+        swept = materialise(_sweep(live, parts, length, opening, len(placed)), "sweep")
+        done = swept.where(F.col("kind") == PLACED).select("id", "bin")
+        placed.append(done)
+        alone = swept.where(F.col("kind").isin(PIECE, GAP))
+        state = alone.select("kind", "id", "size").union(swept.where(F.col("kind") == CHANGED).selectExpr(f"{GAP} kind", "id", "size"))
+        if parts > 1:
+            pairs = materialise(across(alone.select("part", "kind", "id", "size", "rank"), parts), "across")
+            placed.append(pairs.selectExpr("piece as id", "bin"))
+            met = pairs.selectExpr(f"{PIECE} kind", "piece id").union(pairs.selectExpr(f"{GAP} kind", "bin id"))
+            state = state.join(met, ["kind", "id"], "left_anti").union(pairs.where("gap > size").selectExpr(f"{GAP} kind", "bin id", "gap - size as size"))
+            state = materialise(state, "round")
+        seen = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).collect()}
+        now = seen[PIECE]["n"] if PIECE in seen else 0
+        # After sequences opened, smaller pieces look for gaps first.
+        opening = seen[PIECE]["most"] // 2 if now and opening is None and (left - now) * FEW < left else None
     return placed
 
 
