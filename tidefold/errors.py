@@ -1,9 +1,9 @@
-"""Errors with stable codes: E1xx declaration and data, E2xx compilation, E3xx execution."""
+"""Errors with stable codes: E2xx of grids, E3xx of execution."""
 
 from __future__ import annotations
 
 
-class ModelError(Exception):
+class TableError(Exception):
     """Base of all errors; the message starts with the code in brackets."""
 
     code = "E000"
@@ -13,74 +13,13 @@ class ModelError(Exception):
         self.message = message
 
 
-class ValidationError(ModelError):
-    code = "E100"
-
-
-class FunctionNotFoundError(ValidationError):
-    code = "E101"
-
-
-class SignatureMismatchError(ValidationError):
-    code = "E102"
-
-
-class DimensionMismatchError(ValidationError):
-    code = "E103"
-
-
-class UnitError(ValidationError):
-    code = "E105"
-
-
-class MissingDataError(ValidationError):
-    code = "E106"
-
-
-class OutputCountMismatchError(ValidationError):
-    code = "E107"
-
-
-class _Collected(ValidationError):
-    def __init__(self, errors: list[ModelError], warnings: list[str] | None = None):
-        self.errors, self.warnings = list(errors), list(warnings or [])
-        super().__init__(f"{len(self.errors)} error(s): " + "; ".join(map(str, self.errors)))
-
-    def error_count(self) -> int:
-        return len(self.errors)
-
-
-class BlueprintValidationError(_Collected):
-    code = "E100"
-
-
-class ConfigValidationError(_Collected):
-    code = "E110"
-
-
-class CompilationError(ModelError):
-    code = "E200"
-
-
-class ShapeInferenceError(CompilationError):
-    code = "E201"
-
-
-class GridAlignmentError(CompilationError):
-    code = "E202"
-
-
-class TransposeError(CompilationError):
+class TransposeError(TableError):
     code = "E204"
 
 
-class EngineError(ModelError):
-    code = "E300"
-
-
-class ChunkingError(EngineError):
+class ChunkingError(TableError):
     code = "E303"
 
 
-class EngineIOError(EngineError):
+class EngineIOError(TableError):
     code = "E304"

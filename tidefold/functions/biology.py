@@ -1,39 +1,29 @@
-"""Day length, temperature, mortality and cohort functions of the mid-trophic model; predator and prey; cart and pole."""
+"""Day length, temperature, mortality and cohort functions, predator and prey, cart and pole, as Column expressions.
+
+A null argument gives null; nothing else is dropped or replaced, but for layers that are not there, which are an error.
+"""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import functional
-
-#: Sharpness of recruitment around its age: 1 % to 99 % within a day on either side, per second.
+# The tilt of the earth and the day of the equinox in the formula of the day length, the
+# scale of the temperature correction, and the odds at a day's distance from the age of recruitment.
+TILT, EQUINOX, YEAR = 23.45, 284.0, 365.0
+FREEZING = 273.0
 SHARPNESS = math.log(99.0) / 86400.0
 
 
-def _day_length_kernel(latitude, day_of_year):
-    tilt = np.radians(23.45 * np.sin(np.radians(360.0 * (284.0 + day_of_year) / 365.0)))
-    return np.arccos(np.clip(-np.tan(np.radians(latitude)) * np.tan(tilt), -1.0, 1.0)) / np.pi
-
-
-@functional("lmtl:day_length", units={"latitude": "degrees", "day_of_year": "dimensionless", "return": "dimensionless"}, kernel=_day_length_kernel)
 def day_length(latitude: Column, day_of_year: Column) -> Column:
     """Fraction of the day with light."""
-    tilt = F.radians(F.lit(23.45) * F.sin(F.radians(F.lit(360.0) * (F.lit(284.0) + day_of_year) / F.lit(365.0))))
+    tilt = F.radians(F.lit(TILT) * F.sin(F.radians(F.lit(360.0) * (F.lit(EQUINOX) + day_of_year) / F.lit(YEAR))))
     arg = -F.tan(F.radians(latitude)) * F.tan(tilt)
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), arg))) / F.lit(math.pi)
-
-
-def _layers_kernel(forcing, day_length, day_layer, night_layer):
-    day = np.take_along_axis(forcing, np.asarray(day_layer, dtype=int)[..., None], axis=-1)[..., 0]
-    night = np.take_along_axis(forcing, np.asarray(night_layer, dtype=int)[..., None], axis=-1)[..., 0]
-    return day * day_length + night * (1.0 - day_length)
+    return F.when(arg.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), arg))) / F.lit(math.pi))
 
 
-@functional("lmtl:layer_weighted_mean", core_dims={"forcing": ["Z"]}, kernel=_layers_kernel)
 def layer_weighted_mean(forcing: Column, day_length: Column, day_layer: Column, night_layer: Column) -> Column:
     """The day layer's value by day and the night layer's by night; layers count from 0, one that is not there is an error."""
 
@@ -46,30 +36,18 @@ def layer_weighted_mean(forcing: Column, day_length: Column, day_layer: Column,
     return day * day_length + night * (F.lit(1.0) - day_length)
 
 
-@functional("lmtl:threshold_temperature", units={"temp": "degC", "min_temp": "degC", "return": "degC"}, kernel=np.maximum)
 def threshold_temperature(temp: Column, min_temp: Column) -> Column:
-    return F.greatest(temp, min_temp)
+    return F.when(temp.isNotNull() & min_temp.isNotNull(), F.greatest(temp, min_temp))
 
 
-@functional("lmtl:gillooly_temperature", units={"temp": "degC", "return": "degC"}, kernel=lambda temp: temp / (1.0 + temp / 273.0))
 def gillooly_temperature(temp: Column) -> Column:
-    return temp / (F.lit(1.0) + temp / F.lit(273.0))
+    return temp / (F.lit(1.0) + temp / F.lit(FREEZING))
 
 
-@functional(
-    "lmtl:recruitment_age",
-    units={"temp": "degC", "tau_r_0": "s", "gamma": "1/delta_degC", "t_ref": "degC", "return": "s"},
-    kernel=lambda temp, tau_r_0, gamma, t_ref: tau_r_0 * np.exp(-gamma * (temp - t_ref)),
-)
 def recruitment_age(temp: Column, tau_r_0: Column, gamma: Column, t_ref: Column) -> Column:
     return tau_r_0 * F.exp(-gamma * (temp - t_ref))
 
 
-@functional(
-    "lmtl:mortality",
-    units={"biomass": "g/m^2", "temp": "degC", "lambda_0": "1/s", "gamma": "1/delta_degC", "t_ref": "degC", "return": "g/m^2/s"},
-    kernel=lambda biomass, temp, lambda_0, gamma, t_ref: -lambda_0 * np.exp(gamma * (temp - t_ref)) * biomass,
-)
 def mortality(biomass: Column, temp: Column, lambda_0: Column, gamma: Column, t_ref: Column) -> Column:
     return -lambda_0 * F.exp(gamma * (temp - t_ref)) * biomass
 
@@ -83,18 +61,6 @@ def cohort_durations(ages: Column) -> Column:
     )
 
 
-def cohort_durations_kernel(ages):
-    gap = np.diff(ages, axis=-1)
-    return np.concatenate([gap, gap[..., -1:]], axis=-1)
-
-
-def _injection_kernel(npp, efficiency, production):
-    out = np.zeros(np.broadcast_shapes(np.shape(npp) + (1,), np.shape(efficiency) + (1,), production.shape))
-    out[..., 0] = npp * efficiency
-    return out
-
-
-@functional("lmtl:npp_injection", core_dims={"production": ["C"]}, out_dims=["C"], kernel=_injection_kernel)
 def npp_injection(npp: Column, efficiency: Column, production: Column) -> Column:
     """Primary production times efficiency goes into the first cohort."""
     return F.transform(production, lambda p, i: F.when(i == 0, npp * efficiency).otherwise(F.lit(0.0)))
@@ -111,19 +77,6 @@ def _outflow(production: Column, ages: Column, rec_age: Column, stay: bool) -> C
     return F.zip_with(production, rates, lambda p, r: p * r)
 
 
-def _sigmoid(x):
-    e = np.exp(-np.abs(x))
-    return np.where(x >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
-
-
-def _aging_kernel(production, cohort_ages, rec_age):
-    share = _sigmoid(SHARPNESS * (cohort_ages - np.asarray(rec_age)[..., None]))
-    out = (1.0 - share) * production / cohort_durations_kernel(cohort_ages)
-    out = np.concatenate([out[..., :-1], np.zeros_like(out[..., :1])], axis=-1)
-    return np.concatenate([np.zeros_like(out[..., :1]), out[..., :-1]], axis=-1) - out
-
-
-@functional("lmtl:aging_flow", core_dims={"production": ["C"], "cohort_ages": ["C"]}, out_dims=["C"], kernel=_aging_kernel)
 def aging_flow(production: Column, cohort_ages: Column, rec_age: Column) -> Column:
     """What is not recruited moves to the next cohort; nothing leaves the last one. The flows sum to zero."""
     n = F.size(production)
@@ -132,68 +85,33 @@ def aging_flow(production: Column, cohort_ages: Column, rec_age: Column) -> Colu
     return F.zip_with(shifted, out, lambda a, b: a - b)
 
 
-def _recruitment_kernel(production, cohort_ages, rec_age):
-    share = _sigmoid(SHARPNESS * (cohort_ages - np.asarray(rec_age)[..., None]))
-    out = share * production / cohort_durations_kernel(cohort_ages)
-    return -out, out.sum(axis=-1)
-
-
-@functional(
-    "lmtl:recruitment_flow",
-    core_dims={"production": ["C"], "cohort_ages": ["C"]},
-    out_dims={"prod_loss": ["C"], "biomass_gain": []},
-    outputs=["prod_loss", "biomass_gain"],
-    kernel=_recruitment_kernel,
-)
 def recruitment_flow(production: Column, cohort_ages: Column, rec_age: Column) -> tuple[Column, Column]:
     """The recruited share leaves every cohort; the sum of it is gained by the biomass."""
     out = _outflow(production, cohort_ages, rec_age, False)
     return F.transform(out, lambda x: -x), F.aggregate(out, F.lit(0.0), lambda a, x: a + x)
 
 
-@functional("lv:prey_growth", kernel=lambda N, alpha: alpha * N)
 def prey_growth(N: Column, alpha: Column) -> Column:  # noqa: N803
     return alpha * N
 
 
-@functional(
-    "lv:predation",
-    outputs=["prey_loss", "predator_gain"],
-    kernel=lambda N, P, beta, delta: (-beta * N * P, delta * beta * N * P),
-)
 def predation(N: Column, P: Column, beta: Column, delta: Column) -> tuple[Column, Column]:  # noqa: N803
     return -beta * N * P, delta * beta * N * P
 
 
-@functional("lv:predator_death", kernel=lambda P, gamma: -gamma * P)
 def predator_death(P: Column, gamma: Column) -> Column:  # noqa: N803
     return -gamma * P
 
 
-@functional("growth:logistic", kernel=lambda biomass, rate, capacity: rate * biomass * (1.0 - biomass / capacity))
 def logistic(biomass: Column, rate: Column, capacity: Column) -> Column:
     return rate * biomass * (F.lit(1.0) - biomass / capacity)
 
 
-@functional("cart:velocity", kernel=lambda rate: 1.0 * rate)
-def velocity(rate: Column) -> Column:
-    return rate
-
-
-def _pole(angle, spin, force, m_cart, m_pole, length, gravity, m):
-    total = m_cart + m_pole
-    push = (-force - m_pole * length * spin * spin * m.sin(angle)) / total
-    return (gravity * m.sin(angle) + m.cos(angle) * push) / (length * (4.0 / 3.0 - m_pole * m.cos(angle) * m.cos(angle) / total))
-
-
-@functional("cart:angular_acceleration", kernel=lambda angle, spin, force, m_cart, m_pole, length, gravity: _pole(angle, spin, force, m_cart, m_pole, length, gravity, np))
 def angular_acceleration(angle: Column, spin: Column, force: Column, m_cart: Column, m_pole: Column, length: Column, gravity: Column) -> Column:
-    return _pole(angle, spin, force, m_cart, m_pole, length, gravity, F)
+    total = m_cart + m_pole
+    push = (-force - m_pole * length * spin * spin * F.sin(angle)) / total
+    return (gravity * F.sin(angle) + F.cos(angle) * push) / (length * (F.lit(4.0 / 3.0) - m_pole * F.cos(angle) * F.cos(angle) / total))
 
 
-@functional(
-    "cart:linear_acceleration",
-    kernel=lambda angle, spin, spin_rate, force, m_cart, m_pole, length: (force + m_pole * length * (spin * spin * np.sin(angle) - spin_rate * np.cos(angle))) / (m_cart + m_pole),
-)
 def linear_acceleration(angle: Column, spin: Column, spin_rate: Column, force: Column, m_cart: Column, m_pole: Column, length: Column) -> Column:
     return (force + m_pole * length * (spin * spin * F.sin(angle) - spin_rate * F.cos(angle))) / (m_cart + m_pole)

@@ -1,6 +1,6 @@
 """Upwind advection and diffusion on a grid whose Y grows northward and X eastward.
 
-The numpy kernel works on whole grids (last axes Y, X); ``tendency_by_window`` gives the same from a
+``grid_tendency`` works on one small grid in numpy (last axes Y, X); ``tendency_by_window`` gives the same from a
 long table with window functions, and ``tendency_by_tiles`` by joins of cells with their neighbours.
 """
 
@@ -12,8 +12,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .registry import functional
-
 
 class Boundary(IntEnum):
     CLOSED = 0
@@ -45,7 +43,7 @@ def boundary_mask(ny: int, nx: int, side: str, bc: int) -> np.ndarray:
     return out
 
 
-def _grid_kernel(state, u, v, D, dx, dy, face_height, face_width, cell_area, mask, bc_north=0, bc_south=0, bc_east=0, bc_west=0):  # noqa: N803
+def grid_tendency(state, u, v, D, dx, dy, face_height, face_width, cell_area, mask, bc_north=0, bc_south=0, bc_east=0, bc_west=0):  # noqa: N803
     codes = {"north": bc_north, "south": bc_south, "east": bc_east, "west": bc_west}
     ny, nx = state.shape[-2:]
     wide = np.broadcast_shapes(state.shape, np.shape(mask), np.shape(u))
@@ -66,21 +64,6 @@ def _grid_kernel(state, u, v, D, dx, dy, face_height, face_width, cell_area, mas
     return -advected / area * grids["mask"], -diffused / area * grids["mask"]
 
 
-@functional(
-    "phys:transport_tendency",
-    core_dims={a: ["Y", "X"] for a in ("state", "u", "v", "dx", "dy", "face_height", "face_width", "cell_area", "mask")},
-    out_dims=["Y", "X"],
-    outputs=["advection_rate", "diffusion_rate"],
-    kernel=_grid_kernel,
-)
-def transport_tendency(
-    state: Column, u: Column, v: Column, D: Column, dx: Column, dy: Column, face_height: Column, face_width: Column,  # noqa: N803
-    cell_area: Column, mask: Column, bc_north: Column = None, bc_south: Column = None, bc_east: Column = None, bc_west: Column = None,
-) -> tuple[Column, Column]:
-    """Rates of change by advection and diffusion. Runs as a grid kernel; see the module for column forms."""
-    raise NotImplementedError("transport runs on whole grids: use the kernel strategy, tendency_by_window or tendency_by_tiles")
-
-
 def window_neighbour(column: str, side: str, bc: int, keys: list[str]) -> Column:
     """A cell's neighbour by window functions; ``keys`` hold the grid's other dimensions."""
     axis, step = SIDES[side]
@@ -124,7 +107,11 @@ def _rates(wide: DataFrame, D: float, bc: dict[str, int], ny: int, nx: int, keys
 
 
 def tendency_by_window(cells: DataFrame, D: float, bc: dict[str, int], ny: int, nx: int, keys: list[str] | None = None) -> DataFrame:  # noqa: N803
-    """One row per cell (keys, Y, X and ``FIELDS``) -> the same with advection_rate and diffusion_rate; two shuffles."""
+    """One row per cell (keys, Y, X and ``FIELDS``) -> the same with advection_rate and diffusion_rate; two shuffles.
+
+    Cells are unique in (keys, Y, X). A cell that is not there is no neighbour: the next one of its row or column counts as
+    such. A null in a field makes the rates of its cell and of its neighbours null. Other columns are dropped.
+    """
     keys = list(keys or [])
     need = {s: ("c", "mask", *(("u", "dx") if a == -1 else ("v", "dy"))) for s, (a, _) in SIDES.items()}
     wide = cells
@@ -138,7 +125,8 @@ def tendency_by_tiles(
 ) -> DataFrame:
     """The same by one shuffle: cells go to their tile, edge cells also to the tiles beyond as a halo one cell wide.
 
-    A tile is computed with windows inside its partition; grids of any size stay spread over tasks.
+    A tile is computed with windows inside its partition; grids of any size stay spread over tasks. Nulls and cells that are
+    not there count as by windows, as far as the tile reaches.
     """
     keys = list(keys or [])
 

@@ -173,14 +173,16 @@ def extract_observations(outputs: DataFrame, observations: DataFrame, coords: di
 def completeness(source: DataFrame, targets: DataFrame, keys: list[str], time: str = "T") -> DataFrame:
     """How complete a series is: for each of ``keys``, the times of ``targets`` without a row (n_missing) and rows beyond the first at a time (n_repeated).
 
-    Keys are those that occur in ``source``; times that are no target are not counted as missing, but count as repeated.
+    Keys are those that occur in ``source``, null too; times that are no target are not counted as missing, but count as
+    repeated. Rows without a time have the time null, which no target is. Repeated targets are one; without targets nothing
+    is missing. An empty source gives no rows; other columns are ignored.
     """
-    steps = targets.select(time).distinct()
+    steps = targets.select(time).where(F.col(time).isNotNull()).distinct()
     at = source.groupBy(*keys, time).agg(F.count("*").alias("n"))
     there = at.join(steps, time, "left_semi").groupBy(*keys).agg(F.count("*").alias("there"))
     repeated = at.groupBy(*keys).agg(F.sum(F.col("n") - 1).alias("n_repeated"))
     missing = (F.lit(steps.count()) - F.coalesce("there", F.lit(0))).cast("long")
-    return repeated.join(there, keys, "left").select(*keys, missing.alias("n_missing"), "n_repeated")
+    return repeated.join(there.select(*[F.col(k).alias(f"_{k}") for k in keys], "there"), [repeated[k].eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(*keys, missing.alias("n_missing"), "n_repeated")
 
 
 def sample_observations(rows: DataFrame, key: str, value: str, share: float, noise: float, seed: int = 0) -> DataFrame:

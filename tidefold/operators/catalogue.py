@@ -9,17 +9,17 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import biology, random_streams, transport
-from ..plans.engine import compile_model, simulate
-from ..plans.models import load_model
-from ..plans.spec import Blueprint, Config
-from ..plans.timegrid import TimeGrid
-from ..plans.storage import shared_dir
-from . import align, buckets, coordinates, distinct_set, keysets, metrics, sinks
+from ..plans.timegrid import TimeGrid, time_of
+from ..plans.storage import shared_dir, written
+from ..sources import chunks
+from . import align, buckets, coordinates, distinct_set, keysets, metrics, recurrence, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a side of a join may have to be sent to every task.
+LITTLE = 10_000
+
+
+def little(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it is found to have no more than ``LITTLE`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(LITTLE + 1).count() <= LITTLE else df
+
+
 def r6(c, name: str):
     """Rounded for comparison, without negative zero."""
     return (F.round(c, 6) + F.lit(0.0)).alias(name)
@@ -219,8 +228,8 @@ def coordinate_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nation join region on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join events on user_id = c_custkey group by 1, 2"""
 )
 def dim_broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    users = table(spark, sf_dir, "customer").join(F.broadcast(grid), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "r_regionkey")
+    grid = table(spark, sf_dir, "nation").join(little(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    users = table(spark, sf_dir, "customer").join(little(grid), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "r_regionkey")
     flows = table(spark, sf_dir, "events").join(users, F.col("user_id") == F.col("c_custkey"))
     return flows.groupBy("n_nationkey", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("n"), r6(F.sum("value") * F.first("r_regionkey"), "scaled")
@@ -362,7 +371,7 @@ def gridded_obs_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def day_length_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").select(F.dayofyear("ts").cast("double").alias("doy")).distinct()
-    cells = table(spark, sf_dir, "nation").crossJoin(F.broadcast(days))
+    cells = table(spark, sf_dir, "nation").crossJoin(little(days))
     length = biology.day_length(F.col("n_nationkey") * 4.0 - 48, F.col("doy"))
     return cells.select("n_nationkey", F.col("doy").cast("int").alias("doy"), r6(length, "day_length"))
 
@@ -507,29 +516,26 @@ def transport_3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- runs ----
 
 
-def nation_state(spark: SparkSession, sf_dir: str, value) -> DataFrame:
-    return grid5(spark, sf_dir).select("Y", "X", value.alias("value"))
+STEPS = 40
 
 
-GROWTH = Blueprint.model_validate(
-    {
-        "id": "growth",
-        "declarations": {
-            "state": {"biomass": {"units": "g", "dims": ["Y", "X"], "clamp": [0.0, 400.0]}},
-            "parameters": {"rate": {"units": "1/d"}, "capacity": {"units": "g"}},
-        },
-        "process": [
-            {"func": "growth:logistic", "inputs": {"biomass": "state.biomass", "rate": "parameters.rate", "capacity": "parameters.capacity"}, "outputs": {"return": "derived.growth"}}
-        ],
-        "tendencies": {"biomass": [{"source": "derived.growth"}]},
-    }
-)
-_RUN = {"time_start": "2024-01-01", "time_end": "2024-02-10", "dt": "1d"}
+def _growth(rate: float | str = 0.05 / DAY, capacity: float = 200.0):
+    """A day of logistic growth, held between nothing and 400; the rate may be carried in the state."""
+
+    def step(s: recurrence.State, _) -> recurrence.State:
+        r = s[rate] if isinstance(rate, str) else F.lit(rate)
+        grown = recurrence.euler({"biomass": s["biomass"]}, {"biomass": biology.logistic(s["biomass"], r, F.lit(capacity))}, DAY, 0.0, 400.0)
+        return {**s, **grown}
 
+    return step
 
-def growth_model(spark: SparkSession, sf_dir: str, rate: float = 0.05 / DAY, capacity: float = 200.0):
-    start = nation_state(spark, sf_dir, F.col("c") + 1.0)
-    return compile_model(spark, GROWTH, Config(parameters={"rate": rate, "capacity": capacity}, initial_state={"biomass": start}, execution=_RUN))
+
+def _logistic(spark: SparkSession, sf_dir: str, **growth) -> DataFrame:
+    return recurrence.trajectory(grid5(spark, sf_dir), ["Y", "X"], {"biomass": F.col("c") + 1.0}, _growth(**growth), STEPS)
+
+
+def _shown(out: DataFrame) -> DataFrame:
+    return out.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
 
 
 _LOGISTIC = f"""with recursive {GRID5},
@@ -539,47 +545,55 @@ run(Y, X, t, b) as (select Y, X, 0, c + 1.0::double from g union all
 
 @query(_LOGISTIC + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t > 0")
 def logistic_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate(growth_model(spark, sf_dir)).outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+    return _shown(_logistic(spark, sf_dir))
 
 
 @query(ORACLE_SQL["logistic_growth"])
 def logistic_growth_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate(growth_model(spark, sf_dir), strategy="kernel").outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+    def step(s, _):
+        b = s["biomass"]
+        return {"biomass": np.clip(b + DAY * (0.05 / DAY * b * (1 - b / 200.0)), 0.0, 400.0)}
+
+    return _shown(recurrence.trajectory_by_kernel(grid5(spark, sf_dir), ["Y", "X"], {"biomass": F.col("c") + 1.0}, step, STEPS))
 
 
 @query(ORACLE_SQL["logistic_growth"])
 def chunked_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate(growth_model(spark, sf_dir), chunk_size=16).outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+    return _shown(recurrence.trajectory_by_chunks(grid5(spark, sf_dir), ["Y", "X"], {"biomass": F.col("c") + 1.0}, _growth(), STEPS, 16))
 
 
 @query(_LOGISTIC + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t - 1 in (0, 10, 20, 30)")
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate(growth_model(spark, sf_dir)).outputs.where("t_idx in (0, 10, 20, 30)").select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+    return _shown(_logistic(spark, sf_dir).where("t_idx in (0, 10, 20, 30)"))
 
 
 @query(_LOGISTIC.replace("0.05::double", "0.3::double").replace("b / 200", "b / 1000") + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t > 0")
 def euler_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth that would pass the declared upper bound."""
-    return simulate(growth_model(spark, sf_dir, 0.3 / DAY, 1000.0)).outputs.select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+    """Growth that would pass the upper bound."""
+    return _shown(_logistic(spark, sf_dir, rate=0.3 / DAY, capacity=1000.0))
 
 
 @query(_LOGISTIC + " select Y, X, t::bigint as t_idx, round(0.05::double * b * (1 - b / 200), 6) as growth_per_day from run where t < 40")
 def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A derived flux alone: the state is carried but not put out."""
-    out = simulate(growth_model(spark, sf_dir), export_variables=["growth"]).outputs
+    """The growth of each step, from the state before it, alone."""
+    def step(s, x):
+        growth = biology.logistic(s["biomass"], F.lit(0.05 / DAY), F.lit(200.0))
+        return {**_growth()({"biomass": s["biomass"]}, x), "growth": growth}
+
+    out = recurrence.trajectory(grid5(spark, sf_dir), ["Y", "X"], {"biomass": F.col("c") + 1.0, "growth": F.lit(0.0)}, step, STEPS)
     return out.select("Y", "X", "t_idx", r6(F.col("growth") * DAY, "growth_per_day"))
 
 
 @query(_LOGISTIC + " select Y, X, (t - 1)::bigint as t_idx, round(b, 6) as biomass from run where t - 1 between 4 and 9")
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times from first to last, both included."""
-    out = simulate(growth_model(spark, sf_dir)).outputs
-    return out.where("T between timestamp '2024-01-05' and timestamp '2024-01-10'").select("Y", "X", "t_idx", r6(F.col("biomass"), "biomass"))
+    out = _logistic(spark, sf_dir).withColumn("T", time_of("t_idx", datetime(2024, 1, 1), DAY))
+    return _shown(out.where("T between timestamp '2024-01-05' and timestamp '2024-01-10'"))
 
 
 @query(_LOGISTIC + " select (t - 1)::bigint as t_idx, round(avg(b), 6) as mean_biomass from run where t - 1 >= 20 group by 1")
 def spinup_spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simulate(growth_model(spark, sf_dir)).outputs.where(F.col("T") >= F.lit("2024-01-21").cast("timestamp"))
+    out = _logistic(spark, sf_dir).where("t_idx >= 20")
     return out.groupBy("t_idx").agg(r6(F.avg("biomass"), "mean_biomass"))
 
 
@@ -590,17 +604,27 @@ def spinup_spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     select E::int as E, Y, X, round(b, 6) as biomass from run where t = 40"""
 )
 def ensemble_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").cast("int").alias("E"), ((F.lit(0.01) + F.col("s_suppkey") * F.lit(0.002)) / DAY).alias("value")
-    )
-    model = growth_model(spark, sf_dir).with_parameters({"rate": members}, {"rate": ("E",)})
-    return simulate(model).outputs.where("t_idx = 39").select("E", "Y", "X", r6(F.col("biomass"), "biomass"))
+    """Every supplier's rate on every cell: each member is a row, its last state is kept."""
+    members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("E"), ((F.lit(0.01) + F.col("s_suppkey") * F.lit(0.002)) / DAY).alias("rate"))
+    runs = members.crossJoin(little(grid5(spark, sf_dir).select("Y", "X", "c")))
+    out = recurrence.trajectory(runs, ["E", "Y", "X"], {"biomass": F.col("c") + 1.0, "rate": F.col("rate")}, _growth(rate="rate"), STEPS)
+    return out.where(F.col("t_idx") == STEPS - 1).select("E", "Y", "X", r6(F.col("biomass"), "biomass"))
 
 
-def lv_config(spark: SparkSession, sf_dir: str) -> Config:
-    par = {"alpha": 0.04 / DAY, "beta": 0.005 / DAY, "delta": 0.5, "gamma": 0.1 / DAY}
-    start = {"prey": nation_state(spark, sf_dir, 20.0 + F.col("Y") * 4 + F.col("X")), "predator": nation_state(spark, sf_dir, F.lit(7.0))}
-    return Config(parameters=par, initial_state=start, execution=_RUN)
+def _hunt(s: recurrence.State, food) -> recurrence.State:
+    """A day of predator and prey, the prey's growth scaled by its food."""
+    rate = lambda x: F.lit(x / DAY)
+    eaten, gained = biology.predation(s["prey"], s["predator"], rate(0.005), F.lit(0.5))
+    prey = biology.prey_growth(s["prey"], rate(0.04)) * food + eaten
+    return recurrence.euler(s, {"prey": prey, "predator": gained + biology.predator_death(s["predator"], rate(0.1))}, DAY, 0.0)
+
+
+def _hunted() -> recurrence.State:
+    return {"prey": 20.0 + F.col("Y") * 4 + F.col("X"), "predator": F.lit(7.0)}
+
+
+def _pair(out: DataFrame) -> DataFrame:
+    return out.select("Y", "X", "t_idx", r6(F.col("prey"), "prey"), r6(F.col("predator"), "predator"))
 
 
 _LV = f"""with recursive {GRID5},
@@ -612,39 +636,15 @@ select Y, X, (t - 1)::bigint as t_idx, round(n, 6) as prey, round(p, 6) as preda
 
 @query(_LV)
 def lotka_volterra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simulate(compile_model(spark, load_model("lotka_volterra"), lv_config(spark, sf_dir))).outputs
-    return out.select("Y", "X", "t_idx", r6(F.col("prey"), "prey"), r6(F.col("predator"), "predator"))
+    return _pair(recurrence.trajectory(grid5(spark, sf_dir), ["Y", "X"], _hunted(), lambda s, _: _hunt(s, F.lit(1.0)), STEPS))
 
 
-@biology.functional("growth:forced", kernel=lambda biomass, rate, forcing: rate * biomass * forcing)
-def forced(biomass, rate, forcing):
-    return rate * biomass * forcing
-
-
-def forced_blueprint(space: str) -> Blueprint:
-    """Growth scaled by a series over time, as a forcing or as a time-indexed parameter."""
-    decl = {
-        "state": {"prey": {"dims": ["Y", "X"], "clamp": [0.0, None]}, "predator": {"dims": ["Y", "X"], "clamp": [0.0, None]}},
-        "parameters": {n: {} for n in ("alpha", "beta", "delta", "gamma")},
-        "forcings": {},
-    }
-    decl[space]["food"] = {"dims": ["T"]}
-    lv = load_model("lotka_volterra")
-    steps = [s.model_dump() for s in lv.process[1:]]
-    grow = {"func": "growth:forced", "inputs": {"biomass": "state.prey", "rate": "parameters.alpha", "forcing": f"{space}.food"}, "outputs": {"return": "derived.prey_growth"}}
-    return Blueprint.model_validate({"id": "forced", "declarations": decl, "process": [grow, *steps], "tendencies": {k: [s.model_dump() for s in v] for k, v in lv.tendencies.items()}})
-
-
-def _forced(spark: SparkSession, sf_dir: str, space: str) -> DataFrame:
-    grid = event_grid(spark, sf_dir)
-    days = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("T")).agg((F.avg("value") / 50.0).alias("value"))
-    base = lv_config(spark, sf_dir)
-    series = days.where(F.col("T") < F.lit(grid.end)) if space == "parameters" else days
-    given = {space: {**getattr(base, space), "food": series}}
-    execution = {"time_start": str(grid.start), "time_end": str(grid.end), "dt": "1d"}
-    config = Config(parameters=given.get("parameters", base.parameters), forcings=given.get("forcings", {}), initial_state=base.initial_state, execution=execution)
-    out = simulate(compile_model(spark, forced_blueprint(space), config)).outputs
-    return out.select("Y", "X", "t_idx", r6(F.col("prey"), "prey"), r6(F.col("predator"), "predator"))
+def daily_food(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the means of the days from the first on, without the last, as an array in order of time."""
+    days = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("T")).agg((F.avg("value") / 50.0).alias("food"))
+    # As many elements as days.
+    whole = days.agg(F.sort_array(F.collect_list(F.struct("T", "food"))).alias("d"))
+    return whole.select(F.transform(F.slice("d", F.lit(1), F.size("d") - 1), lambda x: x["food"]).alias("food"))
 
 
 _FORCED = f"""with recursive {GRID5}, {SPAN}, w as (select date_diff('day', a, date_trunc('day', ts)) as t, avg(value) / 50::double as food from events, span group by 1),
@@ -656,38 +656,18 @@ select Y, X, t - 1 as t_idx, round(n, 6) as prey, round(p, 6) as predator from r
 
 @query(_FORCED)
 def lotka_volterra_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forced(spark, sf_dir, "forcings")
+    """The series of food is given to every cell as an array."""
+    cells = grid5(spark, sf_dir).crossJoin(F.broadcast(daily_food(spark, sf_dir)))
+    return _pair(recurrence.trajectory(cells, ["Y", "X"], _hunted(), _hunt, given="food"))
 
 
 @query(_FORCED)
 def time_indexed_param(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forced(spark, sf_dir, "parameters")
-
-
-CART = Blueprint.model_validate(
-    {
-        "id": "cart-pole",
-        "declarations": {
-            "state": {n: {"dims": ["X"]} for n in ("position", "speed", "angle", "spin")},
-            "parameters": {n: {} for n in ("force", "m_cart", "m_pole", "length", "gravity")},
-        },
-        "process": [
-            {"func": "cart:velocity", "inputs": {"rate": "state.speed"}, "outputs": {"return": "derived.d_position"}},
-            {"func": "cart:velocity", "inputs": {"rate": "state.spin"}, "outputs": {"return": "derived.d_angle"}},
-            {
-                "func": "cart:angular_acceleration",
-                "inputs": {"angle": "state.angle", "spin": "state.spin"} | {n: f"parameters.{n}" for n in ("force", "m_cart", "m_pole", "length", "gravity")},
-                "outputs": {"return": "derived.d_spin"},
-            },
-            {
-                "func": "cart:linear_acceleration",
-                "inputs": {"angle": "state.angle", "spin": "state.spin", "spin_rate": "derived.d_spin"} | {n: f"parameters.{n}" for n in ("force", "m_cart", "m_pole", "length")},
-                "outputs": {"return": "derived.d_speed"},
-            },
-        ],
-        "tendencies": {n: [{"source": f"derived.d_{n}"}] for n in ("position", "speed", "angle", "spin")},
-    }
-)
+    """The same with the food looked up by the number of the step."""
+    food = daily_food(spark, sf_dir)
+    steps = food.select(F.size("food")).first()[0]
+    cells = grid5(spark, sf_dir).crossJoin(F.broadcast(food))
+    return _pair(recurrence.trajectory(cells, ["Y", "X"], _hunted(), lambda s, i: _hunt(s, F.get("food", i)), steps))
 
 
 @query(
@@ -699,13 +679,17 @@ CART = Blueprint.model_validate(
     select k as cart, round(px, 6) + 0.0 as position, round(a, 6) + 0.0 as angle from run where t = 50"""
 )
 def cartpole_free_fall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    at = lambda c: n.select(F.col("n_nationkey").cast("int").alias("X"), c.alias("value"))
-    start = {"position": at(F.lit(0.0)), "speed": at(F.lit(0.0)), "angle": at(F.col("n_nationkey") * 0.01), "spin": at(F.lit(0.0))}
-    par = {"force": 0.0, "m_cart": 1.0, "m_pole": 0.1, "length": 0.5, "gravity": 9.81}
-    run = {"time_start": "2024-01-01T00:00:00", "time_end": "2024-01-01T00:00:00.500000", "dt": "0.01s"}
-    out = simulate(compile_model(spark, CART, Config(parameters=par, initial_state=start, execution=run))).outputs
-    return out.where("t_idx = 49").select(F.col("X").alias("cart"), r6(F.col("position"), "position"), r6(F.col("angle"), "angle"))
+    m_cart, m_pole, length, gravity, force = (F.lit(x) for x in (1.0, 0.1, 0.5, 9.81, 0.0))
+
+    def step(s: recurrence.State, _) -> recurrence.State:
+        turn = biology.angular_acceleration(s["angle"], s["spin"], force, m_cart, m_pole, length, gravity)
+        push = biology.linear_acceleration(s["angle"], s["spin"], turn, force, m_cart, m_pole, length)
+        return recurrence.euler(s, {"position": s["speed"], "speed": push, "angle": s["spin"], "spin": turn}, 0.01)
+
+    start = {"position": F.lit(0.0), "speed": F.lit(0.0), "angle": F.col("n_nationkey") * 0.01, "spin": F.lit(0.0)}
+    carts = table(spark, sf_dir, "nation").withColumn("cart", F.col("n_nationkey").cast("int"))
+    out = recurrence.trajectory(carts, ["cart"], start, step, 50)
+    return out.where("t_idx = 49").select("cart", r6(F.col("position"), "position"), r6(F.col("angle"), "angle"))
 
 
 # ---- metrics and populations ----
@@ -792,6 +776,8 @@ def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily(spark, sf_dir)
     first = rows.agg(F.min("T").alias("first"))
     steps = rows.crossJoin(F.broadcast(first)).select(F.datediff("T", "first").cast("long").alias("t_idx"), "value")
+    # The chunks come from one written table, not from three runs of all before it.
+    steps = written(steps, "daily")
     with sinks.DiskWriter(spark, f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}", bucket_steps=10) as writer:
         writer.initialize(["value"])
         for low, high in ((0, 10), (10, 20), (20, 1 << 30)):
@@ -800,6 +786,22 @@ def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("t_bucket").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(
+    f"""with {SPAN}, {DAILY}, d as (select date_diff('day', (select min(T) from daily), T) as t, event_type, value from daily)
+    select event_type, count(*) as n, round(sum(value), 4) as total from d where t // 10 = 1 group by 1"""
+)
+def pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stretch of ten steps of a partitioned folder: the others are not read."""
+    rows = daily(spark, sf_dir)
+    first = rows.agg(F.min("T").alias("first"))
+    steps = rows.crossJoin(F.broadcast(first)).select(F.datediff("T", "first").cast("long").alias("t_idx"), F.col("event_type").alias("F"), "value")
+    with sinks.DiskWriter(spark, f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}", bucket_steps=10) as writer:
+        writer.initialize(["value"])
+        writer.append(steps)
+        back = writer.finalize()
+    return back.where("t_bucket = 1").groupBy(F.col("F").alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 _LOSSES = f"""{_LINES}, e as (select i as E, 1000 + i * 100 as f from (select unnest(generate_series(0, 9)) as i)),
 losses as (select E, round(0.7::double * sqrt(avg((pred / 1500 * f - obs) ** 2)) / 1e3 + 0.3::double * sqrt(avg((pred / 1500 * f - obs) ** 2)) / stddev_pop(obs), 6) as loss from l, e group by E)"""
 
@@ -873,6 +875,44 @@ def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(off * off), 4).alias("spread"))
 
 
+# ---- chunks of arrays ----
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean event value by hour and user group, as an array over T and Y."""
+    rows = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp").alias("T"), (F.col("user_id") % 10).cast("int").alias("Y"), "value")
+    return rows.groupBy("T", "Y").agg(F.avg("value").alias("value"))
+
+
+_HOURLY = "hourly as (select date_trunc('hour', ts) as T, (user_id % 10)::int as Y, avg(value) as value from events group by 1, 2)"
+
+
+@query(
+    f"""with {_HOURLY} select strftime(date_trunc('day', T), '%Y-%m-%d') as day, Y::bigint as Y, count(*) as n, round(sum(value), 4) as total from hourly group by 1, 2"""
+)
+def chunk_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly means appended along time to a table of array chunks in two commits, and read back."""
+    rows = _hourly(spark, sf_dir)
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    half = F.lit("2024-01-16").cast("timestamp")
+    for part in (rows.where(F.col("T") < half), rows.where(F.col("T") >= half)):
+        chunks.write_chunks(part, path, 3600.0)
+    back = chunks.read_chunks(spark, path)
+    return back.groupBy(F.date_format("T", "yyyy-MM-dd").alias("day"), "Y").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    f"""with {_HOURLY}, e as (select (select max(T) from hourly where T <= timestamp '2024-01-10 00:30:00') as a, (select min(T) from hourly where T >= timestamp '2024-01-11 00:30:00') as b)
+    select strftime(T, '%Y-%m-%d %H') as hour, Y::bigint as Y, round(value, 6) as value from hourly, e where T between a and b"""
+)
+def chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's window of a table of array chunks with one step on either side: only the chunks that hold it are read."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks.write_chunks(_hourly(spark, sf_dir), path, 3600.0, steps=24)
+    got = chunks.read_chunks(spark, path, "2024-01-10T00:30:00", "2024-01-11T00:30:00", bracket=True)
+    return got.select(F.date_format("T", "yyyy-MM-dd HH").alias("hour"), "Y", r6(F.col("value"), "value"))
+
+
 # ---- streams ----
 
 
@@ -884,4 +924,23 @@ def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_stream(spark, sf_dir).agg(F.sum("n").alias("n_events"), F.round(F.sum("total"), 4).alias("total"))
 
 
-from . import engine_twins  # noqa: E402, F401  (registers further queries)
+@query(ORACLE_SQL["forcing_ffill_6h"])
+def streaming_ffill_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event value of each type at six-hourly times, over streams with state by key and a watermark."""
+    from ..streaming import as_of, stateful
+
+    grid = event_grid(spark, sf_dir, "6h")
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("k"), F.col("ts").cast("timestamp").alias("T"), F.lit(0).cast("long").alias("number"), F.col("value").alias("v"))
+    events = events.where("v is not null")
+    asked = events.select("k").distinct().crossJoin(grid.frame(spark).select("T", F.col("t_idx").cast("long").alias("number"))).select("k", "T", "number", F.lit(None).cast("double").alias("v"))
+    # A last row of no key lets the watermark pass all others.
+    end = spark.createDataFrame([(None, grid.end + timedelta(days=90), -1, 0.0)], events.schema)
+    stream = stateful.as_stream(events.unionByName(asked).repartition(spark.sparkContext.defaultParallelism), "series", last=end)
+    home = f"{shared_dir(spark)}/as-of-{uuid.uuid4().hex}"
+    # Files come in any order, so rows wait for as long as the series is.
+    as_of.run_to_folder(as_of.stream_as_of(stream, "60 days", shares=2), home).awaitTermination()
+    got = as_of.results(spark, home)
+    return got.select(F.col("k").alias("event_type"), F.date_format("T", "yyyy-MM-dd HH").alias("hour"), r6(F.col("value"), "value"))
+
+
+from . import cohort_queries  # noqa: E402, F401  (registers further queries)

@@ -1,4 +1,8 @@
-"""Error metrics between predictions and observations, masked or not, as aggregations."""
+"""Error metrics between predictions and observations, masked or not, as aggregations.
+
+A pair with a null on either side counts in no mean, masked means count it in their number; NaN makes a metric NaN. No pairs, or
+none under the mask, give null, or 0 for a masked mean. Every metric is one aggregation with partial sums in every task.
+"""
 
 from __future__ import annotations
 
@@ -68,7 +72,8 @@ def metric(name: str | Callable[..., Column]) -> Callable[..., Column]:
 def composite_loss(parts: list[tuple[DataFrame, str | Callable[..., Column], float]], key: str = "E", penalty: float = 1e6) -> DataFrame:
     """Weighted sum of metrics per member: each part is (rows with key, pred, obs), a metric and a weight.
 
-    A loss that is not finite becomes ``penalty``.
+    A loss that is not finite becomes ``penalty``, also where a member has no pairs in a part. A member that
+    no part has is not returned, a null key is a member. Other columns are ignored.
     """
     rows = None
     for df, name, weight in parts:

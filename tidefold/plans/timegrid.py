@@ -9,19 +9,22 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ChunkingError, UnitError
-from ..units import SECONDS, canonical_name
+from ..errors import ChunkingError
 
 _DT = re.compile(r"\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*([A-Za-z]+)\s*\Z")
 
 
+# The spellings of units of time, and their seconds.
+SECONDS = {
+    **dict.fromkeys(("s", "sec", "second", "seconds"), 1.0), **dict.fromkeys(("min", "minute", "minutes"), 60.0), **dict.fromkeys(("h", "hr", "hour", "hours"), 3600.0),
+    **dict.fromkeys(("d", "day", "days"), 86400.0), **dict.fromkeys(("week", "weeks"), 604800.0), **dict.fromkeys(("a", "yr", "year", "years"), 31557600.0),
+}
+
+
 def parse_dt(text: str) -> float:
     """Seconds of a step such as ``1d``, ``0.05d``, ``6h`` or ``30min``."""
     m = _DT.match(text)
-    try:
-        seconds = float(m[1]) * SECONDS[canonical_name(m[2])] if m else None
-    except (UnitError, KeyError):
-        seconds = None
+    seconds = float(m[1]) * SECONDS[m[2]] if m and m[2] in SECONDS else None
     if seconds is None or seconds < 1e-6:
         raise ValueError(f"not a time step: {text!r}")
     return seconds
