@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidefold.llm import ann, simhash, topk
+from tidefold.llm import ann, cells, simhash, topk
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,36 @@ def test_exact_top_k(vectors, sf, spark):
     assert sorted(tuple(r) for r in topk.exact_top_k(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()) == twin
 
 
+def test_few_pairs_move(spark, monkeypatch):
+    """On clustered vectors a block of queries meets under a tenth of all shards, and the result is exact."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(32, 12))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    own = np.repeat(np.arange(32), 250)
+    x = np.floor(256 * (centres[own] + 0.01 * rng.normal(size=(8000, 12)))) / 256
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    seen = {"pairs": 0}
+    meet, deal = cells.Dealt.meet, topk.deal
+
+    def counted(self, work):
+        out = meet(self, work)
+        seen["pairs"] += out.count()
+        return out
+
+    def kept(*args):
+        seen["dealt"] = deal(*args)
+        return seen["dealt"]
+
+    monkeypatch.setattr(cells.Dealt, "meet", counted)
+    monkeypatch.setattr(topk, "deal", kept)
+    got = sorted(tuple(r) for r in topk.exact_top_k(table, shard_rows=125, block_rows=8).collect())
+    whole = np.floor(256 * x).astype(np.int64)
+    ids = np.arange(8000)
+    assert got == sorted((q, r + 1, i, int(s)) for q in range(0, 8000, 50) for r, (i, s) in enumerate(best(ids, whole @ whole[q], q)))
+    every = seen["dealt"].blocks.count() * seen["dealt"].stored.count()
+    assert seen["pairs"] < 0.1 * every, (seen["pairs"], every)
+
+
 def test_nearest(vectors):
     ids, x = clean(vectors, False)
     norms = np.linalg.norm(x, axis=1)

@@ -492,9 +492,47 @@ def test_every_name_of_an_element_counts():
     assert html_blocks.teacher(blocks).tolist() == [0, 1, 1, 0]
 
 
+def test_html_query_on_made_pages(spark, sf):
+    """The whole query against the text by construction: adverts inside paragraphs and 600 deep, words of a paragraph named like one."""
+    rng = random.Random(6)
+    vocabulary = "the of and in to water light after under between green seven people never always river stone".split()
+    say = lambda n: (" ".join(rng.choice(vocabulary) for _ in range(n)) + ".").capitalize()
+    rows, want = [], {}
+    for i in range(60):
+        body, text = [], []
+        for _ in range(rng.randint(2, 6)):
+            a, b = say(rng.randint(4, 30)), say(rng.randint(4, 30))
+            kind = rng.randint(0, 4)
+            deep = rng.choice([0, 3, 600])
+            if kind == 0:
+                body.append(f'<p>{a}<span class="ad">{"<b>" * deep}BUY NOW{"</b>" * deep}</span> {b}</p>')
+                text.append(f"{a} {b}")
+            elif kind == 1:
+                body.append(f'<p>{a} See <code class="ad">x=1</code> and <a href="#" class="share">the shared data set</a>. {b}</p>')
+                text.append(f"{a} See x=1 and the shared data set. {b}")
+            elif kind == 2:
+                body.append(f"<p>{a} {'<i>' * deep}{b}{'</i>' * deep} &amp;\n\t<em>more</em></p>")
+                text.append(f"{a} {b} & more")
+            elif kind == 3:
+                body.append(f'<div class="ad"><p>{b}</p></div><h2>{a}</h2>')
+                text.append(a)
+            else:
+                body.append(f"<ul><li>{a}</li><li>{b}</li></ul>")
+                text += [a, b]
+        rows.append((i, f"u{i}", f'<html><body><nav><ul><li><a href="#">{say(2)}</a></li></ul></nav><article><h1>Title {i}</h1>{"".join(body)}</article><footer><p>{say(4)}</p></footer></body></html>'))
+        want[i] = "\n".join([f"Title {i}", *text])
+    given = spark.read.parquet(f"{sf}/pages.parquet").select((F.col("page_id") + 1000).alias("page_id"), "url", "html")
+    pages = spark.createDataFrame(rows, given.schema).unionByName(given)
+    got = {r.page_id: r.text for r in html_blocks.extract_text(pages).where("page_id < 1000").collect()}
+    assert got == want
+
+
 def test_inserted_adverts_and_deep_pages():
     page = '<article><p>Good <span class="ad">Buy <b>now</b></span>text <a class="nav-link" href="#">here</a>.</p></article>'
-    assert [t for _, t, _ in html_blocks.leaves(page)] == ["Good text here."]
+    blocks, found = html_blocks.read(page)
+    assert [(p, t) for p, t, _ in blocks] == [("article/p", "Good text here."), ("article/p/span ad", "Buy now")]
+    assert html_blocks.teacher(blocks).tolist() == [1, 0] and html_blocks.main_text(found, [True, False]) == "Good text here."
+    assert html_blocks.main_text(found, [True, True]) == "Good Buy nowtext here."
     began = time.time()
     deep = "<div>" * 50_000 + "<p>inside</p>" + "</div>" * 50_000 + "<p>after</p>"
     blocks = html_blocks.leaves(deep)

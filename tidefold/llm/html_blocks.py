@@ -13,6 +13,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: Pages the network is trained on, at most.
 TRAIN_PAGES = 300
 #: Places of a vector: one for each tag of ``TAGS``, hashed names and tag pairs, hashed words, plain measures.
-NAMES, WORDS, PLAIN = 64, 16, 6
+NAMES, WORDS, PLAIN = 64, 16, 8
 HIDDEN = 16
 ENRICHED = 400
 EPOCHS = 20
@@ -51,13 +52,15 @@ _WORD = (
     r"|comments?|commenter|repl(?:y|ies)|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|breadcrumbs?|pagination|toolbar|widgets?|login|search"
 )
 NOISE = re.compile(rf"(?:(?:site|page|main|top|bottom|left|right|global|post|user|google|mobile)[-_])*(?:{_WORD})(?:[-_]\w+)*", re.I)
-#: Of text inside a paragraph only this is noise.
+#: Inside a paragraph, an element of such a name is a block of its own, for the network to judge.
 INSERTED = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|share|sharing|newsletter)(?:[-_]\w+)*", re.I)
+#: Inline elements that say nothing of their text: named so, they hold adverts and the like; others are words of their paragraph.
+HOLDERS = frozenset("span ins font label data".split())
 MAIN = frozenset(("article", "main"))
 TAGS = tuple(sorted(APART | MAIN | frozenset("html body div section p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table tbody thead tr td th blockquote pre figure figcaption address center details summary".split())))
 _PLACE = {t: i for i, t in enumerate(TAGS)}
 PATH = len(TAGS) + NAMES
-#: Elements nested deeper than this count as part of the one around them.
+#: Block elements nested deeper than this count as part of the one around them.
 DEPTH = 512
 
 
@@ -65,43 +68,99 @@ def _names(rest: str) -> str:
     return " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).lower()
 
 
-def leaves(page: str | None) -> list[tuple[str, str, int]]:
-    """The text blocks of a page in order: path of block elements with their names, text, characters inside links.
+#: A leaf of a page: its runs of text in order, each with the block that it belongs to (-1: white space alone).
+Leaf = list[tuple[int, str]]
+
+
+class _Inline:
+    """The open inline elements of a leaf: whether one is a link, and the outermost one named as an insertion."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.inserted = -1
+
+    def open(self, tag: str, inserted: bool) -> bool:
+        """Whether an insertion begins."""
+        self.places.setdefault(tag, []).append(len(self.tags))
+        begins = inserted and self.inserted < 0
+        if begins:
+            self.inserted = len(self.tags)
+        self.tags.append(tag)
+        return begins
+
+    def close(self, tag: str) -> None:
+        """End the last element of that tag and all inside it; each is taken off once, so the time is linear."""
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        while len(self.tags) > at:
+            self.places[self.tags.pop()].pop()
+        if self.inserted >= at:
+            self.inserted = -1
 
-    Inserted adverts and the like inside a block's text are left out. The time is linear in the page: a path
-    is written only for blocks with text, and elements deeper than ``DEPTH`` do not lengthen it.
+    @property
+    def linked(self) -> bool:
+        return bool(self.places.get("a"))
+
+
+def read(page: str | None) -> tuple[list[tuple[str, str, int]], list[Leaf]]:
+    """The text blocks of a page in order (path of elements with their names, text, characters inside links), and its leaves.
+
+    A leaf is the text between block elements. An inline element named as an insertion is a block of its own
+    within it, with that element on its path; what stands around it is one block. The time is linear in
+    the page: a path is written only for blocks with text, and block elements deeper than ``DEPTH`` do not lengthen it.
     """
     out: list[tuple[str, str, int]] = []
+    found: list[Leaf] = []
     stack: list[tuple[str, str]] = []
-    parts: list[str] = []
-    inline: list[tuple[str, bool]] = []
-    linked = hidden = links = deeper = 0
+    # Text so far as (owner, text): owner 0 is the leaf itself, others are its insertions; their steps and linked characters.
+    parts: list[tuple[int, str]] = []
+    steps: list[str] = [""]
+    linked: list[int] = [0]
+    inline = _Inline()
+    deeper = 0
     path: str | None = ""
     page = page or ""
     at = 0
 
+    def add(text: str) -> None:
+        owner = len(steps) - 1 if inline.inserted >= 0 else 0
+        parts.append((owner, text))
+        linked[owner] += len(text) if inline.linked else 0
+
     def flush() -> None:
-        nonlocal linked, path
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
-        if text:
-            if path is None:
-                path = "/".join(f"{t} {n}" if n else t for t, n in stack)
-            out.append((path, text, linked))
+        nonlocal path
+        if not parts:
+            return
+        raw: dict[int, list[str]] = {}
+        leaf: Leaf = []
+        for owner, run in groupby(parts, key=lambda p: p[0]):
+            text = html.unescape("".join(t for _, t in run))
+            leaf.append((owner, text))
+            raw.setdefault(owner, []).append(text)
+        blocks = {}
+        for owner, texts in raw.items():
+            if text := _SPACE.sub(" ", "".join(texts)).strip():
+                if path is None:
+                    path = "/".join(f"{t} {n}" if n else t for t, n in stack)
+                blocks[owner] = len(out)
+                out.append((f"{path}/{steps[owner]}" if owner else path, text, linked[owner]))
+        if blocks:
+            found.append([(blocks.get(owner, -1), text) for owner, text in leaf])
         parts.clear()
-        linked = 0
+        steps[1:], linked[:] = [], [0]
 
     while at < len(page):
         m = _TOKEN.match(page, at)
         if m is None:
-            parts.append(page[at])
+            add(page[at])
             at += 1
             continue
         at = m.end()
         text = m["text"]
         if text is not None:
-            if not hidden:
-                parts.append(text)
-                linked += len(text) if links else 0
+            add(text)
             continue
         tag = m["tag"] or m["tag2"]
         if not tag:
@@ -110,18 +169,16 @@ def leaves(page: str | None) -> list[tuple[str, str, int]]:
         tag, closing = tag.lower(), m["close"] or m["close2"]
         if tag in INLINE:
             if tag == "br":
-                parts.append(" ")
+                add(" ")
             elif tag in VOID or rest.endswith("/"):
                 pass
-            elif not closing:
-                inline.append((tag, any(map(INSERTED.fullmatch, _names(rest).split())) if "=" in rest else False))
+            elif closing:
+                inline.close(tag)
             else:
-                for i in range(len(inline) - 1, max(-1, len(inline) - 1 - DEPTH), -1):
-                    if inline[i][0] == tag:
-                        del inline[i:]
-                        break
-            if tag not in VOID:
-                links, hidden = sum(t == "a" for t, _ in inline[-DEPTH:]), any(n for _, n in inline[-DEPTH:])
+                names = _names(rest) if "=" in rest else ""
+                if inline.open(tag, any(map(INSERTED.fullmatch, names.split()))):
+                    steps.append(f"{tag} {names}")
+                    linked.append(0)
             continue
         if tag in RAW:
             if not closing and not rest.endswith("/"):
@@ -131,8 +188,8 @@ def leaves(page: str | None) -> list[tuple[str, str, int]]:
                     flush()
             continue
         flush()
-        links = hidden = 0
-        inline.clear()
+        inline = _Inline()
+        steps[1:], linked[:] = [], [0]
         if closing:
             if deeper and tag not in VOID:
                 deeper -= 1
@@ -153,7 +210,27 @@ def leaves(page: str | None) -> list[tuple[str, str, int]]:
                 deeper += 1
             path = None
     flush()
-    return out
+    return out, found
+
+
+def leaves(page: str | None) -> list[tuple[str, str, int]]:
+    """The text blocks of a page in order, see ``read``."""
+    return read(page)[0]
+
+
+def main_text(found: list[Leaf], main: list[bool]) -> str:
+    """The runs of blocks labelled main: those of a leaf as they follow each other, white space as one space, leaves joined by line feeds."""
+    out = []
+    for leaf in found:
+        if text := _SPACE.sub(" ", "".join(t for block, t in leaf if block >= 0 and main[block])).strip():
+            out.append(text)
+    return "\n".join(out)
+
+
+def _last(path: str) -> tuple[str, str]:
+    """The tag of a path's last element, and the path without it."""
+    outer, _, step = path.rpartition("/")
+    return step.split(" ", 1)[0], outer
 
 
 #: Characters up to which a run of blocks follows its neighbours on pages without article or main.
@@ -168,15 +245,19 @@ def teacher(blocks: list[tuple[str, str, int]]) -> np.ndarray:
     steps = [path.split("/") for path, _, _ in blocks]
     tags = [[s.split(" ", 1)[0] for s in p] for p in steps]
     inside = [any(t in MAIN for t in p) for p in tags]
-    noise = [any(t in APART for t in p) or any(NOISE.fullmatch(n) for s in q for n in s.split(" ")[1:]) for p, q in zip(tags, steps, strict=True)]
+    named = [[n for t, s in zip(p, q, strict=True) if t not in INLINE or t in HOLDERS for n in s.split(" ")[1:]] for p, q in zip(tags, steps, strict=True)]
+    noise = [any(t in APART for t in p) or any(map(NOISE.fullmatch, n)) for p, n in zip(tags, named, strict=True)]
     good = inside if any(inside) else _by_context(blocks, noise)
     return np.array([float(g and not n) for g, n in zip(good, noise, strict=True)])
 
 
 def _by_context(blocks: list[tuple[str, str, int]], noise: list[bool]) -> list[bool]:
     runs: list[list[int]] = []
-    for i, (path, _, _) in enumerate(blocks):
-        if runs and blocks[runs[-1][0]][0] == path:
+    # Words of a paragraph that are a block by their name alone stay in its run.
+    last = [_last(path) for path, _, _ in blocks]
+    paths = [outer if tag in INLINE and tag not in HOLDERS else path for (tag, outer), (path, _, _) in zip(last, blocks, strict=True)]
+    for i, path in enumerate(paths):
+        if runs and paths[runs[-1][0]] == path:
             runs[-1].append(i)
         else:
             runs.append([i])
@@ -234,7 +315,7 @@ def vectors(blocks: list[tuple[str, str, int]], first: int = 0, total: int | Non
         out[i, PATH : PATH + WORDS] = np.bincount(bins, minlength=WORDS) / len(words)
         out[i, PATH + WORDS :] = (
             np.log1p(len(text)) / 8, np.log1p(len(words)) / 6, min(linked / len(text), 1.0), text[-1] in ".!?…",
-            (first + i + 1) / total, path.count("/") / 8,
+            (first + i + 1) / total, path.count("/") / 8, (tag := _last(path)[0]) in HOLDERS, tag in INLINE and tag not in HOLDERS,
         )
     return out
 
@@ -365,12 +446,15 @@ def _padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 #: Boilerplate that training pages get besides their own, so that the network meets kinds they lack.
 EXTRA = tuple(
     [f"{t}{e}" for t in ("nav", "header", "footer", "aside", "form", "menu", "dialog") for e in ("", "/p", "/ul/li", "/div")]
-    + [f"div {n}/{t}" for n in ("ad", "advert", "sponsored", "cookie-notice", "notice", "banner", "popup", "sidebar", "menu", "comments",
-                                "comment-list", "replies", "share", "related", "newsletter", "breadcrumb", "login", "promo") for t in ("p", "ul/li", "div", "h3")]
+    + [f"div {n}{t}" for n in ("ad", "advert", "sponsored", "cookie-notice", "notice", "banner", "popup", "sidebar", "menu", "comments",
+                                "comment-list", "replies", "share", "related", "newsletter", "breadcrumb", "login", "promo") for t in ("", "/p", "/ul/li", "/div", "/h3")]
     + ["section comments/article comment/p", "ul menu/li", "form search/div", "div cookie"]
 )
 
 
+#: Names of insertions in paragraphs.
+INSERTIONS = ("ad", "ads", "advert", "ad-unit", "adsbygoogle", "sponsored", "promo", "promo-box", "share", "sharing", "newsletter", "cookie", "cookie-hint")
+
 #: Main text that training pages get inside their article, of kinds that they may lack.
 WITHIN = ("figure/figcaption", "figure/pre", "figure/table/tr/td", "figure/blockquote/p", "figure/p", "figure", "pre", "table/tr/td", "blockquote/p", "ul/li", "h2", "h3", "dl/dd")
 
@@ -406,12 +490,22 @@ def enriched(pages: list[list[tuple[str, str, int]]], seed: int = 5) -> list[lis
 
 def skeletons(many: int = 120, seed: int = 9) -> list[list[tuple[str, str, int]]]:
     """Plain pages made by rule, with which the network is trained beside the sampled ones, however few these are."""
-    rng = np.random.default_rng(seed)
+    rng, other = np.random.default_rng(seed), np.random.default_rng(seed + 1)
     words = "the of and in to a is that for on with as by at from this it was are be or an which were their has more".split()
 
     def text(n: int) -> str:
         return " ".join(rng.choice(words, size=n)).capitalize() + "."
 
+    def inserted(path: str) -> list[tuple[str, str, int]]:
+        """In three paragraphs of ten an advert in an element that says nothing else, or words of the paragraph that happen to be named so."""
+        if other.random() >= 0.3:
+            return []
+        tags = ("span", "span", "ins", "label") if other.random() < 0.5 else ("a", "code", "em", "b", "i", "cite", "strong", "mark", "q")
+        tag, name = tags[int(other.integers(len(tags)))], INSERTIONS[int(other.integers(len(INSERTIONS)))]
+        said = " ".join(other.choice(words, size=int(other.choice([1, 2, 4, 12]))))
+        said = said.upper() if other.random() < 0.3 else said
+        return [(f"{path}/{tag} {name}", said, len(said) if tag == "a" or other.random() < 0.2 else 0)]
+
     out = []
     for _ in range(many):
         around = ("html/body/article", "html/body/main", "article", "div/article", "html/body/div/article", "html/body/div", "html/body/div content", "html/body")[int(rng.integers(8))]
@@ -421,6 +515,7 @@ def skeletons(many: int = 120, seed: int = 9) -> list[list[tuple[str, str, int]]
         for _ in range(int(rng.integers(1, 9))):
             inner = f"{around}/{('p', 'p', 'p', 'div article-header/h2', 'ul/li', 'blockquote/p', 'h2')[int(rng.integers(7))]}"
             page.append((inner, text(int(rng.choice([1, 2, 5, 30, 120]))), 0))
+            page += inserted(inner)
             if rng.random() < 0.25:
                 noise = text(int(rng.choice([1, 2, 12])))
                 page.append((f"{around}/{EXTRA[int(rng.integers(len(EXTRA)))]}", noise, int(rng.choice([0, len(noise)]))))
@@ -449,26 +544,27 @@ LONG = 4096
 
 
 def extract(model: BiLSTM, texts: list[str | None]) -> list[str]:
-    """The main text of each page: its blocks labelled main, joined by line feeds."""
-    made = [leaves(t) for t in texts]
+    """The main text of each page: its leaves as far as their blocks are labelled main, joined by line feeds."""
+    pages = [read(t) for t in texts]
+    made = [blocks for blocks, _ in pages]
     out = [""] * len(made)
     sizes = [len(b) if len(b) <= LONG else 0 for b in made]
     for group in batched(sizes, 256, 1 << 14):
         x, there = _padded([vectors(made[i]) for i in group])
         main = model.score(x, there) >= 0.5
         for row, i in enumerate(group):
-            out[i] = "\n".join(b[1] for b, good in zip(made[i], main[row], strict=False) if good)
+            out[i] = main_text(pages[i][1], main[row].tolist())
     for i, blocks in enumerate(made):
         if len(blocks) > LONG:
-            out[i] = "\n".join(b[1] for b, p in zip(blocks, model.score_long(blocks, LONG), strict=True) if p >= 0.5)
+            out[i] = main_text(pages[i][1], (model.score_long(blocks, LONG) >= 0.5).tolist())
     return out
 
 
 def extract_text(pages: DataFrame, model: BiLSTM | None = None) -> DataFrame:
     """(page_id, url, html) -> per row: page_id, url, text, n_chars; null html is empty and gives an empty text.
 
-    Repeated rows give a row each; other columns are ignored; an empty table gives no rows. Elements nested
-    deeper than ``DEPTH`` count as part of the one around them; a page of any number of blocks is read whole.
+    Repeated rows give a row each; other columns are ignored; an empty table gives no rows. Block elements
+    nested deeper than ``DEPTH`` count as part of the one around them, inline ones have no limit; a page of any number of blocks is read whole.
     """
     model = model or fit_labeller(pages)
     shared = pages.sparkSession.sparkContext.broadcast(model)

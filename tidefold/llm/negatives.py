@@ -1,6 +1,6 @@
 """Hard negatives by anchor spanning-tree bounds.
 
-Rows are dealt to cells of a coarse tree, cells to shards of bounded size, anchors to blocks of their
+Rows are dealt to coarse cells, cells to shards of bounded size, anchors to blocks of their
 cell. The anchors of a block form a minimum spanning tree. For a candidate c, the score of a child anchor
 is its parent's score plus or minus (edge length times norm of c), so a parent's scores bound those of
 its children, and theirs in turn; only candidates whose bounds overlap what is asked for (the fifth best
@@ -12,13 +12,13 @@ outside. Bounds never decide a result: all results are exact integer products.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import deal, unpacked
 from .runtime import materialise
 from .vectors import is_query, of_one_length, usable
 
@@ -27,53 +27,10 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score in hundredths of its positive's.
 LOW, HIGH = 50, 95
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
-#: Rows that the coarse tree is fitted on, and its leaves, at most. Every row is dealt by it, whatever its number.
-SAMPLE, CELLS = 8192, 256
 NONE = np.iinfo(np.int64).max
 LEAST = np.iinfo(np.int64).min + 1
 
 
-@dataclass
-class Cells:
-    """A tree of medians along the widest axis: nodes are (axis, cut, left, right), a leaf's axis is -1 and its left the number of the cell."""
-
-    axis: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    centres: np.ndarray
-
-    @classmethod
-    def fit(cls, rows: np.ndarray, most: int) -> Cells:
-        nodes: list[list[float]] = []
-        centres: list[np.ndarray] = []
-
-        def grow(own: np.ndarray, leaves: int) -> int:
-            at = len(nodes)
-            nodes.append([-1, 0.0, len(centres), -1])
-            axis = int(own.var(axis=0).argmax())
-            cut = float(np.median(own[:, axis]))
-            low = own[:, axis] <= cut
-            if leaves < 2 or low.all():
-                centres.append(own.mean(axis=0))
-                return at
-            left = grow(own[low], leaves // 2)
-            nodes[at] = [axis, cut, left, grow(own[~low], leaves - leaves // 2)]
-            return at
-
-        grow(rows.astype(np.float64), most)
-        axis, cut, left, right = (np.array(x) for x in zip(*nodes, strict=True))
-        return cls(axis.astype(int), cut, left.astype(int), right.astype(int), np.array(centres))
-
-    def of(self, rows: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(rows), dtype=int)
-        every = np.arange(len(rows))
-        while (inner := self.axis[at] >= 0).any():
-            down = rows[every, self.axis[at]] <= self.cut[at]
-            at = np.where(inner, np.where(down, self.left[at], self.right[at]), at)
-        return self.left[at]
-
-
 def spanning_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parent (-1 for the root, the point nearest the mean), edge length and depth of every point in a minimum spanning tree."""
     x = points.astype(np.float64)
@@ -135,11 +92,6 @@ def bounded(anchors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]
         yield here, scores, hit
 
 
-def _unpacked(row, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.asarray(getattr(row, names[0]))
-    return ids, np.asarray(getattr(row, names[1])).reshape(len(ids), -1)
-
-
 def _top(hit: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row among those hit (ids ascending): scores and ids, ``LEAST`` and ``NONE`` where there are fewer."""
     s = np.where(hit, scores, LEAST)
@@ -160,9 +112,9 @@ def _positives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
     """The best rows of the anchors' labels in each (block, shard) pair, of those that reach the floors carried in."""
     for frame in frames:
         for row in frame.itertuples(index=False):
-            anchors, a = _unpacked(row, ("anchors", "a"))
-            ids, c = _unpacked(row, ("ids", "c"))
-            same = np.asarray(row.a_labels)[:, None] == np.asarray(row.labels)
+            anchors, a = unpacked(row, ("anchors", "a"))
+            ids, c = unpacked(row, ("ids", "c"))
+            same = np.asarray(row.a_label)[:, None] == np.asarray(row.label)
             same &= anchors[:, None] != ids
             floors = np.asarray(row.floors)
             tree = tuple(np.asarray(x) for x in (row.parent, row.edge, row.depth))
@@ -175,9 +127,9 @@ def _negatives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
     """For each positive of an anchor, the best rows of other labels in its window."""
     for frame in frames:
         for row in frame.itertuples(index=False):
-            anchors, a = _unpacked(row, ("anchors", "a"))
-            ids, c = _unpacked(row, ("ids", "c"))
-            other = np.asarray(row.a_labels)[:, None] != np.asarray(row.labels)
+            anchors, a = unpacked(row, ("anchors", "a"))
+            ids, c = unpacked(row, ("ids", "c"))
+            other = np.asarray(row.a_label)[:, None] != np.asarray(row.label)
             # (anchors, positives): where there are fewer positives, a window that nothing meets.
             lows, highs = np.asarray(row.lows).reshape(len(anchors), -1), np.asarray(row.highs).reshape(len(anchors), -1)
             tree = tuple(np.asarray(x) for x in (row.parent, row.edge, row.depth))
@@ -195,12 +147,6 @@ def _negatives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
                     yield _found(anchors[here], np.full(len(here), j), s, i)
 
 
-def _packed(rows: DataFrame, groups: list[str], names: dict[str, str], name: str) -> DataFrame:
-    """One row per group (bounded), its rows in the order of vec_id: ids, labels, and the vectors as one flat array."""
-    all_rows = rows.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("vec_id", "label", "v"))).alias("r"))
-    return materialise(all_rows.select(*groups, F.col("r.vec_id").alias(names["ids"]), F.col("r.label").alias(names["labels"]), F.flatten("r.v").alias(names["v"])), name)
-
-
 def hard_negatives(
     vectors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = SCALE,
     shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS,
@@ -227,79 +173,26 @@ def hard_negatives(
     first = clean.groupBy("vec_id").agg(F.min(F.struct("v", "label")).alias("r")).select("vec_id", "r.label", "r.v")
     clean = of_one_length(materialise(first, "negatives"))
     total = clean.count()
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"].tolist() if total else []
     if not total or not clean.where(is_query()).head(1):
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
-    cells = Cells.fit(np.array(sample), min(CELLS, max(1, total // shard_rows)))
-    centres = cells.centres
-
-    @F.pandas_udf("int")
-    def cell_of(v: pd.Series) -> pd.Series:
-        return pd.Series(cells.of(np.array(v.tolist())).astype(np.int32))
-
-    rows = materialise(clean.withColumn("cell", cell_of("v")), "cells")
-    counts = {r.cell: (r.n, r.asked) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(is_query(), 1)).alias("asked")).collect()}
-    deal = F.xxhash64("vec_id")
-
-    def chunks(size: int, part: int):
-        """The chunk of a row: as many in a cell as keep them near ``size`` rows."""
-        many = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, -(-n[part] // size)))])
-        return F.pmod(deal, many[F.col("cell")]).cast("int")
-
-    stored = _packed(rows.withColumn("chunk", chunks(shard_rows, 0)), ["cell", "chunk"], {"ids": "ids", "labels": "labels", "v": "c"}, "shards")
-    asked = _packed(rows.where(is_query()).withColumn("part", chunks(block_rows, 1)), ["cell", "part"], {"ids": "anchors", "labels": "a_labels", "v": "a"}, "asked")
-
-    def reach_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                _, c = _unpacked(r, ("ids", "c"))
-                yield pd.DataFrame({"cell": [r.cell], "radius": [float(np.sqrt(((c - centres[r.cell]) ** 2).sum(axis=1).max()))]})
-
-    # At most CELLS rows: the radius of every cell about its centre.
-    radius = np.full(len(centres), -np.inf)
-    for r in stored.select("cell", "ids", "c").mapInPandas(reach_of, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("r")).collect():
-        radius[r.cell] = r.r * (1 + 1e-9) + 1e-6
+    dealt = deal(clean, total, shard_rows, block_rows, ("label",))
 
     def trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            grown = [spanning_tree(_unpacked(r, ("anchors", "a"))[1]) for r in frame.itertuples(index=False)]
+            grown = [spanning_tree(unpacked(r, ("anchors", "a"))[1]) for r in frame.itertuples(index=False)]
             yield frame.assign(parent=[t[0] for t in grown], edge=[t[1] for t in grown], depth=[t[2] for t in grown])
 
-    block = (F.col("cell").cast("long") * (1 << 32) + F.col("part")).alias("block")
-    shape = "block bigint, cell int, anchors array<bigint>, a_labels array<bigint>, a array<bigint>"
-    blocks = materialise(
-        asked.select(block, "cell", "anchors", "a_labels", "a").mapInPandas(trees, f"{shape}, parent array<bigint>, edge array<double>, depth array<bigint>"), "blocks"
-    )
-
-    def pairs(work: DataFrame, lows: str, highs: str | None, per: int) -> DataFrame:
-        """``work`` (blocks with what they ask) with ``cell``: one row per cell whose centre and radius leave some anchor a score from its lows to its highs."""
-
-        def reachable(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                met = []
-                for r in frame.itertuples(index=False):
-                    ids, a = _unpacked(r, ("anchors", "a"))
-                    a = a.astype(np.float64)
-                    mid = a @ centres.T
-                    slack = np.sqrt((a**2).sum(axis=1))[:, None] * radius * (1 + 1e-9) + 1e-6 * (1 + np.abs(mid))
-                    lo = np.asarray(getattr(r, lows)).reshape(len(ids), per)
-                    hi = np.asarray(getattr(r, highs)).reshape(len(ids), per) if highs else np.full(lo.shape, np.inf)
-                    met.append([c for c in np.flatnonzero(radius >= 0) if any(((mid[:, c] + slack[:, c] >= lo[:, j]) & (mid[:, c] - slack[:, c] <= hi[:, j])).any() for j in range(per))])
-                yield frame.assign(cells=met)
-
-        kinds = ", ".join(f"{n} {t}" for n, t in work.dtypes)
-        return work.mapInPandas(reachable, f"{kinds}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
-
-    numbers = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, -(-n[0] // shard_rows)))])
+    shape = ", ".join(f"{n} {t}" for n, t in dealt.blocks.dtypes)
+    blocks = materialise(dealt.blocks.mapInPandas(trees, f"{shape}, parent array<bigint>, edge array<double>, depth array<bigint>"), "blocks")
 
-    def meet(work: DataFrame) -> DataFrame:
-        """Every chunk of the cells asked for, with its rows."""
-        return work.withColumn("chunk", F.explode(F.sequence(F.lit(0), numbers[F.col("cell")] - 1))).join(stored, ["cell", "chunk"])
+    def meet(work: DataFrame, lows: str, highs: str | None, per: int) -> DataFrame:
+        """Every shard of the cells that may hold what the blocks ask for."""
+        return dealt.meet(dealt.reachable(work, lows, highs, per).withColumn("cell", F.explode("cells")).drop("cells"))
 
     # Positives: first in one shard of the block's own cell, then, with the scores found there as floors, in all that may reach them.
     no_floor = F.transform("anchors", lambda x: F.lit(LEAST))
-    own = blocks.withColumn("floors", no_floor).withColumn("chunk", F.pmod(F.xxhash64("block"), numbers[F.col("cell")]).cast("int"))
-    seeds = own.join(stored, ["cell", "chunk"]).mapInPandas(lambda f: _positives(f, positives), FOUND)
+    own = dealt.own(blocks.withColumn("floors", no_floor))
+    seeds = own.join(dealt.stored, ["cell", "chunk"]).mapInPandas(lambda f: _positives(f, positives), FOUND)
     place = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     floor = seeds.groupBy("anchor_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= positives)
     members = blocks.select("block", F.explode("anchors").alias("anchor_id"))
@@ -307,7 +200,7 @@ def hard_negatives(
     carried = blocks.join(floors, "block", "left").withColumn(
         "floors", F.coalesce(F.transform("anchors", lambda x: F.coalesce(F.try_element_at("known", x), F.lit(LEAST))), no_floor)
     )
-    found = meet(pairs(materialise(carried.drop("known", "cell"), "floors"), "floors", None, 1)).mapInPandas(lambda f: _positives(f, positives), FOUND)
+    found = meet(materialise(carried.drop("known", "cell"), "floors"), "floors", None, 1).mapInPandas(lambda f: _positives(f, positives), FOUND)
     best = found.withColumn("j", F.row_number().over(place)).where(F.col("j") <= positives)
     best = materialise(best.select("anchor_id", (F.col("j") - 1).alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
@@ -323,7 +216,7 @@ def hard_negatives(
         return F.flatten(F.transform("anchors", lambda x: F.transform(places, lambda j: get(x, j))))
 
     asking = blocks.drop("cell").join(asks, "block").withColumns({"lows": side("lo", NONE), "highs": side("hi", LEAST)}).drop("known")
-    near = meet(pairs(materialise(asking, "windows"), "lows", "highs", positives)).mapInPandas(lambda f: _negatives(f, negatives), FOUND)
+    near = meet(materialise(asking, "windows"), "lows", "highs", positives).mapInPandas(lambda f: _negatives(f, negatives), FOUND)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("score"), "vec_id"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= negatives)
     return chosen.join(best, ["anchor_id", "place"]).select(

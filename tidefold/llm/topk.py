@@ -1,10 +1,12 @@
 """Exact top-k inner products by branch and bound on a ball tree in each shard.
 
-All vectors are dealt to shards of bounded size, the stated queries to blocks. A first round searches
-one shard for each block; its k-th scores are carried to a second round over all other shards, so
-every search starts with a bound and tightens it as it goes. Nodes are taken in the order of their
-upper bound (centre times query plus radius times query norm); a node whose bound is below the k-th
-score of every query is dropped. Ties stay open, so results are exact.
+Vectors are dealt to coarse cells and their shards, the stated queries to blocks of their
+cell. A first round searches one shard of a block's own cell; its k-th scores go into a second round over
+the most promising cells, and those of both into a third over all other cells whose centre and radius
+allow a better score: only pairs that may matter are shuffled, and every search starts with a bound and
+tightens it as it goes. Nodes are taken in the order of their upper bound (centre times query plus radius
+times query norm); a node whose bound is below the k-th score of every query is dropped. Ties stay open, so
+results are exact.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import deal, unpacked
 from .runtime import materialise
-from .vectors import blocks, is_query, keep_best, matrix, of_one_length, usable
+from .vectors import is_query, keep_best, of_one_length, usable
 
 K = 5
 SCALE = 256
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
 LEAF = 256
+#: Cells that a block searches before it looks at the bounds again.
+NEAR = 4
 NONE = np.iinfo(np.int64).max
 #: Stands for no score; its negative is a number too.
 LEAST = np.iinfo(np.int64).min + 1
@@ -103,19 +108,34 @@ def _search(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     tree, built = None, None
     for frame in frames:
         for row in frame.itertuples(index=False):
-            if built != row.shard:
-                tree, built = BallTree(np.asarray(row.ids), matrix(row.rows).astype(np.int64)), row.shard
-            queries, asked = np.asarray(row.query_ids), matrix(row.queries).astype(np.int64)
+            if built != (row.cell, row.chunk):
+                tree, built = BallTree(*unpacked(row, ("ids", "c"))), (row.cell, row.chunk)
+            queries, asked = unpacked(row, ("anchors", "a"))
             # Places are filled with the k-th score carried so far: it prunes, and rows that tie with it still enter.
             scores, ids = np.repeat(np.asarray(row.floors)[:, None], k, axis=1), np.full((len(queries), k), NONE)
             scores, ids = tree.search(asked, scores, ids)
-            which, place = np.nonzero(ids != NONE)
-            yield pd.DataFrame(
-                {
-                    "block": np.full(len(which), row.block, dtype=np.int32), "query_id": queries[which],
-                    "vec_id": ids[which, place], "score": scores[which, place],
-                }
-            )
+            which, place = np.nonzero((ids != NONE) & (ids != queries[:, None]))
+            yield pd.DataFrame({"query_id": queries[which], "vec_id": ids[which, place], "score": scores[which, place]})
+
+
+FOUND = "query_id bigint, vec_id bigint, score bigint"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def _with_floors(blocks: DataFrame, found: DataFrame | None, k: int, name: str) -> DataFrame:
+    """``blocks`` with ``floors``: the k-th score found so far for each of their queries, ``LEAST`` without one."""
+    none = F.transform("anchors", lambda q: F.lit(LEAST))
+    if found is None:
+        return blocks.withColumn("floors", none)
+    floor = _best(found, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
+    members = blocks.select("block", F.explode("anchors").alias("query_id"))
+    known = floor.join(members, "query_id").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
+    floors = F.coalesce(F.transform("anchors", lambda q: F.coalesce(F.try_element_at("known", q), F.lit(LEAST))), none)
+    return materialise(blocks.join(known, "block", "left").withColumn("floors", floors).drop("known"), name)
 
 
 def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -135,42 +155,30 @@ def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows:
         F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"),
     )
     clean = of_one_length(materialise(clean.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors"))
-    total, asked = clean.count(), clean.where(is_query()).count()
-    schema = "block int, query_id bigint, vec_id bigint, score bigint"
-    if not asked:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    shards, parts = -(-total // shard_rows), -(-asked // block_rows)
-    deal = F.xxhash64("vec_id")
-    stored = blocks(clean.withColumn("shard", F.pmod(deal, F.lit(shards)).cast("int")), ["shard"], "shards")
-    queries = blocks(clean.where(is_query()).withColumn("block", F.pmod(deal, F.lit(parts)).cast("int")), ["block"], "queries")
-    stored = stored.select("shard", F.col("vec_id").alias("ids"), F.col("v").alias("rows"))
-    queries = queries.select("block", F.col("vec_id").alias("query_ids"), F.col("v").alias("queries"))
-
-    open_floor = F.transform("query_ids", lambda q: F.lit(LEAST))
-    queries = queries.withColumn("own", F.col("block") % shards)
-
-    def run(work: DataFrame) -> DataFrame:
+    total = clean.count()
+    if not total or not clean.where(is_query()).head(1):
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    dealt = deal(clean, total, shard_rows, block_rows)
+
+    def run(work: DataFrame, name: str) -> DataFrame:
         # One more than k: the query itself may be among them.
-        work = work.join(stored, "shard").select("block", "shard", "query_ids", "queries", "floors", "ids", "rows")
-        return work.sortWithinPartitions("shard").mapInPandas(lambda frames: _search(frames, k + 1), schema)
-
-    first = queries.withColumn("shard", F.col("own")).withColumn("floors", open_floor)
-    seeds = materialise(run(first), "seeds")
-    floor = seeds.groupBy("block", "query_id").agg(
-        F.when(F.count("*") > k, F.min("score")).otherwise(None).alias("floor")
-    ).where("floor is not null")
-    floors = floor.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
-    carried = queries.join(floors, "block", "left").withColumn(
-        "floors", F.coalesce(F.transform("query_ids", lambda q: F.coalesce(F.element_at("known", q), F.lit(LEAST))), open_floor)
-    )
-    rest = carried.drop("known").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> own")
-    found = seeds.union(run(rest))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.where("query_id <> vec_id")
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        rows = work.select("cell", "chunk", "anchors", "a", "floors", "ids", "c").sortWithinPartitions("cell", "chunk")
+        return materialise(_best(rows.mapInPandas(lambda frames: _search(frames, k + 1), FOUND), k).drop("rank"), name)
+
+    blocks = dealt.blocks.withColumnRenamed("cell", "home")
+    # Three rounds, each with the k-th scores of those before: one shard of a block's own cell, the most
+    # promising cells, and then all others that may still hold a better score.
+    own = dealt.own(_with_floors(dealt.blocks, None, k, ""))
+    found = run(own.join(dealt.stored, ["cell", "chunk"]), "seeds")
+    for part, cells in (("near", F.slice("cells", 1, NEAR)), ("far", F.array_except("cells", "searched"))):
+        asking = dealt.reachable(_with_floors(blocks, found, k, f"floors-{part}"), "floors", None, 1)
+        if part == "near":
+            asking = materialise(asking.withColumn("searched", cells), "asking")
+            blocks = asking.drop("floors", "cells")
+        work = dealt.meet(asking.withColumn("cell", F.explode(cells)).drop("cells"))
+        seed = (F.col("cell") == F.col("home")) & (F.col("chunk") == F.pmod(F.xxhash64("block"), dealt.numbers[F.col("cell")]).cast("int"))
+        found = found.unionByName(run(work.where(~seed), part))
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
