@@ -15,11 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions import biology, random_streams, transport
 from ..plans.timegrid import TimeGrid, time_of
 from ..plans.storage import shared_dir, written
 from ..sources import chunks
-from . import align, buckets, coordinates, distinct_set, keysets, metrics, recurrence, sinks
+from . import align, buckets, coordinates, distinct_set, keysets, metrics, objectives, recurrence, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -875,6 +876,74 @@ def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(off * off), 4).alias("spread"))
 
 
+@query(
+    """with p as (select l_linenumber % 3 as E, date_trunc('month', l_shipdate) as m, sum(l_extendedprice) * 3 as pred from lineitem group by 1, 2),
+    o as (select date_trunc('month', o_orderdate) as m, sum(o_totalprice) as obs from orders group by 1)
+    select p.E::int as E, count(*) as n, round(sqrt(avg((pred - obs) ** 2)) / 1e6, 6) as loss from p join o on p.m = o.m group by 1"""
+)
+def transformed_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members observed by a transform of their rows: thrice the sum of a third of the lines by month, against the orders' totals."""
+    lines_of = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 3).cast("int").alias("E"), "l_shipdate", "l_extendedprice")
+    seen = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+
+    def by_month(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("E", F.date_trunc("month", "l_shipdate").alias("month")).agg((F.sum("l_extendedprice") * 3).alias("pred"))
+
+    pairs = objectives.paired(lines_of, seen, "total", transform=by_month)
+    loss = metrics.rmse(F.col("pred"), F.col("obs")) / 1e6
+    return pairs.groupBy("E").agg(F.count("*").alias("n"), r6(loss, "loss"))
+
+
+@query(
+    f"""with {SPAN}, {DAILY}, h as (select event_id % 4 as E, date_diff('day', a, date_trunc('day', ts)) as t_idx, event_type as F, avg(value) as pred from events, span group by 1, 2, 3),
+    n as (select T, event_type, value, (select arg_min(t_idx, struct_pack(x := abs(epoch_us(T) + 7 * 3600000000 - epoch_us(a + to_days(t_idx::int))), y := -t_idx)) from (select distinct t_idx from h)) as near from daily, span)
+    select h.E::int as E, count(*) as n, round(sqrt(avg((pred - value) ** 2)), 6) as loss from n join h on h.t_idx = n.near and h.F = n.event_type group by 1"""
+)
+def targeted_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters of the events as members; daily means, seven hours late, observe the nearest of their days."""
+    start = event_grid(spark, sf_dir).start
+    events = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    member = (F.col("event_id") % 4).cast("int").alias("E")
+    outputs = events.groupBy(member, F.datediff("day", F.lit(start)).alias("t_idx"), F.col("event_type").alias("F")).agg(F.avg("value").alias("value"))
+    days = events.select(F.datediff("day", F.lit(start)).alias("idx"), F.col("day").alias("value"))
+    late = daily(spark, sf_dir).select((F.col("T") + F.expr("interval 7 hours")).alias("T"), F.col("event_type").alias("F"), F.col("value").alias("seen"))
+    pairs = objectives.paired(outputs, late, "seen", target="value", coords={"T": days})
+    return pairs.groupBy("E").agg(F.count("*").alias("n"), r6(metrics.rmse(F.col("pred"), F.col("obs")), "loss"))
+
+
+@query(f"with {COHORTS} select vec_id, round(sum(p) filter (where i <= 2), 6) as young, round(sum(p) filter (where i > 2), 6) as old, count(*) filter (where i > 2) as n_old from c group by vec_id")
+def sliced_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outputs of one function, each a slice of the cohorts, and what they add up to."""
+    young, old = F.slice("p", 1, 2), F.slice("p", F.lit(3), F.size("p") - 2)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return cohorts(spark, sf_dir).select("vec_id", r6(total(young), "young"), r6(total(old), "old"), F.size(old).cast("long").alias("n_old"))
+
+
+@query(f"with {GRID5} select Y, X, c as value from g")
+def renamed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid under other names and in another order, brought to the canonical ones."""
+    other = grid5(spark, sf_dir).select(F.col("X").alias("lon"), F.col("c").alias("value"), F.col("Y").alias("lat"))
+    return dims.transpose(dims.rename_dims(other, {"lat": "Y", "lon": "X", "depth": "Z"}))
+
+
+@query(f"with {SPAN}, {DAILY} select event_type, count(*) as n, round(sum(value::float::double), 4) as total from daily group by 1")
+def single_precision_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily values through the memory writer in two chunks, then on disk in single precision, and read back."""
+    first = event_grid(spark, sf_dir).start
+    steps = daily(spark, sf_dir).select(F.datediff("T", F.lit(first)).cast("long").alias("t_idx"), F.col("event_type").alias("F"), "value")
+    steps = written(steps, "daily")
+    with sinks.MemoryWriter() as memory:
+        memory.initialize(["value"])
+        for part in (steps.where("t_idx < 12"), steps.where("t_idx >= 12")):
+            memory.append(part)
+        whole = memory.finalize()
+    with sinks.DiskWriter(spark, f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}", bucket_steps=10, single=True) as disk:
+        disk.initialize(["value"])
+        disk.append(whole)
+        back = disk.finalize()
+    return back.groupBy(F.col("F").alias("event_type")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 4).alias("total"))
+
+
 # ---- chunks of arrays ----
 
 
