@@ -27,6 +27,8 @@ POSITIVES, NEGATIVES = 5, 3
 #: A negative's score in hundredths of its positive's.
 LOW, HIGH = 50, 95
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
+#: Share of candidates beyond which anchors of one depth are scored by one product.
+DENSE = 1 / 16
 NONE = np.iinfo(np.int64).max
 LEAST = np.iinfo(np.int64).min + 1
 
@@ -51,14 +53,26 @@ def spanning_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return parent, edge, depth
 
 
-def products(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows; those that could leave 64 bits, times 100, are refused."""
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(c).max(initial=0)) * a.shape[-1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if most * 100 >= 2**63:
-        raise ValueError("inner products beyond 64 bits")
-    return a @ c.T
+class Products:
+    """Exact integer inner products of anchors and candidates; those that could leave 64 bits, times 100, are refused."""
+
+    def __init__(self, a: np.ndarray, c: np.ndarray):
+        most = int(np.abs(a).max(initial=0)) * int(np.abs(c).max(initial=0)) * a.shape[-1]
+        if most * 100 >= 2**63:
+            raise ValueError("inner products beyond 64 bits")
+        # Floats are exact below 2^53, and far faster.
+        kind = np.float64 if most < 2**53 else np.int64
+        self.a, self.c = a.astype(kind), c.astype(kind)
+
+    def of(self, here: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Scores of some anchors with the candidates hit, 0 elsewhere: one by one where few are, in one product where many are."""
+        if hit.mean() > DENSE:
+            return np.where(hit, self.a[here] @ self.c.T, 0).astype(np.int64)
+        out = np.zeros(hit.shape, dtype=np.int64)
+        for i in np.flatnonzero(hit.any(axis=1)):
+            own = np.flatnonzero(hit[i])
+            out[i, own] = self.c[own] @ self.a[here[i]]
+        return out
 
 
 Wanted = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -71,6 +85,7 @@ def bounded(anchors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]
     those are scored, other scores read as 0.
     """
     parent, edge, depth = tree
+    products = Products(anchors, rows)
     norms = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
     low = high = np.empty((0, len(rows)))
     place = np.zeros(len(anchors), dtype=int)
@@ -81,23 +96,25 @@ def bounded(anchors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]
             reach = edge[here][:, None] * norms * (1 + 1e-9) + 1e-6
             low, high = low[above] - reach, high[above] + reach
         else:
-            low = high = products(anchors[here], rows).astype(np.float64)
+            low = high = products.of(here, np.ones((len(here), len(rows)), dtype=bool)).astype(np.float64)
         place[here] = np.arange(len(here))
         hit = wanted(here, low, high)
-        scores = np.zeros(low.shape, dtype=np.int64)
-        for i in np.flatnonzero(hit.any(axis=1)):
-            own = np.flatnonzero(hit[i])
-            scores[i, own] = products(anchors[here[i]][None], rows[own])[0]
+        scores = products.of(here, hit)
         low, high = np.where(hit, scores, low), np.where(hit, scores, high)
         yield here, scores, hit
 
 
 def _top(hit: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row among those hit (ids ascending): scores and ids, ``LEAST`` and ``NONE`` where there are fewer."""
-    s = np.where(hit, scores, LEAST)
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    s = np.take_along_axis(s, best, axis=1)
-    return s, np.where(s == LEAST, NONE, ids[best])
+    left, each = np.where(hit, scores, LEAST), np.arange(len(scores))
+    best, who = [], []
+    for _ in range(min(k, scores.shape[1])):
+        # The first of equals, so the smallest id.
+        at = left.argmax(axis=1)
+        best.append(left[each, at])
+        who.append(np.where(best[-1] == LEAST, NONE, ids[at]))
+        left[each, at] = LEAST
+    return np.stack(best, axis=1), np.stack(who, axis=1)
 
 
 def _found(anchor: np.ndarray, place: np.ndarray, s: np.ndarray, i: np.ndarray) -> pd.DataFrame:
