@@ -1 +1 @@
-"""Declarative simulation, calibration and corpus processing as Spark jobs."""
+"""Series, grids, ensembles and corpora as Spark jobs."""

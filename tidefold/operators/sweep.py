@@ -81,9 +81,12 @@ def bracketed(sources: DataFrame, targets: DataFrame, range_rows: int = RANGE_RO
         rows = rows.withColumn(one, F.when(F.col("source"), F.struct("at", F.col(value).alias("v"))))
         rows = rows.withColumn(f"{pair}_next", F.last(one, ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, -1)))
         rows = rows.withColumn(pair, F.last(_pair(F.col(one), F.col(f"{pair}_next")), ignorenulls=True).over(way.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.select("part", "k", "at", "source", "target", "lo", "hi")
     if parts > 1:
-        own = lambda one, other: _pair(F.col(one), F.col(other))
-        ends = rows.groupBy("part", "k").agg(F.max(own("last", "lo_next")).alias("down"), F.min(own("first", "hi_next")).alias("up"))
+        # Swept once and written; the ends of a range are its outermost sources, with their neighbours inside.
+        rows = written(rows, "swept")
+        own = lambda c: F.when(F.col("source"), F.col(c))
+        ends = rows.groupBy("part", "k").agg(F.max(own("lo")).alias("down"), F.min(own("hi")).alias("up"))
         rows = rows.where("target").join(_carried(ends, parts), ["part", "k"])
         rows = rows.withColumns({"lo": _completed(F.col("lo"), F.col("below")), "hi": _completed(F.col("hi"), F.col("above"))})
     return rows.where("target").select("k", "at", "lo", "hi")
