@@ -47,6 +47,18 @@ def test_exact_top_k(vectors, sf, spark):
     assert sorted(tuple(r) for r in topk.exact_top_k(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()) == twin
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_larger_tables(spark, size):
+    table = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    ids, x = clean(table, False)
+    norms = np.linalg.norm(x, axis=1)
+    got = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len({i for i, _ in best(ids, x @ v / (norms * n), q)} & got[int(q)]) for q, v, n in zip(ids, x, norms, strict=True) if q % 50 == 0]
+    assert sum(hits) / (5 * len(hits)) >= 0.9, sum(hits) / (5 * len(hits))
+
+
 def test_few_pairs_move(spark, monkeypatch):
     """On clustered vectors a block of queries meets under a tenth of all shards, and the result is exact."""
     rng = np.random.default_rng(1)

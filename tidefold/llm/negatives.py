@@ -151,17 +151,23 @@ def _negatives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
             lows, highs = np.asarray(row.lows).reshape(len(anchors), -1), np.asarray(row.highs).reshape(len(anchors), -1)
             tree = tuple(np.asarray(x) for x in (row.parent, row.edge, row.depth))
 
+            # Windows that leave no gap between them are one interval.
+            by_low = np.argsort(lows, axis=1)
+            ends = np.maximum.accumulate(np.take_along_axis(highs, by_low, axis=1), axis=1)
+            whole = (np.take_along_axis(lows, by_low, axis=1)[:, 1:] <= ends[:, :-1]).all()
+            asked = [(lows.min(axis=1), highs.max(axis=1))] if whole else list(zip(lows.T, highs.T, strict=True))
+
             def overlaps(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-                met = np.zeros(lo.shape, dtype=bool)
-                for j in range(lows.shape[1]):
-                    met |= (hi >= lows[h, j][:, None]) & (lo <= highs[h, j][:, None])
+                met = False
+                for low, high in asked:
+                    met = met | ((hi >= low[h][:, None]) & (lo <= high[h][:, None]))
                 return met & other[h]
 
             for here, scores, hit in bounded(a, tree, c, overlaps):
+                scores = np.where(hit, scores, LEAST)
                 for j in range(lows.shape[1]):
-                    inside = hit & (scores >= lows[here, j][:, None]) & (scores <= highs[here, j][:, None])
-                    s, i = _top(inside, scores, ids, k)
-                    yield _found(anchors[here], np.full(len(here), j), s, i)
+                    s, i = _top(scores <= highs[here, j][:, None], scores, ids, k)
+                    yield _found(anchors[here], np.full(len(here), j), s, np.where(s >= lows[here, j][:, None], i, NONE))
 
 
 def hard_negatives(
