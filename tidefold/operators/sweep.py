@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import written
 
 #: Rows of a range; ranges that are carried on together.
-RANGE_ROWS, FAN = 1_000_000, 1024
+RANGE_ROWS, FAN = 250_000, 1024
 
 
 def key_of(columns: list[Column]) -> Column:
