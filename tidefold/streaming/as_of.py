@@ -24,44 +24,51 @@ class LastSource(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sources = handle.getMapState("sources", "at bigint", "v double")
-        self.waiting = handle.getMapState("waiting", "at bigint, number bigint", "n bigint")
+        self.sources = handle.getListState("sources", "at bigint, v double")
+        self.waiting = handle.getListState("waiting", "at bigint, number bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
+        # Rows of a batch go to the state in one piece each; they are looked at when a timer comes.
         for frame in rows:
-            for at, number, v in frame.loc[~frame["asked"], ["at", "number", "v"]].itertuples(index=False):
-                # Of values at one time the largest is the last.
-                known = self.sources.getValue((at,)) if self.sources.containsKey((at,)) else None
-                self.sources.updateValue((at,), (float(v) if known is None else max(float(v), known[0]),))
-            for at, number in frame.loc[frame["asked"], ["at", "number"]].itertuples(index=False):
-                place = (int(at), int(number))
-                n = self.waiting.getValue(place)[0] if self.waiting.containsKey(place) else 0
-                self.waiting.updateValue(place, (n + 1,))
-                earliest = at if earliest is None else min(at, earliest)
+            asked = frame["asked"].to_numpy(dtype=bool)
+            if not asked.all():
+                own = frame[~asked]
+                self.sources.appendList(list(zip(own["at"].tolist(), own["v"].tolist(), strict=True)))
+            if asked.any():
+                own = frame[asked]
+                self.waiting.appendList(list(zip(own["at"].tolist(), own["number"].tolist(), strict=True)))
+                first = int(own["at"].min())
+                earliest = first if earliest is None else min(first, earliest)
         if earliest is not None:
             # Timers have milliseconds: the next whole one is past the target.
-            self.handle.registerTimer(int(earliest) // 1000 + 1)
+            self.handle.registerTimer(earliest // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        times = sorted((k[0], v[0]) for k, v in self.sources.iterator())
-        starts = [t for t, _ in times]
-        out, later = [], []
-        for (at, number), (n,) in list(self.waiting.iterator()):
-            if at >= mark:
-                later.append(at)
-                continue
-            i = bisect.bisect_right(starts, at) - 1
-            out += [(key[0], key[1], number, at, times[i][1] if i >= 0 else None)] * n
-            self.waiting.removeKey((at, number))
-        for t in starts[: max(0, bisect.bisect_right(starts, mark) - 1)]:
-            self.sources.removeKey((t,))
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [w for w in waiting if w[0] < mark], [w for w in waiting if w[0] >= mark]
+        if due:
+            # Of values at one time the largest is the last.
+            known: dict[int, float] = {}
+            for at, v in self.sources.get() if self.sources.exists() else ():
+                known[at] = max(v, known.get(at, v))
+            starts = sorted(known)
+            out = []
+            for at, number in due:
+                i = bisect.bisect_right(starts, at) - 1
+                out.append((key[0], key[1], number, at, known[starts[i]] if i >= 0 else None))
+            if starts:
+                self.sources.put([(t, known[t]) for t in starts[max(0, bisect.bisect_right(starts, mark) - 1) :]])
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            frame = pd.DataFrame(out, columns=["k", "share", "number", "at", "v"])
+            yield frame.astype({"share": "int32", "number": "int64", "at": "int64", "v": "float64"})
         if later:
-            self.handle.registerTimer(min(later) // 1000 + 1)
-        frame = pd.DataFrame(out, columns=["k", "share", "number", "at", "v"])
-        yield frame.astype({"share": "int32", "number": "int64", "at": "int64", "v": "float64"})
+            self.handle.registerTimer(min(w[0] for w in later) // 1000 + 1)
 
     def close(self) -> None:
         pass
