@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidefold import dims, errors
 from tidefold.functions import biology, transport
-from tidefold.operators import align, metrics, recurrence, sinks
+from tidefold.operators import align, catalogue, metrics, recurrence, sinks
 from tidefold.plans.timegrid import TimeGrid, chunk_ranges, parse_dt
 
 DAY = 86400.0
@@ -81,6 +81,27 @@ def test_recurrence_of_given_series(spark):
     assert {(r.k, r.t_idx, r.s) for r in out.collect()} == {(1, 0, 12.0), (1, 1, 16.0), (1, 2, 20.0), (4, 0, None), (4, 1, None)}
 
 
+def test_last_state_is_the_last_of_the_trajectory(spark):
+    rows = spark.createDataFrame([(1, 2.0, [1.0, 2.0, 4.0]), (2, 3.0, []), (3, 4.0, None), (4, 5.0, [None, 1.0]), (5, None, [1.0]), (None, 1.0, [2.0])], "k int, a double, food array<double>")
+    start = {"s": F.col("a"), "n": F.lit(0)}
+    for given, steps, x in (("food", None, lambda x: x), (None, 7, lambda i: i * 0.5), (None, 0, lambda i: i)):
+        step = lambda s, v, x=x: {**recurrence.euler({"s": s["s"]}, {"s": x(v)}, 2.0, high=20.0), "n": s["n"] + 1}
+        whole = recurrence.trajectory(rows, ["k"], start, step, steps, given).toPandas().astype(object)
+        last = [tuple(None if v != v else v for v in r) for r in whole.sort_values("t_idx").groupby("k", dropna=False).tail(1)[["k", "s", "n"]].itertuples(index=False)]
+        got = recurrence.last_state(rows, ["k"], start, step, steps, given)
+        assert got.columns == ["k", "s", "n"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(last, key=str) and len(last) == {"food": 4, None: 6 if steps else 0}[given]
+
+
+def test_members_of_a_sweep_go_to_many_tasks(spark, sf, monkeypatch):
+    """The suppliers are one small file; the work on them grows with the cells and steps, and must not stay in its one task."""
+    assert catalogue.table(spark, sf, "supplier").rdd.getNumPartitions() == 1
+    assert catalogue.ensemble_sweep(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(recurrence, "SERIES", 30)
+    members, cells = catalogue.table(spark, sf, "supplier").count(), 25
+    assert catalogue.ensemble_sweep(spark, sf).rdd.getNumPartitions() == -(-members * cells // 30)
+
+
 # ---- functions ----
 
 

@@ -607,9 +607,10 @@ def spinup_spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier's rate on every cell: each member is a row, its last state is kept."""
     members = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("E"), ((F.lit(0.01) + F.col("s_suppkey") * F.lit(0.002)) / DAY).alias("rate"))
-    runs = members.crossJoin(little(grid5(spark, sf_dir).select("Y", "X", "c")))
-    out = recurrence.trajectory(runs, ["E", "Y", "X"], {"biomass": F.col("c") + 1.0, "rate": F.col("rate")}, _growth(rate="rate"), STEPS)
-    return out.where(F.col("t_idx") == STEPS - 1).select("E", "Y", "X", r6(F.col("biomass"), "biomass"))
+    cells = grid5(spark, sf_dir).select("Y", "X", "c")
+    runs = recurrence.dealt(members, "E", times=cells.count()).crossJoin(little(cells))
+    out = recurrence.last_state(runs, ["E", "Y", "X"], {"biomass": F.col("c") + 1.0, "rate": F.col("rate")}, _growth(rate="rate"), STEPS)
+    return out.select("E", "Y", "X", r6(F.col("biomass"), "biomass"))
 
 
 def _hunt(s: recurrence.State, food) -> recurrence.State:

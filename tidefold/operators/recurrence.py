@@ -37,6 +37,15 @@ def _packed(state: State) -> Column:
     return F.struct(*[c.alias(n) for n, c in state.items()])
 
 
+def _each(steps: int | None, given: str | None) -> Column:
+    return F.col(given) if given else F.sequence(F.lit(0), F.lit(steps - 1)) if steps else F.array().cast("array<int>")
+
+
+def _kind(rows: DataFrame, start: State) -> str:
+    """The type of the start: in a fold of it, fields that start without null must be able to become null."""
+    return rows.select(_packed(start).alias("s")).schema["s"].dataType.simpleString()
+
+
 def trajectory(rows: DataFrame, keys: list[str], start: State, step: Callable[[State, Column], State], steps: int | None = None, given: str | None = None) -> DataFrame:
     """(keys, t_idx, state columns) after each step, t_idx from 0.
 
@@ -44,20 +53,41 @@ def trajectory(rows: DataFrame, keys: list[str], start: State, step: Callable[[S
     element of the array column ``given``, whose length is then the number of steps. A state must keep its types. Null
     arrays give no rows, null values stay null.
     """
-    each = F.col(given) if given else F.sequence(F.lit(0), F.lit(steps - 1)) if steps else F.array().cast("array<int>")
     names = list(start)
 
     def onward(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
         return F.array_append(done, _packed(step({n: last[n] for n in names}, x)))
 
-    # The fold keeps the type of its start: fields that start without null must be able to become null.
-    kind = rows.select(_packed(start).alias("s")).schema["s"].dataType.simpleString()
-    whole = F.aggregate(each, F.array(_packed(start)).cast(f"array<{kind}>"), onward)
+    whole = F.aggregate(_each(steps, given), F.array(_packed(start)).cast(f"array<{_kind(rows, start)}>"), onward)
     after = rows.select(*keys, F.posexplode(F.slice(whole, F.lit(2), F.size(whole) - 1)).alias("t_idx", "s"))
     return after.select(*keys, F.col("t_idx").cast("long").alias("t_idx"), *[F.col("s")[n].alias(n) for n in names])
 
 
+def last_state(rows: DataFrame, keys: list[str], start: State, step: Callable[[State, Column], State], steps: int | None = None, given: str | None = None) -> DataFrame:
+    """(keys, state columns) after the last step: the last row of each ``trajectory``, of which nothing else is kept.
+
+    Series without a step, or with a null array, give no row.
+    """
+    names, each = list(start), _each(steps, given)
+    state = F.aggregate(each, _packed(start).cast(_kind(rows, start)), lambda s, x: _packed(step({n: s[n] for n in names}, x)))
+    after = rows.where(F.size(each) > 0).select(*keys, state.alias("s"))
+    return after.select(*keys, *[F.col("s")[n].alias(n) for n in names])
+
+
+#: Series of a task, about: some seconds of work, however few bytes they have.
+SERIES = 50_000
+
+
+def dealt(rows: DataFrame, key: str, times: int = 1) -> DataFrame:
+    """``rows``, of which ``times`` series each are made, dealt by ``key`` to tasks of about ``SERIES`` series.
+
+    Spark cuts a table by its bytes, so one of few bytes that much work follows would stay in one task.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() * times // SERIES)), key)
+
+
 def trajectory_by_chunks(rows: DataFrame, keys: list[str], start: State, step: Callable[[State, Column], State], steps: int, chunk: int) -> DataFrame:
     """The same in stretches of ``chunk`` steps, each from the last state of the one before: a row never holds more than a stretch."""
     from ..plans.storage import written
