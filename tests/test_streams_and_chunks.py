@@ -9,7 +9,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidefold.operators import align
+from tidefold.operators import align, catalogue
+from tidefold.plans.timegrid import TimeGrid
 from tidefold.sources import chunks
 from tidefold.streaming import as_of, stateful
 
@@ -57,6 +58,59 @@ def test_streamed_ffill_equals_batch(spark, tmp_path, shares):
     assert got == batch_answers(spark, rows)
 
 
+def on_grid(grid, n=1500, seed=5):
+    """Sources of ``made``, some at a step or a microsecond beside one, and targets on steps, some twice; in order of time."""
+    rng = random.Random(seed)
+    rows = [r for r in made(n, seed) if r[3] is not None]
+    for i in range(0, grid.n_timesteps, 5):
+        rows += [("hot", grid.time(i) + timedelta(microseconds=d), 0, float(rng.randint(0, 99))) for d in rng.sample((-1, 0, 1), 2)]
+    asked = [(k, grid.time(i), 2**60 + i, None) for k in ("hot", "a", None, "no source") for i in range(grid.n_timesteps) if rng.random() < 0.8]
+    return sorted(rows + asked + asked[::9], key=lambda r: r[1])
+
+
+@pytest.mark.parametrize("delay", ["1 hour", "40 days"])
+def test_targets_on_a_grid(spark, tmp_path, delay):
+    """The same answers with one source a step in the state of a key, however many there are; over a restart, and for rows within the delay."""
+    grid = TimeGrid.of(ZERO - timedelta(hours=2, minutes=53), ZERO + timedelta(hours=49, minutes=7), "30min")
+    rows = on_grid(grid)
+    parts = [rows[i : i + 450] for i in range(0, len(rows), 450)]
+    # One is late, though not by the delay.
+    late = next(r for r in parts[0][::-1] if r[0] == "hot" and r[3] is not None and r[1] < parts[0][-1][1] - timedelta(minutes=25))
+    parts[0].remove(late)
+    home, removed, dropped = f"file://{tmp_path}/run", 0, 0
+    for run in ([parts[0], [late], *parts[1:2]], [*parts[2:], [END]]):
+        for part in run:
+            put(spark, part, tmp_path / "in")
+        query = as_of.run_to_folder(as_of.stream_as_of(stream_of(spark, tmp_path / "in"), delay, 2, grid), home)
+        query.awaitTermination()
+        found = [o for p in query.recentProgress for o in p["stateOperators"]]
+        removed += sum(o["numRowsRemoved"] for o in found if o["operatorName"] == "stateStoreSave")
+        dropped += sum(o["numRowsDroppedByWatermark"] for o in found)
+    got = sorted((tuple(r) for r in as_of.results(spark, home).collect()), key=str)
+    assert got == batch_answers(spark, rows) and dropped == 0
+    sources, steps = sum(r[3] is not None for r in rows), {(r[0], -((grid.start - r[1]) // timedelta(minutes=30))) for r in rows if r[3] is not None}
+    targets = {r[:3] for r in rows if r[3] is None}
+    assert removed == len(steps) + len(targets) and len(steps) < sources / 2
+
+
+def test_targets_beside_the_grid_are_an_error(spark, tmp_path):
+    grid = TimeGrid.of(ZERO, ZERO + timedelta(days=1), "1h")
+    put(spark, [("a", ZERO, 0, 1.0), ("a", ZERO + timedelta(minutes=59), 1, None)], tmp_path / "in")
+    stream = stream_of(spark, tmp_path / "in")
+    with pytest.raises(Exception, match="no step of the grid"):
+        as_of.run_to_folder(as_of.stream_as_of(stream, "1 hour", grid=grid), f"file://{tmp_path}/run").awaitTermination()
+    with pytest.raises(ValueError, match="whole milliseconds"):
+        as_of.stream_as_of(stream, "1 hour", grid=TimeGrid.of(ZERO, ZERO + timedelta(seconds=1), "0.0005s"))
+
+
+def test_the_query_thins_its_sources(spark, sf, monkeypatch):
+    """As many sources a step and type as there are, one reaches the state."""
+    given, start = [], as_of.stream_as_of
+    monkeypatch.setattr(as_of, "stream_as_of", lambda *a, **b: given.append(b.get("grid")) or start(*a, **b))
+    assert catalogue.streaming_ffill_6h(spark, sf).count() > 0
+    assert given == [catalogue.event_grid(spark, sf, "6h")]
+
+
 def test_stream_resumes_and_drops_late_rows(spark, tmp_path):
     """Killed after some batches and started again on the same folder: every answer once. What comes after the watermark is not used."""
     rows = made(300, 3)[:-1]

@@ -1008,7 +1008,7 @@ def streaming_ffill_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = stateful.as_stream(events.unionByName(asked).repartition(spark.sparkContext.defaultParallelism), "series", last=end)
     home = f"{shared_dir(spark)}/as-of-{uuid.uuid4().hex}"
     # Files come in any order, so rows wait for as long as the series is.
-    as_of.run_to_folder(as_of.stream_as_of(stream, "60 days", shares=2), home).awaitTermination()
+    as_of.run_to_folder(as_of.stream_as_of(stream, "60 days", shares=2, grid=grid), home).awaitTermination()
     got = as_of.results(spark, home)
     return got.select(F.col("k").alias("event_type"), F.date_format("T", "yyyy-MM-dd HH").alias("hour"), r6(F.col("value"), "value"))
 

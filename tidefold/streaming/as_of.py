@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..plans.timegrid import TimeGrid
+
 #: The state store that ``transformWithState`` needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "k string, share int, number bigint, at bigint, v double"
@@ -74,7 +77,28 @@ class LastSource(StatefulProcessor):
         pass
 
 
-def stream_as_of(stream: DataFrame, delay: str, shares: int = 1) -> DataFrame:
+def _last_of_steps(rows: DataFrame, delay: str, grid: TimeGrid) -> DataFrame:
+    """``rows`` (k, T, number, v, at, asked) with the last source before each step of ``grid`` alone, as no other can answer a target on a step.
+
+    They leave when the watermark has passed their step. Every task keeps the last of its own rows before the shuffle,
+    so a hot key is a few rows there.
+    """
+    step, zero = round(grid.dt_seconds * 1e6), (grid.start - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    if step % 1000 or zero % 1000 or abs(step - grid.dt_seconds * 1e6) > 1e-3:
+        # Watermarks have no less.
+        raise ValueError("steps of a stream's grid must be whole milliseconds")
+    # Windows are closed on the left, and a source at a step must go with that step.
+    rows = rows.withColumn("before", F.timestamp_micros(F.col("at") - 1)).withWatermark("before", delay)
+    window = F.window("before", f"{step} microseconds", startTime=f"{zero % step} microseconds")
+    wrong = F.raise_error(F.concat(F.lit("no step of the grid: "), F.col("T").cast("string"))).cast("bigint")
+    number = F.when(F.col("asked"), F.when(F.pmod(F.col("at") - zero, F.lit(step)) == 0, F.col("number")).otherwise(wrong)).otherwise(0)
+    met = rows.groupBy("k", window.alias("w"), "asked", number.alias("number")).agg(F.max(F.struct("at", "v")).alias("last"), F.count("*").alias("n"))
+    # A target that was asked for twice is answered twice.
+    many = F.explode(F.array_repeat("k", F.when(F.col("asked"), F.col("n")).otherwise(1).cast("int"))).alias("k")
+    return met.select(many, F.window_time("w").alias("T"), "number", "last.v", "last.at", "asked")
+
+
+def stream_as_of(stream: DataFrame, delay: str, shares: int = 1, grid: TimeGrid | None = None) -> DataFrame:
     """``stream`` (k string, T timestamp, number bigint, v double; targets have no v) -> for every target k, T, number, value.
 
     ``value`` is that of the last source of its key not later than T, null without one; of values at one
@@ -83,13 +107,17 @@ def stream_as_of(stream: DataFrame, delay: str, shares: int = 1) -> DataFrame:
     ``delay`` of the last time wait for more rows. Rows without T are dropped; a null key is a key. A
     row with v is a source, and a null v a target, so a source without value does not occur. A hot key's targets are
     spread over ``shares`` tasks, each of which has all of the key's sources.
+
+    With ``grid``, all targets stand on its steps, which go on beyond both ends, and one that does not is an error. Of the
+    sources between two steps only the last then goes to the state of its key, whose rows grow with the steps and not with
+    the sources. Without, the state holds every source until the watermark has passed it.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    asked = F.col("v").isNull()
     every: Column = F.sequence(F.lit(0), F.lit(shares - 1))
-    own = F.array(F.pmod(F.xxhash64("T", "number"), F.lit(shares)).cast("int"))
-    rows = stream.where("T is not null").withWatermark("T", delay)
-    rows = rows.select("k", "T", "number", "v", F.unix_micros("T").alias("at"), asked.alias("asked"), F.explode(F.when(asked, own).otherwise(every)).alias("share"))
+    own = F.array(F.pmod(F.xxhash64("at", "number"), F.lit(shares)).cast("int"))
+    rows = stream.where("T is not null").select("k", "T", "number", "v", F.unix_micros("T").alias("at"), F.col("v").isNull().alias("asked"))
+    rows = _last_of_steps(rows, delay, grid) if grid else rows.withWatermark("T", delay)
+    rows = rows.withColumn("share", F.explode(F.when(F.col("asked"), own).otherwise(every)))
     found = rows.groupBy("k", "share").transformWithStateInPandas(LastSource(), OUT, "Append", "EventTime")
     return found.select("k", F.timestamp_micros("at").alias("T"), "number", F.col("v").alias("value"))
 
