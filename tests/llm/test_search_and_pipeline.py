@@ -89,6 +89,45 @@ def test_few_pairs_move(spark, monkeypatch):
     assert seen["pairs"] < 0.1 * every, (seen["pairs"], every)
 
 
+def shards_moved(spark, monkeypatch, operator, column):
+    """How many rows with a shard's vectors each search of ``operator`` reads, and how many pairs of a block and a shard they are for."""
+    frame, real, meet, seen = type(spark.range(0)), type(spark.range(0)).mapInPandas, cells.Dealt.meet, {"moved": [], "pairs": []}
+
+    def spied(self, run, schema, *rest, **more):
+        if {"anchors", column} <= set(self.columns):
+            seen["moved"].append(self.where(f"{column} is not null").count())
+        return real(self, run, schema, *rest, **more)
+
+    def counted(self, work):
+        out = meet(self, work)
+        seen["pairs"].append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInPandas", spied)
+    monkeypatch.setattr(cells.Dealt, "meet", counted)
+    operator().collect()
+    return seen
+
+
+def test_a_shard_moves_once(spark, sf, monkeypatch):
+    """However many blocks ask for a shard, one row with its vectors is shuffled."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    seen = shards_moved(spark, monkeypatch, lambda: topk.exact_top_k(table, shard_rows=64, block_rows=2), "c")
+    assert max(seen["pairs"]) > 30 and max(seen["moved"]) <= 20, seen
+
+
+def test_vectors_of_any_kind_of_number(spark):
+    """Components of 2, 4 and 8 bytes, the least of a kind among them, and scores beyond what floats hold."""
+    rng = np.random.default_rng(7)
+    for top in (2**7, 2**15, 2**22):
+        x = rng.integers(-top, top, size=(300, 6))
+        x[5] = -top
+        table = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+        whole, ids = (256 * x).astype(np.int64), np.arange(300)
+        want = sorted((q, r + 1, i, int(s)) for q in range(0, 300, 50) for r, (i, s) in enumerate(best(ids, whole @ whole[q], q)))
+        assert sorted(tuple(r) for r in topk.exact_top_k(table, shard_rows=32, block_rows=2).collect()) == want
+
+
 def test_nearest(vectors):
     ids, x = clean(vectors, False)
     norms = np.linalg.norm(x, axis=1)

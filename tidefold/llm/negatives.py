@@ -125,12 +125,12 @@ def _found(anchor: np.ndarray, place: np.ndarray, s: np.ndarray, i: np.ndarray)
 FOUND = "anchor_id bigint, place int, score bigint, vec_id bigint"
 
 
-def _positives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _positives(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
     """The best rows of the anchors' labels in each (block, shard) pair, of those that reach the floors carried in."""
     for frame in frames:
         for row in frame.itertuples(index=False):
-            anchors, a = unpacked(row, ("anchors", "a"))
-            ids, c = unpacked(row, ("ids", "c"))
+            anchors, a = unpacked(row, ("anchors", "a"), kind)
+            ids, c = unpacked(row, ("ids", "c"), kind)
             same = np.asarray(row.a_label)[:, None] == np.asarray(row.label)
             same &= anchors[:, None] != ids
             floors = np.asarray(row.floors)
@@ -140,12 +140,12 @@ def _positives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
                 yield _found(anchors[here], np.zeros(len(here)), s, i)
 
 
-def _negatives(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _negatives(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
     """For each positive of an anchor, the best rows of other labels in its window."""
     for frame in frames:
         for row in frame.itertuples(index=False):
-            anchors, a = unpacked(row, ("anchors", "a"))
-            ids, c = unpacked(row, ("ids", "c"))
+            anchors, a = unpacked(row, ("anchors", "a"), kind)
+            ids, c = unpacked(row, ("ids", "c"), kind)
             other = np.asarray(row.a_label)[:, None] != np.asarray(row.label)
             # (anchors, positives): where there are fewer positives, a window that nothing meets.
             lows, highs = np.asarray(row.lows).reshape(len(anchors), -1), np.asarray(row.highs).reshape(len(anchors), -1)
@@ -199,10 +199,11 @@ def hard_negatives(
     if not total or not clean.where(is_query()).head(1):
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     dealt = deal(clean, total, shard_rows, block_rows, ("label",))
+    kind = dealt.kind
 
     def trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            grown = [spanning_tree(unpacked(r, ("anchors", "a"))[1]) for r in frame.itertuples(index=False)]
+            grown = [spanning_tree(unpacked(r, ("anchors", "a"), kind)[1]) for r in frame.itertuples(index=False)]
             yield frame.assign(parent=[t[0] for t in grown], edge=[t[1] for t in grown], depth=[t[2] for t in grown])
 
     shape = ", ".join(f"{n} {t}" for n, t in dealt.blocks.dtypes)
@@ -210,12 +211,12 @@ def hard_negatives(
 
     def meet(work: DataFrame, lows: str, highs: str | None, per: int) -> DataFrame:
         """Every shard of the cells that may hold what the blocks ask for."""
-        return dealt.meet(dealt.reachable(work, lows, highs, per).withColumn("cell", F.explode("cells")).drop("cells"))
+        return dealt.meet(dealt.reachable(work, lows, highs, per).withColumn("cell", F.explode("cells")).drop("cells")).join(dealt.stored, ["cell", "chunk"])
 
     # Positives: first in one shard of the block's own cell, then, with the scores found there as floors, in all that may reach them.
     no_floor = F.transform("anchors", lambda x: F.lit(LEAST))
     own = dealt.own(blocks.withColumn("floors", no_floor))
-    seeds = own.join(dealt.stored, ["cell", "chunk"]).mapInPandas(lambda f: _positives(f, positives), FOUND)
+    seeds = own.join(dealt.stored, ["cell", "chunk"]).mapInPandas(lambda f: _positives(f, positives, kind), FOUND)
     place = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
     floor = seeds.groupBy("anchor_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= positives)
     members = blocks.select("block", F.explode("anchors").alias("anchor_id"))
@@ -223,7 +224,7 @@ def hard_negatives(
     carried = blocks.join(floors, "block", "left").withColumn(
         "floors", F.coalesce(F.transform("anchors", lambda x: F.coalesce(F.try_element_at("known", x), F.lit(LEAST))), no_floor)
     )
-    found = meet(materialise(carried.drop("known", "cell"), "floors"), "floors", None, 1).mapInPandas(lambda f: _positives(f, positives), FOUND)
+    found = meet(materialise(carried.drop("known", "cell"), "floors"), "floors", None, 1).mapInPandas(lambda f: _positives(f, positives, kind), FOUND)
     best = found.withColumn("j", F.row_number().over(place)).where(F.col("j") <= positives)
     best = materialise(best.select("anchor_id", (F.col("j") - 1).alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
@@ -239,7 +240,7 @@ def hard_negatives(
         return F.flatten(F.transform("anchors", lambda x: F.transform(places, lambda j: get(x, j))))
 
     asking = blocks.drop("cell").join(asks, "block").withColumns({"lows": side("lo", NONE), "highs": side("hi", LEAST)}).drop("known")
-    near = meet(materialise(asking, "windows"), "lows", "highs", positives).mapInPandas(lambda f: _negatives(f, negatives), FOUND)
+    near = meet(materialise(asking, "windows"), "lows", "highs", positives).mapInPandas(lambda f: _negatives(f, negatives, kind), FOUND)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("score"), "vec_id"))
     chosen = near.withColumn("rank", rank).where(F.col("rank") <= negatives)
     return chosen.join(best, ["anchor_id", "place"]).select(

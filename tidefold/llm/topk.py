@@ -4,14 +4,14 @@ Vectors are dealt to coarse cells and their shards, the stated queries to blocks
 cell. A first round searches one shard of a block's own cell; its k-th scores go into a second round over
 the most promising cells, and those of both into a third over all other cells whose centre and radius
 allow a better score: only pairs that may matter are shuffled, and every search starts with a bound and
-tightens it as it goes. Nodes are taken in the order of their upper bound (centre times query plus radius
-times query norm); a node whose bound is below the k-th score of every query is dropped. Ties stay open, so
-results are exact.
+tightens it as it goes. A node whose upper bound (centre times query plus radius times query norm) is below
+the k-th score of every query is dropped; leaves that are left are scored in the order of their bounds, more
+and more of them in one product. Ties stay open, so results are exact. A shard moves once a round, however many
+blocks ask for it.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .cells import deal, unpacked
 from .runtime import materialise
-from .vectors import is_query, keep_best, of_one_length, usable
+from .vectors import LEAST, NONE, at_least, best_hits, by_rank, first_of_each, is_query, of_one_length, product_kind, usable
 
 K = 5
 SCALE = 256
@@ -30,9 +30,6 @@ BLOCK_ROWS = 1024
 LEAF = 256
 #: Cells that a block searches before it looks at the bounds again.
 NEAR = 4
-NONE = np.iinfo(np.int64).max
-#: Stands for no score; its negative is a number too.
-LEAST = np.iinfo(np.int64).min + 1
 
 
 class BallTree:
@@ -41,20 +38,23 @@ class BallTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.nodes: list[tuple[np.ndarray, float, np.ndarray | None, int, int]] = []
-        self._grow(np.arange(len(ids)))
-
-    def _grow(self, own: np.ndarray) -> int:
-        rows = self.rows[own].astype(np.float64)
+        self.most = int(np.abs(self.rows.astype(np.float64)).max(initial=0))
+        nodes: list[list] = []
+        self._grow(np.arange(len(ids)), self.rows.astype(np.float64), nodes)
+        self.centres, self.radii = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        self.own, self.children = [n[2] for n in nodes], np.array([n[3] for n in nodes])
+        self.cast: dict[type, np.ndarray] = {}
+
+    def _grow(self, own: np.ndarray, whole: np.ndarray, nodes: list[list]) -> int:
+        rows = whole[own]
         centre = rows.mean(axis=0)
         radius = float(np.sqrt(((rows - centre) ** 2).sum(axis=1).max()))
-        at = len(self.nodes)
-        self.nodes.append((centre, radius, own, -1, -1))
+        at = len(nodes)
+        nodes.append([centre, radius, own, (-1, -1)])
         if len(own) > LEAF and radius:
             axis = int(rows.var(axis=0).argmax())
-            cut = np.argsort(rows[:, axis], kind="stable")
-            left, right = self._grow(np.sort(own[cut[: len(own) // 2]])), self._grow(np.sort(own[cut[len(own) // 2 :]]))
-            self.nodes[at] = (centre, radius, None, left, right)
+            cut = own[np.argsort(rows[:, axis], kind="stable")]
+            nodes[at][3] = tuple(self._grow(np.sort(half), whole, nodes) for half in (cut[: len(own) // 2], cut[len(own) // 2 :]))
         return at
 
     def _fits(self, queries: np.ndarray) -> bool:
@@ -65,52 +65,62 @@ class BallTree:
     def search(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Improve each query's best scores and ids, sorted by score then id; unused places hold ``LEAST``.
 
-        Products of floats are exact below 2^53, of integers below 2^63; larger scores are refused.
+        Products are exact in the numbers they are made in; scores that may leave 64 bits are refused.
         """
         k = scores.shape[1]
-        most = int(np.abs(queries).max(initial=0)) * int(np.abs(self.rows).max(initial=0)) * queries.shape[1]
-        if most >= 2**63 - 1 and not self._fits(queries):
-            raise ValueError("inner products beyond 64 bits")
-        exact = most < 2**53
         asked = queries.astype(np.float64)
-        norms = np.sqrt((asked**2).sum(axis=1))
+        if int(np.abs(asked).max(initial=0)) * self.most * queries.shape[1] >= 2**63 - 1 and not self._fits(queries):
+            raise ValueError("inner products beyond 64 bits")
+        kind = product_kind(queries, self.rows)
+        if kind not in self.cast:
+            self.cast[kind] = self.rows.astype(kind)
+        exact, rows, norms = queries.astype(kind), self.cast[kind], np.sqrt((asked**2).sum(axis=1))
 
-        def bound(node: int, active: np.ndarray) -> np.ndarray:
-            centre, radius = self.nodes[node][:2]
-            top = asked[active] @ centre + radius * norms[active]
+        def bounds(nodes: np.ndarray) -> np.ndarray:
+            top = asked @ self.centres[nodes].T + norms[:, None] * self.radii[nodes]
             return top + 1e-9 * np.abs(top) + 1e-6
 
-        everyone = np.arange(len(queries))
-        queue = [(0.0, 0, everyone, bound(0, everyone))] if len(self.ids) else []
-        while queue:
-            _, node, active, top = heapq.heappop(queue)
-            active = active[top >= scores[active, -1]]
+        leaves, nodes = [], np.zeros(1, dtype=int)
+        while len(nodes):
+            nodes = nodes[(bounds(nodes) >= scores[:, -1:]).any(axis=0)]
+            inner = self.children[nodes, 0] >= 0
+            leaves.append(nodes[~inner])
+            nodes = self.children[nodes[inner]].ravel()
+        left = np.concatenate(leaves)
+        reach = bounds(left)
+        left = left[by_reach := np.argsort(-reach.max(axis=0), kind="stable")]
+        reach, many = reach[:, by_reach], 1
+        while len(left):
+            there = reach[:, :many] >= scores[:, -1:]
+            active, batch = np.flatnonzero(there.any(axis=1)), left[:many][there.any(axis=0)]
+            # The best leaf alone, then twice as many at a time: the bounds of those before apply.
+            left, reach, many = left[many:], reach[:, many:], 2 * many
             if not len(active):
                 continue
-            _, _, own, left, right = self.nodes[node]
-            if own is None:
-                for child in (left, right):
-                    reach = bound(child, active)
-                    there = reach >= scores[active, -1]
-                    if there.any():
-                        heapq.heappush(queue, (-float(reach.max()), child, active[there], reach[there]))
-                continue
-            found = (asked[active] @ self.rows[own].T.astype(np.float64)).astype(np.int64) if exact else queries[active] @ self.rows[own].T
-            best = np.argsort(-found, axis=1, kind="stable")[:, :k]
-            scores[active], ids[active] = keep_best(
-                scores[active], ids[active], np.take_along_axis(found, best, axis=1), self.ids[own][best], k
-            )
+            own = np.sort(np.concatenate([self.own[leaf] for leaf in batch]))
+            found = exact[active] @ rows[own].T
+            row, new, who = best_hits(found, found >= at_least(scores[active, -1], kind)[:, None], self.ids[own], k)
+            if len(row):
+                # Every query has k places already, so it keeps k.
+                row = np.concatenate([np.repeat(np.arange(len(active)), k), row])
+                new, who = np.concatenate([scores[active].ravel(), new]), np.concatenate([ids[active].ravel(), who])
+                order = by_rank(row, new, who)
+                order = order[first_of_each(row[order], k)]
+                scores[active], ids[active] = new[order].reshape(-1, k), who[order].reshape(-1, k)
         return scores, ids
 
 
-def _search(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Search pairs of a query block and a shard, starting from the scores carried so far."""
-    tree, built = None, None
+def _search(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
+    """Search each shard for the query blocks that follow it, starting from the scores carried so far."""
+    shard, tree = None, None
     for frame in frames:
         for row in frame.itertuples(index=False):
-            if built != (row.cell, row.chunk):
-                tree, built = BallTree(*unpacked(row, ("ids", "c"))), (row.cell, row.chunk)
-            queries, asked = unpacked(row, ("anchors", "a"))
+            if row.stored:
+                shard, tree = row, None
+                continue
+            if tree is None:
+                tree = BallTree(*unpacked(shard, ("ids", "c"), kind))
+            queries, asked = unpacked(row, ("anchors", "a"), kind)
             # Places are filled with the k-th score carried so far: it prunes, and rows that tie with it still enter.
             scores, ids = np.repeat(np.asarray(row.floors)[:, None], k, axis=1), np.full((len(queries), k), NONE)
             scores, ids = tree.search(asked, scores, ids)
@@ -159,25 +169,25 @@ def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows:
     if not total or not clean.where(is_query()).head(1):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     dealt = deal(clean, total, shard_rows, block_rows)
+    kind = dealt.kind
 
     def run(work: DataFrame, name: str) -> DataFrame:
         # One more than k: the query itself may be among them.
-        rows = work.select("cell", "chunk", "anchors", "a", "floors", "ids", "c").sortWithinPartitions("cell", "chunk")
-        return materialise(_best(rows.mapInPandas(lambda frames: _search(frames, k + 1), FOUND), k).drop("rank"), name)
+        found = dealt.searched(work.select("cell", "chunk", "anchors", "a", "floors"), lambda frames: _search(frames, k + 1, kind), FOUND)
+        return materialise(_best(found, k).drop("rank"), name)
 
     blocks = dealt.blocks.withColumnRenamed("cell", "home")
     # Three rounds, each with the k-th scores of those before: one shard of a block's own cell, the most
     # promising cells, and then all others that may still hold a better score.
     own = dealt.own(_with_floors(dealt.blocks, None, k, ""))
-    found = run(own.join(dealt.stored, ["cell", "chunk"]), "seeds")
+    found = run(own, "seeds")
     for part, cells in (("near", F.slice("cells", 1, NEAR)), ("far", F.array_except("cells", "searched"))):
         asking = dealt.reachable(_with_floors(blocks, found, k, f"floors-{part}"), "floors", None, 1)
         if part == "near":
             asking = materialise(asking.withColumn("searched", cells), "asking")
             blocks = asking.drop("floors", "cells")
         work = dealt.meet(asking.withColumn("cell", F.explode(cells)).drop("cells"))
-        seed = (F.col("cell") == F.col("home")) & (F.col("chunk") == F.pmod(F.xxhash64("block"), dealt.numbers[F.col("cell")]).cast("int"))
-        found = found.unionByName(run(work.where(~seed), part))
+        found = found.unionByName(run(dealt.others(work), part))
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 

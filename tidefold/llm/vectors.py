@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from .runtime import materialise
 
 EVERY = 50
+NONE = np.iinfo(np.int64).max
+#: Stands for no score; its negative is a number too.
+LEAST = np.iinfo(np.int64).min + 1
+#: Share of hits beyond which the best are taken by maxima of whole rows instead of by sorting the hits.
+DENSE = 1 / 16
 
 
 def usable(column: str) -> Column:
@@ -45,3 +50,52 @@ def keep_best(scores: np.ndarray, ids: np.ndarray, new_scores: np.ndarray, new_i
     all_scores, all_ids = np.concatenate([scores, new_scores], axis=1), np.concatenate([ids, new_ids], axis=1)
     order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
     return np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
+
+
+def product_kind(a: np.ndarray, c: np.ndarray) -> type:
+    """Numbers in which every partial sum of the rows' inner products is exact, the fastest first: none exceeds the product of the norms."""
+    reach = [float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0))) for x in (a, c)]
+    most = reach[0] * reach[1] * (1 + 1e-9)
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+
+
+def at_least(scores: np.ndarray, kind: type) -> np.ndarray:
+    """``scores`` as numbers of a kind, rounded down, so that what reaches a score reaches its number."""
+    return scores if kind is np.int64 else np.nextafter(scores.astype(kind), kind(-np.inf))
+
+
+def at_most(scores: np.ndarray, kind: type) -> np.ndarray:
+    """``scores`` as numbers of a kind, rounded up."""
+    return scores if kind is np.int64 else np.nextafter(scores.astype(kind), kind(np.inf))
+
+
+def by_rank(row: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by row, then higher scores, then smaller ids."""
+    return np.lexsort((ids, -scores, row))
+
+
+def first_of_each(row: np.ndarray, k: int) -> np.ndarray:
+    """Whether a place is among the first k of its row; equal rows stand together."""
+    at = np.arange(len(row))
+    start = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+    return at - np.maximum.accumulate(np.where(start, at, 0)) < k
+
+
+def best_hits(scores: np.ndarray, hit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each row of ``scores`` (ids ascending along it): row, score, id; rows together, higher scores first, then smaller ids."""
+    if np.count_nonzero(hit) <= DENSE * hit.size:
+        row, at = np.nonzero(hit)
+        found, who = scores[row, at].astype(np.int64), ids[at]
+        order = by_rank(row, found, who)
+        order = order[first_of_each(row[order], k)]
+        return row[order], found[order], who[order]
+    none = LEAST if scores.dtype == np.int64 else -np.inf
+    left, each, taken = np.where(hit, scores, scores.dtype.type(none)), np.arange(len(scores)), []
+    for _ in range(min(k, scores.shape[1])):
+        # The first of equals, so the smallest id.
+        at = left.argmax(axis=1)
+        taken.append((left[each, at], at))
+        left[each, at] = none
+    best, at = (np.stack(x, axis=1) for x in zip(*taken, strict=True))
+    row, rank = np.nonzero(best != none)
+    return row, best[row, rank].astype(np.int64), ids[at[row, rank]]
