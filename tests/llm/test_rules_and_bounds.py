@@ -143,6 +143,26 @@ def test_hard_negatives(spark, vectors, sf):
     assert sorted(tuple(r) for r in negatives.hard_negatives(given, shard_rows=64, block_rows=4).collect()) == sorted(con.execute(negatives.ORACLE_SQL).fetchall())
 
 
+def test_hard_negatives_of_near_copies(spark):
+    """Anchors in branches of near copies, with products in single floats, in floats and in whole numbers."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 12))
+    x = centres[rng.integers(0, 8, 400)] + 0.02 * rng.normal(size=(400, 12))
+    for scale in (1, 2**10, 2**17):
+        rows = [(i, [float(c) for c in scale * v / 4], int(i * 7919 % 3)) for i, v in enumerate(x)] + [(1000 + i, [float(c) for c in scale * x[0] / 4], i % 2) for i in range(60)]
+        table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+        got = sorted(tuple(r) for r in negatives.hard_negatives(table, shard_rows=64, block_rows=8).collect())
+        assert got and got == brute_negatives(table.collect())
+
+
+def test_branches_keep_near_their_head():
+    rng = np.random.default_rng(9)
+    points = (300 * rng.normal(size=(5, 16)))[rng.integers(0, 5, 40)] + rng.normal(size=(40, 16))
+    head, away = negatives.branches(points, negatives.spanning_tree(points))
+    assert len(set(head)) == 5 and (head[head] == head).all()
+    assert np.allclose(away, np.linalg.norm(points - points[head], axis=1)) and (away <= np.linalg.norm(points[head], axis=1) / 4).all()
+
+
 def test_bounds_spare_candidates():
     """On clustered rows most candidates are dropped by the tree's bounds, and bounds hold at every depth."""
     rng = np.random.default_rng(2)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidefold.llm import ann, cells, simhash, topk
+from tidefold.llm import ann, cells, negatives, simhash, topk
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +116,12 @@ def test_a_shard_moves_once(spark, sf, monkeypatch):
     assert max(seen["pairs"]) > 30 and max(seen["moved"]) <= 20, seen
 
 
+def test_a_shard_of_negatives_moves_once(spark, sf, monkeypatch):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    seen = shards_moved(spark, monkeypatch, lambda: negatives.hard_negatives(table, shard_rows=64, block_rows=2), "c")
+    assert max(seen["pairs"]) > 30 and max(seen["moved"]) <= 20, seen
+
+
 def test_vectors_of_any_kind_of_number(spark):
     """Components of 2, 4 and 8 bytes, the least of a kind among them, and scores beyond what floats hold."""
     rng = np.random.default_rng(7)

@@ -11,14 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import materialise, width
-from .vectors import is_query
+from .vectors import LEAST, is_query
 
 #: Rows that the cells are fitted on, and their number, at most. Every row is dealt by it, whatever their number.
 SAMPLE, CELLS = 8192, 256
+#: Cells that a block searches before it looks at the bounds again.
+NEAR = 4
 #: Tasks of a search, at most, and the shards of one up to there.
 TASKS, TASK_SHARDS = 2048, 4
 
@@ -91,6 +93,21 @@ class Dealt:
         both = both.repartition(max(self.tasks, width(work.sparkSession)), "cell", "chunk")
         return both.sortWithinPartitions("cell", "chunk", F.desc("stored")).mapInPandas(run, found)
 
+    def in_rounds(self, blocks: DataFrame, ask: Callable[[DataFrame, DataFrame | None, str], DataFrame], run: Callable[[DataFrame, str], DataFrame], lows: str, highs: str | None, per: int) -> DataFrame:
+        """All that ``run`` finds for pairs of a block and a shard: first one shard of a block's own cell, then the most promising
+        cells, then all others. Before each, ``ask`` gives the blocks what they ask for by what is found so far; cells out of its
+        reach are dropped."""
+        found = run(self.own(ask(blocks, None, "seeds")), "seeds")
+        blocks = blocks.withColumnRenamed("cell", "home")
+        for part, cells in (("near", F.slice("cells", 1, NEAR)), ("far", F.array_except("cells", "searched"))):
+            asking = self.reachable(ask(blocks, found, part), lows, highs, per)
+            if part == "near":
+                asking = materialise(asking.withColumn("searched", cells), "asking")
+                blocks = blocks.join(asking.select("block", "searched"), "block")
+            work = self.meet(asking.withColumn("cell", F.explode(cells)).drop("cells"))
+            found = found.unionByName(run(self.others(work), part))
+        return found
+
     def reachable(self, work: DataFrame, lows: str, highs: str | None, per: int) -> DataFrame:
         """``work`` (blocks with what they ask) with ``cells``: those whose centre and radius leave some anchor a score from its lows to its highs, the most promising first."""
         centres, radius, kind = self.centres, self.radius, self.kind
@@ -116,6 +133,24 @@ class Dealt:
         return work.mapInPandas(run, f"{kinds}, cells array<int>")
 
 
+def with_floors(blocks: DataFrame, found: DataFrame | None, key: str, k: int, name: str) -> DataFrame:
+    """``blocks`` with ``floors``: the k-th score found so far for each of their anchors (``key``), ``LEAST`` without one."""
+    none = F.transform("anchors", lambda q: F.lit(LEAST))
+    if found is None:
+        return blocks.withColumn("floors", none)
+    floor = best_of(found, [key], k).groupBy(key).agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
+    members = blocks.select("block", F.explode("anchors").alias(key))
+    known = floor.join(members, key).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(key, "floor"))).alias("known"))
+    floors = F.coalesce(F.transform("anchors", lambda q: F.coalesce(F.try_element_at("known", q), F.lit(LEAST))), none)
+    return materialise(blocks.join(known, "block", "left").withColumn("floors", floors).drop("known"), f"floors-{name}")
+
+
+def best_of(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best rows found for each key, with their rank from 1."""
+    place = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
 def _packed(rows: DataFrame, groups: list[str], extra: tuple[str, ...], names: list[str], kind: str, name: str) -> DataFrame:
     """One row per group (bounded), its rows in the order of vec_id: ids, extra columns, and the vectors as bytes."""
     all_rows = rows.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("vec_id", *extra, "v"))).alias("r"))

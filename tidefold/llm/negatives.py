@@ -1,12 +1,13 @@
 """Hard negatives by anchor spanning-tree bounds.
 
 Rows are dealt to coarse cells, cells to shards of bounded size, anchors to blocks of their
-cell. The anchors of a block form a minimum spanning tree. For a candidate c, the score of a child anchor
-is its parent's score plus or minus (edge length times norm of c), so a parent's scores bound those of
-its children, and theirs in turn; only candidates whose bounds overlap what is asked for (the fifth best
-score of the label so far, then the windows of the positives) are scored themselves, which closes
-their bounds. Before any rows meet, a block drops cells whose centre and radius put every score
-outside. Bounds never decide a result: all results are exact integer products.
+cell. The anchors of a block form a minimum spanning tree, which falls into branches of anchors near
+their head. For a candidate c, the score of an anchor is its head's score plus or minus (distance times norm
+of c), so a head's scores bound those of its branch; only candidates whose bounds overlap what is asked for
+(the fifth best score of the label so far, then the windows of the positives, from the third best found in them
+so far) are scored themselves. Blocks meet one shard of their own cell first, then the most promising cells,
+then all others whose centre and radius leave a score asked for; a shard moves once a round. Bounds never
+decide a result: all results are exact integer products.
 """
 
 from __future__ import annotations
@@ -15,22 +16,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import deal, unpacked
+from .cells import best_of, deal, unpacked, with_floors
 from .runtime import materialise
-from .vectors import is_query, of_one_length, usable
+from .vectors import LEAST, NONE, at_least, at_most, best_hits, first_of_each, gathered, is_query, kept_hits, norms, of_one_length, product_kind, ranked_hits, usable
 
 SCALE, LABELS, MOVED = 256, 10, 7
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score in hundredths of its positive's.
 LOW, HIGH = 50, 95
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
-#: Share of candidates beyond which anchors of one depth are scored by one product.
-DENSE = 1 / 16
-NONE = np.iinfo(np.int64).max
-LEAST = np.iinfo(np.int64).min + 1
+#: Anchors of a branch are this near its head, as a share of its norm; farther ones would bound too little.
+BRANCH = 1 / 4
 
 
 def spanning_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,121 +52,121 @@ def spanning_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return parent, edge, depth
 
 
-class Products:
-    """Exact integer inner products of anchors and candidates; those that could leave 64 bits, times 100, are refused."""
-
-    def __init__(self, a: np.ndarray, c: np.ndarray):
-        most = int(np.abs(a).max(initial=0)) * int(np.abs(c).max(initial=0)) * a.shape[-1]
-        if most * 100 >= 2**63:
+def branches(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Head and distance to it of every point: from the root on, a point joins its parent's branch if near its head, or heads a branch."""
+    x = points.astype(np.float64)
+    parent, _, depth = tree
+    head, away = np.arange(len(x)), np.zeros(len(x))
+    for at in np.argsort(depth, kind="stable")[1:]:
+        other = head[parent[at]]
+        gap = np.sqrt(((x[at] - x[other]) ** 2).sum())
+        if gap <= BRANCH * np.sqrt((x[other] ** 2).sum()):
+            head[at], away[at] = other, gap
+    return head, away
+
+
+class Rows:
+    """Candidates, ready for products: ids (ascending), labels and vectors."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray | None = None, label: np.ndarray | None = None):
+        self.rows, self.ids, self.label = rows, ids, label
+        self.norms, self.most = norms(rows), int(np.abs(rows.astype(np.float64)).max(initial=0))
+        self.cast: dict[type, np.ndarray] = {}
+
+    def kind(self, anchors: np.ndarray) -> type:
+        """Numbers that make products with ``anchors`` exact; those that could leave 64 bits, times 100, are refused."""
+        if int(np.abs(anchors.astype(np.float64)).max(initial=0)) * self.most * anchors.shape[-1] * 100 >= 2**63:
             raise ValueError("inner products beyond 64 bits")
-        # Floats are exact below 2^53, and far faster.
-        kind = np.float64 if most < 2**53 else np.int64
-        self.a, self.c = a.astype(kind), c.astype(kind)
+        return product_kind(norms(anchors), self.norms)
 
-    def of(self, here: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Scores of some anchors with the candidates hit, 0 elsewhere: one by one where few are, in one product where many are."""
-        if hit.mean() > DENSE:
-            return np.where(hit, self.a[here] @ self.c.T, 0).astype(np.int64)
-        out = np.zeros(hit.shape, dtype=np.int64)
-        for i in np.flatnonzero(hit.any(axis=1)):
-            own = np.flatnonzero(hit[i])
-            out[i, own] = self.c[own] @ self.a[here[i]]
-        return out
+    def of(self, kind: type) -> np.ndarray:
+        if kind not in self.cast:
+            self.cast[kind] = self.rows.astype(kind)
+        return self.cast[kind]
 
 
 Wanted = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def bounded(anchors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, wanted: Wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By depth of the tree: (anchors there, their scores, which scores are known and wanted).
+def by_branches(anchors: np.ndarray, heads: tuple[np.ndarray, np.ndarray], rows: Rows, wanted: Wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All heads, then by branch: (anchors there, their scores, which scores are known and wanted).
 
-    ``wanted(anchors, low, high)`` says which candidates' bounds overlap what an anchor asks for; only
-    those are scored, other scores read as 0.
+    ``wanted(anchors, low, high)`` says which candidates' bounds overlap what an anchor asks for; the bounds of a branch
+    are one row for all its anchors. In a branch only those candidates are scored, other scores read as 0.
     """
-    parent, edge, depth = tree
-    products = Products(anchors, rows)
-    norms = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
-    low = high = np.empty((0, len(rows)))
-    place = np.zeros(len(anchors), dtype=int)
-    for level in range(int(depth.max(initial=0)) + 1):
-        here = np.flatnonzero(depth == level)
-        if level:
-            above = place[parent[here]]
-            reach = edge[here][:, None] * norms * (1 + 1e-9) + 1e-6
-            low, high = low[above] - reach, high[above] + reach
-        else:
-            low = high = products.of(here, np.ones((len(here), len(rows)), dtype=bool)).astype(np.float64)
-        place[here] = np.arange(len(here))
-        hit = wanted(here, low, high)
-        scores = products.of(here, hit)
-        low, high = np.where(hit, scores, low), np.where(hit, scores, high)
-        yield here, scores, hit
-
-
-def _top(hit: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row among those hit (ids ascending): scores and ids, ``LEAST`` and ``NONE`` where there are fewer."""
-    left, each = np.where(hit, scores, LEAST), np.arange(len(scores))
-    best, who = [], []
-    for _ in range(min(k, scores.shape[1])):
-        # The first of equals, so the smallest id.
-        at = left.argmax(axis=1)
-        best.append(left[each, at])
-        who.append(np.where(best[-1] == LEAST, NONE, ids[at]))
-        left[each, at] = LEAST
-    return np.stack(best, axis=1), np.stack(who, axis=1)
-
-
-def _found(anchor: np.ndarray, place: np.ndarray, s: np.ndarray, i: np.ndarray) -> pd.DataFrame:
-    at, rank = np.nonzero(i != NONE)
-    return pd.DataFrame({"anchor_id": anchor[at], "place": place[at].astype(np.int32), "score": s[at, rank], "vec_id": i[at, rank]})
+    head, away = heads
+    kind = rows.kind(anchors)
+    a, c = anchors.astype(kind), rows.of(kind)
+    here = np.flatnonzero(head == np.arange(len(head)))
+    exact = a[here] @ c.T
+    yield here, exact, wanted(here, exact, exact)
+    for place in np.flatnonzero(np.bincount(head, minlength=len(head))[here] > 1):
+        mine = np.flatnonzero((head == here[place]) & (head != np.arange(len(head))))
+        middle, reach = exact[place].astype(np.float64), away[mine].max() * rows.norms * (1 + 1e-9) + 1e-6
+        hit = wanted(mine, (middle - reach)[None, :], (middle + reach)[None, :])
+        own = np.flatnonzero(hit.any(axis=0))
+        scores = np.zeros(hit.shape, dtype=kind)
+        scores[:, own] = a[mine] @ c[own].T
+        yield mine, scores, hit & wanted(mine, np.where(hit, scores, middle - reach), np.where(hit, scores, middle + reach))
 
 
-FOUND = "anchor_id bigint, place int, score bigint, vec_id bigint"
+def bounded(anchors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, wanted: Wanted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``by_branches`` of a spanning tree."""
+    return by_branches(anchors, branches(anchors, tree), Rows(rows), wanted)
 
 
-def _positives(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
-    """The best rows of the anchors' labels in each (block, shard) pair, of those that reach the floors carried in."""
+def _pairs(frames: Iterator[pd.DataFrame], kind: str) -> Iterator[tuple]:
+    """Each block with the shard it meets: (row, anchors, vectors, heads, shard)."""
+    shard, rows = None, None
     for frame in frames:
         for row in frame.itertuples(index=False):
+            if row.stored:
+                shard, rows = row, None
+                continue
+            if rows is None:
+                ids, c = unpacked(shard, ("ids", "c"), kind)
+                rows = Rows(c, ids, np.asarray(shard.label))
             anchors, a = unpacked(row, ("anchors", "a"), kind)
-            ids, c = unpacked(row, ("ids", "c"), kind)
-            same = np.asarray(row.a_label)[:, None] == np.asarray(row.label)
-            same &= anchors[:, None] != ids
-            floors = np.asarray(row.floors)
-            tree = tuple(np.asarray(x) for x in (row.parent, row.edge, row.depth))
-            for here, scores, hit in bounded(a, tree, c, lambda h, lo, hi: same[h] & (hi >= floors[h][:, None])):
-                s, i = _top(hit, scores, ids, k)
-                yield _found(anchors[here], np.zeros(len(here)), s, i)
+            yield row, anchors, a, (np.asarray(row.head), np.asarray(row.away)), rows
+
+
+FOUND = "anchor_id bigint, place int, score bigint, vec_id bigint"
 
 
-def _negatives(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
+def _positives(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[dict[str, np.ndarray]]:
+    """The best rows of the anchors' labels in each pair of a block and a shard, of those that reach the floors carried in."""
+    for row, anchors, a, heads, rows in _pairs(frames, kind):
+        label, floors = np.asarray(row.a_label), np.asarray(row.floors)
+        least = at_least(floors, rows.kind(a))
+        for here, scores, hit in by_branches(a, heads, rows, lambda h, lo, hi, least=least: hi >= least[h][:, None]):
+            keep = lambda r, c, here=here, label=label, anchors=anchors, rows=rows: (label[here[r]] == rows.label[c]) & (anchors[here[r]] != rows.ids[c])
+            r, s, i = best_hits(scores, hit, rows.ids, k, keep)
+            yield {"anchor_id": anchors[here[r]], "place": np.zeros(len(r), dtype=np.int32), "score": s, "vec_id": i}
+
+
+def _negatives(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[dict[str, np.ndarray]]:
     """For each positive of an anchor, the best rows of other labels in its window."""
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            anchors, a = unpacked(row, ("anchors", "a"), kind)
-            ids, c = unpacked(row, ("ids", "c"), kind)
-            other = np.asarray(row.a_label)[:, None] != np.asarray(row.label)
-            # (anchors, positives): where there are fewer positives, a window that nothing meets.
-            lows, highs = np.asarray(row.lows).reshape(len(anchors), -1), np.asarray(row.highs).reshape(len(anchors), -1)
-            tree = tuple(np.asarray(x) for x in (row.parent, row.edge, row.depth))
-
-            # Windows that leave no gap between them are one interval.
-            by_low = np.argsort(lows, axis=1)
-            ends = np.maximum.accumulate(np.take_along_axis(highs, by_low, axis=1), axis=1)
-            whole = (np.take_along_axis(lows, by_low, axis=1)[:, 1:] <= ends[:, :-1]).all()
-            asked = [(lows.min(axis=1), highs.max(axis=1))] if whole else list(zip(lows.T, highs.T, strict=True))
-
-            def overlaps(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-                met = False
-                for low, high in asked:
-                    met = met | ((hi >= low[h][:, None]) & (lo <= high[h][:, None]))
-                return met & other[h]
-
-            for here, scores, hit in bounded(a, tree, c, overlaps):
-                scores = np.where(hit, scores, LEAST)
-                for j in range(lows.shape[1]):
-                    s, i = _top(scores <= highs[here, j][:, None], scores, ids, k)
-                    yield _found(anchors[here], np.full(len(here), j), s, np.where(s >= lows[here, j][:, None], i, NONE))
+    for row, anchors, a, heads, rows in _pairs(frames, kind):
+        label = np.asarray(row.a_label)
+        # (anchors, positives): where there are fewer positives, a window that nothing meets.
+        lows, highs = np.asarray(row.lows).reshape(len(anchors), -1), np.asarray(row.highs).reshape(len(anchors), -1)
+        # All windows of an anchor are one interval at first.
+        number = rows.kind(a)
+        least, most = at_least(lows.min(axis=1), number), at_most(highs.max(axis=1), number)
+        for here, scores, hit in by_branches(a, heads, rows, lambda h, lo, hi, least=least, most=most: (hi >= least[h][:, None]) & (lo <= most[h][:, None])):
+            hits = kept_hits(hit, lambda r, c, here=here, label=label, rows=rows: label[here[r]] != rows.label[c])
+            few = ranked_hits(scores, hits, rows.ids) if isinstance(hits, tuple) else None
+            for j in range(lows.shape[1]):
+                low, high = lows[here, j], highs[here, j]
+                if few is None:
+                    r, s, i = best_hits(scores, hits & (scores >= low[:, None]) & (scores <= high[:, None]), rows.ids, k)
+                else:
+                    r, s, i = few
+                    inside = (s >= low[r]) & (s <= high[r])
+                    r, s, i = r[inside], s[inside], i[inside]
+                    first = first_of_each(r, k)
+                    r, s, i = r[first], s[first], i[first]
+                yield {"anchor_id": anchors[here[r]], "place": np.full(len(r), j, dtype=np.int32), "score": s, "vec_id": i}
 
 
 def hard_negatives(
@@ -203,47 +202,48 @@ def hard_negatives(
 
     def trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            grown = [spanning_tree(unpacked(r, ("anchors", "a"), kind)[1]) for r in frame.itertuples(index=False)]
-            yield frame.assign(parent=[t[0] for t in grown], edge=[t[1] for t in grown], depth=[t[2] for t in grown])
+            grown = [branches(a, spanning_tree(a)) for a in (unpacked(r, ("anchors", "a"), kind)[1] for r in frame.itertuples(index=False))]
+            yield frame.assign(head=[g[0] for g in grown], away=[g[1] for g in grown])
 
     shape = ", ".join(f"{n} {t}" for n, t in dealt.blocks.dtypes)
-    blocks = materialise(dealt.blocks.mapInPandas(trees, f"{shape}, parent array<bigint>, edge array<double>, depth array<bigint>"), "blocks")
-
-    def meet(work: DataFrame, lows: str, highs: str | None, per: int) -> DataFrame:
-        """Every shard of the cells that may hold what the blocks ask for."""
-        return dealt.meet(dealt.reachable(work, lows, highs, per).withColumn("cell", F.explode("cells")).drop("cells")).join(dealt.stored, ["cell", "chunk"])
-
-    # Positives: first in one shard of the block's own cell, then, with the scores found there as floors, in all that may reach them.
-    no_floor = F.transform("anchors", lambda x: F.lit(LEAST))
-    own = dealt.own(blocks.withColumn("floors", no_floor))
-    seeds = own.join(dealt.stored, ["cell", "chunk"]).mapInPandas(lambda f: _positives(f, positives, kind), FOUND)
-    place = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
-    floor = seeds.groupBy("anchor_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= positives)
-    members = blocks.select("block", F.explode("anchors").alias("anchor_id"))
-    floors = floor.join(members, "anchor_id").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("anchor_id", "floor"))).alias("known"))
-    carried = blocks.join(floors, "block", "left").withColumn(
-        "floors", F.coalesce(F.transform("anchors", lambda x: F.coalesce(F.try_element_at("known", x), F.lit(LEAST))), no_floor)
-    )
-    found = meet(materialise(carried.drop("known", "cell"), "floors"), "floors", None, 1).mapInPandas(lambda f: _positives(f, positives, kind), FOUND)
-    best = found.withColumn("j", F.row_number().over(place)).where(F.col("j") <= positives)
-    best = materialise(best.select("anchor_id", (F.col("j") - 1).alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
+    blocks = materialise(dealt.blocks.mapInPandas(trees, f"{shape}, head array<bigint>, away array<double>"), "blocks")
+    columns = ["cell", "chunk", "anchors", "a_label", "a", "head", "away"]
+
+    def liked(work: DataFrame, name: str) -> DataFrame:
+        found = dealt.searched(work.select(*columns, "floors"), lambda f: gathered(_positives(f, positives, kind)), FOUND)
+        return materialise(best_of(found, ["anchor_id"], positives).drop("rank"), f"positives-{name}")
+
+    found = dealt.in_rounds(blocks, lambda blocks, found, part: with_floors(blocks, found, "anchor_id", positives, part), liked, "floors", None, 1)
+    best = best_of(found, ["anchor_id"], positives)
+    best = materialise(best.select("anchor_id", (F.col("rank") - 1).alias("place"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     # Windows of scores: low * p <= 100 * s <= high * p, as whole numbers. No positive, no window.
     p = F.col("positive_score")
     window = F.struct(F.ceil(F.expr(f"({low} * positive_score) / 100.0bd")).alias("lo"), F.floor(F.expr(f"({high} * positive_score) / 100.0bd")).alias("hi"))
-    asks = best.withColumn("window", window).join(members, "anchor_id")
-    asks = asks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("anchor_id", "place").alias("key"), "window"))).alias("known"))
+    windows, keys = best.select("anchor_id", "place", window.alias("window")), ["anchor_id", "place"]
     places = F.sequence(F.lit(0), F.lit(positives - 1))
 
     def side(which: str, none: int):
         get = lambda x, j: F.coalesce(F.try_element_at("known", F.struct(x.alias("anchor_id"), j.cast("int").alias("place")))[which].cast("long"), F.lit(none))
         return F.flatten(F.transform("anchors", lambda x: F.transform(places, lambda j: get(x, j))))
 
-    asking = blocks.drop("cell").join(asks, "block").withColumns({"lows": side("lo", NONE), "highs": side("hi", LEAST)}).drop("known")
-    near = meet(materialise(asking, "windows"), "lows", "highs", positives).mapInPandas(lambda f: _negatives(f, negatives, kind), FOUND)
-    rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("score"), "vec_id"))
-    chosen = near.withColumn("rank", rank).where(F.col("rank") <= negatives)
-    return chosen.join(best, ["anchor_id", "place"]).select(
+    def ask(blocks: DataFrame, found: DataFrame | None, part: str) -> DataFrame:
+        """``blocks`` with the ends of their anchors' windows; where as many rows as are asked for are found in one, it begins with the last of them."""
+        left = windows
+        if found is not None:
+            floor = best_of(found, keys, negatives).groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == negatives)
+            low = F.greatest(F.col("window.lo").cast("long"), F.col("floor")).alias("lo")
+            left = windows.join(floor, keys, "left").select(*keys, F.struct(low, F.col("window.hi").alias("hi")).alias("window"))
+        asks = left.join(blocks.select("block", F.explode("anchors").alias("anchor_id")), "anchor_id")
+        asks = asks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys).alias("key"), "window"))).alias("known"))
+        return materialise(blocks.join(asks, "block").withColumns({"lows": side("lo", NONE), "highs": side("hi", LEAST)}).drop("known"), f"windows-{part}")
+
+    def mined(work: DataFrame, name: str) -> DataFrame:
+        found = dealt.searched(work.select(*columns, "lows", "highs"), lambda f: gathered(_negatives(f, negatives, kind)), FOUND)
+        return materialise(best_of(found, keys, negatives).drop("rank"), f"negatives-{name}")
+
+    chosen = best_of(dealt.in_rounds(blocks, ask, mined, "lows", "highs", positives), keys, negatives)
+    return chosen.join(best, keys).select(
         "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), p, F.col("score").alias("negative_score")
     )
 

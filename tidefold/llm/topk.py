@@ -16,20 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import deal, unpacked
+from .cells import best_of, deal, unpacked, with_floors
 from .runtime import materialise
-from .vectors import LEAST, NONE, at_least, best_hits, by_rank, first_of_each, is_query, of_one_length, product_kind, usable
+from .vectors import NONE, at_least, best_hits, by_rank, first_of_each, gathered, is_query, norms, of_one_length, product_kind, usable
 
 K = 5
 SCALE = 256
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
 LEAF = 256
-#: Cells that a block searches before it looks at the bounds again.
-NEAR = 4
 
 
 class BallTree:
@@ -38,6 +36,7 @@ class BallTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
+        self.norms = norms(self.rows)
         self.most = int(np.abs(self.rows.astype(np.float64)).max(initial=0))
         nodes: list[list] = []
         self._grow(np.arange(len(ids)), self.rows.astype(np.float64), nodes)
@@ -71,13 +70,14 @@ class BallTree:
         asked = queries.astype(np.float64)
         if int(np.abs(asked).max(initial=0)) * self.most * queries.shape[1] >= 2**63 - 1 and not self._fits(queries):
             raise ValueError("inner products beyond 64 bits")
-        kind = product_kind(queries, self.rows)
+        lengths = norms(queries)
+        kind = product_kind(lengths, self.norms)
         if kind not in self.cast:
             self.cast[kind] = self.rows.astype(kind)
-        exact, rows, norms = queries.astype(kind), self.cast[kind], np.sqrt((asked**2).sum(axis=1))
+        exact, rows = queries.astype(kind), self.cast[kind]
 
         def bounds(nodes: np.ndarray) -> np.ndarray:
-            top = asked @ self.centres[nodes].T + norms[:, None] * self.radii[nodes]
+            top = asked @ self.centres[nodes].T + lengths[:, None] * self.radii[nodes]
             return top + 1e-9 * np.abs(top) + 1e-6
 
         leaves, nodes = [], np.zeros(1, dtype=int)
@@ -110,7 +110,7 @@ class BallTree:
         return scores, ids
 
 
-def _search(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.DataFrame]:
+def _search(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[dict[str, np.ndarray]]:
     """Search each shard for the query blocks that follow it, starting from the scores carried so far."""
     shard, tree = None, None
     for frame in frames:
@@ -125,29 +125,12 @@ def _search(frames: Iterator[pd.DataFrame], k: int, kind: str) -> Iterator[pd.Da
             scores, ids = np.repeat(np.asarray(row.floors)[:, None], k, axis=1), np.full((len(queries), k), NONE)
             scores, ids = tree.search(asked, scores, ids)
             which, place = np.nonzero((ids != NONE) & (ids != queries[:, None]))
-            yield pd.DataFrame({"query_id": queries[which], "vec_id": ids[which, place], "score": scores[which, place]})
+            yield {"query_id": queries[which], "vec_id": ids[which, place], "score": scores[which, place]}
 
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-
-
-def _with_floors(blocks: DataFrame, found: DataFrame | None, k: int, name: str) -> DataFrame:
-    """``blocks`` with ``floors``: the k-th score found so far for each of their queries, ``LEAST`` without one."""
-    none = F.transform("anchors", lambda q: F.lit(LEAST))
-    if found is None:
-        return blocks.withColumn("floors", none)
-    floor = _best(found, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
-    members = blocks.select("block", F.explode("anchors").alias("query_id"))
-    known = floor.join(members, "query_id").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known"))
-    floors = F.coalesce(F.transform("anchors", lambda q: F.coalesce(F.try_element_at("known", q), F.lit(LEAST))), none)
-    return materialise(blocks.join(known, "block", "left").withColumn("floors", floors).drop("known"), name)
-
-
 def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: the k highest integer inner products.
 
@@ -173,22 +156,11 @@ def exact_top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, shard_rows:
 
     def run(work: DataFrame, name: str) -> DataFrame:
         # One more than k: the query itself may be among them.
-        found = dealt.searched(work.select("cell", "chunk", "anchors", "a", "floors"), lambda frames: _search(frames, k + 1, kind), FOUND)
-        return materialise(_best(found, k).drop("rank"), name)
-
-    blocks = dealt.blocks.withColumnRenamed("cell", "home")
-    # Three rounds, each with the k-th scores of those before: one shard of a block's own cell, the most
-    # promising cells, and then all others that may still hold a better score.
-    own = dealt.own(_with_floors(dealt.blocks, None, k, ""))
-    found = run(own, "seeds")
-    for part, cells in (("near", F.slice("cells", 1, NEAR)), ("far", F.array_except("cells", "searched"))):
-        asking = dealt.reachable(_with_floors(blocks, found, k, f"floors-{part}"), "floors", None, 1)
-        if part == "near":
-            asking = materialise(asking.withColumn("searched", cells), "asking")
-            blocks = asking.drop("floors", "cells")
-        work = dealt.meet(asking.withColumn("cell", F.explode(cells)).drop("cells"))
-        found = found.unionByName(run(dealt.others(work), part))
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+        found = dealt.searched(work.select("cell", "chunk", "anchors", "a", "floors"), lambda frames: gathered(_search(frames, k + 1, kind)), FOUND)
+        return materialise(best_of(found, ["query_id"], k).drop("rank"), name)
+
+    found = dealt.in_rounds(dealt.blocks, lambda blocks, found, part: with_floors(blocks, found, "query_id", k, part), run, "floors", None, 1)
+    return best_of(found, ["query_id"], k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +55,13 @@ def keep_best(scores: np.ndarray, ids: np.ndarray, new_scores: np.ndarray, new_i
     return np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
 
 
+def norms(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
+
+
 def product_kind(a: np.ndarray, c: np.ndarray) -> type:
-    """Numbers in which every partial sum of the rows' inner products is exact, the fastest first: none exceeds the product of the norms."""
-    reach = [float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0))) for x in (a, c)]
-    most = reach[0] * reach[1] * (1 + 1e-9)
+    """Numbers in which every partial sum of inner products is exact, by the rows' norms, the fastest first: none exceeds the product of two norms."""
+    most = a.max(initial=0) * c.max(initial=0) * (1 + 1e-9)
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
@@ -81,16 +87,40 @@ def first_of_each(row: np.ndarray, k: int) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(start, at, 0)) < k
 
 
-def best_hits(scores: np.ndarray, hit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best hits of each row of ``scores`` (ids ascending along it): row, score, id; rows together, higher scores first, then smaller ids."""
+Keep = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def kept_hits(hit: np.ndarray, keep: Keep | None) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """Rows and columns of the hits that ``keep`` (of rows and columns) lets pass, or the table of them if they are many."""
     if np.count_nonzero(hit) <= DENSE * hit.size:
         row, at = np.nonzero(hit)
-        found, who = scores[row, at].astype(np.int64), ids[at]
-        order = by_rank(row, found, who)
-        order = order[first_of_each(row[order], k)]
-        return row[order], found[order], who[order]
+        if keep is not None:
+            passed = keep(row, at)
+            row, at = row[passed], at[passed]
+        return row, at
+    if keep is None:
+        return hit
+    hit = hit & keep(np.arange(hit.shape[0])[:, None], np.arange(hit.shape[1]))
+    return np.nonzero(hit) if np.count_nonzero(hit) <= DENSE * hit.size else hit
+
+
+def ranked_hits(scores: np.ndarray, hits: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, score and id of hits: rows together, higher scores first, then smaller ids."""
+    row, at = hits
+    found, who = scores[row, at].astype(np.int64), ids[at]
+    order = by_rank(row, found, who)
+    return row[order], found[order], who[order]
+
+
+def best_hits(scores: np.ndarray, hit: np.ndarray, ids: np.ndarray, k: int, keep: Keep | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each row of ``scores`` (ids ascending along it): row, score, id; rows together, higher scores first, then smaller ids."""
+    hits = kept_hits(hit, keep)
+    if isinstance(hits, tuple):
+        row, found, who = ranked_hits(scores, hits, ids)
+        first = first_of_each(row, k)
+        return row[first], found[first], who[first]
     none = LEAST if scores.dtype == np.int64 else -np.inf
-    left, each, taken = np.where(hit, scores, scores.dtype.type(none)), np.arange(len(scores)), []
+    left, each, taken = np.where(hits, scores, scores.dtype.type(none)), np.arange(len(scores)), []
     for _ in range(min(k, scores.shape[1])):
         # The first of equals, so the smallest id.
         at = left.argmax(axis=1)
@@ -99,3 +129,16 @@ def best_hits(scores: np.ndarray, hit: np.ndarray, ids: np.ndarray, k: int) -> t
     best, at = (np.stack(x, axis=1) for x in zip(*taken, strict=True))
     row, rank = np.nonzero(best != none)
     return row, best[row, rank].astype(np.int64), ids[at[row, rank]]
+
+
+def gathered(parts: Iterator[dict[str, np.ndarray]], most: int = 65536) -> Iterator[pd.DataFrame]:
+    """Frames of about ``most`` rows of many small parts."""
+    held, rows = [], 0
+    for part in parts:
+        held.append(part)
+        rows += len(next(iter(part.values())))
+        if rows >= most:
+            yield pd.DataFrame({n: np.concatenate([p[n] for p in held]) for n in held[0]})
+            held, rows = [], 0
+    if rows:
+        yield pd.DataFrame({n: np.concatenate([p[n] for p in held]) for n in held[0]})
