@@ -135,14 +135,22 @@ class Dealt:
 
 def with_floors(blocks: DataFrame, found: DataFrame | None, key: str, k: int, name: str) -> DataFrame:
     """``blocks`` with ``floors``: the k-th score found so far for each of their anchors (``key``), ``LEAST`` without one."""
-    none = F.transform("anchors", lambda q: F.lit(LEAST))
     if found is None:
-        return blocks.withColumn("floors", none)
+        return blocks.withColumn("floors", F.transform("anchors", lambda q: F.lit(LEAST)))
     floor = best_of(found, [key], k).groupBy(key).agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
-    members = blocks.select("block", F.explode("anchors").alias(key))
-    known = floor.join(members, key).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(key, "floor"))).alias("known"))
-    floors = F.coalesce(F.transform("anchors", lambda q: F.coalesce(F.try_element_at("known", q), F.lit(LEAST))), none)
-    return materialise(blocks.join(known, "block", "left").withColumn("floors", floors).drop("known"), f"floors-{name}")
+    floors = members(blocks, key).join(floor, key, "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST)))
+    return materialise(in_order(blocks, floors, ["at"], {"floors": "floor"}), f"floors-{name}")
+
+
+def members(blocks: DataFrame, key: str) -> DataFrame:
+    """(block, at, key): the anchors of ``blocks`` with their places."""
+    return blocks.select("block", F.posexplode("anchors").alias("at", key))
+
+
+def in_order(blocks: DataFrame, rows: DataFrame, order: list[str], columns: dict[str, str]) -> DataFrame:
+    """``blocks`` with columns of the rows (block) of each (bounded) as arrays, in their order."""
+    packed = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*order, *columns.values()))).alias("r"))
+    return blocks.join(packed.select("block", *[F.col(f"r.{c}").alias(n) for n, c in columns.items()]), "block")
 
 
 def best_of(found: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import best_of, deal, unpacked, with_floors
+from .cells import best_of, deal, in_order, members, unpacked, with_floors
 from .runtime import materialise
 from .vectors import LEAST, NONE, at_least, at_most, best_hits, first_of_each, gathered, is_query, kept_hits, norms, of_one_length, product_kind, ranked_hits, usable
 
@@ -220,23 +220,18 @@ def hard_negatives(
     # Windows of scores: low * p <= 100 * s <= high * p, as whole numbers. No positive, no window.
     p = F.col("positive_score")
     window = F.struct(F.ceil(F.expr(f"({low} * positive_score) / 100.0bd")).alias("lo"), F.floor(F.expr(f"({high} * positive_score) / 100.0bd")).alias("hi"))
-    windows, keys = best.select("anchor_id", "place", window.alias("window")), ["anchor_id", "place"]
-    places = F.sequence(F.lit(0), F.lit(positives - 1))
-
-    def side(which: str, none: int):
-        get = lambda x, j: F.coalesce(F.try_element_at("known", F.struct(x.alias("anchor_id"), j.cast("int").alias("place")))[which].cast("long"), F.lit(none))
-        return F.flatten(F.transform("anchors", lambda x: F.transform(places, lambda j: get(x, j))))
+    keys = ["anchor_id", "place"]
+    windows = best.select(*keys, window.alias("window")).select(*keys, F.col("window.lo").cast("long").alias("lo"), F.col("window.hi").cast("long").alias("hi"))
 
     def ask(blocks: DataFrame, found: DataFrame | None, part: str) -> DataFrame:
         """``blocks`` with the ends of their anchors' windows; where as many rows as are asked for are found in one, it begins with the last of them."""
         left = windows
         if found is not None:
             floor = best_of(found, keys, negatives).groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == negatives)
-            low = F.greatest(F.col("window.lo").cast("long"), F.col("floor")).alias("lo")
-            left = windows.join(floor, keys, "left").select(*keys, F.struct(low, F.col("window.hi").alias("hi")).alias("window"))
-        asks = left.join(blocks.select("block", F.explode("anchors").alias("anchor_id")), "anchor_id")
-        asks = asks.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys).alias("key"), "window"))).alias("known"))
-        return materialise(blocks.join(asks, "block").withColumns({"lows": side("lo", NONE), "highs": side("hi", LEAST)}).drop("known"), f"windows-{part}")
+            left = windows.join(floor, keys, "left").withColumn("lo", F.greatest("lo", "floor")).select(*keys, "lo", "hi")
+        places = members(blocks, "anchor_id").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(positives - 1))))
+        ends = places.join(left, keys, "left").withColumns({"lo": F.coalesce("lo", F.lit(NONE)), "hi": F.coalesce("hi", F.lit(LEAST))})
+        return materialise(in_order(blocks, ends, ["at", "place"], {"lows": "lo", "highs": "hi"}), f"windows-{part}")
 
     def mined(work: DataFrame, name: str) -> DataFrame:
         found = dealt.searched(work.select(*columns, "lows", "highs"), lambda f: gathered(_negatives(f, negatives, kind)), FOUND)
